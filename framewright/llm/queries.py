@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sources
+from .sharding import rendezvous_shards
+from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
 
@@ -30,9 +33,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rendezvous_shards(documents(spark, sf_dir), weights=(1.0,) * 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(documents(spark, sf_dir), width=4, radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_mix_sources": op4_mix_sources,
+    "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
