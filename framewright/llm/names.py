@@ -13,11 +13,13 @@ order the shuffle delivered.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,28 @@ def answers(names: np.ndarray, n: int, table: pa.Table) -> tuple[np.ndarray, byt
     return bit, extra
 
 
-def resolver(width: str, ranked: bool) -> Callable[[pa.Table], pa.Table]:
+def rank_bits(names: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (name, rank): whether the name has other rows, and whether one has a smaller rank."""
+    order = np.argsort(names, kind="stable")
+    new = np.ones(len(names), bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    group = np.cumsum(new) - 1
+    shared, smaller = np.empty(len(names), bool), np.empty(len(names), bool)
+    if len(names):
+        shared[order] = np.bincount(group)[group] > 1
+        smaller[order] = np.minimum.reduceat(ranks[order], np.flatnonzero(new))[group] < ranks[order]
+    return shared, smaller
+
+
+def resolve_texts(blobs: list[bytes]) -> list[bytes]:
+    """Answers to the texts' names and ranks that came as extras: two bits each."""
+    tables = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in blobs]
+    shared, smaller = rank_bits(np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables]).view(np.int64))
+    ends = np.cumsum([t.shape[1] for t in tables])
+    return [np.packbits(np.concatenate([shared[e - t.shape[1] : e], smaller[e - t.shape[1] : e]])).tobytes() for t, e in zip(tables, ends, strict=True)]
+
+
+def resolver(width: str, ranked: bool, texts: bool = False) -> Callable[[pa.Table], pa.Table]:
     """Bucket step: sort the names, compare neighbours, answer by row.
 
     A bit says that another home has the name too or, if ranked, that another home has it at a
@@ -116,6 +139,8 @@ def resolver(width: str, ranked: bool) -> Callable[[pa.Table], pa.Table]:
             shared = ~new
             shared[:-1] |= ~new[1:]
             bits[order] = shared
+        if texts:
+            table = table.set_column(3, "extra", pa.array(resolve_texts(table.column("extra").to_pylist()), pa.binary()))
         ends = np.cumsum(counts)
         masks = [np.packbits(bits[e - c : e]).tobytes() for c, e in zip(counts, ends, strict=True)]
         return pa.table({"bucket": table.column("bucket"), "home": table.column("home"), "names": pa.array(masks, pa.binary()), "extra": table.column("extra")}, schema=SENT_ARROW)
@@ -123,6 +148,54 @@ def resolver(width: str, ranked: bool) -> Callable[[pa.Table], pa.Table]:
     return resolve
 
 
+class Copies:
+    """A home's distinct texts that can hold a window, and which of its documents are copies.
+
+    Names of whole texts go to their buckets along with the seeds, with the least id here.
+    """
+
+    def __init__(self, home: Home, least_size: int, n: int) -> None:
+        first: dict[bytes, int] = {}
+        self.text = np.full(len(home.texts), -1)
+        for i, text in enumerate(home.texts):
+            if len(text) >= least_size:
+                self.text[i] = first.setdefault(text, len(first))
+        lead = np.flatnonzero(self.leads())
+        self.names = np.array([xxhash.xxh3_64_intdigest(home.texts[i]) for i in lead], np.uint64)
+        self.ranks = home.rank[lead]
+        self.bucket = bucket_of(self.names, n)
+
+    def leads(self) -> np.ndarray:
+        """The first document of each text."""
+        out = np.zeros(len(self.text), bool)
+        some = np.flatnonzero(self.text >= 0)
+        out[some[np.unique(self.text[some], return_index=True)[1]]] = True
+        return out
+
+    def send(self, sent: pa.Table, home: Home, n: int) -> pa.Table:
+        """The rows to the buckets, with names and ranks of the texts that belong there as extras."""
+        own = {b: np.flatnonzero(self.bucket == b) for b in np.unique(self.bucket).tolist()}
+        blob = lambda at: np.concatenate([self.names[at], self.ranks[at].view(np.uint64)]).tobytes()
+        there = sent.column("bucket").to_pylist()
+        sent = sent.set_column(3, "extra", pa.array([blob(own.pop(b)) if b in own else b"" for b in there], pa.binary()))
+        rest = {"bucket": list(own), "home": [home.number] * len(own), "names": [b""] * len(own), "extra": [blob(at) for at in own.values()]}
+        return pa.concat_tables([sent, pa.table(rest, schema=SENT_ARROW)])
+
+    def settle(self, answered: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Masks of documents: has an equal text anywhere; another one speaks for it."""
+        shared, smaller = np.zeros(len(self.names), bool), np.zeros(len(self.names), bool)
+        for b, mask in zip(answered.column("bucket").to_pylist(), answered.column("extra").to_pylist(), strict=True):
+            at = np.flatnonzero(self.bucket == b)
+            bits = np.unpackbits(np.frombuffer(mask, np.uint8), count=2 * len(at)).astype(bool)
+            shared[at], smaller[at] = bits[: len(at)], bits[len(at) :]
+        some = self.text >= 0
+        copied, silent = np.zeros(len(self.text), bool), np.zeros(len(self.text), bool)
+        here = np.bincount(self.text[some], minlength=len(self.names))
+        copied[some] = (shared | (here > 1))[self.text[some]]
+        silent[some] = (smaller[self.text] | ~self.leads())[some]
+        return copied, silent
+
+
 def pack_mask(mask: np.ndarray) -> bytes:
     return zlib.compress(np.packbits(mask).tobytes(), 1)
 
@@ -136,6 +209,10 @@ class Repeats:
 
     #: Whether a window counts only as the copy of one in a document of smaller rank.
     ranked = False
+    #: Whether a text that has an equal text of smaller id sends no windows: all of it goes, and the other sends them.
+    silence_copies = False
+    #: Least bytes of a text with a window; window starts are bytes then.
+    least_size = 0
     #: Arrow schema of finish().
     schema: pa.Schema
 
@@ -176,7 +253,8 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
     def first(table: pa.Table) -> pa.Table:
         home = Home(table)
         names = np.unique(job.seeds(home))
-        return send(home, names, n, lambda own: names[own].astype(np.uint32).tobytes())
+        sent = send(home, names, n, lambda own: names[own].astype(np.uint32).tobytes())
+        return Copies(home, job.least_size, n).send(sent, home, n) if job.silence_copies else sent
 
     def second(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows or not answered.num_rows:
@@ -185,21 +263,28 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
         names, at, count = np.unique(job.seeds(home), return_inverse=True, return_counts=True)
         bit, _ = answers(names, n, answered)
         mask = job.marked(home, (bit | (count > 1))[at])
+        copied = b""
+        if job.silence_copies:
+            whole, silent = Copies(home, job.least_size, n).settle(answered)
+            mask &= ~np.repeat(silent, [len(t) for t in home.texts])
+            copied = pack_mask(whole)
         every = job.names(home, mask)
         names, at = np.unique(every, return_inverse=True)
-        if not len(names):
-            return SENT_ARROW.empty_table()
+        extra = struct.pack("<q", len(copied)) + copied + pack_mask(mask)
+        if not len(names):  # all that may go is in silent copies
+            return pa.table([[0], [home.number], [b""], [extra]], schema=SENT_ARROW) if copied else SENT_ARROW.empty_table()
         if not job.ranked:
-            return send(home, names, n, lambda own: names[own].tobytes(), pack_mask(mask))
+            return send(home, names, n, lambda own: names[own].tobytes(), extra)
         least = least_ranks(job.ranks(home, mask), at, len(names))
-        return send(home, names, n, lambda own: names[own].tobytes() + least[own].tobytes(), pack_mask(mask))
+        return send(home, names, n, lambda own: names[own].tobytes() + least[own].tobytes(), extra)
 
     def last(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
             return job.schema.empty_table()
         home = Home(table)
         extra = next((x for x in answered.column("extra").to_pylist() if x), b"")
-        mask = unpack_mask(extra, job.starts(home))
+        cut = 8 + struct.unpack_from("<q", extra)[0] if extra else 0
+        mask = unpack_mask(extra[cut:], job.starts(home))
         if mask.any():
             names, at, count = np.unique(job.names(home, mask), return_inverse=True, return_counts=True)
             bit, _ = answers(names, n, answered)
@@ -209,9 +294,11 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
             else:
                 hit = (bit | (count > 1))[at]
             mask[np.flatnonzero(mask)[~hit]] = False
+        if cut > 8:
+            mask |= np.repeat(unpack_mask(extra[8:cut], len(home.texts)), [len(t) for t in home.texts])
         return job.finish(home, mask)
 
-    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver("u4", False), SENT)
+    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver("u4", False, job.silence_copies), SENT)
     named = dealt.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(second, SENT)
     settled = named.groupBy("bucket").applyInArrow(resolver("u8", job.ranked), SENT)
     return dealt.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(last, ddl)

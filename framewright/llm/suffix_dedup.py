@@ -80,12 +80,12 @@ def top_names(data: np.ndarray) -> np.ndarray:
 
 
 class ByteRepeats(Repeats):
-    schema = SCHEMA
+    schema, silence_copies = SCHEMA, True
 
     def __init__(self, length: int) -> None:
         if length < TOP + V - 1:
             raise ValueError(f"length must be at least {TOP + V - 1}")
-        self.length = length
+        self.length = self.least_size = length
 
     def sampled(self, bounds: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
         """Places of the sampled suffixes with TOP bytes, of the documents that can hold a window."""
@@ -142,7 +142,7 @@ class ByteRepeats(Repeats):
                 spans.append([])
                 continue
             at = np.flatnonzero(own)
-            gone = cover(len(text), at, at + self.length)
+            gone = cover(len(text), at, np.minimum(at + self.length, len(text)))
             low, high = runs(gone)
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             spans.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
