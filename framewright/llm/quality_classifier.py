@@ -127,30 +127,49 @@ def pattern(text: Column) -> Column:
 
 @dataclass
 class LabelModel:
-    """Accuracy of each labeller when it votes, and the share of bad documents."""
+    """How each labeller votes on good and on bad documents, and the share of bad ones."""
 
-    accuracy: np.ndarray
+    #: Probability of a vote: [bad document or not, labeller, vote]; the first row is for good ones.
+    chance: np.ndarray
     bad_share: float
 
+    def weights(self) -> np.ndarray:
+        """What each labeller's each vote adds to the log odds of a bad document."""
+        return np.log(self.chance[1] / self.chance[0])
+
+    def prior(self) -> float:
+        return float(np.log(self.bad_share / (1 - self.bad_share)))
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability of a bad document, by pattern; the share itself where nobody voted."""
-        cast = patterns[:, None] // 3 ** np.arange(LABELLERS) % 3
-        weight = np.log(self.accuracy / (1 - self.accuracy))
-        odds = np.log(self.bad_share / (1 - self.bad_share)) + ((cast == BAD) * weight).sum(1) - ((cast == GOOD) * weight).sum(1)
+        """Probability of a bad document, by pattern."""
+        odds = self.prior() + self.weights()[np.arange(LABELLERS), cast_votes(patterns)].sum(1)
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
+    def accuracy(self) -> np.ndarray:
+        """Estimated share of right votes among each labeller's votes."""
+        share = np.array([1 - self.bad_share, self.bad_share])
+        right = share[0] * self.chance[0, :, GOOD] + share[1] * self.chance[1, :, BAD]
+        return right / (share @ self.chance[:, :, [BAD, GOOD]].sum(2))
+
+
+def cast_votes(patterns: np.ndarray) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(LABELLERS) % 3
+
+
+#: Votes to start from, by class: abstain, bad, good.
+START = np.array([[0.2, 0.05, 0.75], [0.25, 0.35, 0.4]])
+
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, turns: int = 200) -> LabelModel:
-    """Expectation-maximisation over pattern counts, with a few imagined votes as prior."""
-    model = LabelModel(np.full(LABELLERS, 0.8), 0.2)
-    cast = patterns[:, None] // 3 ** np.arange(LABELLERS) % 3
-    voted = ((cast != ABSTAIN) * counts[:, None]).sum(0)
+    """Expectation-maximisation over pattern counts, with ten imagined documents of each class as prior."""
+    model = LabelModel(np.repeat(START[:, None, :], LABELLERS, axis=1), 0.15)
+    votes = np.eye(3)[cast_votes(patterns)]
     for _ in range(turns):
         bad = model.posterior(patterns)
-        right = ((cast == BAD) * (bad * counts)[:, None] + (cast == GOOD) * ((1 - bad) * counts)[:, None]).sum(0)
-        share = (bad @ counts + 1) / (counts.sum() + 5)
-        new = LabelModel(np.clip((right + 8) / (voted + 10), 0.55, 0.99), float(np.clip(share, 0.01, 0.5)))
-        done = np.abs(new.accuracy - model.accuracy).max() < 1e-6
+        sure = np.stack([1 - bad, bad]) * counts
+        chance = np.einsum("cp,pjv->cjv", sure, votes) + 10 * START[:, None, :]
+        new = LabelModel(chance / chance.sum(2, keepdims=True), float(np.clip((sure[1].sum() + 1.5) / (counts.sum() + 10), 0.001, 0.5)))
+        done = np.abs(new.chance - model.chance).max() < 1e-6
         model = new
         if done:
             break
@@ -204,11 +223,10 @@ class QualityModel:
 
     def label(self, votes: Column) -> Column:
         """Posterior of a vote pattern, by the label model's weights."""
-        weight = np.log(self.labels.accuracy / (1 - self.labels.accuracy))
-        odds = F.lit(float(np.log(self.labels.bad_share / (1 - self.labels.bad_share))))
-        for j in range(LABELLERS):
+        odds = F.lit(self.labels.prior())
+        for j, by_vote in enumerate(self.labels.weights()):
             cast = F.floor(votes / F.lit(3**j)) % 3
-            odds = odds + F.when(cast == BAD, float(weight[j])).when(cast == GOOD, -float(weight[j])).otherwise(0.0)
+            odds = odds + F.when(cast == BAD, float(by_vote[BAD])).when(cast == GOOD, float(by_vote[GOOD])).otherwise(float(by_vote[ABSTAIN]))
         return 1 / (1 + F.exp(-odds))
 
 
