@@ -7,6 +7,8 @@ columns are never read, so extra columns cannot clash with an operator's own nam
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +27,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder of ``spark.checkpoint.dir``; set one only where it is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set only where the session names none."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or "/tmp/checkpoints")
+    return folder or "/tmp/checkpoints"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

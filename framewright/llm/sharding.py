@@ -30,14 +30,15 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
     return (F.greatest(*scored) if len(scored) > 1 else scored[0])["shard"]
 
 
-def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0, chunks: int = CHUNKS) -> DataFrame:
+def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0, chunks: int = CHUNKS, carry: Sequence[str] = ()) -> DataFrame:
     """Every row's shard, its place there, and its shard if one more were added.
 
     One row per input row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard,
     slot (0, 1, 2 ... within the shard), grown_shard (with a further shard of ``new_weight``).
     The shard depends on the id and the weights alone. Null ids are one key, so they share a
     shard; a null text has no bytes; repeated rows share a shard and take slots of their own; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read, but for those in ``carry``, which come
+    along in front (none may have a name of the result's).
 
     Slots are gapless without a shard's rows meeting in a task: rows are numbered in hash chunks
     of a shard, and a chunk's offset is the sum of the counts before it (shards x chunks numbers,
@@ -47,6 +48,7 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key = F.col(id_col).cast("long")
     chunk = F.pmod(F.when(key.isNull(), F.xxhash64(data)).otherwise(F.xxhash64(key, F.lit("slot"))), F.lit(chunks)).cast("int")
     rows = docs.select(
+        *carry,
         key.alias("doc_id"),
         (F.octet_length(data) + F.lit(8)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
@@ -59,7 +61,7 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("offset")).cast("long").alias("slot"), "grown_shard")
+    return numbered.join(F.broadcast(offsets), ["shard", "chunk"]).select(*carry, "doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("offset")).cast("long").alias("slot"), "grown_shard")
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:

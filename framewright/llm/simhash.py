@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -231,6 +232,17 @@ def near_links(distinct: DataFrame, radius: int, shard_limit: int) -> DataFrame:
     return placed.groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def components_of(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, shard_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
+    prints = shared_checkpoint(fingerprints(docs, id_col, text_col, width))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    links = near_links(groups.select("fp"), radius, shard_limit)
+    roots = connected_components(links).withColumnsRenamed({"node": "fp"})
+    tied = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, tied.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, shard_limit: int = 20_000) -> DataFrame:
     """Every row's fingerprint and near-duplicate component.
 
@@ -241,11 +253,22 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id link others but are no component's smallest id unless all are null (then null);
     repeated rows share a component; an empty table gives no rows; other columns are not read.
     """
-    prints = shared_checkpoint(fingerprints(docs, id_col, text_col, width))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(groups.select("fp"), radius, shard_limit)
-    roots = connected_components(links).withColumnsRenamed({"node": "fp"})
-    tied = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = tied.join(smallest, "root").select("fp", "component_id")
+    prints, named = components_of(docs, id_col, text_col, width, radius, shard_limit)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, shard_limit: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, whole, one of each near-duplicate component: that of the smallest id.
+
+    Of rows that repeat that id one stays; a component without ids keeps one of its rows. Texts
+    are shuffled once, by id.
+    """
+    _, named = components_of(docs, id_col, text_col, width, radius, shard_limit)
+    named = shared_checkpoint(named)
+    ids = named.filter("component_id is not null").select(F.col("component_id").alias("_kept_id")).distinct()
+    kept = docs.join(ids, docs[id_col].cast("long") == ids["_kept_id"], "left_semi").dropDuplicates([id_col])
+    nameless = named.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    digest = F.pandas_udf(lambda s: pd.Series(np.array([fingerprint(t.encode() if isinstance(t, str) else b"", width) for t in s], np.uint64).view(np.int64)), "long")
+    rest = docs.filter(F.col(id_col).isNull()).withColumn("_fp", digest(F.col(text_col).cast("string")))
+    rest = rest.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
+    return kept.unionByName(rest)
