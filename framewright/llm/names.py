@@ -32,8 +32,8 @@ CHUNK = 1 << 19
 
 
 def homes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(home, doc_id, data): three homes a partition, dealt by a hash of the id (of the text where that is null)."""
-    n = 3 * shuffle_partitions(docs.sparkSession)
+    """(home, doc_id, data): two homes a partition, dealt by a hash of the id (of the text where that is null)."""
+    n = 2 * shuffle_partitions(docs.sparkSession)
     data = text_bytes(F.col(text_col))
     key = F.coalesce(F.xxhash64(F.col(id_col).cast("long"), F.lit(7)), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(data)).otherwise(F.lit(0)) % 1000003
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("home"), F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
