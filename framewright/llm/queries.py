@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .mixing import mix_sources
+from .pii import KINDS as PII_KINDS
+from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .sharding import rendezvous_shards
@@ -40,6 +42,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def written(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def counted(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def digest(kinds: tuple[str, ...]) -> list[Column]:
+    """The digest of the base spans, and all spans."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return [F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")]
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(documents(spark, sf_dir))
+    return out.select("doc_id", *map(counted, PII_KINDS), *digest(PII_KINDS))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -66,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_decontaminate": op8_decontaminate,
