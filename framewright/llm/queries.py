@@ -13,6 +13,8 @@ from .pii import KINDS as PII_KINDS
 from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import secret_scan
 from .sharding import rendezvous_shards
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
@@ -28,20 +30,6 @@ def covered(spans: str) -> Column:
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
 
 
-def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_array_dedup(documents(spark, sf_dir), length=400)
-    return out.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(documents(spark, sf_dir), width=13)
-    return out.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
-
-def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
-
-
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -57,6 +45,25 @@ def digest(kinds: tuple[str, ...]) -> list[Column]:
     return [F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array_dedup(documents(spark, sf_dir), length=400)
+    return out.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(documents(spark, sf_dir), width=13)
+    return out.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(documents(spark, sf_dir))
+    return out.select("doc_id", *map(counted, SECRET_KINDS), *digest(SECRET_KINDS))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(documents(spark, sf_dir))
     return out.select("doc_id", *map(counted, PII_KINDS), *digest(PII_KINDS))
@@ -87,6 +94,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
