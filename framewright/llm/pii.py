@@ -29,7 +29,10 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-NONE = F.array().cast(SPAN)
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPAN)
 
 
 def digits(value: Column) -> Column:
@@ -47,10 +50,10 @@ def found(kind: str, text: Column, pattern: str, hint: Column, good) -> Column:
             spans = F.when(good(match), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
             return F.struct((state["n"] + 1).alias("n"), end.alias("at"), spans.alias("spans"))
 
-        empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), NONE.alias("spans"))
+        empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), no_spans().alias("spans"))
         return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), empty, step, lambda s: s["spans"])
 
-    return F.when(hint, let(F.split(text, pattern, -1), spans)).otherwise(NONE)
+    return F.when(hint, let(F.split(text, pattern, -1), spans)).otherwise(no_spans())
 
 
 def base_spans(text: Column) -> Column:
