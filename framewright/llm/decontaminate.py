@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The corpus frequency of every item n-gram is counted over all documents. From each stretch of an
-item its rarest n-gram becomes a seed, so a seed covers every part of an item whatever is
+item its rarest n-gram that occurs becomes a seed, so a seed covers every part of an item whatever is
 frequent, and nothing is dropped for being common. A document passage that holds a seed is
 aligned with the item word by word (local alignment, linear gaps); the score, relative to a
 perfect copy, also finds edited and paraphrased copies.
@@ -28,6 +28,9 @@ BLOCK_ITEMS = 2000
 #: Alignment: what a word in common, a changed word, and a word left out or put in are worth.
 MATCH, MISMATCH, GAP_COST = 2, -1, 1
 
+#: Frequency of an n-gram that no document has, for choosing seeds.
+ABSENT = np.iinfo(np.int64).max
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _c in range(128):
@@ -226,13 +229,16 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_co
         frequency = corpus_frequency(docs, text_col, wanted, n)
         seeds, seed_item, seed_at = [], [], []
         for k, own_grams in enumerate(grams):
+            # one that no document has finds nothing and must not stand for its stretch
             rank = frequency[np.searchsorted(wanted, own_grams)]
-            chosen = sorted({i + int(np.argmin(rank[i : i + stretch])) for i in range(max(1, len(own_grams) - stretch + 1))})
+            rank = np.where(rank > 0, rank, ABSENT)
+            first = (i + int(np.argmin(rank[i : i + stretch])) for i in range(max(1, len(own_grams) - stretch + 1)))
+            chosen = sorted({i for i in first if rank[i] < ABSENT})
             seeds += own_grams[chosen].tolist()
             seed_item += [k] * len(chosen)
             seed_at += chosen
         order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        yield Items(ids, words, np.array(seeds, np.uint64)[order], np.array(seed_item)[order], np.array(seed_at)[order], n, least_score)
+        yield Items(ids, words, np.array(seeds, np.uint64)[order], np.array(seed_item, np.int64)[order], np.array(seed_at, np.int64)[order], n, least_score)
 
 
 def corpus_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray, n: int) -> np.ndarray:
