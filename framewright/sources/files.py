@@ -67,7 +67,7 @@ def last_lines(texts: DataFrame, path: str = "path", text: str = "text") -> Data
 
 def file_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """(utt_key, text) of one text file per utterance."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     return last_lines(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
