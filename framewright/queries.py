@@ -432,12 +432,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _eer_sql(rows: str) -> str:
     return f"""with s as ({rows}), c as (select lang, score, sum(label) p, sum(1 - label) q from s group by all),
  t as (select lang, sum(p) np, sum(q) nq from c group by lang),
- u as (select lang, score, (sum(q) over w)::double / nq fpr, (sum(p) over w)::double / np tpr from c join t using (lang) window w as (partition by lang order by score)),
+ u as (select lang, score, (sum(q) over w)::double / nullif(nq, 0) fpr, (sum(p) over w)::double / nullif(np, 0) tpr from c join t using (lang) window w as (partition by lang order by score)),
  v as (select *, coalesce(lag(fpr) over (partition by lang order by score), 0) f0, coalesce(lag(tpr) over (partition by lang order by score), 0) t0 from u),
  e as (select lang, f0 + (1 - f0 - t0) / (fpr + tpr - f0 - t0) * (fpr - f0) eer from v where fpr + tpr >= 1 and f0 + t0 < 1)"""
 
 
-@query(_eer_sql(_SCORES) + " select lang, round(eer, 9) eer from e")
+@query(_eer_sql(_SCORES) + " select lang, round(eer, 9) eer from (select distinct lang from s) left join e using (lang)")
 def eer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.eer(scores(spark, sf_dir), ["lang"]).select("lang", r("eer", 9).alias("eer"))
 
@@ -447,7 +447,7 @@ def eer_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.eer_summary(evaluate.eer(scores(spark, sf_dir), ["lang"])).select(r("mean_eer", 9).alias("mean_eer"), r("std_eer", 9).alias("std_eer"))
 
 
-@query(_eer_sql(_SCORES.replace("quality label", "1 - quality label")) + " select lang, round(eer, 9) eer from e")
+@query(_eer_sql(_SCORES.replace("quality label", "1 - quality label")) + " select lang, round(eer, 9) eer from (select distinct lang from s) left join e using (lang)")
 def eer_zero_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.eer(evaluate.zero_positive(scores(spark, sf_dir)), ["lang"]).select("lang", r("eer", 9).alias("eer"))
 
