@@ -23,8 +23,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def place(key: Column, text: Column) -> Column:
-    """BITS * LEVELS uniform bits; a row without id is placed by its text."""
-    return F.shiftrightunsigned(F.coalesce(F.when(key.isNotNull(), F.xxhash64(key, F.lit("mix"))), F.xxhash64(text, F.lit("mix"))), 64 - BITS * LEVELS)
+    """BITS * LEVELS uniform bits of an MD5, which SQL elsewhere repeats; a row without id is placed by its text."""
+    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(key.cast("string"), text)).cast("binary"))
+    return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
 
 
 def join_sources(rows: DataFrame, table: DataFrame) -> DataFrame:

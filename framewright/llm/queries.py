@@ -61,7 +61,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), cap=2.0).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "copies")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the operators that SQL can express; the others are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ p as (select doc_id, unnest(range(len(w) - 12)) pos, w from d where len(w) >= 13),
+ k as (select doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 13], ' ')) k from p),
+ f as (select k, min(doc_id) least from k group by k),
+ c as (select distinct doc_id, pos + unnest(range(13)) pos from k join f using (k) where doc_id > least),
+ l as (select doc_id, unnest(w) word, unnest(range(len(w))) pos from d),
+ r as (select doc_id, count(*) filter (c.pos is not null) n_removed, string_agg(word, ' ' order by pos) filter (c.pos is null) kept from l left join c using (doc_id, pos) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join r using (doc_id)""",
+    "op4_mix_sources": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, (('0x' || left(md5('mix:' || doc_id), 8))::bigint >> 2) place from documents),
+ s as (select source, sum(size)::double total, row_number() over (order by source nulls last) - 1 n from d group by source),
+ w as (select *, [3.0, 1.0, 2.0][(n % 3 + 1)::int]::double weight, 2 * total most from s),
+ l as (select *, (sum(total) over () * 1.5 - coalesce(sum(most) over (order by most / weight, n rows between unbounded preceding and 1 preceding), 0))
+   / sum(weight) over (order by most / weight, n rows between current row and unbounded following) level from w),
+ u as (select arg_min(level, most / weight) level from l where most > level * weight),
+ t as (select source, total, least(most, coalesce(u.level * weight, most)) target from l left join u on true),
+ b as (select *, case when total > 0 then floor(target / total) else 0 end base from t),
+ c as (select d.*, total, target, base, target - base * total budget, sum(size) over (partition by d.source order by place) upto, sum(size) over (partition by d.source, place) n
+   from d join b on d.source is not distinct from b.source),
+ x as (select *, least(base + case when upto <= budget or upto - n <= budget and (budget - (upto - n)) * 2 >= n then 1 else 0 end, 2)::int copies from c)
+select doc_id, size, total::bigint source_size, round(target, 6) target, size * copies taken, source, copies from x""",
+}
