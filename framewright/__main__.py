@@ -10,6 +10,7 @@ import importlib
 import random
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import evaluate, pairs, signal
@@ -88,7 +89,8 @@ def wer(spark, a) -> None:
     rows = spark.read.csv(a.pairs, header=True, schema="utt_key string, reference string, hypothesis string")
     for words in (True, False):
         counts = evaluate.error_counts(rows, words=words)
-        numbered = spark.createDataFrame(counts.select("edits", "ref_len").orderBy("utt_key").rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), "idx long, edits long, ref_len long")
+        place = F.row_number().over(Window.orderBy("utt_key")) - 1  # an evaluation set
+        numbered = counts.select(place.cast("long").alias("idx"), "edits", "ref_len")
         index = evaluate.bootstrap_index(spark, numbered.count())
         print("words" if words else "characters")
         evaluate.bootstrap_rate(numbered, index).show()
