@@ -20,14 +20,14 @@ from ..functions import vectors
 MATCH = "source string, target string, s_id long, t_id long, distance double"
 
 
-def topk_expression(source: DataFrame, target: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, s_id, t_id, distance, rank) of sides (keys, s_id, s_feat) and (keys, t_id, t_feat).
+def topk_expression(source: DataFrame, target: DataFrame, k: int, keys: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
+    """(keys, also, s_id, t_id, distance, rank) of sides (keys, also, s_id, s_feat) and (keys, t_id, t_feat).
 
     Zero vectors have no distance and match nothing; the least t_id wins a tie.
     """
     pairs = source.join(target, list(keys)) if keys else source.crossJoin(target)
-    scored = pairs.select(*keys, "s_id", "t_id", vectors.cosine_distance("s_feat", "t_feat").alias("distance")).filter("distance is not null")
-    order = Window.partitionBy(*keys, "s_id").orderBy("distance", "t_id")
+    scored = pairs.select(*keys, *also, "s_id", "t_id", vectors.cosine_distance("s_feat", "t_feat").alias("distance")).filter("distance is not null")
+    order = Window.partitionBy(*keys, *also, "s_id").orderBy("distance", "t_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

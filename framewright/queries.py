@@ -44,10 +44,6 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("string").alias("speaker"), F.lit("u").alias("utt"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("feat"))
 
 
-def two(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("0", "1")], "source string, target string")
-
-
 def r(c: Column | str, digits: int = 6) -> Column:
     """Rounded, and without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)
@@ -60,39 +56,41 @@ def integers(c: Column | str) -> Column:
 # ---------------------------------------------------------------- matching
 
 _NEAR = """
- s as (select vec_id s_id, embedding::double[] e from embeddings where label = 0),
- t as (select vec_id t_id, embedding::double[] e from embeddings where label = 1),
- near as (select s_id, t_id, 1 - list_cosine_similarity(s.e, t.e) distance,
-   row_number() over (partition by s_id order by round(1 - list_cosine_similarity(s.e, t.e), 12), t_id) rank from s, t)"""
+ s as (select vec_id s_id, label::varchar source, embedding::double[] e from embeddings),
+ t as (select vec_id t_id, label::varchar target, embedding::double[] e from embeddings),
+ d as (select source, target, s_id, t_id, 1 - list_cosine_similarity(s.e, t.e) distance from s join t on source <> target),
+ near as (select *, row_number() over (partition by s_id, target order by round(distance, 12), t_id) rank from d)"""
 
 
 def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return matching.topk_blocks(frames(spark, sf_dir).filter("speaker in ('0', '1')"), two(spark), k)
+    """The k nearest frames of every other speaker, for every frame."""
+    f = frames(spark, sf_dir)
+    return matching.topk_blocks(f, pairs.speaker_pairs(f), k)
 
 
-@query(f"with {_NEAR} select s_id, t_id, round(distance, 6) distance from near where rank = 1")
+@query(f"with {_NEAR} select source, target, s_id, t_id, round(distance, 6) distance from near where rank = 1")
 def cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark, sf_dir, 1).select("s_id", "t_id", r("distance").alias("distance"))
+    return nearest(spark, sf_dir, 1).select("source", "target", "s_id", "t_id", r("distance").alias("distance"))
 
 
-@query(f"with {_NEAR} select s_id, t_id, rank::int rank, round(distance, 6) distance from near where rank <= 4")
+@query(f"with {_NEAR} select source, target, s_id, t_id, rank::int rank, round(distance, 6) distance from near where rank <= 4")
 def cosine_topk4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark, sf_dir, 4).select("s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
+    return nearest(spark, sf_dir, 4).select("source", "target", "s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
 
 
-@query(f"with {_NEAR} select s_id, t_id, rank::int rank, round(distance, 6) distance from near where rank <= 4")
+@query(f"with {_NEAR} select source, target, s_id, t_id, rank::int rank, round(distance, 6) distance from near where rank <= 4")
 def cosine_topk4_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    s = f.filter("speaker = '0'").select(F.col("frame_id").alias("s_id"), F.col("feat").alias("s_feat"))
-    t = f.filter("speaker = '1'").select(F.col("frame_id").alias("t_id"), F.col("feat").alias("t_feat"))
-    return matching.topk_expression(s, t, 4).select("s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
+    s = pairs.speaker_pairs(f).join(f.select(F.col("speaker").alias("source"), F.col("frame_id").alias("s_id"), F.col("feat").alias("s_feat")), "source")
+    t = f.select(F.col("speaker").alias("target"), F.col("frame_id").alias("t_id"), F.col("feat").alias("t_feat"))
+    return matching.topk_expression(s, t, 4, ["target"], ["source"]).select("source", "target", "s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
 
 
 @query(f"""with {_NEAR}, v as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 pos from embeddings)
- select s_id, pos::int pos, round(avg(v), 6) + 0.0 as value from near join v on vec_id = t_id where rank <= 4 group by all""")
+ select target, s_id, pos::int pos, round(avg(v), 6) + 0.0 as value from near join v on vec_id = t_id where rank <= 4 group by all""")
 def knn_mean_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.matched_pairs(nearest(spark, sf_dir, 4), frames(spark, sf_dir))
-    return found.select("s_id", F.posexplode("y").alias("pos", "v")).select("s_id", "pos", r("v").alias("value"))
+    return found.select("target", "s_id", F.posexplode("y").alias("pos", "v")).select("target", "s_id", "pos", r("v").alias("value"))
 
 
 @query("""with s as (select vec_id s_id, embedding::double[] e from embeddings where label = 0),
@@ -120,9 +118,9 @@ def ordered_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.ranked(frames(spark, sf_dir)).select("speaker", "frame_id", "spk_frame_idx")
 
 
-@query("select vec_id frame_id from embeddings where label = 3 order by vec_id limit 5 offset 1")
+@query("select vec_id frame_id from embeddings order by vec_id limit 5 offset 1")
 def frame_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).filter("speaker = '3'").select("frame_id").orderBy("frame_id").offset(1).limit(5)
+    return frames(spark, sf_dir).select("frame_id").orderBy("frame_id").offset(1).limit(5)
 
 
 @query(f"select label::varchar speaker, pos, round(avg(v), 6) + 0.0 as mean from ({_LONG}) group by all")
@@ -156,16 +154,16 @@ def row_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("speaker").agg(F.count(F.lit(1)).alias("n_frames"), F.countDistinct(F.col("frame_id") % 7).alias("n_groups"))
 
 
-@query("select vec_id frame_id, label::varchar speaker from embeddings where label = 1 union all select vec_id, label::varchar from embeddings where label in (1, 2)")
+@query("select vec_id frame_id, label::varchar speaker from embeddings union all select vec_id, label::varchar from embeddings")
 def union_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).select("frame_id", "speaker")
-    return f.filter("speaker = '1'").unionByName(f.filter("speaker in ('1', '2')"))
+    return f.unionByName(f)
 
 
 # ---------------------------------------------------------------- maps
 
-_MATCHED = f"""{_NEAR}, m as (select s_id, t_id from near where rank = 1),
- xy as (select s_id, x.pos, x.v x, y.v y from m join ({_LONG}) x on x.vec_id = s_id join ({_LONG}) y on y.vec_id = t_id and y.pos = x.pos)"""
+_MATCHED = f"""{_NEAR}, m as (select source, target, s_id, t_id from near where rank = 1),
+ xy as (select source, target, s_id, x.pos, x.v x, y.v y from m join ({_LONG}) x on x.vec_id = s_id join ({_LONG}) y on y.vec_id = t_id and y.pos = x.pos)"""
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,19 +174,19 @@ def at(array: str, name: str) -> list[Column]:
     return [F.posexplode(array).alias("pos", name)]
 
 
-@query(f"with {_MATCHED}, b as (select pos, avg(y) - avg(x) bias from xy group by pos) select vec_id s_id, l.pos, round(v + bias, 6) + 0.0 as value from ({_LONG}) l join b using (pos) where label = 0")
+@query(f"with {_MATCHED}, b as (select source, target, pos, avg(y) - avg(x) bias from xy group by all) select target, vec_id s_id, l.pos, round(v + bias, 6) + 0.0 as value from ({_LONG}) l join b on b.pos = l.pos and source = label::varchar")
 def additive_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: pairs, nearest frames, the additive map, and its application."""
     maps = solvers.fit_maps(moments.pair_moments(matched(spark, sf_dir)), "additive")
-    own = frames(spark, sf_dir).filter("speaker = '0'").withColumnRenamed("speaker", "source").withColumn("target", F.lit("1"))
+    own = frames(spark, sf_dir).withColumnRenamed("speaker", "source").join(pairs.speaker_pairs(frames(spark, sf_dir)), "source")
     moved = project.project(own, maps, ["source", "target"])
-    return moved.select(F.col("frame_id").alias("s_id"), F.posexplode("projected").alias("pos", "v")).select("s_id", "pos", r("v").alias("value"))
+    return moved.select("target", F.col("frame_id").alias("s_id"), F.posexplode("projected").alias("pos", "v")).select("target", "s_id", "pos", r("v").alias("value"))
 
 
-@query(f"with {_MATCHED} select pos, round(avg(y) - avg(x), 6) + 0.0 as bias from xy group by pos")
+@query(f"with {_MATCHED} select source, target, pos, round(avg(y) - avg(x), 6) + 0.0 as bias from xy group by all")
 def additive_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = solvers.fit_maps(moments.pair_moments(matched(spark, sf_dir)), "additive")
-    return maps.select(F.posexplode("bias").alias("pos", "b")).select("pos", r("b").alias("bias"))
+    return maps.select("source", "target", F.posexplode("bias").alias("pos", "b")).select("source", "target", "pos", r("b").alias("bias"))
 
 
 @query(f"""with m as (select label, pos, avg(v) mu from ({_LONG}) group by all)
@@ -200,10 +198,10 @@ def bias_only_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with m as (select label, pos, avg(v) mu from ({_LONG}) group by all)
  select l.vec_id frame_id, t.label::varchar target, l.pos, round(l.v + t.mu - s.mu, 6) + 0.0 as value
- from ({_LONG}) l join m s on s.label = l.label and s.pos = l.pos join m t on t.pos = l.pos and t.label <> l.label where l.label = 2 and t.label < 4""")
+ from ({_LONG}) l join m s on s.label = l.label and s.pos = l.pos join m t on t.pos = l.pos and t.label <> l.label""")
 def project_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    wanted = pairs.speaker_pairs(f).filter("source = '2' and target < '4'")
+    wanted = pairs.speaker_pairs(f)
     moved = project.shift(f.select(F.col("speaker").alias("source"), "frame_id", "feat"), solvers.bias_only(f, wanted), ["source"])
     return moved.select("frame_id", "target", "pos", r("value").alias("value"))
 
@@ -215,26 +213,26 @@ def mean_absolute_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrixstats.mean_absolute(solvers.bias_only(f, pairs.speaker_pairs(f))).select("pos", r("mean_abs").alias("mean_abs"))
 
 
-@query(f"with {_MATCHED} select a.pos i, b.pos j, round(sum(a.x * b.x), 6) + 0.0 as value from xy a join xy b using (s_id) group by all")
+@query(f"with {_MATCHED} select source, target, a.pos i, b.pos j, round(sum(a.x * b.x), 6) + 0.0 as value from xy a join xy b using (source, target, s_id) group by all")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.entries(moments.pair_moments(matched(spark, sf_dir)), "sxx").select("i", "j", r("value").alias("value"))
+    return moments.entries(moments.pair_moments(matched(spark, sf_dir)), "sxx").select("source", "target", "i", "j", r("value").alias("value"))
 
 
-@query(f"with {_MATCHED} select a.pos i, b.pos j, round(sum(a.x * b.y), 6) + 0.0 as value from xy a join xy b using (s_id) group by all")
+@query(f"with {_MATCHED} select source, target, a.pos i, b.pos j, round(sum(a.x * b.y), 6) + 0.0 as value from xy a join xy b using (source, target, s_id) group by all")
 def cross_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.entries(moments.pair_moments(matched(spark, sf_dir)), "sxy").select("i", "j", r("value").alias("value"))
+    return moments.entries(moments.pair_moments(matched(spark, sf_dir)), "sxy").select("source", "target", "i", "j", r("value").alias("value"))
 
 
 def one_dimensional(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
     """The estimator on each dimension by itself: a pair of one-wide vectors a position."""
     rows = matched(spark, sf_dir).select("source", "target", F.posexplode(F.arrays_zip("x", "y")).alias("pos", "p"))
-    rows = rows.select("pos", F.array(F.col("p.x").cast("double")).alias("x"), F.array(F.col("p.y").cast("double")).alias("y"))
-    maps = solvers.fit_maps(moments.pair_moments(rows, ["pos"], salts=1), method, keys=["pos"], **options)
-    return maps.select("pos", r(F.col("w")[0][0]).alias("w"), r(F.try_element_at("bias", F.lit(1))).alias("bias"))
+    rows = rows.select("source", "target", "pos", F.array(F.col("p.x").cast("double")).alias("x"), F.array(F.col("p.y").cast("double")).alias("y"))
+    maps = solvers.fit_maps(moments.pair_moments(rows, ["source", "target", "pos"], salts=1), method, keys=["source", "target", "pos"], **options)
+    return maps.select("source", "target", "pos", r(F.col("w")[0][0]).alias("w"), r(F.try_element_at("bias", F.lit(1))).alias("bias"))
 
 
 def one_sql(w: str, bias: str = "null::double") -> str:
-    return f"with {_MATCHED} select pos, round({w}, 6) + 0.0 as w, round({bias}, 6) + 0.0 as bias from xy group by pos"
+    return f"with {_MATCHED} select source, target, pos, round({w}, 6) + 0.0 as w, round({bias}, 6) + 0.0 as bias from xy group by all"
 
 
 @query(one_sql("sum(x * y) / sum(x * x)"))
@@ -283,68 +281,57 @@ def reduced_rank_ridge_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FITS = ("least_squares", "least_squares_bias", "orthogonal", "orthogonal_bias", "lasso", "ridge", "reduced_rank_ridge", "reduced_rank_ridge_bias")
 
 
-@query(" union all ".join(f"select '{m}' as method, 64 as n_rows, 64 as n_columns, true as holds" for m in _FITS))
+@query("with l as (select distinct label::varchar l from embeddings) " + " union all ".join(f"select a.l source, b.l target, '{m}' as method, 64 as n_rows, 64 as n_columns, true as holds from l a join l b on a.l <> b.l" for m in _FITS))
 def fitted_map_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-width maps, with the condition that each must meet checked in Spark on the maps' entries."""
-    found = moments.pair_moments(matched(spark, sf_dir)).cache()
-    options = {"lasso": {"alpha": 0.002}, "ridge": {"alpha": 5.0}, "reduced_rank_ridge": {"alpha": 5.0, "rank": 8}, "reduced_rank_ridge_bias": {"alpha": 5.0, "rank": 8}}
-    out = None
-    for method in _FITS:
-        maps = solvers.fit_maps(found, method, **options.get(method, {}))
-        w = matrixstats.long_entries(maps).select("i", "j", "w")
-        if method.startswith("orthogonal"):
-            # W'W is the identity
-            product = w.alias("a").join(w.alias("b"), F.expr("a.i = b.i")).groupBy(F.col("a.j").alias("j"), F.col("b.j").alias("k")).agg(F.sum(F.expr("a.w * b.w")).alias("p"))
-            holds = product.agg(F.max(F.abs(F.col("p") - (F.col("j") == F.col("k")).cast("double"))) < 1e-6)
-        elif method == "lasso":
-            g, c = moments.entries(found, "sxx"), moments.entries(found, "sxy")
-            slope = c.select("i", "j", F.col("value").alias("c")).join(g.select("i", F.col("j").alias("k"), F.col("value").alias("g")).join(w.select(F.col("i").alias("k"), "j", "w"), "k").groupBy("i", "j").agg(F.sum(F.col("g") * F.col("w")).alias("gw")), ["i", "j"])
-            n = found.select("n").crossJoin(F.broadcast(slope.agg(F.max(F.abs(F.col("c") - F.col("gw"))).alias("most"))))
-            holds = n.agg(F.max(F.col("most") / F.col("n")) <= 0.002 + 1e-6)
-        elif method.startswith("reduced"):
-            holds = matrixstats.rank_and_determinant(maps, 1e-8).agg(F.max("rank") == 8)
-        else:
-            # the fitted map leaves no slope: G W + alpha W = C in centred or plain moments
-            holds = residual_slope(found, maps, method, options.get(method, {}).get("alpha", 0.0))
-        row = holds.toDF("holds").crossJoin(F.broadcast(w.agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_columns")))).select(F.lit(method).alias("method"), "n_rows", "n_columns", "holds")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def residual_slope(found: DataFrame, maps: DataFrame, method: str, alpha: float) -> DataFrame:
+    """Full-width maps of all pairs, and whether each meets the condition that defines its estimator."""
     import numpy as np
     import pandas as pd
 
+    options = {"lasso": {"alpha": 0.005}, "ridge": {"alpha": 5.0}, "reduced_rank_ridge": {"alpha": 5.0, "rank": 8}, "reduced_rank_ridge_bias": {"alpha": 5.0, "rank": 8}}
+
+    def holds(m: solvers.Moments, w, method: str) -> bool:
+        m = m.centred() if method.endswith("bias") else m
+        slope = m.c - m.g @ w
+        if method.startswith("orthogonal"):
+            return bool(np.abs(w.T @ w - np.eye(len(w))).max() < 1e-6)
+        if method == "lasso":
+            slope, on, alpha = slope / m.n, w != 0, options["lasso"]["alpha"]
+            return bool(np.abs(slope).max() <= alpha + 1e-6 and np.abs(slope[on] - alpha * np.sign(w[on])).max(initial=0) < 1e-6)
+        if method.startswith("reduced"):
+            return int(np.linalg.matrix_rank(w, tol=1e-8)) == 8
+        return bool(np.abs(slope - options.get(method, {}).get("alpha", 0.0) * w).max() < 1e-6)
+
     def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                m = solvers.Moments.of(row)
-                m = m.centred() if method.endswith("bias") else m
                 w = np.vstack(row["w"])
-                # on the span of X: where G has no weight neither has the slope
-                yield pd.DataFrame({"holds": [bool(np.abs(m.g @ w + alpha * w - m.c).max() < 1e-6)]})
+                yield pd.DataFrame({"source": [row["source"]], "target": [row["target"]], "method": [row["method"]], "n_rows": [w.shape[0]], "n_columns": [w.shape[1]], "holds": [holds(solvers.Moments.of(row), w, row["method"])]})
 
-    return found.join(maps, ["source", "target"]).mapInPandas(run, "holds boolean")
+    found = moments.pair_moments(matched(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism, "source", "target").cache()
+    fits = [solvers.fit_maps(found, m, **options.get(m, {})).withColumn("method", F.lit(m)) for m in _FITS]
+    every = fits[0]
+    for more in fits[1:]:
+        every = every.unionByName(more)
+    return found.join(every, ["source", "target"]).mapInPandas(run, "source string, target string, method string, n_rows int, n_columns int, holds boolean")
 
 
 @query()
 def lstsq_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = solvers.fit_maps(moments.pair_moments(matched(spark, sf_dir)), "least_squares")
-    return matrixstats.long_entries(maps).select("i", "j", r("w", 4).alias("w"))
+    return matrixstats.long_entries(maps).select("source", "target", "i", "j", r("w", 4).alias("w"))
 
 
 # ---------------------------------------------------------------- factorisation, PCA
 
 
-def aligned(spark: SparkSession, sf_dir: str, speakers: int = 3, width: int = 16) -> DataFrame:
-    f = frames(spark, sf_dir).filter(F.col("speaker").cast("int") < speakers)
-    return matching.aligned_to_first(f).withColumn("feat", F.slice("feat", 1, width))
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.aligned_to_first(frames(spark, sf_dir))
 
 
 @query("""with s as (select vec_id s_id, embedding::double[] e from embeddings where label = 0),
- t as (select vec_id t_id, label, embedding::double[] e from embeddings where label < 3),
+ t as (select vec_id t_id, label, embedding::double[] e from embeddings),
  n as (select s_id, label, t.e, row_number() over (partition by s_id, label order by round(1 - list_cosine_similarity(s.e, t.e), 12), t_id) k from s, t),
- l as (select s_id, label, unnest(e[1:16]) v, unnest(range(16))::int pos from n where k = 1)
+ l as (select s_id, label, unnest(e) v, unnest(range(64))::int pos from n where k = 1)
  select x.label::varchar a, y.label::varchar b, x.pos i, y.pos j, round(sum(x.v * y.v), 6) + 0.0 as value from l x join l y using (s_id) group by all""")
 def factorisation_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorise.gram_entries(aligned(spark, sf_dir)).select("a", "b", "i", "j", r("value").alias("value"))
@@ -359,8 +346,7 @@ def factorised_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def content_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
-    own = frames(spark, sf_dir).filter("cast(speaker as int) < 3").withColumn("feat", F.slice("feat", 1, 16))
-    codes = project.project(own, factorise.content_maps(bases), ["speaker"], name="code")
+    codes = project.project(frames(spark, sf_dir), factorise.content_maps(bases), ["speaker"], name="code")
     return codes.select("speaker", "frame_id", F.size("code").alias("rank"))
 
 
@@ -384,16 +370,13 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- statistics of maps
 
-_MAPS = "select label, vec_id, unnest(embedding)::double w, (generate_subscripts(embedding, 1) - 1)::int j, (row_number() over (partition by label order by vec_id) - 1)::int i from embeddings"
-
-
 def stacked_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each speaker's first 64 frames taken for a map's rows: (source, target, i, j, w)."""
-    f = fr.ranked(fr.cap(frames(spark, sf_dir), 64), name="i")
+    """Each speaker's stack taken for a map: (source, target, i, j, w)."""
+    f = fr.ranked(frames(spark, sf_dir), name="i")
     return f.select(F.col("speaker").alias("source"), F.lit("all").alias("target"), "i", F.posexplode("feat").alias("j", "w"))
 
 
-_CELLS = f"(select label, i, j, w from (select vec_id, label, unnest(embedding)::double w, (generate_subscripts(embedding, 1) - 1)::int j from embeddings) l join (select vec_id, (row_number() over (partition by label order by vec_id) - 1)::int i from embeddings) using (vec_id) where i < 64)"
+_CELLS = f"(select label, i, j, w from (select vec_id, label, unnest(embedding)::double w, (generate_subscripts(embedding, 1) - 1)::int j from embeddings) l join (select vec_id, (row_number() over (partition by label order by vec_id) - 1)::int i from embeddings) using (vec_id))"
 
 
 @query(f"select i, round(avg(norm), 6) mean_norm from (select label, i, sqrt(sum(w * w)) norm from {_CELLS} group by all) group by i having avg(norm) > 0.5")
@@ -412,11 +395,13 @@ def sparsity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "n_small", "n_large", "n_zero", "n_zero_diagonal", r("small_share", 9).alias("small_share"), "empty_rows", "empty_columns")
 
 
-@query("select label::varchar source, least(count(*), 40)::bigint as rank, least(count(*), 40)::bigint * 40 * 2 as low_rank_parameters from embeddings group by label having count(*) >= 40")
+@query("select label::varchar source, least(count(*), 64)::bigint as rank, least(count(*), 64)::bigint * 64 * 2 as low_rank_parameters from embeddings group by label")
 def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fr.cap(frames(spark, sf_dir), 40).withColumn("feat", F.slice("feat", 1, 40))
-    maps = fr.stacked(f, by=["speaker"]).filter(F.size("matrix") == 40).select(F.col("speaker").alias("source"), F.lit("all").alias("target"), F.col("matrix").alias("w"))
-    return matrixstats.rank_and_determinant(maps, 1e-8).select("source", "rank", "low_rank_parameters")
+    """Ranks of the speakers' second-moment matrices."""
+    own = frames(spark, sf_dir).select(F.col("speaker").alias("source"), F.col("feat").alias("x"), F.col("feat").alias("y"))
+    cells = moments.entries(moments.pair_moments(own, ["source"]), "sxx", ["source"])
+    maps = fr.wide(fr.wide(cells, ["source", "i"], "j", "value", "row"), ["source"], "i", "row", "w")
+    return matrixstats.rank_and_determinant(maps, 1e-8, ["source"]).select("source", "rank", "low_rank_parameters")
 
 
 # ---------------------------------------------------------------- scores
@@ -463,9 +448,6 @@ def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(lower({0}), '\s', ' ', 'g'), ' +', ' ', 'g'), '\p{{P}}', '', 'g')"
 _TURNS = "select a.conv_id, a.turn, a.text reference, b.text hypothesis from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1"
-_ASCII = r"not regexp_matches(reference || hypothesis, '[^\x00-\x7F]')"
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     a = c.select("conv_id", "turn", F.col("text").alias("reference"))
@@ -473,36 +455,36 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
-def plain(rows: DataFrame) -> DataFrame:
-    return rows.filter(~F.concat("reference", "hypothesis").rlike(r"[^\x00-\x7F]"))
-
-
 @query(f"select conv_id, turn, {_NORM.format('text')} as text from conversations")
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalise(F.col("text")).alias("text"))
 
 
-_CER = f"select conv_id, turn, levenshtein({_NORM.format('reference')}, {_NORM.format('hypothesis')}) edits, length({_NORM.format('reference')}) ref_len from ({_TURNS}) where {_ASCII}"
+#: DuckDB's distance counts bytes, so each distinct character of a pair is written as one byte.
+_BYTES = "coalesce(list_aggregate(list_transform(string_split({0}, ''), lambda c: chr((33 + list_position(k, c))::int)), 'string_agg', ''), '')"
+_CER = f"""select conv_id, turn, levenshtein({_BYTES.format('a')}, {_BYTES.format('b')}) edits, length(a) ref_len
+ from (select *, list_distinct(string_split(a || b, '')) k from (select conv_id, turn, {_NORM.format('reference')} a, {_NORM.format('hypothesis')} b from ({_TURNS})))"""
 
 
 @query(f"select sum(edits)::bigint edits, sum(ref_len)::bigint ref_len, round(sum(edits)::double / sum(ref_len), 9) rate from ({_CER})")
 def cer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = evaluate.error_counts(plain(turns(spark, sf_dir)), words=False)
+    counts = evaluate.error_counts(turns(spark, sf_dir), words=False)
     return evaluate.corpus_rate(counts).select("edits", "ref_len", r("rate", 9).alias("rate"))
 
 
-#: Pairs whose distinct words fit in single bytes, which DuckDB's distance counts.
+#: Word distance row by row: a step takes the least of a change and a deletion, then of insertions from the left.
+_STEP = """list_transform(range(1, len(y) + 2), lambda i: i + list_min(list_transform(range(0, i), lambda j:
+ case when j = 0 then acc[1] + 1 else least(acc[j + 1] + 1, acc[j] + case when y[j] = w then 0 else 1 end) end - j)) - 1)"""
 _WORDS = f"""select conv_id, turn, list_filter(string_split({_NORM.format('reference')}, ' '), lambda w: w <> '') x,
  list_filter(string_split({_NORM.format('hypothesis')}, ' '), lambda w: w <> '') y from ({_TURNS})"""
-_WER = f"""select conv_id, turn, levenshtein(coalesce(list_aggregate(list_transform(x, lambda w: chr((33 + list_position(k, w))::int)), 'string_agg', ''), ''),
- coalesce(list_aggregate(list_transform(y, lambda w: chr((33 + list_position(k, w))::int)), 'string_agg', ''), '')) edits, len(x) ref_len
- from (select *, list_distinct(list_concat(x, y)) k from ({_WORDS})) where len(k) <= 90"""
+_WER = f"""with recursive p as materialized ({_WORDS}),
+ q as (select conv_id, turn, 0::bigint n, x, y, range(0, len(y) + 1) acc from p union all
+  select conv_id, turn, n + 1, x, y, (select {_STEP} from (select x[n + 1] w)) from q where n < len(x))
+ select conv_id, turn, acc[len(y) + 1] edits, len(x) ref_len from q where n = len(x)"""
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    x, y = (text.word_array(text.normalise(F.col(c))) for c in ("reference", "hypothesis"))
-    return evaluate.error_counts(rows.filter(F.size(F.array_distinct(F.concat(x, y))) <= 90))
+    return evaluate.error_counts(turns(spark, sf_dir))
 
 
 @query(f"select conv_id, turn, edits::bigint edits, ref_len::bigint ref_len from ({_WER})")
@@ -521,7 +503,7 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
  select round(100 * avg(rate), 6) mean_percent, round(100 * stddev_pop(rate), 6) std_percent from q""")
 def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples drawn by hash, so that SQL draws the same ones."""
-    counts = evaluate.error_counts(plain(turns(spark, sf_dir)), words=False).withColumn("idx", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long") - 1)
+    counts = evaluate.error_counts(turns(spark, sf_dir), words=False).withColumn("idx", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long") - 1)
     n = counts.count()
     drawn = spark.range(100).select(F.col("id").alias("rep")).crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
     place = F.conv(F.right(F.md5(F.concat_ws(":", "rep", "draw").cast("binary")), F.lit(8)), 16, 10).cast("long") % max(n, 1)
@@ -572,7 +554,7 @@ def evaluation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANKED = "select user_id, event_id, event_type, value, (row_number() over (partition by user_id order by ts, event_id) - 1)::bigint frame_idx from events"
 _SEGMENTS = f"""select user_id::varchar utt, (frame_idx * 320)::bigint start_sample, ((frame_idx + 1 + event_id % 3) * 320)::bigint end_sample, event_type phone,
- frame_idx start_frame, frame_idx + 1 + event_id % 3 end_frame from ({_RANKED}) where frame_idx % 4 = 0 and event_type <> 'error'"""
+ frame_idx start_frame, frame_idx + 1 + event_id % 3 end_frame from ({_RANKED}) where event_type <> 'error'"""
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,7 +564,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = event_frames(spark, sf_dir).filter("frame_idx % 4 = 0")
+    f = event_frames(spark, sf_dir)
     rows = f.select("speaker", "utt", (F.col("frame_idx") * 320).alias("start_sample"), ((F.col("frame_idx") + 1 + F.col("event_id") % 3) * 320).alias("end_sample"), F.col("event_type").alias("phone"))
     return segments.bounded(rows, drop=["error"])
 
@@ -645,11 +627,10 @@ def speaker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.speaker_pairs(table(spark, sf_dir, "nation"), "n_name")
 
 
-@query("select a.l_partkey file_name, a.l_orderkey s_utt, b.l_orderkey t_utt from lineitem a join lineitem b using (l_partkey) where a.l_suppkey % 50 = 1 and b.l_suppkey % 50 = 2")
+@query("select s_nationkey file_name, s_suppkey s_utt, c_custkey t_utt from supplier join customer on c_nationkey = s_nationkey")
 def parallel_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file_name"), "l_orderkey", "l_suppkey")
-    s = li.filter("l_suppkey % 50 = 1").select("file_name", F.col("l_orderkey").alias("s_utt"))
-    t = li.filter("l_suppkey % 50 = 2").select("file_name", F.col("l_orderkey").alias("t_utt"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file_name"), F.col("s_suppkey").alias("s_utt"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_name"), F.col("c_custkey").alias("t_utt"))
     return pairs.parallel_by_name(s, t).select("file_name", "s_utt", "t_utt")
 
 
@@ -694,12 +675,12 @@ def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.evaluation_pairs(utterances(spark, sf_dir), n=5, start=50, skip=1)
 
 
-@query("select a.n_name source, b.n_name target from nation a, nation b where a.n_name <> b.n_name and a.n_nationkey in (select s_nationkey from supplier) and b.n_nationkey in (select c_nationkey from customer where c_custkey % 40 = 0)")
+@query("select a.n_name source, b.n_name target from nation a, nation b where a.n_name <> b.n_name and a.n_nationkey in (select s_nationkey from supplier) and b.n_nationkey in (select s_nationkey from supplier where s_acctbal < 0)")
 def existing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     both = n.select(F.col("n_name").alias("source"), F.col("n_nationkey").alias("source_path")).join(n.select(F.col("n_name").alias("target"), F.col("n_nationkey").alias("target_path")), F.col("source") != F.col("target"))
     some = pairs.existing(both, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("path")), ("source_path",))
-    return pairs.existing(some, table(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("path")), ("target_path",)).select("source", "target")
+    return pairs.existing(some, table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("path")), ("target_path",)).select("source", "target")
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -723,9 +704,9 @@ def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.trim("source").alias("speaker")).filter("speaker <> ''").distinct()
 
 
-@query("select conv_id, turn, role from conversations where role = 'user' and conv_id % 10 = 3 and turn = 0")
+@query("select conv_id, turn, role from conversations where role = 'user' and turn = 0")
 def single_utterance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 10 = 3 and turn = 0").select("conv_id", "turn", "role")
+    return table(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0").select("conv_id", "turn", "role")
 
 
 @query(r"""select page_id, string_split(url, '/')[-1] as name, regexp_replace(string_split(url, '/')[-1], '(.)\.[^.]*$', '\1') stem, string_split(url, '/')[-2] parent,
@@ -735,28 +716,27 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", paths.name(u).alias("name"), paths.stem(u).alias("stem"), paths.parent_name(u).alias("parent"), F.size(paths.parts(u)).alias("depth"))
 
 
-@query("select page_id, (row_number() over (order by string_split(url, '/'), page_id))::int place from pages where page_id < 200")
+@query("select page_id, (row_number() over (order by string_split(url, '/'), page_id))::int place from pages")
 def path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").filter("page_id < 200")
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.row_number().over(Window.orderBy(paths.parts(F.col("url")), "page_id")).alias("place"))
 
 
-@query("select source, target, round(value, 4) as value from (select a.n_name source, b.n_name target, a.n_nationkey * 100.0 + b.n_nationkey as value from nation a, nation b where a.n_name <> b.n_name and a.n_nationkey < 5)")
+@query("select source, target, round(value, 4) as value from (select a.n_name source, b.n_name target, a.n_nationkey * 100.0 + b.n_nationkey as value from nation a, nation b where a.n_name <> b.n_name)")
 def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation pairs meet their map; one without would raise."""
     n = table(spark, sf_dir, "nation")
     maps = n.select(F.col("n_name").alias("source"), F.col("n_nationkey").alias("a")).join(n.select(F.col("n_name").alias("target"), F.col("n_nationkey").alias("b")), F.col("source") != F.col("target"))
     maps = maps.select("source", "target", (F.col("a") * 100.0 + F.col("b")).alias("value"))
-    few = n.filter("n_nationkey < 5").select(F.col("n_name").alias("source"))
-    wanted = pairs.speaker_pairs(n, "n_name").join(few, "source", "left_semi")
+    wanted = pairs.speaker_pairs(n, "n_name")
     return pairs.with_map(wanted, maps).select("source", "target", F.round("value", 4).alias("value"))
 
 
 @query("""select x.vec_id x_id, y.vec_id y_id, round(1 - list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) score
- from (select event_id % 500 a, (event_id * 7) % 500 b from events where event_id < 2000) p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b""")
+ from (select event_id % 500 a, (event_id * 7) % 500 b from events) p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b""")
 def path_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each evaluation path's embedding, and the cosine distance of the two."""
-    p = table(spark, sf_dir, "events").filter("event_id < 2000").select((F.col("event_id") % 500).alias("x_id"), (F.col("event_id") * 7 % 500).alias("y_id"))
+    p = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("x_id"), (F.col("event_id") * 7 % 500).alias("y_id"))
     e = table(spark, sf_dir, "embeddings")
     both = p.join(e.select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x")), "x_id").join(e.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y")), "y_id")
     return both.select("x_id", "y_id", r(vectors.cosine_distance("x", "y")).alias("score"))
