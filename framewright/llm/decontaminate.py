@@ -206,6 +206,16 @@ def by_size(width: Sequence[int], length: Sequence[int], cells: int = 1 << 18) -
         i = j
 
 
+#: Rows of an Arrow batch whose texts are in Python's memory at a time.
+ROWS = 1024
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """Lower-cased texts; what a match says of bytes is about these."""
     return [x.lower().encode() if isinstance(x, str) else b"" for x in batch.column(column).to_pylist()]
@@ -247,7 +257,7 @@ def corpus_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray, n: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, total = Lookup(wanted), np.zeros(len(wanted), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             texts, i = _texts(batch, "text"), 0
             while i < len(texts):
                 j, size = i, 0
@@ -284,7 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for items in item_blocks(docs, benchmark, text_col, item_id_col, item_text_col, n, stretch, least_score, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[t], items.ids[k], *rest) for t, k, *rest in items.matches(_texts(batch, "text"))]
                 if found:
@@ -302,7 +312,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     for items in item_blocks(docs, benchmark, text_col, item_id_col, item_text_col, n, stretch, least_score, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 hit = {t for t, *_ in items.matches(_texts(batch, text_col))}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 

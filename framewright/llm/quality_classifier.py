@@ -14,7 +14,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +45,11 @@ def _name(word: str) -> int:
 class Words:
     """The words of joined documents: names, shapes and documents."""
 
-    def __init__(self, texts: Sequence[bytes]) -> None:
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) for t in texts], out=bounds[1:])
-        data = np.frombuffer(b"".join(texts), np.uint8)
+    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
         self.starts, self.ends, self.doc = split_words(data, bounds)
         self.names = range_hash(BYTE_SYMBOL[data], self.starts, self.ends)
         self.size = self.ends - self.starts
-        self.n = np.bincount(self.doc, minlength=len(texts))
+        self.n = np.bincount(self.doc, minlength=len(bounds) - 1)
         of = lambda row: (s := np.concatenate(([0], np.cumsum(_CLASS[row][data]))))[self.ends] - s[self.starts]
         self.upper, self.lower, self.symbols, self.digits = of(UPPER), of(LOWER), of(SYMBOL), of(DIGIT)
         tail = data[self.ends - 1] if len(self.ends) else np.empty(0, np.uint8)
@@ -99,30 +95,31 @@ def votes(w: Words, stopwords: np.ndarray) -> np.ndarray:
 LABELLERS = 9
 
 
-def in_chunks(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+def in_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Joined bytes and bounds of runs of texts, out of Arrow's own buffers; a null text is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.fill_null("").cast(pa.large_binary())
+    if not len(texts):
+        return
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-            size += len(texts[j])
-            j += 1
-        yield texts[i:j]
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        yield data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 
 
-def _bytes(s: pd.Series) -> list[bytes]:
-    return [x.encode() if isinstance(x, str) else b"" for x in s]
-
-
 def pattern(text: Column) -> Column:
     """A document's votes as one number in base 3."""
     stop = np.array([_name(x) for x in STOPWORDS], np.uint64)
     scale = 3 ** np.arange(LABELLERS)
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.empty(0, np.int64), *(scale @ votes(Words(part), stop) for part in in_chunks(_bytes(s)))]), dtype="int64")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0, np.int64), *(scale @ votes(Words(*part), stop) for part in in_chunks(texts))]), pa.int64())
 
-    return F.pandas_udf(run, "long")(text)
+    return F.arrow_udf(run, "long")(text)
 
 
 @dataclass
@@ -209,17 +206,17 @@ class QualityModel:
         """Probability that a text is bad; 0 for one without words."""
         weight, bias, size = self.weight.astype(np.float32), self.bias, len(self.weight)
 
-        def run(s: pd.Series) -> pd.Series:
+        def run(texts: pa.Array) -> pa.Array:
             out = [np.empty(0)]
-            for part in in_chunks(_bytes(s)):
-                w = Words(part)
+            for part in in_chunks(texts):
+                w = Words(*part)
                 shape = mix((w.shapes() + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
                 own = weight[(w.names % np.uint64(size)).astype(np.int64)] + weight[(shape % np.uint64(size)).astype(np.int64)]
-                total = bias + np.bincount(w.doc, weights=own, minlength=len(part)) / np.maximum(w.n, 1)
+                total = bias + np.bincount(w.doc, weights=own, minlength=len(w.n)) / np.maximum(w.n, 1)
                 out.append(np.where(w.n > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0))
-            return pd.Series(np.concatenate(out))
+            return pa.array(np.concatenate(out), pa.float64())
 
-        return F.pandas_udf(run, "double")(text)
+        return F.arrow_udf(run, "double")(text)
 
     def label(self, votes: Column) -> Column:
         """Posterior of a vote pattern, by the label model's weights."""
@@ -244,14 +241,14 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, used = batch.column("key").to_pylist(), [x.encode() if x else b"" for x in batch.column("text").to_pylist()], 0
-            for part in in_chunks(texts):
-                w = Words(part)
+            used = 0
+            for part in in_chunks(batch.column("text")):
+                w = Words(*part)
                 doc, feature, value = hashed(w, size)
-                cut = np.searchsorted(doc, np.arange(len(part) + 1))
+                cut = np.searchsorted(doc, np.arange(len(w.n) + 1))
                 cells = [[x[a:b].tobytes() for a, b in itertools.pairwise(cut)] for x in (feature.astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[used : used + len(part)], pa.int64()), pa.array(scale @ votes(w, stop)), *(pa.array(c, pa.binary()) for c in cells)], schema=schema)
-                used += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(used, len(w.n)), pa.array(scale @ votes(w, stop)), *(pa.array(c, pa.binary()) for c in cells)], schema=schema)
+                used += len(w.n)
 
     # repeated ids must not lift the sample over its bound
     own = rows.mapInArrow(run, "key long, votes long, feature binary, value binary").dropDuplicates(["key"]).orderBy(F.xxhash64("key")).limit(bound).collect()
