@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import matrix
+
 BASIS = "speaker string, basis array<array<double>>"
 
 
@@ -31,13 +33,13 @@ def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
     def part(table):
         import pyarrow as pa
 
-        x, y = (np.array(table.column(c).to_pylist(), np.float64) for c in ("x", "y"))
+        x, y = matrix(table.column("x")), matrix(table.column("y"))
         return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "width": pa.array([y.shape[1]], pa.int32()), "gram": [(x.T @ y).ravel()]})
 
     def merge(table):
         import pyarrow as pa
 
-        total = np.sum([np.asarray(g) for g in table.column("gram").to_pylist()], axis=0)
+        total = matrix(table.column("gram")).sum(axis=0)
         return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "width": table.column("width")[:1], "gram": [total]})
 
     ddl = "a string, b string, width int, gram array<double>"

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import matrix
 from ..functions import vectors
 
 MATCH = "source string, target string, s_id long, t_id long, distance double"
@@ -38,8 +39,8 @@ def packed(frames: DataFrame, block: int, id_col: str = "frame_id", feat: str =
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        matrix = np.array(table.column("feat").to_pylist(), np.float64)[order]
-        return pa.table([table.column("speaker")[:1], table.column("block")[:1], [ids[order].tobytes()], [matrix.tobytes()]], schema=schema)
+        rows = matrix(table.column("feat"))[order]
+        return pa.table([table.column("speaker")[:1], table.column("block")[:1], [ids[order].tobytes()], [rows.tobytes()]], schema=schema)
 
     counted = frames.groupBy("speaker").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).alias("blocks"))
     dealt = frames.join(counted, "speaker").select("speaker", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int").alias("block"), F.col(id_col).cast("long").alias("id"), F.col(feat).alias("feat"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import matrix
+
 FIELDS = ("n", "sx", "sy", "sxx", "sxy", "syy")
 DDL = "n double, sx array<double>, sy array<double>, sxx array<double>, sxy array<double>, syy array<double>"
 
@@ -27,7 +29,7 @@ def pair_moments(pairs: DataFrame, keys: Sequence[str] = ("source", "target"), x
     ddl = _ddl(pairs, keys)
 
     def part(table: pa.Table) -> pa.Table:
-        a, b = (np.array(table.column(c).to_pylist(), np.float64) for c in ("x", "y"))
+        a, b = matrix(table.column("x")), matrix(table.column("y"))
         values = [float(len(a)), a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel(), (b.T @ b).ravel()]
         return pa.table({k: table.column(k)[:1] for k in keys} | {f: [v] for f, v in zip(FIELDS, values, strict=True)})
 
@@ -43,7 +45,8 @@ def merge_moments(states: DataFrame, keys: Sequence[str] = ("source", "target"))
     def merge(table: pa.Table) -> pa.Table:
         out = {k: table.column(k)[:1] for k in keys}
         for f in FIELDS:
-            out[f] = [np.sum([np.asarray(v, float) for v in table.column(f).to_pylist()], axis=0)]
+            states = table.column(f)
+            out[f] = [states.to_numpy().sum()] if f == "n" else [matrix(states).sum(axis=0)]
         return pa.table(out)
 
     return states.groupBy(*keys).applyInArrow(merge, _ddl(states, keys))

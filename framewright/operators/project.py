@@ -9,46 +9,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import matrix, vectors
 from .moments import pair_moments
 
-#: Bytes of maps that are broadcast; larger sets are joined by shuffle.
+#: Bytes of maps that are broadcast; larger sets meet their frames by shuffle.
 BROADCAST_BYTES = 64 << 20
 
+Map = tuple[np.ndarray | None, np.ndarray | None]
 
-def project(frames: DataFrame, maps: DataFrame, on: Sequence[str], feat: str = "feat", name: str = "projected") -> DataFrame:
+
+def applied(x: np.ndarray, found: Map) -> np.ndarray:
+    """x W + b, either part left out if it is None."""
+    w, b = found
+    y = x if w is None else x @ w
+    return y if b is None else y + b
+
+
+def read_maps(table: pa.Table, on: Sequence[str]) -> dict[tuple, Map]:
+    out = {}
+    for row in range(table.num_rows):
+        w, b = table.column("w")[row], table.column("bias")[row]
+        out[tuple(table.column(k)[row].as_py() for k in on)] = (matrix(w.values) if w.is_valid else None, np.array(b.as_py()) if b.is_valid else None)
+    return out
+
+
+def project(frames: DataFrame, maps: DataFrame, on: Sequence[str], feat: str = "feat", name: str = "projected", salts: int = 16) -> DataFrame:
     """Frames with x W + b of their map; a null part is left out, a frame without map goes.
 
-    Maps are numbered and only their numbers travel with frames; matrices are broadcast if they
-    are small, else joined a block of frames at a time.
+    Maps of up to BROADCAST_BYTES in all are broadcast once and frames stay where they are.
+    Beyond that frames and maps are dealt by (key, salt): a map is sent to its ``salts`` groups, a
+    frame once, and no matrix is ever copied next to every frame.
     """
     on = list(on)
+    maps = maps.select(*on, "w", "bias")
     size = maps.select(F.sum(F.coalesce(F.size("w") * F.size(F.get("w", F.lit(0))), F.lit(0)) * 8 + F.coalesce(F.size("bias"), F.lit(0)) * 8)).first()[0] or 0
-    side = maps.select(*on, "w", "bias")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", `{name}` array<double>"
+
     if size <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    joined = frames.join(side, on)
-    schema_out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", {name} array<double>"
+        sent = frames.sparkSession.sparkContext.broadcast(read_maps(maps.toArrow(), on))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = list(zip(*(table.column(k).to_pylist() for k in on), strict=True))
-            feats = table.column(feat).to_pylist()
-            out: list = [None] * len(keys)
-            groups: dict = {}
-            for i, key in enumerate(keys):
-                groups.setdefault(key, []).append(i)
-            for rows in groups.values():
-                w, b = table.column("w")[rows[0]].as_py(), table.column("bias")[rows[0]].as_py()
-                x = np.array([feats[i] for i in rows], np.float64)
-                y = x if w is None else x @ np.array(w)
-                y = y if b is None else y + np.array(b)
-                for i, v in zip(rows, y.tolist(), strict=True):
-                    out[i] = v
-            yield from table.drop_columns(["w", "bias"]).append_column(name, pa.array(out, pa.list_(pa.float64()))).to_batches()
-
-    columns = [*frames.columns, "w", "bias"]
-    return joined.select(*columns).mapInArrow(run, schema_out)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in on), strict=True)):
+                    groups.setdefault(key, []).append(i)
+                for key, rows in groups.items():
+                    if key in sent.value:
+                        own = batch.take(pa.array(rows))
+                        table = pa.Table.from_batches([own]).append_column(name, vectors(applied(matrix(own.column(feat)), sent.value[key])))
+                        yield from table.to_batches()
+
+        return frames.mapInArrow(run, ddl)
+
+    def group(own: pa.Table, found: pa.Table) -> pa.Table:
+        own = own.drop_columns(["_salt"])
+        if not own.num_rows or not found.num_rows:
+            return own.slice(0, 0).append_column(name, pa.array([], pa.list_(pa.float64())))
+        (only,) = read_maps(found, on).values()
+        return own.append_column(name, vectors(applied(matrix(own.column(feat)), only)))
+
+    dealt = frames.withColumn("_salt", F.pmod(F.xxhash64(feat), F.lit(salts)))
+    spread = maps.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.groupBy(*on, "_salt").cogroup(spread.groupBy(*on, "_salt")).applyInArrow(group, ddl)
 
 
 def shift(frames: DataFrame, bias: DataFrame, on: Sequence[str], feat: str = "feat") -> DataFrame:
@@ -88,8 +110,7 @@ def _affine(frames: DataFrame, w: np.ndarray, b: np.ndarray, feat: str, name: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(feat).to_pylist(), np.float64)
-                table = pa.Table.from_batches([batch]).append_column(name, pa.array((x @ w + b).tolist(), pa.list_(pa.float64())))
+                table = pa.Table.from_batches([batch]).append_column(name, vectors(matrix(batch.column(feat)) @ w + b))
                 yield from table.to_batches()
 
     return frames.mapInArrow(run, ddl)
