@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import shuffled
 
-#: Samples a frame: 20 ms at 16 kHz.
+#: Fixed value: samples a frame, 20 ms at 16 kHz.
 FRAME_SAMPLES = 320
 
 

@@ -16,6 +16,7 @@ from ..operators.pairs import speaker_pairs
 from ..operators.project import project
 from ..operators.solvers import fit_maps
 
+# Frames of a speaker that are matched, and the penalty of parallel fits.
 CAP = 8192
 PARALLEL_ALPHA = 0.3
 
