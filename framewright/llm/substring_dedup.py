@@ -66,6 +66,10 @@ def compress_pairs(symbol, low, high, doc, bounds, turn):
     return named[keep], out_low[keep], out_high[keep], doc[keep]
 
 
+#: Words that are parsed at a time.
+PART = 1 << 16
+
+
 class WordRepeats(Repeats):
     schema, ranked = SCHEMA, True
 
@@ -92,17 +96,33 @@ class WordRepeats(Repeats):
         if hasattr(home, "keys"):
             return home.keys
         word, doc = self.parsed(home)
+        bounds = np.searchsorted(doc, np.arange(len(home.texts) + 1))
+        names, starts, numbers, used = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        first = 0
+        while first < len(home.texts):  # windows lie in documents, so a few documents at a time
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PART, "right")) - 1)
+            low, high = bounds[first], bounds[last]
+            found, at, number = self.part_keys(word[low:high], doc[low:high] - first, bounds[first : last + 1] - low)
+            names.append(found)
+            starts.append(at + low)
+            numbers.append(number + used)
+            used += len(found)
+            first = last
+        home.keys = np.concatenate(names), np.concatenate(starts), np.concatenate(numbers)
+        return home.keys
+
+    def part_keys(self, word: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for some documents' words, numbered from 0."""
         open_at = self.window_starts(doc)
         place = np.arange(len(word))
         state = word, place, place + 1, doc
-        bounds = np.searchsorted(doc, np.arange(len(home.texts) + 1))
         levels = [state]
         for turn in range(self.turns):
             state = compress_runs(*state, bounds)
             levels.append(state)
             state = compress_pairs(*state, bounds, turn)
             levels.append(state)
-        names, starts, numbers, used = [], [], [], 0
+        names, starts, numbers, used = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for _, low, high, _ in reversed(levels):
             if not len(low):
                 continue
@@ -114,9 +134,7 @@ class WordRepeats(Repeats):
             numbers.append(number + used)
             used += len(chosen)
             open_at = open_at[~good]
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        home.keys = join(names, np.uint64), join(starts, np.int64), join(numbers, np.int64)
-        return home.keys
+        return np.concatenate(names), np.concatenate(starts), np.concatenate(numbers)
 
     def seeds(self, home: Home) -> np.ndarray:
         return self.keys(home)[0]
