@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The corpus frequency of every item n-gram is counted over all documents. From each stretch of an
-item its rarest n-gram that occurs becomes a seed, so a seed covers every part of an item whatever is
-frequent, and nothing is dropped for being common. A document passage that holds a seed is
-aligned with the item word by word (local alignment, linear gaps); the score, relative to a
-perfect copy, also finds edited and paraphrased copies.
+Every n-gram of an item is a seed, so what a copy has kept finds it, whatever other copies the
+corpus holds, and nothing is dropped for being common. A document passage that holds a seed gets
+a bound on its score from the words that it shares with the item; one that can score enough is
+aligned with the item word by word (local alignment, linear gaps). The score, relative to a
+perfect copy, also finds edited and paraphrased copies. A copy without ``n`` words of the item in
+a row has no seed and is not found.
 
 Items are the query set: they are collected and sent to the executors in blocks of a fixed number
 of items, one pass over the documents a block, so nothing that is broadcast grows with the data.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_SYMBOL, range_hash, split_words
+from .common import BYTE_SYMBOL, mix, range_hash, split_words
 
 CHUNK = 1 << 19
 #: Items in a block; at the usual hundred words an item that is some 5 MB to broadcast.
@@ -28,8 +29,8 @@ BLOCK_ITEMS = 2000
 #: Alignment: what a word in common, a changed word, and a word left out or put in are worth.
 MATCH, MISMATCH, GAP_COST = 2, -1, 1
 
-#: Frequency of an n-gram that no document has, for choosing seeds.
-ABSENT = np.iinfo(np.int64).max
+#: Words of passages whose bounds are computed at a time, and passages that wait for alignment.
+CELLS, WAITING = 1 << 18, 2048
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -124,7 +125,6 @@ class Items:
     words: list[np.ndarray]
     seeds: np.ndarray
     seed_item: np.ndarray
-    seed_at: np.ndarray
     n: int
     least_score: float
 
@@ -138,16 +138,17 @@ class Items:
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            waiting += ((i + t, *rest) for t, *rest in self.passages(texts[i:j]))
+            for t, *rest in self.passages(texts[i:j]):
+                waiting.append((i + t, *rest))
+                if len(waiting) >= WAITING:
+                    self.settle(waiting, best)
+                    waiting = []
             i = j
-            if len(waiting) >= 2048:
-                self.settle(waiting, best)
-                waiting = []
         self.settle(waiting, best)
         yield from ((t, k, *found) for (t, k), found in sorted(best.items()))
 
     def passages(self, texts: Sequence[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, item, names, starts, ends) of the passages around seeds; seeds near each other share one."""
+        """(text, item, names, starts, ends) of the passages around seeds that can score enough; seeds near each other share one."""
         names, starts, ends, doc = fold(texts)
         grams, at = ngrams(names, doc, self.n)
         if not hasattr(self, "lookup"):
@@ -155,6 +156,8 @@ class Items:
             self.first = np.append(first, len(self.seeds))
             self.length = np.array([len(w) for w in self.words])
             self.lookup = Lookup(self.wanted)
+            self.salt = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64))
+            self.members = Lookup(np.unique(np.concatenate([w + salt for w, salt in zip(self.words, self.salt, strict=True)])))
         hit, seed = self.lookup(grams)
         if not len(hit):
             return
@@ -173,8 +176,29 @@ class Items:
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         begin = np.maximum(place[first] - reach, bounds[text[first]])
         stop = np.minimum(place[last] + reach, bounds[text[first] + 1])
-        for t, k, b, e in zip(text[first].tolist(), item[first].tolist(), begin.tolist(), stop.tolist(), strict=True):
-            yield t, k, names[b:e].copy(), starts[b:e].copy(), ends[b:e].copy()
+        enough = self.least_score * MATCH * length[first]
+        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(stop - begin) // CELLS)) + 1):
+            good = some[self.bound(names, item[first[some]], begin[some], stop[some]) >= enough[some]]
+            for t, k, b, e in zip(text[first[good]].tolist(), item[first[good]].tolist(), begin[good].tolist(), stop[good].tolist(), strict=True):
+                yield t, k, names[b:e].copy(), starts[b:e].copy(), ends[b:e].copy()
+
+    def bound(self, names: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """What the alignment of each item with its passage names[begin:stop] scores at most.
+
+        A passage word in an alignment is worth a match, or, if the item lacks it, a changed word
+        or one put in; the best stretch of the passage by these values scores no less.
+        """
+        size = stop - begin
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.repeat(begin - first, size) + np.arange(len(row))
+        gain = np.full(len(row), max(MISMATCH, -GAP_COST), np.int64)
+        gain[self.members(names[place] + self.salt[item][row])[0]] = MATCH
+        total = np.cumsum(gain)
+        # each row lies below all earlier ones, so the running minimum starts anew
+        drop = row * (2 * int(np.abs(gain).sum()) + 1)
+        low = np.minimum.accumulate(total - gain - drop) + drop
+        return np.maximum(np.maximum.reduceat(total - low, first), 0)
 
     def settle(self, waiting: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], best: dict) -> None:
         """Align passages with their items, those of like size together, and keep each pair's best."""
@@ -221,8 +245,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x.lower().encode() if isinstance(x, str) else b"" for x in batch.column(column).to_pylist()]
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, n: int, stretch: int, least_score: float, block_items: int) -> Iterator[Items]:
-    """The benchmark's items in blocks, with seeds by the corpus frequency of their n-grams."""
+def item_blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int, least_score: float, block_items: int) -> Iterator[Items]:
+    """The benchmark's items in blocks, with all their n-grams as seeds."""
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null").distinct()
     total = rows.count()
     blocks = max(1, -(-total // block_items))
@@ -234,53 +258,17 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_co
         ids, words = [own[i][3] for i in keep], [words[i] for i in keep]
         if not words:
             continue
-        grams = [ngrams(w, np.zeros(len(w), int), n)[0] for w in words]
-        wanted = np.unique(np.concatenate(grams))
-        frequency = corpus_frequency(docs, text_col, wanted, n)
-        seeds, seed_item, seed_at = [], [], []
-        for k, own_grams in enumerate(grams):
-            # one that no document has finds nothing and must not stand for its stretch
-            rank = frequency[np.searchsorted(wanted, own_grams)]
-            rank = np.where(rank > 0, rank, ABSENT)
-            first = (i + int(np.argmin(rank[i : i + stretch])) for i in range(max(1, len(own_grams) - stretch + 1)))
-            chosen = sorted({i for i in first if rank[i] < ABSENT})
-            seeds += own_grams[chosen].tolist()
-            seed_item += [k] * len(chosen)
-            seed_at += chosen
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        yield Items(ids, words, np.array(seeds, np.uint64)[order], np.array(seed_item, np.int64)[order], np.array(seed_at, np.int64)[order], n, least_score)
-
-
-def corpus_frequency(docs: DataFrame, text_col: str, wanted: np.ndarray, n: int) -> np.ndarray:
-    """Occurrences of each wanted n-gram in all documents."""
-    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = Lookup(wanted), np.zeros(len(wanted), np.int64)
-        for batch in parts(batches):
-            texts, i = _texts(batch, "text"), 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-                    size += len(texts[j])
-                    j += 1
-                names, _, _, doc = fold(texts[i:j])
-                total += np.bincount(lookup(ngrams(names, doc, n)[0])[1], minlength=len(wanted))
-                i = j
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(wanted), np.int64)
-    for r in counted:
-        out[r["gram"]] = r["n"]
-    return out
+        # a seed that an item repeats counts once
+        grams = [np.unique(ngrams(w, np.zeros(len(w), int), n)[0]) for w in words]
+        seeds, seed_item = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(seeds, kind="stable")
+        yield Items(ids, words, seeds[order], seed_item[order], n, least_score)
 
 
 PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, stretch: int = 6, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Pairs of documents and benchmark items that they hold a copy of.
 
     doc_id, item_id, score (of the best alignment, 1 for a perfect copy of the whole item),
@@ -291,7 +279,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for items in item_blocks(docs, benchmark, text_col, item_id_col, item_text_col, n, stretch, least_score, block_items):
+    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):
@@ -307,9 +295,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, stretch: int = 6, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs``, whole, that hold no copy of an item. Texts are not shuffled."""
-    for items in item_blocks(docs, benchmark, text_col, item_id_col, item_text_col, n, stretch, least_score, block_items):
+    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):
