@@ -17,10 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, shared_checkpoint, shuffle_partitions, text_bytes
@@ -55,16 +54,23 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp: the fingerprint as a signed long, and the text's hash if ``hashed``) of every row."""
+    carried = [pa.field("hash", pa.int64())] if hashed else []
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *carried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column("data")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(f.name) for f in carried)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("data")).mapInArrow(run, "doc_id long, fp long")
+    hashes = [text_hash(text_col)] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("data"), *hashes)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", hash long" * hashed)
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string")).alias("hash")
 
 
 # ---------------------------------------------------------------- BK-trees
@@ -232,9 +238,9 @@ def near_links(distinct: DataFrame, radius: int, shard_limit: int) -> DataFrame:
     return placed.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def components_of(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, shard_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
-    prints = shared_checkpoint(fingerprints(docs, id_col, text_col, width))
+def components_of(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, shard_limit: int, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, hash if ``hashed``) of every row, and (fp, root, component_id) of every fingerprint."""
+    prints = shared_checkpoint(fingerprints(docs, id_col, text_col, width, hashed))
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_links(groups.select("fp"), radius, shard_limit)
     roots = connected_components(links).withColumnsRenamed({"node": "fp"})
@@ -260,15 +266,19 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, shard_limit: int = 20_000) -> DataFrame:
     """The rows of ``docs``, whole, one of each near-duplicate component: that of the smallest id.
 
-    Of rows that repeat that id one stays; a component without ids keeps one of its rows. Texts
-    are shuffled once, by id.
+    Rows that repeat an id are separate documents: the row that stays is found by id and text
+    hash, the least hash first where rows of a component share its smallest id; of rows that share
+    both one stays. A component without ids keeps the row of the least hash. Texts are shuffled
+    once, by id and hash.
     """
-    _, named = components_of(docs, id_col, text_col, width, radius, shard_limit)
-    named = shared_checkpoint(named)
-    ids = named.filter("component_id is not null").select(F.col("component_id").alias("_kept_id")).distinct()
-    kept = docs.join(ids, docs[id_col].cast("long") == ids["_kept_id"], "left_semi").dropDuplicates([id_col])
-    nameless = named.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    digest = F.pandas_udf(lambda s: pd.Series(np.array([fingerprint(t.encode() if isinstance(t, str) else b"", width) for t in s], np.uint64).view(np.int64)), "long")
-    rest = docs.filter(F.col(id_col).isNull()).withColumn("_fp", digest(F.col(text_col).cast("string")))
-    rest = rest.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
-    return kept.unionByName(rest)
+    prints, named = components_of(docs, id_col, text_col, width, radius, shard_limit, hashed=True)
+    keys = ["_none", "_id", "_hash"]
+
+    def place(doc_id: Column, digest: Column) -> dict[str, Column]:
+        return dict(zip(keys, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), digest), strict=True))
+
+    # by fingerprint before the join, so that no large group of copies meets in it
+    least = prints.groupBy("fp").agg(F.min(F.struct(*(c.alias(k) for k, c in place(F.col("doc_id"), F.col("hash")).items()))).alias("row"))
+    first = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    placed = docs.withColumns(place(F.col(id_col).cast("long"), text_hash(text_col)))
+    return placed.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -1,11 +1,14 @@
 """What the operators must find besides what their own tests ask."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
+from framewright.llm.simhash import one_of_each
 
 
 @pytest.mark.parametrize("every", [5, 7, 8])
@@ -36,3 +39,13 @@ def test_decontaminate_bound():
     for k, b, e, most in zip(item, begin, stop, bound, strict=True):
         assert align(words[k][None], names[b:e][None])[0][0] <= most
     assert (bound < 2 * (stop - begin)).any()
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b, c, d = ("a b c d e f", "p q r s t u v", "zz yy xx ww vv", "k l m n o i j")
+    # 1: two texts, one of them twice; 2: a copy of b, and c, which only 2 and 3 have; null ids
+    rows = [(1, a), (1, b), (1, b), (2, b), (2, c), (3, c), (None, a), (None, d), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("x"))
+    kept = one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (1, b), (2, c), (None, d)])
