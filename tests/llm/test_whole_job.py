@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
+from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.simhash import one_of_each
 
 
@@ -49,3 +50,25 @@ def test_one_of_each_with_repeated_ids(spark):
     kept = one_of_each(df)
     assert kept.columns == df.columns
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (1, b), (2, c), (None, d)])
+
+
+def test_all_tokens_are_scored(spark):
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    words = ["facade", "1948-1955", *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(900))]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{prose(9)} token = {key(40)} {prose(9)}") for i in range(80)]
+    rows += [(500 + i, f"{prose(9)} /long-word-{i}/of-many.example.com/path_{i}.html {prose(9)}") for i in range(80)]
+    letters, short, rest = key(22), key(13), key(18)
+    rows += [(900, f"{prose(9)} {letters} {prose(5)}"), (901, f"{prose(9)} {short} {prose(5)}"), (902, f"{prose(5)} {'0a' * 15}{rest} {prose(5)}")]
+    out = {r["doc_id"]: r["spans"] for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    found = {i: [texts[i][s["start"] : s["end"]] for s in out[i] if s["kind"] == "format"] for i in out}
+    assert found[900] == [letters] and found[901] == [short] and found[902] == [rest]
+    assert not any(found[i] for i in range(80))
+
+
+def test_candidates_are_what_base_spans_leave():
+    text = "abcdef 123456 tiny abcXYZxyz0123456"
+    assert [text[a:b] for a, b in candidates(text, [])] == ["abcdef", "123456", "abcXYZxyz0123456"]
+    assert [text[a:b] for a, b in candidates(text, [("hex", 22, 25), ("hex", 19, 23)])] == ["abcdef", "123456", "xyz0123456"]
