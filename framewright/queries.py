@@ -347,7 +347,14 @@ def factorised_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
     codes = project.project(frames(spark, sf_dir), factorise.content_maps(bases), ["speaker"], name="code")
-    return codes.select("speaker", "frame_id", F.size("code").alias("rank"))
+    return code_conditions(codes.join(bases.select("speaker", "basis"), "speaker"))
+
+
+def code_conditions(codes: DataFrame) -> DataFrame:
+    """Size of each frame's code, and whether code times basis is the projection of the frame: what is left is orthogonal to the basis."""
+    made = F.aggregate(F.zip_with("code", "basis", lambda c, v: vectors.scale(v, c)), F.transform("feat", lambda x: F.lit(0.0)), vectors.add)
+    left = codes.withColumn("left", F.zip_with("feat", made, lambda x, y: x - y))
+    return left.select("speaker", "frame_id", F.size("code").alias("rank"), F.forall("basis", lambda v: F.abs(vectors.dot("left", v)) <= 1e-6 * vectors.norm("feat") * vectors.norm(v)).alias("projects"))
 
 
 @query("select vec_id frame_id, true as same from embeddings")
@@ -776,4 +783,21 @@ def mean_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select label::varchar speaker, vec_id::varchar utt, w as window, round((w * 16 + 16) / 16000.0, 9) as seconds, 17 as bins from embeddings, range(3) t(w)")
 def spectrogram_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("speaker"), F.col("vec_id").cast("string").alias("utt"), F.lit(16000).alias("sr"), F.col("embedding").alias("samples"))
-    return signal.spectrogram(a, 32, 16).select("speaker", "utt", "window", F.round("seconds", 9).alias("seconds"), F.size("power_db").alias("bins"))
+    found = signal.spectrogram(a, 32, 16).join(a.select("utt", "sr", "samples"), "utt")
+    return found.select("speaker", "utt", "window", F.round("seconds", 9).alias("seconds"), F.when(power_holds(32, 16), F.size("power_db")).alias("bins"))
+
+
+def power_holds(n_fft: int, step: int) -> Column:
+    """Whether each bin of power_db is that of the window's samples, by the sums that define it."""
+    import numpy as np
+
+    taper = np.hanning(n_fft)
+    window = F.slice("samples", (F.col("window") * step + 1).cast("int"), n_fft)
+    weighed = lambda by: F.pow(vectors.dot(window, F.array(*map(F.lit, (taper * by).tolist()))), F.lit(2.0))
+    power = []
+    for k in range(n_fft // 2 + 1):
+        turn = 2 * np.pi * k * np.arange(n_fft) / n_fft
+        power.append((weighed(np.cos(turn)) + weighed(np.sin(turn))) * (1 if k in (0, n_fft // 2) else 2) / (F.col("sr") * float(np.square(taper).sum())))
+    # the sums are made once a window: they are bound by the outer transform
+    near = F.transform(F.array(F.array(*power)), lambda own: F.forall(F.zip_with("power_db", own, lambda db, p: F.abs(F.pow(F.lit(10.0), db / 10) - p) <= 1e-9 * F.array_max(own) + 1e-30), lambda x: x))
+    return (F.size("power_db") == len(power)) & near[0]

@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from framewright import queries
 from framewright.functions import text
+from framewright.operators import project, signal
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_word_edits_of_many_distinct_words(spark):
@@ -10,3 +14,17 @@ def test_word_edits_of_many_distinct_words(spark):
     rows = [(words, [words[35_400], "x", words[45_700]]), (words, words[35_327:35_330] + [words[-1]]), (["a", "b"], ["a", "c", "b"]), ([], ["a"]), ([], [])]
     df = spark.createDataFrame(rows, "x array<string>, y array<string>")
     assert [r[0] for r in df.select(text.word_edits(F.col("x"), F.col("y"))).collect()] == [45_998, 45_996, 1, 1, 0]
+
+
+def test_wrong_power_does_not_pass(spark, monkeypatch):
+    right = signal.spectrogram
+    assert queries.spectrogram_data(spark, SF).filter("bins is null").count() == 0
+    monkeypatch.setattr(signal, "spectrogram", lambda *a: right(*a).withColumn("power_db", F.reverse("power_db")))
+    assert queries.spectrogram_data(spark, SF).filter("bins is null").count() > 0
+
+
+def test_wrong_codes_do_not_pass(spark, monkeypatch):
+    right = project.project
+    assert queries.content_codes(spark, SF).filter("not projects").count() == 0
+    monkeypatch.setattr(project, "project", lambda *a, **b: right(*a, **b).withColumn("code", F.reverse("code")))
+    assert queries.content_codes(spark, SF).filter("not projects").count() > 0
