@@ -7,9 +7,12 @@ columns are never read, so extra columns cannot clash with an operator's own nam
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share; one of our own only where all run on this machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder or "/tmp/checkpoints")
-    return folder or "/tmp/checkpoints"
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``shared_table`` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if re.search(r"/tables/[0-9a-f]{32}$", path):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -49,6 +65,17 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows, whole in one column ``row``, beside named columns: no name of theirs can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes the rows' size to be; 0 where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
@@ -73,44 +100,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def odd_powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 #: One random-looking 64-bit symbol for each byte, from the finaliser.
 BYTE_SYMBOL = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
-
-class Powers:
-    """Growing tables of an odd base's powers and inverse powers modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = odd_powers(0, BASE)
-        self.down = self.up
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = odd_powers(2 * n, BASE), odd_powers(2 * n, BASE_INVERSE)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
-def range_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit name of each ``symbols[start:end]``; equal ranges have equal names."""
-    up, down = POWERS(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[:-1], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Words up to so many bytes are named together, longer ones one by one.
+SHORT = 32
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit name of each word ``data[start:end]``; equal words have equal names."""
+    size = ends - starts
+    order = np.argsort((SHORT + 1 - np.minimum(size, SHORT + 1)).astype(np.uint8), kind="stable")
+    at, left = starts[order], size[order]
+    first = int(np.searchsorted(-left, -SHORT, "left"))
+    out = np.empty(len(starts), np.uint64)
+    text = memoryview(np.ascontiguousarray(data))
+    out[order[:first]] = np.fromiter((xxhash.xxh3_64_intdigest(text[a : a + n]) for a, n in zip(at[:first].tolist(), left[:first].tolist(), strict=True)), np.uint64, first)
+    at, left = at[first:], left[first:]
+    h = left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    # the words are in order of size, so those with a k-th byte come first
+    for k in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -k, "left"))
+        part = h[:n]
+        part ^= BYTE_SYMBOL[data[at[:n] + k]]
+        part *= _M1
+        part ^= part >> np.uint64(32)
+    out[order[first:]] = mix(h)
+    return out
+
+
+def chain(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit name of each range ``symbols[start:end]``, one symbol after the other."""
+    size = ends - starts
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed)
+    for k in range(int(size.max()) if len(size) else 0):
+        some = np.flatnonzero(size > k) if (size <= k).any() else slice(None)
+        part = (h[some] ^ symbols[starts[some] + k]) * _M2
+        h[some] = part ^ (part >> np.uint64(32))
+    return mix(h)
 
 
 def split_words(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_SYMBOL, mix, range_hash, split_words
+from .common import mix, split_words, word_names
 
 CHUNK = 1 << 19
 #: Items in a block; at the usual hundred words an item that is some 5 MB to broadcast.
@@ -47,7 +47,7 @@ def fold(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     np.cumsum([len(t) for t in texts], out=bounds[1:])
     data = _FOLD[np.frombuffer(b"".join(texts), np.uint8)]
     starts, ends, doc = split_words(data, bounds)
-    return range_hash(BYTE_SYMBOL[data], starts, ends), starts - bounds[doc], ends - bounds[doc], doc
+    return word_names(data, starts, ends), starts - bounds[doc], ends - bounds[doc], doc
 
 
 def ngrams(names: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,10 @@ that is reused) and *buckets* (hash groups of names). In a round every home send
 name once to the name's bucket, as packed binaries, one row per home and bucket; the bucket
 sorts its names, compares neighbours, and answers with one bit per name. A name that occurs
 a billion times is therefore at most one record per home, and no group of copies meets in a
-task. Homes, buckets and rows scale with ``spark.sql.shuffle.partitions``.
+task. There are two homes a shuffle partition, and more where that leaves a home too large.
+
+A window's name has two independent 64-bit halves. Its bucket comes from 48 bits of the second;
+all of the first and 16 further bits are sent and compared: 80 bits besides the bucket.
 
 Order inside a home is fixed by (doc_id, text), so each pass sees the same positions whatever
 order the shuffle delivered.
@@ -13,6 +16,7 @@ order the shuffle delivered.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, shuffle_partitions, text_bytes
+from .common import NULL_ID, input_bytes, shuffle_partitions, text_bytes
 
 SENT = "bucket int, home int, names binary, extra binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("names", pa.binary()), ("extra", pa.binary())])
@@ -31,11 +35,18 @@ SENT_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("names",
 CHUNK = 1 << 19
 
 
-def homes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(home, doc_id, data): two homes a partition, dealt by a hash of the id (of the text where that is null)."""
-    n = 2 * shuffle_partitions(docs.sparkSession)
+#: Bytes of stored input that a home gets at most, by the optimiser's estimate.
+HOME_BYTES = 64 << 20
+
+
+def home_count(docs: DataFrame) -> int:
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // HOME_BYTES))
+
+
+def homes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(home, doc_id, data), dealt to ``n`` homes by a hash of id and text."""
     data = text_bytes(F.col(text_col))
-    key = F.coalesce(F.xxhash64(F.col(id_col).cast("long"), F.lit(7)), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(data)).otherwise(F.lit(0)) % 1000003
+    key = F.xxhash64(F.col(id_col).cast("long"), F.crc32(data))
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("home"), F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
 
 
@@ -63,82 +74,89 @@ class Home:
             i = j
 
 
-def bucket_of(names: np.ndarray, n: int) -> np.ndarray:
-    return ((names >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each distinct name (a, b) first stands, the number of each name's, how often each occurs)."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = x[1:] == x[:-1]
+    new = np.ones(len(a), bool)
+    new[1:] = ~same | (y[1:] != y[:-1])
+    first = np.flatnonzero(new)
+    at = np.empty(len(a), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[first], at, np.diff(np.append(first, len(a)))
+
+
+def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct names by bucket, and where each bucket starts in it."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def by_bucket(names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of sorted distinct names by bucket, and where each bucket starts in it."""
-    b = bucket_of(names, n)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(n + 1))
+def seed_parts(names: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets and what is sent of seeds' 64-bit names: 40 bits."""
+    return ((names >> np.uint64(40)) % np.uint64(n)).astype(np.int64), [names.astype(np.uint32), (names >> np.uint64(32)).astype(np.uint8)]
 
 
-def send(home: Home, names: np.ndarray, n: int, encode: Callable[[np.ndarray], bytes], extra: bytes = b"") -> pa.Table:
-    """One row for each bucket that has names; ``extra`` travels with one row there and back."""
-    order, at = by_bucket(names, n)
-    full = [b for b in range(n) if at[b] < at[b + 1]]
-    rows = {"bucket": full, "home": [home.number] * len(full), "names": [encode(order[at[b] : at[b + 1]]) for b in full], "extra": [extra if k == 0 else b"" for k in range(len(full))]}
+def window_parts(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets and what is sent of windows' names: 80 bits."""
+    return ((b >> np.uint64(16)) % np.uint64(n)).astype(np.int64), [a, b.astype(np.uint16)]
+
+
+def send(home: Home, bucket: np.ndarray, columns: list[np.ndarray], n: int, extra: bytes = b"") -> pa.Table:
+    """One row for each bucket that has names: each column's cells in turn. ``extra`` travels with one row there and back."""
+    order, at = by_bucket(bucket, n)
+    own = [(b, order[at[b] : at[b + 1]]) for b in np.flatnonzero(np.diff(at)).tolist()]
+    own = own or ([(home.number % n, order)] if extra else [])
+    rows = {"bucket": [b for b, _ in own], "home": [home.number] * len(own), "names": [b"".join(c[o].tobytes() for c in columns) for _, o in own], "extra": [extra if k == 0 else b"" for k in range(len(own))]}
     return pa.table(rows, schema=SENT_ARROW)
 
 
-def answers(names: np.ndarray, n: int, table: pa.Table) -> tuple[np.ndarray, bytes]:
-    """The bit of each of the sorted distinct names that this home sent, and its extra."""
-    bit, extra = np.zeros(len(names), bool), b""
-    order, at = by_bucket(names, n)
-    for b, mask, more in zip(table.column("bucket").to_pylist(), table.column("names").to_pylist(), table.column("extra").to_pylist(), strict=True):
+def answers(bucket: np.ndarray, n: int, table: pa.Table) -> np.ndarray:
+    """The bit of each of the distinct names that this home sent."""
+    bit = np.zeros(len(bucket), bool)
+    order, at = by_bucket(bucket, n)
+    for b, mask in zip(table.column("bucket").to_pylist(), table.column("names").to_pylist(), strict=True):
         own = order[at[b] : at[b + 1]]
         bit[own] = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(own)).astype(bool)
-        extra = extra or more
-    return bit, extra
+    return bit
 
 
-def rank_bits(names: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each (name, rank): whether the name has other rows, and whether one has a smaller rank."""
-    order = np.argsort(names, kind="stable")
-    new = np.ones(len(names), bool)
-    new[1:] = names[order[1:]] != names[order[:-1]]
-    group = np.cumsum(new) - 1
-    shared, smaller = np.empty(len(names), bool), np.empty(len(names), bool)
-    if len(names):
-        shared[order] = np.bincount(group)[group] > 1
-        smaller[order] = np.minimum.reduceat(ranks[order], np.flatnonzero(new))[group] < ranks[order]
-    return shared, smaller
+def least_ranks(ranks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, NULL_ID, np.int64)
+    np.minimum.at(least, at, ranks)
+    return least
 
 
 def resolve_texts(blobs: list[bytes]) -> list[bytes]:
     """Answers to the texts' names and ranks that came as extras: two bits each."""
-    tables = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in blobs]
-    shared, smaller = rank_bits(np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables]).view(np.int64))
+    tables = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in blobs]
+    a, b, ranks = (np.concatenate([t[k] for t in tables]) for k in range(3))
+    first, at, count = distinct(a, b)
+    shared, smaller = count[at] > 1, least_ranks(ranks.view(np.int64), at, len(first))[at] < ranks.view(np.int64)
     ends = np.cumsum([t.shape[1] for t in tables])
     return [np.packbits(np.concatenate([shared[e - t.shape[1] : e], smaller[e - t.shape[1] : e]])).tobytes() for t, e in zip(tables, ends, strict=True)]
 
 
-def resolver(width: str, ranked: bool, texts: bool = False) -> Callable[[pa.Table], pa.Table]:
+def resolver(kinds: tuple[str, ...], ranked: bool, texts: bool = False) -> Callable[[pa.Table], pa.Table]:
     """Bucket step: sort the names, compare neighbours, answer by row.
 
     A bit says that another home has the name too or, if ranked, that another home has it at a
-    smaller rank than this home's smallest.
+    smaller rank than this home's smallest. Names are of two columns; ranks are the third.
     """
+    kinds = (*kinds, "i8") if ranked else kinds
+    sizes = [np.dtype(k).itemsize for k in kinds]
 
     def resolve(table: pa.Table) -> pa.Table:
         blobs = table.column("names").to_pylist()
-        size = np.dtype(width).itemsize + 8 * ranked
-        counts = np.array([len(x) // size for x in blobs])
-        names = np.concatenate([np.frombuffer(x, width, count=c) for x, c in zip(blobs, counts, strict=True)])
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
-        new = np.ones(len(names), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        bits = np.empty(len(names), bool)
-        if ranked:
-            ranks = np.concatenate([np.frombuffer(x, np.int64, offset=c * np.dtype(width).itemsize) for x, c in zip(blobs, counts, strict=True)])[order]
-            least = np.minimum.reduceat(ranks, np.flatnonzero(new))
-            bits[order] = least[np.cumsum(new) - 1] < ranks
-        else:
-            shared = ~new
-            shared[:-1] |= ~new[1:]
-            bits[order] = shared
+        counts = [len(x) // sum(sizes) for x in blobs]
+        columns = [np.concatenate([np.frombuffer(x, kind, count=c, offset=c * sum(sizes[:k])) for x, c in zip(blobs, counts, strict=True)]) for k, kind in enumerate(kinds)]
+        first, at, count = distinct(columns[0], columns[1])
+        bits = least_ranks(columns[2], at, len(first))[at] < columns[2] if ranked else count[at] > 1
         if texts:
             table = table.set_column(3, "extra", pa.array(resolve_texts(table.column("extra").to_pylist()), pa.binary()))
         ends = np.cumsum(counts)
@@ -161,9 +179,9 @@ class Copies:
             if len(text) >= least_size:
                 self.text[i] = first.setdefault(text, len(first))
         lead = np.flatnonzero(self.leads())
-        self.names = np.array([xxhash.xxh3_64_intdigest(home.texts[i]) for i in lead], np.uint64)
+        self.names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(home.texts[i]) for i in lead), np.uint64).reshape(-1, 2)
         self.ranks = home.rank[lead]
-        self.bucket = bucket_of(self.names, n)
+        self.bucket = ((self.names[:, 1] >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
 
     def leads(self) -> np.ndarray:
         """The first document of each text."""
@@ -175,7 +193,7 @@ class Copies:
     def send(self, sent: pa.Table, home: Home, n: int) -> pa.Table:
         """The rows to the buckets, with names and ranks of the texts that belong there as extras."""
         own = {b: np.flatnonzero(self.bucket == b) for b in np.unique(self.bucket).tolist()}
-        blob = lambda at: np.concatenate([self.names[at], self.ranks[at].view(np.uint64)]).tobytes()
+        blob = lambda at: np.concatenate([self.names[at, 0], self.names[at, 1], self.ranks[at].view(np.uint64)]).tobytes()
         there = sent.column("bucket").to_pylist()
         sent = sent.set_column(3, "extra", pa.array([blob(own.pop(b)) if b in own else b"" for b in there], pa.binary()))
         rest = {"bucket": list(own), "home": [home.number] * len(own), "names": [b""] * len(own), "extra": [blob(at) for at in own.values()]}
@@ -197,13 +215,26 @@ class Copies:
 
 
 def pack_mask(mask: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(mask).tobytes(), 1)
+    """Empty for a mask of nothing."""
+    return b"" if not mask.any() else zlib.compress(np.packbits(mask).tobytes(), 1)
 
 
 def unpack_mask(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=n).astype(bool) if data else np.zeros(n, bool)
 
 
+def pack_parts(parts: list[bytes]) -> bytes:
+    """Byte strings as one, which is empty if all are."""
+    return struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts) if any(parts) else b""
+
+
+def unpack_parts(data: bytes, n: int) -> list[bytes]:
+    if not data:
+        return [b""] * n
+    ends = 8 * n + np.cumsum([0, *struct.unpack_from(f"<{n}q", data)])
+    return [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
 class Repeats:
     """What a repeat-removal operator tells the rounds. Window starts are numbered through a home."""
 
@@ -220,85 +251,81 @@ class Repeats:
         """Names of the sparse sampled positions; any two equal windows share one at the same place."""
         raise NotImplementedError
 
-    def marked(self, home: Home, flags: np.ndarray) -> np.ndarray:
-        """Mask of the window starts that a flagged seed (one that occurs elsewhere) can belong to."""
+    def marked(self, home: Home, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mask of the window starts that a flagged seed (one that occurs elsewhere) can belong to; flagged seeds of each document."""
         raise NotImplementedError
 
     def starts(self, home: Home) -> int:
         raise NotImplementedError
 
-    def names(self, home: Home, mask: np.ndarray) -> np.ndarray:
-        """64-bit names of the whole windows at the marked starts."""
+    def names(self, home: Home, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the names of the whole windows at the marked starts."""
         raise NotImplementedError
 
     def ranks(self, home: Home, mask: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def finish(self, home: Home, mask: np.ndarray) -> pa.Table:
-        """Result rows, given the starts of the windows to remove."""
+    def finish(self, home: Home, mask: np.ndarray, flagged: np.ndarray) -> pa.Table:
+        """Result rows, given the starts of the windows to remove and the flagged seeds of each document."""
         raise NotImplementedError
 
 
-def least_ranks(ranks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    least = np.full(n, NULL_ID, np.int64)
-    np.minimum.at(least, at, ranks)
-    return least
-
-
 def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str) -> DataFrame:
     """A naming round for the seeds, one for the windows that they mark, and the final pass."""
-    n = shuffle_partitions(docs.sparkSession)
-    dealt = homes(docs, id_col, text_col)
+    n_homes = home_count(docs)
+    n = n_homes // 2
+    dealt = homes(docs, id_col, text_col, n_homes)
+
+    def seeds_of(home: Home) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        names, at, count = np.unique(job.seeds(home), return_inverse=True, return_counts=True)
+        return *seed_parts(names, n), at, count
 
     def first(table: pa.Table) -> pa.Table:
         home = Home(table)
-        names = np.unique(job.seeds(home))
-        sent = send(home, names, n, lambda own: names[own].astype(np.uint32).tobytes())
+        bucket, columns, _, _ = seeds_of(home)
+        sent = send(home, bucket, columns, n)
         return Copies(home, job.least_size, n).send(sent, home, n) if job.silence_copies else sent
 
     def second(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows or not answered.num_rows:
             return SENT_ARROW.empty_table()
         home = Home(table)
-        names, at, count = np.unique(job.seeds(home), return_inverse=True, return_counts=True)
-        bit, _ = answers(names, n, answered)
-        mask = job.marked(home, (bit | (count > 1))[at])
+        bucket, _, at, count = seeds_of(home)
+        mask, flagged = job.marked(home, (answers(bucket, n, answered) | (count > 1))[at])
         copied = b""
         if job.silence_copies:
             whole, silent = Copies(home, job.least_size, n).settle(answered)
             mask &= ~np.repeat(silent, [len(t) for t in home.texts])
             copied = pack_mask(whole)
-        every = job.names(home, mask)
-        names, at = np.unique(every, return_inverse=True)
-        extra = struct.pack("<q", len(copied)) + copied + pack_mask(mask)
-        if not len(names):  # all that may go is in silent copies
-            return pa.table([[0], [home.number], [b""], [extra]], schema=SENT_ARROW) if copied else SENT_ARROW.empty_table()
-        if not job.ranked:
-            return send(home, names, n, lambda own: names[own].tobytes(), extra)
-        least = least_ranks(job.ranks(home, mask), at, len(names))
-        return send(home, names, n, lambda own: names[own].tobytes() + least[own].tobytes(), extra)
+        a, b = job.names(home, mask)
+        names, at, _ = distinct(a, b)
+        bucket, columns = window_parts(a[names], b[names], n)
+        if job.ranked:
+            columns.append(least_ranks(job.ranks(home, mask), at, len(names)))
+        extra = [copied, pack_mask(mask), zlib.compress(flagged.astype(np.uint32).tobytes(), 1) if flagged.any() else b""]
+        return send(home, bucket, columns, n, pack_parts(extra))
 
     def last(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
             return job.schema.empty_table()
         home = Home(table)
-        extra = next((x for x in answered.column("extra").to_pylist() if x), b"")
-        cut = 8 + struct.unpack_from("<q", extra)[0] if extra else 0
-        mask = unpack_mask(extra[cut:], job.starts(home))
+        copied, mask, flagged = unpack_parts(next((x for x in answered.column("extra").to_pylist() if x), b""), 3)
+        mask = unpack_mask(mask, job.starts(home))
         if mask.any():
-            names, at, count = np.unique(job.names(home, mask), return_inverse=True, return_counts=True)
-            bit, _ = answers(names, n, answered)
+            a, b = job.names(home, mask)
+            names, at, count = distinct(a, b)
+            bit = answers(window_parts(a[names], b[names], n)[0], n, answered)
             if job.ranked:
                 ranks = job.ranks(home, mask)
                 hit = bit[at] | (ranks > least_ranks(ranks, at, len(names))[at])
             else:
                 hit = (bit | (count > 1))[at]
             mask[np.flatnonzero(mask)[~hit]] = False
-        if cut > 8:
-            mask |= np.repeat(unpack_mask(extra[8:cut], len(home.texts)), [len(t) for t in home.texts])
-        return job.finish(home, mask)
+        if copied:
+            mask |= np.repeat(unpack_mask(copied, len(home.texts)), [len(t) for t in home.texts])
+        return job.finish(home, mask, np.frombuffer(zlib.decompress(flagged), np.uint32) if flagged else np.zeros(len(home.texts), np.uint32))
 
-    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver("u4", False, job.silence_copies), SENT)
+    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver(("u4", "u1"), False, job.silence_copies), SENT)
     named = dealt.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(second, SENT)
-    settled = named.groupBy("bucket").applyInArrow(resolver("u8", job.ranked), SENT)
+    settled = named.groupBy("bucket").applyInArrow(resolver(("u8", "u2"), job.ranked), SENT)
     return dealt.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(last, ddl)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_SYMBOL, mix, range_hash, split_words
+from .common import mix, split_words, word_names
 
 # Frequent short words of the four languages.
 STOPWORDS = """
@@ -39,7 +39,7 @@ for _row, _chars in ((UPPER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (LOWER, "abcdefghijk
 
 def _name(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(range_hash(BYTE_SYMBOL[data], np.array([0]), np.array([len(data)]))[0])
+    return int(word_names(data, np.array([0]), np.array([len(data)]))[0])
 
 
 class Words:
@@ -47,7 +47,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
         self.starts, self.ends, self.doc = split_words(data, bounds)
-        self.names = range_hash(BYTE_SYMBOL[data], self.starts, self.ends)
+        self.names = word_names(data, self.starts, self.ends)
         self.size = self.ends - self.starts
         self.n = np.bincount(self.doc, minlength=len(bounds) - 1)
         of = lambda row: (s := np.concatenate(([0], np.cumsum(_CLASS[row][data]))))[self.ends] - s[self.starts]

@@ -18,7 +18,7 @@ from .secrets import secret_scan
 from .sharding import rendezvous_shards
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
-from .suffix_dedup import suffix_array_dedup
+from .suffix_dedup import TOP, V, difference_set, suffix_array_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def digest(kinds: tuple[str, ...]) -> list[Column]:
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array_dedup(documents(spark, sf_dir), length=400)
-    return out.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_partners")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL of the operators that SQL can express; the others are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": rf"""
+with d as (select doc_id, encode(coalesce(text, '')) b from documents),
+ n as (select *, octet_length(b)::bigint n from d),
+ p as (select doc_id, b, unnest(range(n - 399)) p from n where n >= 400),
+ w as (select doc_id, p, md5(array_slice(b, p + 1, p + 400)) k from p),
+ c as (select doc_id, p from w join (select k from w group by k having count(*) > 1) using (k)),
+ o as (select *, lag(p) over (partition by doc_id order by p) before, lead(p) over (partition by doc_id order by p) after from c),
+ r as (select doc_id, sum(least(400, coalesce(after - p, 400)))::bigint n_removed, count(*) filter (before is null or p > before + 400) n_spans from o group by doc_id),
+ e as (select doc_id, p + 400 low, after high from o where after is null or after > p + 400 union all select doc_id, 0, p from o where before is null),
+ g as (select doc_id, string_agg(hex(array_slice(b, low + 1, coalesce(high, n))), '' order by low) kept from e join n using (doc_id) group by doc_id),
+ a as (select doc_id, b, n, unnest(range(n - {TOP - 1})) p from n where n >= 400),
+ t as (select doc_id, md5(array_slice(b, p + 1, p + {TOP})) k from a where p % {V} in {difference_set()}),
+ s as (select doc_id, count(*) n_partners from t join (select k from t group by k having count(*) > 1) using (k) group by doc_id)
+select doc_id, n n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(case when kept is null then b else unhex(kept) end) kept_sha256, coalesce(n_partners, 0)::bigint n_partners
+from n left join r using (doc_id) left join g using (doc_id) left join s using (doc_id)""",
     "op2_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
  p as (select doc_id, unnest(range(len(w) - 12)) pos, w from d where len(w) >= 13),

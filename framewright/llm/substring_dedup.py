@@ -9,7 +9,8 @@ the same except near the ends, and the code tracks exactly which: each symbol ca
 of the highest round whose context lies in the window, named with that context's words: equal
 windows have equal keys at the same place, and neighbouring windows share one occurrence, so few
 names travel. Keys that occur elsewhere reveal candidate repeats; these windows' own names
-verify them exactly.
+verify them. Two different windows have one name by chance only: with probability 2**-80 divided
+by the number of buckets, or 2**-64 where two of their words have the same 64-bit name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_SYMBOL, cover, mix, range_hash, runs, split_words
+from .common import chain, cover, mix, runs, split_words, word_names
 from .names import Home, Repeats, rounds
 
 DDL = "doc_id long, n_words long, kept string, spans array<struct<start:long,end:long>>"
@@ -82,7 +83,7 @@ class WordRepeats(Repeats):
             words, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for i, _, data, bounds in home.chunks():
                 starts, ends, doc = split_words(data, bounds)
-                words.append(range_hash(BYTE_SYMBOL[data], starts, ends))
+                words.append(word_names(data, starts, ends))
                 docs.append(doc + i)
             home.parsed = np.concatenate(words), np.concatenate(docs)
         return home.parsed
@@ -129,7 +130,7 @@ class WordRepeats(Repeats):
             at = np.minimum(np.searchsorted(low, open_at), len(low) - 1)
             good = (low[at] >= open_at) & (high[at] <= open_at + self.width)
             chosen, number = np.unique(at[good], return_inverse=True)
-            names.append(range_hash(word, low[chosen], high[chosen]))
+            names.append(chain(word, low[chosen], high[chosen], 0))
             starts.append(open_at[good])
             numbers.append(number + used)
             used += len(chosen)
@@ -139,23 +140,23 @@ class WordRepeats(Repeats):
     def seeds(self, home: Home) -> np.ndarray:
         return self.keys(home)[0]
 
-    def marked(self, home: Home, flags: np.ndarray) -> np.ndarray:
+    def marked(self, home: Home, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, starts, numbers = self.keys(home)
         mask = np.zeros(self.starts(home), bool)
         mask[starts[flags[numbers]]] = True
-        return mask
+        return mask, np.zeros(len(home.texts), np.int64)
 
     def starts(self, home: Home) -> int:
         return len(self.parsed(home)[0])
 
-    def names(self, home: Home, mask: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(mask)
-        return range_hash(self.parsed(home)[0], at, at + self.width)
+    def names(self, home: Home, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, word = np.flatnonzero(mask), self.parsed(home)[0]
+        return chain(word, at, at + self.width, 1), chain(word, at, at + self.width, 2)
 
     def ranks(self, home: Home, mask: np.ndarray) -> np.ndarray:
         return home.rank[self.parsed(home)[1][mask]]
 
-    def finish(self, home: Home, mask: np.ndarray) -> pa.Table:
+    def finish(self, home: Home, mask: np.ndarray, flagged: np.ndarray) -> pa.Table:
         at = np.flatnonzero(mask)
         gone = cover(len(mask), at, at + self.width)
         sizes, kept, spans, used = [], [], [], 0

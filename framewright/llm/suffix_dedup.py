@@ -9,8 +9,9 @@ suffixes meet in buckets, are sorted, and adjacent equal prefixes show which suf
 partner. The remaining suffixes within the shift of such a one are merged in: their ``length``-byte
 prefixes, named by two overlapping top-level names, are sorted in buckets in their turn and
 adjacent ones compared. With V = 133 and top names of 243 bytes every repeat of 400 bytes holds
-a sampled repeat, so nothing is lost; chance equality of 64-bit names within a bucket is the only
-error, about 1e-13 a window.
+a sampled repeat, so nothing is lost. The only error is by chance: two different windows have one
+name with probability 2**-80 divided by the number of buckets, or about 2**-64 if one of the two
+top-level names covers all the bytes in which they differ.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_SYMBOL, cover, runs
+from .common import BYTE_SYMBOL, cover, mix, runs
 from .names import Home, Repeats, rounds
 
 #: Order of the plane that the difference set comes from; V = Q*Q + Q + 1.
@@ -30,8 +31,8 @@ V = Q * Q + Q + 1
 LEVELS = 5
 TOP = 3**LEVELS
 
-DDL = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+DDL = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>, n_partners long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_partners", pa.int64())])
 
 
 @functools.cache
@@ -109,8 +110,8 @@ class ByteRepeats(Repeats):
     def starts(self, home: Home) -> int:
         return sum(map(len, home.texts))
 
-    def marked(self, home: Home, flags: np.ndarray) -> np.ndarray:
-        out, used = [], 0
+    def marked(self, home: Home, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, flagged, used = [np.zeros(0, bool)], [np.zeros(0, np.int64)], 0
         for _, _, data, bounds in home.chunks():
             at = self.sampled(bounds)
             at, used = at[flags[used : used + len(at)]], used + len(at)
@@ -118,20 +119,22 @@ class ByteRepeats(Repeats):
             low, high = np.maximum(at - (V - 1), bounds[doc]), np.minimum(at, bounds[doc + 1] - self.length) + 1
             some = low < high
             out.append(cover(len(data), low[some], high[some]))
-        return np.concatenate(out) if out else np.zeros(0, bool)
+            flagged.append(np.bincount(doc, minlength=len(bounds) - 1))
+        return np.concatenate(out), np.concatenate(flagged)
 
-    def names(self, home: Home, mask: np.ndarray) -> np.ndarray:
-        out, used = [], 0
+    def names(self, home: Home, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two, used = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
         for _, _, data, _ in home.chunks():
             at = np.flatnonzero(mask[used : used + len(data)])
             used += len(data)
             if len(at):
                 top = top_names(data)
                 a, b = top[at], top[at + (self.length - TOP)]
-                out.append((a ^ (a >> np.uint64(31))) * _K[1] + (b ^ (b >> np.uint64(33))) * _K[2])
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                one.append(mix(a + mix(b + _K[1])))
+                two.append(mix(b + mix(a + _K[2])))
+        return np.concatenate(one), np.concatenate(two)
 
-    def finish(self, home: Home, mask: np.ndarray) -> pa.Table:
+    def finish(self, home: Home, mask: np.ndarray, flagged: np.ndarray) -> pa.Table:
         sizes, kept, spans, used = [], [], [], 0
         for text in home.texts:
             own = mask[used : used + len(text)]
@@ -146,14 +149,16 @@ class ByteRepeats(Repeats):
             low, high = runs(gone)
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             spans.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-        return pa.table([home.ids, sizes, kept, spans], schema=SCHEMA)
+        return pa.table([home.ids, sizes, kept, spans, flagged.astype(np.int64)], schema=SCHEMA)
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     One row per input row: doc_id, n_bytes, kept (the remaining bytes joined; they need not be
-    whole characters), spans of removed bytes. Overlapping repeats count, matches stay within
+    whole characters), spans of removed bytes, n_partners (sampled places of a text of ``length``
+    bytes or more whose next TOP bytes also start at another sampled place: a sign of repeats that
+    may be shorter than ``length``, and decides nothing). Overlapping repeats count, matches stay within
     documents and are judged on the input. A null text is empty; texts shorter than ``length``
     and empty tables come back unchanged; a repeated row is another place and so removes both;
     rows with a null id are kept with a null id; other columns are not read. ``length`` is 375

@@ -3,13 +3,18 @@
 import random
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewright.llm import queries
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
+from framewright.llm.names import distinct
 from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.simhash import one_of_each
+from framewright.llm.substring_dedup import substring_dedup
+from framewright.llm.suffix_dedup import suffix_array_dedup
 
 
 @pytest.mark.parametrize("every", [5, 7, 8])
@@ -72,3 +77,33 @@ def test_candidates_are_what_base_spans_leave():
     text = "abcdef 123456 tiny abcXYZxyz0123456"
     assert [text[a:b] for a, b in candidates(text, [])] == ["abcdef", "123456", "abcXYZxyz0123456"]
     assert [text[a:b] for a, b in candidates(text, [("hex", 22, 25), ("hex", 19, 23)])] == ["abcdef", "123456", "xyz0123456"]
+
+
+@pytest.mark.parametrize("size", [32, 33, 512, 1024, 2048, 4096, 8192])
+def test_word_windows_tell_repetitive_words_apart(spark, size):
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    text = lambda word: " ".join([*"abcdefghijkl", word])
+    rows = [(1, text(one)), (2, text(two)), (3, text(one)), (4, " ".join([one, two] * 7)), (5, " ".join([two, one] * 7))]
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter(tuple(r) for r in out.select("doc_id", "n_words", queries.covered("spans"), F.sha2(F.col("kept").cast("binary"), 256)).collect())
+    assert got == Counter(brute.word_repeats(rows, 13))
+
+
+def test_distinct_names_that_share_a_half():
+    a, b = np.array([7, 3, 7, 7, 3, 9], np.uint64), np.array([1, 5, 2, 1, 5, 0], np.uint64)
+    first, at, count = distinct(a, b)
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(first) == 4 and [pairs[first[k]] for k in at] == pairs
+    assert [count[k] for k in at] == [pairs.count(p) for p in pairs]
+
+
+def test_partners_show_repeats_below_the_length(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    shared = words(62)
+    assert 365 < len(shared) < 400
+    rows = [(k, f"{words(60 + k)} {shared} {words(40)}") for k in range(12)] + [(100 + k, words(150)) for k in range(12)]
+    out = {r["doc_id"]: r for r in suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not out[i]["spans"] for i in out)
+    assert all((out[i]["n_partners"] > 0) == (i < 100) for i in out)
