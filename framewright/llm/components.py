@@ -14,16 +14,18 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Rounds of large stars and small stars: each node links its larger neighbours, then its
     smaller ones, to the smallest in reach. The number of links never grows, chains halve, and
     what a round gathers by node is a minimum, so a hub is pre-aggregated before the shuffle.
-    Each round is a table in the shared folder.
+    Minima and links are tables in the shared folder before they are joined: both sides of a join
+    are then plain exchanges, and adaptive execution splits a hub's links over many tasks.
+    No links give no nodes; nulls in a link drop it.
     """
     stars = shared_checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = shared_checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = shared_checkpoint(large.filter("a <> b").distinct())
+        least = shared_checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         stars = shared_checkpoint(small.filter("a <> b").distinct())

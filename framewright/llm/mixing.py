@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_checkpoint
+from .common import WORD, packed, shared_checkpoint
 
 #: Hash bits that each histogram adds, and the number of histograms: thresholds have 30 bits.
 BITS, LEVELS = 10, 3
@@ -110,12 +110,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2.0) -> DataFrame:
-    """The mix itself: whole rows of ``docs``, each as often as it is taken. Texts are not shuffled."""
+    """The mix itself: whole rows of ``docs``, each as often as ``mix_sources`` takes it.
+
+    Texts are not shuffled. Nulls, ties, repeated rows and empty tables are as in ``mix_sources``;
+    other columns come along whatever their names.
+    """
     _, plan = mix_plan(docs, id_col, text_col, source_col, share, weights, cap)
-    side = plan.select(F.col("source").alias("_mix_source"), F.col("base").alias("_mix_base"), F.col("threshold").alias("_mix_threshold"))
+    side = plan.select(F.col("source").alias("its_source"), "base", "threshold")
     if side.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
     at = place(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    copies = copies_of(at, "_mix_base", "_mix_threshold", cap)
-    joined = docs.join(side, docs[source_col].cast("string").eqNullSafe(side["_mix_source"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("_mix_copy")).drop("_mix_copy")
+    rows = packed(docs, source=F.col(source_col).cast("string"), at=at)
+    joined = rows.join(side, rows["source"].eqNullSafe(side["its_source"]))
+    taken = joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies_of(F.col("at"), "base", "threshold", cap))))
+    return taken.select("row.*")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 #: Hash chunks of a shard in which slots are counted; bounds both a window group and the broadcast of offsets.
 CHUNKS = 1024
 
@@ -30,24 +32,25 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
     return (F.greatest(*scored) if len(scored) > 1 else scored[0])["shard"]
 
 
-def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0, chunks: int = CHUNKS, carry: Sequence[str] = ()) -> DataFrame:
+def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0, chunks: int = CHUNKS, whole: bool = False) -> DataFrame:
     """Every row's shard, its place there, and its shard if one more were added.
 
     One row per input row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard,
     slot (0, 1, 2 ... within the shard), grown_shard (with a further shard of ``new_weight``).
     The shard depends on the id and the weights alone. Null ids are one key, so they share a
     shard; a null text has no bytes; repeated rows share a shard and take slots of their own; an
-    empty table gives no rows; other columns are not read, but for those in ``carry``, which come
-    along in front (none may have a name of the result's).
+    empty table gives no rows; other columns are not read, but if ``whole`` the input row comes
+    along as the struct ``row``.
 
     Slots are gapless without a shard's rows meeting in a task: rows are numbered in hash chunks
     of a shard, and a chunk's offset is the sum of the counts before it (shards x chunks numbers,
     the only data broadcast).
     """
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    key = F.col(id_col).cast("long")
-    chunk = F.pmod(F.when(key.isNull(), F.xxhash64(data)).otherwise(F.xxhash64(key, F.lit("slot"))), F.lit(chunks)).cast("int")
-    rows = docs.select(
+    data = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
+    key = F.col(f"row.`{id_col}`").cast("long")
+    chunk = F.pmod(F.xxhash64(key, F.crc32(data), F.lit("slot")), F.lit(chunks)).cast("int")
+    carry = ["row"] if whole else []
+    rows = packed(docs).select(
         *carry,
         key.alias("doc_id"),
         (F.octet_length(data) + F.lit(8)).cast("long").alias("size"),
@@ -57,14 +60,21 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         chunk.alias("chunk"),
     )
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = docs.select(winner(key, weights).alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = packed(docs).select(winner(key, weights).alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1)
     return numbered.join(F.broadcast(offsets), ["shard", "chunk"]).select(*carry, "doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("offset")).cast("long").alias("slot"), "grown_shard")
 
 
+def sharded_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0) -> DataFrame:
+    """The rows of ``docs``, whole, with shard, slot and grown_shard, which take the place of columns of these names."""
+    new = ["shard", "slot", "grown_shard"]
+    out = rendezvous_shards(docs, id_col, text_col, weights, new_weight, whole=True)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *new)
+
+
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder a shard, its rows in ``files_per_shard`` files."""
+    """One folder a shard, its rows in ``files_per_shard`` files. No rows give no folder; nulls and repeats are written as they are."""
     spread = F.pmod(F.xxhash64("slot"), F.lit(files_per_shard))
     sharded.repartition(F.col("shard"), spread).write.partitionBy("shard").parquet(path)

@@ -5,7 +5,7 @@ bit blocks at least one is equal on both sides: each fingerprint goes to one sha
 keyed by the block's value, and no link is lost. In a shard the fingerprints form a BK-tree: a
 node's children are keyed by their integer Hamming distance to it, and a query at distance d
 follows only the edges within d - radius to d + radius. All trees of a task grow and are searched
-level by level in vectorised steps; small subtrees are leaves, compared directly. A shard over
+level by level in vectorised steps. A shard over
 ``shard_limit`` is dealt again by a further block of the bits not yet fixed (the same argument
 holds there), so a tree has a proven bound and travels with its shard; it is never one tree of
 all fingerprints. Trees return a spanning forest of their links, not all pairs, and Spark rounds
@@ -14,7 +14,9 @@ join the forests into components.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_checkpoint, shuffle_partitions, text_bytes
+from .common import SPACES, packed, shared_checkpoint, shuffle_partitions, text_bytes
 from .components import connected_components
 
 BITS = 64
-#: Fingerprints in a subtree that are compared directly instead of by a node.
-LEAF = 24
-#: Rows of (query, node) pairs that one vectorised step holds.
-STEP = 1 << 20
+#: Members of trees that grow together, and pairs of query and node in one vectorised step.
+STEP = 1 << 17
 
 _ONE_SPACE = bytes(0x20 if c in SPACES else c for c in range(256))
 
@@ -87,46 +87,65 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.repeat(first, count) + np.arange(len(row)) - skip
 
 
-def tree_links(fp: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within each tree (``tree`` numbers it and is sorted); every link at least once, as places in fp.
+@dataclass
+class Level:
+    """The nodes of all trees at one depth."""
 
-    Members and queries of all nodes advance together. A node's root is its first member; the
-    others become children by distance. A query is itself a member of the tree.
+    #: Each node's fingerprint, as a place in fp.
+    root: np.ndarray
+    #: Node number x (BITS + 1) + distance of every edge, sorted; an edge's number is its node's on the next level.
+    edges: np.ndarray
+
+
+def grow(fp: np.ndarray, tree: np.ndarray) -> list[Level]:
+    """BK-trees of the fingerprints, one for each number in ``tree``, which counts from 0 in sorted order.
+
+    A node's root is its first member; the others become children by their distance to it.
     """
-    member = np.arange(len(fp))
-    node = tree.astype(np.int64)
-    query, at = member, node
+    member, node = np.arange(len(fp)), tree.astype(np.int64)
+    levels = []
     while len(member):
-        order = np.argsort(node, kind="stable")
-        member, node = member[order], node[order]
-        ids, first, count = np.unique(node, return_index=True, return_counts=True)
-        here = np.searchsorted(ids, at)
-        known = (here < len(ids)) & (ids[np.minimum(here, len(ids) - 1)] == at)
-        query, here = query[known], here[known]
-        leaf = count <= LEAF
-        # leaves: all members against the query
-        q, h = query[leaf[here]], here[leaf[here]]
-        for i in range(0, len(q), STEP // LEAF):
-            row, slot = spread(first[h[i : i + STEP // LEAF]], count[h[i : i + STEP // LEAF]])
-            a, b = q[i : i + STEP // LEAF][row], member[slot]
-            hit = (a != b) & (distance(fp[a], fp[b]) <= radius)
-            yield a[hit], b[hit]
-        # inner nodes: the root, then the edges within the radius
-        inner = ~leaf[here]
-        query, here = query[inner], here[inner]
+        first = np.flatnonzero(np.diff(node, prepend=-1))
         root = member[first]
-        d = distance(fp[query], fp[root[here]]).astype(np.int64)
-        hit = (d <= radius) & (query != root[here])
-        yield query[hit], root[here[hit]]
-        grows = np.repeat(~leaf, count)
-        grows[first] = False
-        edge = distance(fp[member], fp[np.repeat(root, count)]).astype(np.int64)
-        number = np.repeat(np.arange(len(ids)), count)
-        member, node = member[grows], (number * (BITS + 1) + edge)[grows]
-        width = 2 * radius + 1
-        at = (here * (BITS + 1))[:, None] + np.clip(d[:, None] + np.arange(-radius, radius + 1), -1, BITS + 1)
-        valid = (at >= (here * (BITS + 1))[:, None]) & (at <= (here * (BITS + 1) + BITS)[:, None])
-        query, at = np.repeat(query, width)[valid.ravel()], at.ravel()[valid.ravel()]
+        rest = np.ones(len(member), bool)
+        rest[first] = False
+        member, node = member[rest], node[rest]
+        code = node * (BITS + 1) + distance(fp[member], fp[root[node]])
+        order = np.argsort(code, kind="stable")
+        member, code = member[order], code[order]
+        new = np.diff(code, prepend=-1) > 0
+        levels.append(Level(root, code[new]))
+        node = np.cumsum(new) - 1
+    return levels
+
+
+def tree_links(fp: np.ndarray, tree: np.ndarray, radius: int, visits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within each tree, every one at least once, as places in fp.
+
+    Every member is a query too. It meets a node only by the edges within its distance to the
+    parent plus or minus the radius. Queries that meet over STEP nodes of a level go on in parts,
+    so memory is bounded. ``visits`` gets the number of nodes met by every step.
+    """
+    levels = grow(fp, tree)
+    waiting = [(0, np.arange(len(fp)), tree.astype(np.int64))]
+    while waiting:
+        depth, query, node = waiting.pop()
+        if len(query) > STEP:
+            waiting += [(depth, query[i : i + STEP], node[i : i + STEP]) for i in range(0, len(query), STEP)]
+            continue
+        if not len(query):
+            continue
+        root, edges = levels[depth].root[node], levels[depth].edges
+        if visits is not None:
+            visits.append(len(query))
+        d = distance(fp[query], fp[root]).astype(np.int64)
+        hit = (d <= radius) & (query != root)
+        yield query[hit], root[hit]
+        code = node * (BITS + 1)
+        low = np.searchsorted(edges, code + np.maximum(d - radius, 0))
+        high = np.searchsorted(edges, code + np.minimum(d + radius, BITS), "right")
+        row, child = spread(low, high - low)
+        waiting.append((depth + 1, query[row], child))
 
 
 def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -221,9 +240,10 @@ def near_links(distinct: DataFrame, radius: int, shard_limit: int) -> DataFrame:
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             small = np.flatnonzero((size > 1) & (size <= shard_limit))
             load = np.cumsum(size[small])
-            for group in np.split(small, np.searchsorted(load, np.arange(STEP // 8, load[-1] if len(load) else 0, STEP // 8))):
+            for group in np.split(small, np.searchsorted(load, np.arange(STEP, load[-1] if len(load) else 0, STEP))):
                 keep = np.concatenate([np.arange(cut[g], cut[g + 1]) for g in group]) if len(group) else np.empty(0, int)
-                for a, b in tree_links(fp[keep], number[keep], radius):
+                tree = np.cumsum(np.diff(number[keep], prepend=-1) > 0) - 1
+                for a, b in tree_links(fp[keep], tree, radius):
                     yield keep[a], keep[b]
             for g in np.flatnonzero(size > shard_limit):
                 own = np.arange(cut[g], cut[g + 1])
@@ -245,7 +265,8 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, width: int, radiu
     links = near_links(groups.select("fp"), radius, shard_limit)
     roots = connected_components(links).withColumnsRenamed({"node": "fp"})
     tied = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a table, so that the join's sides are plain exchanges and a large component is split
+    smallest = shared_checkpoint(tied.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints, tied.join(smallest, "root").select("fp", "root", "component_id")
 
 
@@ -268,11 +289,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id are separate documents: the row that stays is found by id and text
     hash, the least hash first where rows of a component share its smallest id; of rows that share
-    both one stays. A component without ids keeps the row of the least hash. Texts are shuffled
+    both the one with the least hash of all columns stays. A component without ids keeps the row of the least hash. Texts are shuffled
     once, by id and hash.
     """
     prints, named = components_of(docs, id_col, text_col, width, radius, shard_limit, hashed=True)
-    keys = ["_none", "_id", "_hash"]
+    keys = ["none", "id", "hash"]
 
     def place(doc_id: Column, digest: Column) -> dict[str, Column]:
         return dict(zip(keys, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), digest), strict=True))
@@ -280,5 +301,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # by fingerprint before the join, so that no large group of copies meets in it
     least = prints.groupBy("fp").agg(F.min(F.struct(*(c.alias(k) for k, c in place(F.col("doc_id"), F.col("hash")).items()))).alias("row"))
     first = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
-    placed = docs.withColumns(place(F.col(id_col).cast("long"), text_hash(text_col)))
-    return placed.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    hashable = [f"row.`{f.name}`" for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    placed = packed(docs, **place(F.col(id_col).cast("long"), text_hash(text_col)))
+    kept = placed.join(first, keys, "left_semi").groupBy(*keys).agg(F.min_by("row", F.xxhash64(*hashable)).alias("row"))
+    return kept.select("row.*")

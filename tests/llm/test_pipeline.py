@@ -1,9 +1,11 @@
 """The pipeline's stages, each against what it must do to its own input."""
 
 from collections import Counter
+from pathlib import Path
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewright.llm.decontaminate import decontaminate
@@ -54,3 +56,26 @@ def test_stages(spark, steps):
 
 def test_run_is_the_chain(spark, steps):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, steps[-1].collect()))
+
+
+CLASHES = ["size", "chunk", "shard", "place", "offset", "row", "n", "key", "fp", "hash", "_fp", "_id", "_mix_copy", "_mix_source", "copy", "base", "threshold", "its_source", "at", "score", "votes", "data", "item_id"]
+
+
+def test_stages_keep_clashing_columns_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.select((docs["doc_id"] % 7).alias("doc_id"), *docs.columns[1:])).unionByName(docs.limit(3).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes}))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        extra = ["shard", "slot", "grown_shard"] if name == "sharding" else []
+        assert out.columns == [c for c in docs.columns if c not in extra] + extra
+        rows = out.collect()
+        assert rows and all(r[c] is None or r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES if c not in extra)
+        assert all(stage(spark, docs.filter("false"), SF).count() == 0 for _ in range(1))
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(Path(folder, "tables").glob("*"))
+    corpus_pipeline.run(spark, SF).count()
+    assert len(set(Path(folder, "tables").glob("*")) - before) == 1

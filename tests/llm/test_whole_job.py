@@ -1,18 +1,21 @@
 """What the operators must find besides what their own tests ask."""
 
+import math
 import random
 from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import queries
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
 from framewright.llm.names import distinct
 from framewright.llm.secrets import candidates, secret_scan
-from framewright.llm.simhash import one_of_each
+from framewright.llm.sharding import rendezvous_shards
+from framewright.llm.simhash import grow, one_of_each, tree_links
 from framewright.llm.substring_dedup import substring_dedup
 from framewright.llm.suffix_dedup import suffix_array_dedup
 
@@ -107,3 +110,40 @@ def test_partners_show_repeats_below_the_length(spark):
     out = {r["doc_id"]: r for r in suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(not out[i]["spans"] for i in out)
     assert all((out[i]["n_partners"] > 0) == (i < 100) for i in out)
+
+
+def test_trees_have_depth_and_skip_edges():
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) & np.uint64((1 << 24) - 1))
+    tree = np.sort(rng.integers(0, 3, len(fp)))
+    levels = grow(fp, tree)
+    assert len(levels) > 3 and sum(len(x.root) for x in levels) == len(fp)
+    visits = []
+    got = {tuple(sorted(x)) for a, b in tree_links(fp, tree, 2, visits) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    apart = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    want = {(a, b) for a, b in np.argwhere((apart <= 2) & (tree[:, None] == tree[None, :])).tolist() if a < b}
+    assert got == want and want
+    assert sum(visits) < 0.8 * sum((tree == t).sum() ** 2 for t in range(3))
+
+
+def test_one_of_each_ignores_names_and_repeats_itself(spark):
+    rows = [(1, "a b c d e f", k, {"m": k}) for k in range(6)] + [(2, "p q r s t u", 9, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, row map<string,int>").withColumns({"none": F.lit(1), "id": F.lit(2), "_hash": F.lit(3)})
+    kept = [one_of_each(df.repartition(n)) for n in (1, 5)]
+    assert all(k.columns == df.columns for k in kept)
+    one, two = (sorted((r["doc_id"], r["_id"], r["none"], r["_hash"]) for r in k.collect()) for k in kept)
+    assert one == two and [r[0] for r in one] == [1, 2]
+
+
+def test_winner_is_the_highest_score(spark):
+    weights = (1.0, 2.0, 0.5, 0.0, 1.0)
+    ids = [*range(300), -5, 2**62]
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rendezvous_shards(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), weights=weights, new_weight=3.0).collect()}
+
+    def score(key, shard, weight):
+        first = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
+        digest = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), first)
+        return -weight / math.log(((digest >> 11) + 0.5) / 2.0**53)
+
+    best = lambda key, ws: max((score(key, s, w), s) for s, w in enumerate(ws) if w)[1]
+    assert got == {i: (best(i, weights), best(i, (*weights, 3.0))) for i in ids}
