@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is
 written and read again before the next. A stage keeps whole rows; mixing repeats those that it
-takes twice; sharding adds the shard and the place in it.
+takes twice; sharding adds the shard and the place in it. Nulls, ties, repeated rows and empty
+tables are handled as each stage's operator says; columns beyond those of documents come along
+whatever their names, but for those named shard, slot or grown_shard, which sharding replaces.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import shared_table
+from framewright.llm.common import drop_table, shared_table
 from framewright.llm.decontaminate import without_contaminated
 from framewright.llm.mixing import mixed_rows
 from framewright.llm.quality_classifier import fit_quality
-from framewright.llm.sharding import rendezvous_shards
+from framewright.llm.sharding import sharded_rows
 from framewright.llm.simhash import one_of_each
 
 SHARDS = 24
@@ -43,8 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and place."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return rendezvous_shards(docs, weights=(1.0,) * SHARDS, carry=rest).select(*docs.columns, "shard", "slot", "grown_shard")
+    return sharded_rows(docs, weights=(1.0,) * SHARDS)
 
 
 STAGES = [
@@ -60,9 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; of the tables between them only the last stays, which the result reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = shared_table(docs)
+            if before is not None:
+                drop_table(before)
+            before = docs
     return docs
