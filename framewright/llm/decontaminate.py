@@ -5,10 +5,11 @@ corpus holds, and nothing is dropped for being common. A document passage that h
 a bound on its score from the words that it shares with the item; one that can score enough is
 aligned with the item word by word (local alignment, linear gaps). The score, relative to a
 perfect copy, also finds edited and paraphrased copies. A copy without ``n`` words of the item in
-a row has no seed and is not found.
+a row has no seed and is not found; an item of fewer than ``n`` words is one seed, all its words
+in a row, and any copy of it scores 1.
 
-Items are the query set: they are collected and sent to the executors in blocks of a fixed number
-of items, one pass over the documents a block, so nothing that is broadcast grows with the data.
+Items are the query set: they are collected and sent to the executors in blocks of a fixed size in
+bytes, one pass over the documents a block, so nothing that is broadcast grows with the data.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import mix, split_words, word_names
 
 CHUNK = 1 << 19
-#: Items in a block; at the usual hundred words an item that is some 5 MB to broadcast.
-BLOCK_ITEMS = 2000
+#: Bytes of the items of a block (some 25,000 of a hundred words); with names and seeds it is some four times as much to broadcast.
+BLOCK_BYTES = 16 << 20
 #: Alignment: what a word in common, a changed word, and a word left out or put in are worth.
 MATCH, MISMATCH, GAP_COST = 2, -1, 1
 
@@ -51,10 +52,10 @@ def fold(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def ngrams(names: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the n-grams within documents and the words that they start at."""
+    """Names of the n-grams within documents and the words that they start at; other n, other names."""
     at = np.arange(max(0, len(names) - n + 1))
     at = at[doc[at] == doc[at + n - 1]]
-    out = np.zeros(len(at), np.uint64)
+    out = np.full(len(at), n, np.uint64)
     for k in range(n):
         out += names[at + k] * _K[k]
         out ^= out >> np.uint64(29)
@@ -123,6 +124,7 @@ class Items:
 
     ids: list[int | None]
     words: list[np.ndarray]
+    #: Names of the items' n-grams, or of all words of a shorter item, and the items that they are of.
     seeds: np.ndarray
     seed_item: np.ndarray
     n: int
@@ -150,21 +152,22 @@ class Items:
     def passages(self, texts: Sequence[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, item, names, starts, ends) of the passages around seeds that can score enough; seeds near each other share one."""
         names, starts, ends, doc = fold(texts)
-        grams, at = ngrams(names, doc, self.n)
         if not hasattr(self, "lookup"):
             self.wanted, first = np.unique(self.seeds, return_index=True)
             self.first = np.append(first, len(self.seeds))
             self.length = np.array([len(w) for w in self.words])
+            self.widths = np.unique(np.minimum(self.length, self.n)).tolist()
             self.lookup = Lookup(self.wanted)
             self.salt = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64))
             self.members = Lookup(np.unique(np.concatenate([w + salt for w, salt in zip(self.words, self.salt, strict=True)])))
-        hit, seed = self.lookup(grams)
+        hits = [(at[hit], seed) for grams, at in (ngrams(names, doc, width) for width in self.widths) for hit, seed in [self.lookup(grams)]]
+        hit, seed = (np.concatenate(x) for x in zip(*hits, strict=True))
         if not len(hit):
             return
         # a seed may belong to several items
         count = self.first[seed + 1] - self.first[seed]
         which = np.repeat(self.first[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place, item = np.repeat(at[hit], count), self.seed_item[which]
+        place, item = np.repeat(hit, count), self.seed_item[which]
         order = np.lexsort((place, item))
         place, item = place[order], item[order]
         text, length = doc[place], self.length[item]
@@ -245,21 +248,21 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x.lower().encode() if isinstance(x, str) else b"" for x in batch.column(column).to_pylist()]
 
 
-def item_blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int, least_score: float, block_items: int) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int, least_score: float, block_bytes: int) -> Iterator[Items]:
     """The benchmark's items in blocks, with all their n-grams as seeds."""
     rows = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null").distinct()
-    total = rows.count()
-    blocks = max(1, -(-total // block_items))
+    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
         own = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"], r["item_id"]) for r in dealt.filter(F.col("block") == block).collect())
         words = [fold([r[2].lower().encode()])[0] for r in own]
-        keep = [i for i, w in enumerate(words) if len(w) >= n]
+        keep = [i for i, w in enumerate(words) if len(w)]
         ids, words = [own[i][3] for i in keep], [words[i] for i in keep]
         if not words:
             continue
         # a seed that an item repeats counts once
-        grams = [np.unique(ngrams(w, np.zeros(len(w), int), n)[0]) for w in words]
+        grams = [np.unique(ngrams(w, np.zeros(len(w), int), min(n, len(w)))[0]) for w in words]
         seeds, seed_item = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         order = np.argsort(seeds, kind="stable")
         yield Items(ids, words, seeds[order], seed_item[order], n, least_score)
@@ -268,18 +271,18 @@ def item_blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, n: i
 PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of documents and benchmark items that they hold a copy of.
 
     doc_id, item_id, score (of the best alignment, 1 for a perfect copy of the whole item),
-    start_byte and end_byte (of the lower-cased UTF-8 text) of the aligned passage. Null and blank texts, and items of
-    fewer than ``n`` words, match nothing; equal items with one id count once; repeated documents
+    start_byte and end_byte (of the lower-cased UTF-8 text) of the aligned passage. Null and blank texts and items
+    match nothing; an item of fewer than ``n`` words is found where all its words stand in a row; equal items with one id count once; repeated documents
     give repeated pairs; null ids stay null; empty tables give no pairs; other columns are not
     read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_items):
+    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):
@@ -295,9 +298,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no copy of an item. Texts are not shuffled."""
-    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_items):
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.45, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole, that hold no copy of an item by ``decontaminate``.
+
+    Texts are not shuffled. Null and blank texts stay; repeated rows and null ids are judged by
+    their texts; without items, or with an empty table, the rows come back; other columns are not
+    read.
+    """
+    for items in item_blocks(benchmark, item_id_col, item_text_col, n, least_score, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):

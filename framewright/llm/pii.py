@@ -2,9 +2,9 @@
 
 Regular expressions with checks find seed entities. The words before an entity are its lexical
 patterns; tokens with digits are candidate instances. Patterns and instances form a bipartite
-graph of counts: a pattern is as sure as its instances, an instance that is no seed as sure as
-its patterns, and a few Spark rounds pass this back and forth. Patterns that stay sure and have
-many different seeds discover identifiers that no regular expression knows.
+graph: a pattern is as sure as its different instances, an instance that is no seed as sure as
+its surest pattern, and a few Spark rounds pass this back and forth. Patterns that are sure and
+have many different seeds discover identifiers that no regular expression knows.
 
 Every text is read once; all later rounds work on narrow tables of entities and candidates.
 """
@@ -68,32 +68,51 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def contexts(text: Column, spans: Column, reach: int = 48) -> Column:
-    """(kind, start, end, value's hash, patterns): a span's patterns are the last word and the last two before it."""
+#: The last word, and the last two, of a text that ends before an entity; quotes and brackets that stand alone are passed over.
+LAST = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D\"'(]*+$"
+LAST_TWO = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D\"'(]*+$"
+
+
+def contexts(text: Column, spans: Column, near: int = 64) -> Column:
+    """(kind, start, end, value's hash, patterns): a span's patterns are the last word and the last two before it.
+
+    They are looked for in the ``near`` characters before the span; if these hold no three
+    beginnings of words, so that a pattern could be cut, in all that is before it.
+    """
+
+    def patterns(before: Column) -> Column:
+        return F.filter(F.array_distinct(F.array(F.regexp_extract(before, LAST_TWO, 1), F.regexp_extract(before, LAST, 1))), lambda p: p != "")
 
     def one(s: Column) -> Column:
-        first = F.greatest(s["start"] - reach, F.lit(0))
-        before = F.lower(F.substring(text, first + 1, s["start"] - first))
-        two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(]*$", 1)
-        last = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(]*$", 1)
-        patterns = F.filter(F.array_distinct(F.array(two, last)), lambda p: p != "")
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), patterns.alias("patterns"))
+        first = F.greatest(s["start"] - near, F.lit(0))
+        close = F.lower(F.substring(text, first + 1, s["start"] - first))
+        whole = (first == 0) | (F.regexp_count(close, F.lit(r"[\x20\x09-\x0D][^\x20\x09-\x0D\"'(]")) >= 2)
+        found = F.when(whole, patterns(close)).otherwise(patterns(F.lower(F.substring(text, F.lit(1), s["start"]))))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), found.alias("patterns"))
 
     return F.transform(spans, one)
 
 
-def scored_patterns(edges: DataFrame, rounds: int) -> DataFrame:
-    """(pattern, score, seeds) from edges (pattern, value, n, seed)."""
+def scored_patterns(edges: DataFrame, rounds: int, doubt: float = 1.0) -> DataFrame:
+    """(pattern, score, seeds) from edges (pattern, value, n, seed).
+
+    A pattern's score is the mean sureness of its different instances, ``doubt`` unsure ones
+    added. A seed is sure; another instance is as sure as its surest pattern among those that have
+    at least two seeds, 0 without one. So a pattern that meets new identifiers keeps a high score
+    if its seeds outnumber them, and new instances of such a pattern support its other patterns.
+    """
     sure = edges.withColumn("sure", F.col("seed").cast("double"))
     for turn in range(rounds):
-        patterns = sure.groupBy("pattern").agg((F.sum(F.col("n") * F.col("sure")) / (F.sum("n") + 1)).alias("score"), F.sum(F.col("seed")).alias("seeds"))
+        patterns = sure.groupBy("pattern").agg((F.sum("sure") / (F.count(F.lit(1)) + doubt)).alias("score"), F.sum("seed").alias("seeds"))
+        patterns = shared_checkpoint(patterns)
         if turn + 1 < rounds:
-            known = edges.filter("seed = 0").join(patterns, "pattern").groupBy("value").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("found"))
-            sure = shared_checkpoint(edges.join(known, "value", "left").withColumn("sure", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("found", F.lit(0.0)))).drop("found"))
+            known = edges.filter("seed = 0").join(patterns.filter("seeds >= 2"), "pattern").groupBy("value").agg(F.max("score").alias("found"))
+            sure = edges.join(shared_checkpoint(known), "value", "left").withColumn("sure", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("found", F.lit(0.0)))).drop("found")
+            sure = shared_checkpoint(sure)
     return patterns
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.95, least_seeds: int = 10, least_digits: int = 4) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, least_score: float = 0.8, least_seeds: int = 10, least_digits: int = 4) -> DataFrame:
     """Every row's personal data: doc_id, spans (kind, start, end; code points, end exclusive).
 
     Kinds email, ip, card and phone are the base; kind ``context`` is what patterns add, outside

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, split_words, word_names
 
-# Frequent short words of the four languages.
+#: Frequent short words of the four languages.
 STOPWORDS = """
 the of and to in a is that it was for on are as with at be this have from or by not but what all were when
 le la les de des du et en un une que qui est pour dans au aux par sur ce il elle
@@ -229,7 +229,7 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 5000, size: int = 1 << 16) -> QualityModel:
     """Label model from all rows' vote patterns; scorer from at most ``bound`` rows, the first by a hash of their id."""
-    cast = docs.select(pattern(F.col(text_col)).alias("votes")).groupBy("votes").count().collect()
+    cast = docs.select(pattern(F.col(text_col).cast("string")).alias("votes")).groupBy("votes").count().orderBy("votes").collect()
     patterns, counts = np.array([r["votes"] for r in cast], np.int64), np.array([r["count"] for r in cast], float)
     labels = fit_label_model(patterns, counts)
     key = F.col(id_col).cast("long")
@@ -250,8 +250,10 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(used, len(w.n)), pa.array(scale @ votes(w, stop)), *(pa.array(c, pa.binary()) for c in cells)], schema=schema)
                 used += len(w.n)
 
-    # repeated ids must not lift the sample over its bound
-    own = rows.mapInArrow(run, "key long, votes long, feature binary, value binary").dropDuplicates(["key"]).orderBy(F.xxhash64("key")).limit(bound).collect()
+    # repeated ids must not lift the sample over its bound; of their texts the least by what is learned from it stays
+    seen = rows.mapInArrow(run, "key long, votes long, feature binary, value binary")
+    cells = F.struct(F.xxhash64("votes", "feature", "value").alias("hash"), "votes", "feature", "value")
+    own = seen.groupBy("key").agg(F.min(cells).alias("own")).select("key", "own.*").orderBy(F.xxhash64("key"), "key").limit(bound).collect()
     feature = [np.frombuffer(r["feature"], np.int32) for r in own]
     doc = np.repeat(np.arange(len(own)), [len(f) for f in feature])
     value = [np.frombuffer(r["value"], np.float32) for r in own]

@@ -173,8 +173,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_co
     ids = ids.groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
     stats = text_statistics(own.drop("bad"), "doc_id", "text").join(F.broadcast(ids), "doc_id")
-    # one row for each distinct set of figures and id: a label's copies don't multiply
-    found = stats.select("doc_id", "bad", *FEATURES).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(bound)
+    # one row an id, of repeated ids the least figures: a label's copies don't multiply, and reruns agree
+    found = stats.groupBy("doc_id").agg(F.min(F.struct("bad", *FEATURES)).alias("own")).select("doc_id", "own.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return [r.asDict() for r in found.collect() if not (r["n_words"] < 10 or r["repeat_rate"] > 0.2)]
 
 

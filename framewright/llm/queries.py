@@ -57,7 +57,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(documents(spark, sf_dir))
-    return out.select("doc_id", *map(counted, SECRET_KINDS), *digest(SECRET_KINDS))
+    return out.select("doc_id", *map(counted, SECRET_KINDS), *digest(SECRET_KINDS), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data(documents(spark, sf_dir))
-    return out.select("doc_id", *map(counted, PII_KINDS), *digest(PII_KINDS))
+    return out.select("doc_id", *map(counted, PII_KINDS), *digest(PII_KINDS), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

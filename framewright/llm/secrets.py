@@ -3,8 +3,9 @@
 Base patterns find credentials of known form. A bounded sample of these labelled values forms a
 prefix tree over character classes for each kind; states whose futures are statistically
 compatible (Hoeffding bounds on their exits, recursively) are merged, which gives a probabilistic
-automaton of the kind's format. Every token of six characters or more, or part of one, that the base did not cover is scored by how much
-likelier it is under an automaton than under ordinary tokens, a character; tokens that come
+automaton of the kind's format. Every token of six characters or more, or part of one,
+that the base did not cover is scored by how much likelier it is under an automaton than under
+ordinary tokens, a character; tokens that come
 nearer to the labelled ones than to ordinary ones are added as spans of kind ``format``. Long
 tokens of letters and digits are held against their own kind; all others against theirs, and,
 being so many, must also outweigh their number by the likelihood of the whole token.
@@ -200,10 +201,10 @@ def long_tokens(text: str, base: Sequence[tuple[str, int, int]]) -> Iterator[tup
             yield m.start(), m.end()
 
 
-def fit_formats(docs: DataFrame, text_col: str = "text", bound: int = 400, least_labelled: int = 20) -> FormatModel:
+def fit_formats(docs: DataFrame, text_col: str = "text", bound: int = 400, least_labelled: int = 20, longest: int = 256) -> FormatModel:
     """Automata from at most ``bound`` distinct values of each base kind, and as many ordinary tokens, the first by hash.
 
-    The fit reads the first 256 characters of a value; scores are of whole tokens.
+    The sample is of whole values of at most ``longest`` characters; all tokens are scored, whole.
     """
     schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
@@ -218,15 +219,17 @@ def fit_formats(docs: DataFrame, text_col: str = "text", bound: int = 400, least
                 base = base_spans(text)
                 for kind, start, end in base:
                     value = ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
-                    kinds.append(kind)
-                    values.append(value[:256])
+                    if len(value) <= longest:
+                        kinds.append(kind)
+                        values.append(value)
                 long = set(long_tokens(text, base))
                 for start, end in long:
-                    kinds.append("ordinary")
-                    values.append(text[start:end][:256])
-                rest = [text[start:end][:256] for start, end in candidates(text, base) if (start, end) not in long]
+                    if end - start <= longest:
+                        kinds.append("ordinary")
+                        values.append(text[start:end])
+                rest = [(start, end) for start, end in candidates(text, base) if (start, end) not in long]
                 total += len(rest)
-                other.update(rest)
+                other.update(text[start:end] for start, end in rest if end - start <= longest)
             for value in other:
                 # as Spark's, so that the sample does not depend on the tasks
                 h = int.from_bytes(xxhash.xxh64_digest(value.encode(), 42), signed=True)
@@ -234,7 +237,7 @@ def fit_formats(docs: DataFrame, text_col: str = "text", bound: int = 400, least
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([0] * len(kinds), pa.int64())], schema=schema)
         # these tokens are most of the text: a task sends one a slot, and their number
         values = [value for _, value in least.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(["other"] * len(values), pa.string()), pa.array(values, pa.string()), pa.array([total, *[0] * len(values)][: len(values)], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(["all", *["other"] * len(values)], pa.string()), pa.array(["", *values], pa.string()), pa.array([total, *[0] * len(values)], pa.int64())], schema=schema)
 
     seen = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, value string, n long")
     # the first value by hash of each of ``bound`` hash slots: each task sends one a slot at most

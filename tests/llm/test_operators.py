@@ -295,9 +295,9 @@ def test_decontaminate(spark, docs):
     rows += [(200, " ".join(items[0] + text(20) + items[3])), (None, " ".join(items[0])), (0, rows[0][1]), (201, None), (202, "")]
     want |= {(200, 0), (200, 3), (None, 0)}
     corpus = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x"))
-    bench = spark.createDataFrame([*((k, " ".join(w)) for k, w in enumerate(items)), (98, None), (99, ""), (97, "two words"), (0, " ".join(items[0]))], "item_id long, text string")
-    for block in (2000, 7):
-        got = decontaminate(corpus, bench, block_items=block).collect()
+    bench = spark.createDataFrame([*((k, " ".join(w)) for k, w in enumerate(items)), (98, None), (99, ""), (97, "two unseenwords"), (0, " ".join(items[0]))], "item_id long, text string")
+    for block in (1 << 20, 3000):
+        got = decontaminate(corpus, bench, block_bytes=block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want
         assert len(got) == len(want) + 1
     full = next(r for r in got if (r["doc_id"], r["item_id"]) == (None, 0))
