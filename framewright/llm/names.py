@@ -97,22 +97,29 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def seed_parts(names: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Buckets and what is sent of seeds' 64-bit names: 40 bits."""
-    return ((names >> np.uint64(40)) % np.uint64(n)).astype(np.int64), [names.astype(np.uint32), (names >> np.uint64(32)).astype(np.uint8)]
+def pack_sorted(key: np.ndarray, size: int) -> bytes:
+    """Ascending numbers of ``size`` bytes as differences, all first bytes, then all second ones ...: the last are mostly zero."""
+    return np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
-def window_parts(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Buckets and what is sent of windows' names: 80 bits."""
-    return ((b >> np.uint64(16)) % np.uint64(n)).astype(np.int64), [a, b.astype(np.uint16)]
+def unpack_sorted(data: bytes, n: int, size: int) -> np.ndarray:
+    cells = np.zeros((n, 8), np.uint8)
+    cells[:, :size] = np.frombuffer(data, np.uint8, n * size).reshape(size, n).T
+    return np.cumsum(cells.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def send(home: Home, bucket: np.ndarray, columns: list[np.ndarray], n: int, extra: bytes = b"") -> pa.Table:
-    """One row for each bucket that has names: each column's cells in turn. ``extra`` travels with one row there and back."""
+#: Bytes that are sent of a seed's name and of the first half of a window's.
+SEED, WINDOW = 5, 8
+SEED_MASK = np.uint64((1 << 8 * SEED) - 1)
+
+
+def send(home: Home, bucket: np.ndarray, key: np.ndarray, size: int, columns: list[np.ndarray], n: int, extra: bytes = b"") -> pa.Table:
+    """One row for each bucket that has names: their ascending keys, then each column's cells. ``extra`` travels with one row there and back."""
     order, at = by_bucket(bucket, n)
     own = [(b, order[at[b] : at[b + 1]]) for b in np.flatnonzero(np.diff(at)).tolist()]
     own = own or ([(home.number % n, order)] if extra else [])
-    rows = {"bucket": [b for b, _ in own], "home": [home.number] * len(own), "names": [b"".join(c[o].tobytes() for c in columns) for _, o in own], "extra": [extra if k == 0 else b"" for k in range(len(own))]}
+    names = [b"".join([pack_sorted(key[o], size), *(c[o].tobytes() for c in columns)]) for _, o in own]
+    rows = {"bucket": [b for b, _ in own], "home": [home.number] * len(own), "names": names, "extra": [extra if k == 0 else b"" for k in range(len(own))]}
     return pa.table(rows, schema=SENT_ARROW)
 
 
@@ -142,21 +149,22 @@ def resolve_texts(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(np.concatenate([shared[e - t.shape[1] : e], smaller[e - t.shape[1] : e]])).tobytes() for t, e in zip(tables, ends, strict=True)]
 
 
-def resolver(kinds: tuple[str, ...], ranked: bool, texts: bool = False) -> Callable[[pa.Table], pa.Table]:
+def resolver(size: int, kinds: tuple[str, ...] = (), texts: bool = False) -> Callable[[pa.Table], pa.Table]:
     """Bucket step: sort the names, compare neighbours, answer by row.
 
-    A bit says that another home has the name too or, if ranked, that another home has it at a
-    smaller rank than this home's smallest. Names are of two columns; ranks are the third.
+    Names are keys of ``size`` bytes and, if ``kinds`` says so, second halves and ranks. A bit
+    says that another home has the name too or, if there are ranks, that another home has it at
+    a smaller rank than this home's smallest.
     """
-    kinds = (*kinds, "i8") if ranked else kinds
     sizes = [np.dtype(k).itemsize for k in kinds]
 
     def resolve(table: pa.Table) -> pa.Table:
         blobs = table.column("names").to_pylist()
-        counts = [len(x) // sum(sizes) for x in blobs]
-        columns = [np.concatenate([np.frombuffer(x, kind, count=c, offset=c * sum(sizes[:k])) for x, c in zip(blobs, counts, strict=True)]) for k, kind in enumerate(kinds)]
-        first, at, count = distinct(columns[0], columns[1])
-        bits = least_ranks(columns[2], at, len(first))[at] < columns[2] if ranked else count[at] > 1
+        counts = [len(x) // (size + sum(sizes)) for x in blobs]
+        key = np.concatenate([unpack_sorted(x, c, size) for x, c in zip(blobs, counts, strict=True)])
+        columns = [np.concatenate([np.frombuffer(x, kind, c, c * (size + sum(sizes[:k]))) for x, c in zip(blobs, counts, strict=True)]) for k, kind in enumerate(kinds)]
+        first, at, count = distinct(key, columns[0] if columns else np.zeros(len(key), bool))
+        bits = least_ranks(columns[1], at, len(first))[at] < columns[1] if len(columns) > 1 else count[at] > 1
         if texts:
             table = table.set_column(3, "extra", pa.array(resolve_texts(table.column("extra").to_pylist()), pa.binary()))
         ends = np.cumsum(counts)
@@ -276,14 +284,20 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
     n = n_homes // 2
     dealt = homes(docs, id_col, text_col, n_homes)
 
-    def seeds_of(home: Home) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        names, at, count = np.unique(job.seeds(home), return_inverse=True, return_counts=True)
-        return *seed_parts(names, n), at, count
+    def seeds_of(home: Home) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket and key of each distinct name, in the order of keys; the number of each seed's; how often each occurs."""
+        seeds = job.seeds(home)
+        key, rest = seeds & SEED_MASK, seeds >> np.uint64(8 * SEED)
+        first, at, count = distinct(key, rest)
+        return (rest[first] % np.uint64(n)).astype(np.int64), key[first], at, count
+
+    def window_bucket(half: np.ndarray) -> np.ndarray:
+        return ((half >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
 
     def first(table: pa.Table) -> pa.Table:
         home = Home(table)
-        bucket, columns, _, _ = seeds_of(home)
-        sent = send(home, bucket, columns, n)
+        bucket, key, _, _ = seeds_of(home)
+        sent = send(home, bucket, key, SEED, [], n)
         return Copies(home, job.least_size, n).send(sent, home, n) if job.silence_copies else sent
 
     def second(table: pa.Table, answered: pa.Table) -> pa.Table:
@@ -299,11 +313,11 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
             copied = pack_mask(whole)
         a, b = job.names(home, mask)
         names, at, _ = distinct(a, b)
-        bucket, columns = window_parts(a[names], b[names], n)
+        columns = [b[names].astype(np.uint16)]
         if job.ranked:
             columns.append(least_ranks(job.ranks(home, mask), at, len(names)))
         extra = [copied, pack_mask(mask), zlib.compress(flagged.astype(np.uint32).tobytes(), 1) if flagged.any() else b""]
-        return send(home, bucket, columns, n, pack_parts(extra))
+        return send(home, window_bucket(b[names]), a[names], WINDOW, columns, n, pack_parts(extra))
 
     def last(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -314,7 +328,7 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
         if mask.any():
             a, b = job.names(home, mask)
             names, at, count = distinct(a, b)
-            bit = answers(window_parts(a[names], b[names], n)[0], n, answered)
+            bit = answers(window_bucket(b[names]), n, answered)
             if job.ranked:
                 ranks = job.ranks(home, mask)
                 hit = bit[at] | (ranks > least_ranks(ranks, at, len(names))[at])
@@ -325,7 +339,7 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
             mask |= np.repeat(unpack_mask(copied, len(home.texts)), [len(t) for t in home.texts])
         return job.finish(home, mask, np.frombuffer(zlib.decompress(flagged), np.uint32) if flagged else np.zeros(len(home.texts), np.uint32))
 
-    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver(("u4", "u1"), False, job.silence_copies), SENT)
+    told = dealt.groupBy("home").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(resolver(SEED, texts=job.silence_copies), SENT)
     named = dealt.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(second, SENT)
-    settled = named.groupBy("bucket").applyInArrow(resolver(("u8", "u2"), job.ranked), SENT)
+    settled = named.groupBy("bucket").applyInArrow(resolver(WINDOW, ("u2", "i8") if job.ranked else ("u2",)), SENT)
     return dealt.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(last, ddl)

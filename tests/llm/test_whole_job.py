@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm import queries
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
-from framewright.llm.names import distinct
+from framewright.llm.names import distinct, pack_sorted, unpack_sorted
+from framewright.llm.pii import base_spans, contexts, personal_data
+from framewright.llm.quality_classifier import ABSTAIN, BAD, GOOD, LABELLERS, START, fit_label_model, fit_quality, quality_classifier
+from framewright.llm.quality_rules import labelled_statistics
 from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.sharding import rendezvous_shards
 from framewright.llm.simhash import grow, one_of_each, tree_links
@@ -147,3 +150,155 @@ def test_winner_is_the_highest_score(spark):
 
     best = lambda key, ws: max((score(key, s, w), s) for s, w in enumerate(ws) if w)[1]
     assert got == {i: (best(i, weights), best(i, (*weights, 3.0))) for i in ids}
+
+
+def test_sorted_names_come_back():
+    rng = np.random.default_rng(5)
+    for size in (5, 8):
+        key = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - 8 * size))
+        for some in (key, key[:1], key[:0]):
+            data = pack_sorted(some, size)
+            assert len(data) == size * len(some) and unpack_sorted(data, len(some), size).tolist() == some.tolist()
+
+
+def test_decontaminate_short_items(spark):
+    items = [(1, "paris france"), (2, "Xylograph"), (3, "a b c d e f g"), (4, " .,! "), (5, "paris")]
+    rows = [(1, "Paris, France"), (2, "in paris . france it is"), (3, "paris of france"), (4, "one xylograph!"), (5, "nothing"), (6, "a b x y e f g")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    whole = {x for x in got if x[1] != 3}
+    assert whole == {(1, 1, 1.0), (2, 1, 1.0), (1, 5, 1.0), (2, 5, 1.0), (3, 5, 1.0), (4, 2, 1.0)}
+    assert {x[:2] for x in got if x[1] == 3} == {(6, 3)}
+
+
+def plain_alignment(item, passage):
+    """Smith-Waterman in plain words: 2 for a match, -1 for a changed, left out or additional word."""
+    row, best = [0] * (len(passage) + 1), 0
+    for a in item:
+        new = [0]
+        for j, b in enumerate(passage):
+            new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_decontaminate_against_all_alignments(spark):
+    rng = random.Random(12)
+    words = [f"w{n}" for n in range(400)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(rng.randrange(8, 40)) for _ in range(25)]
+
+    def edited(w, share):
+        out = []
+        for x in w:
+            roll = rng.random()
+            out += [] if roll < share / 3 else [rng.choice(words)] if roll < share * 2 / 3 else [x, rng.choice(words)] if roll < share else [x]
+        return out
+
+    rows = [(k, text(rng.randrange(5, 40)) + edited(items[k % 25], 0.05 * (k // 25)) + text(rng.randrange(5, 40))) for k in range(200)]
+    want = {}
+    for d, w in rows:
+        for k, item in enumerate(items):
+            score = plain_alignment(item, w) / (2 * len(item))
+            if score >= 0.45:
+                want[d, k] = score
+    corpus = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate(corpus, bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 100
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_long_words_make_whole_patterns(spark):
+    end = "z" * 90
+    rows = [(i, f"see {'q' * 40}{i % 2}{end} user{i}@mail.example.com") for i in range(4)]
+    text, spans = F.col("text"), base_spans(F.col("text"))
+    out = spark.createDataFrame(rows, "doc_id long, text string").select(F.inline(contexts(text, spans))).collect()
+    assert sorted(tuple(r["patterns"]) for r in out) == sorted((f"see {'q' * 40}{i % 2}{end}", f"{'q' * 40}{i % 2}{end}") for i in range(4))
+
+
+def test_held_out_identifiers(spark):
+    """Half of the identifiers are such as no base pattern knows; patterns learned from the others find them, and no year or price."""
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "zu") for b in ("ra", "to", "ne", "li", "po")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    cues = ["call me at", "reach us under", "my card is", "write to"]
+    known = [lambda i: f"+1 (415) 555-{1000 + i}", lambda i: f"10.1.{i % 250}.{i % 7}", lambda i: f"user{i}@mail.example.com"]
+    rows, want = [], {}
+    for i in range(400):
+        cue = cues[i % 4]
+        if i % 5 == 0:
+            own = f"ID-{rng.randrange(10**6, 10**7)}"
+            want[i] = own
+        else:
+            own = known[i % 3](i)
+        rows.append((i, f"{prose(9)} {cue} {own} {prose(6)}"))
+    rows += [(1000 + i, f"{prose(8)} in the year {1900 + i % 100} {prose(4)} for {rng.randrange(1000, 9999)} dollars") for i in range(300)]
+    out = {r["doc_id"]: r["spans"] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    found = {i: [texts[i][s["start"] : s["end"]] for s in spans if s["kind"] == "context"] for i, spans in out.items()}
+    hit = sum(found[i] == [x] for i, x in want.items())
+    false = sum(len(x) for i, x in found.items() if i not in want)
+    assert hit >= 0.9 * len(want) and false == 0
+
+
+def plain_label_model(patterns, counts, turns):
+    """Expectation-maximisation in plain loops, from the same start and prior."""
+    cast = [[p // 3**j % 3 for j in range(LABELLERS)] for p in patterns]
+    chance = [[list(START[c]) for _ in range(LABELLERS)] for c in range(2)]
+    share = 0.15
+    for _ in range(turns):
+        sure = []
+        for row in cast:
+            like = [(1 - share), share]
+            for j, v in enumerate(row):
+                like = [like[c] * chance[c][j][v] for c in range(2)]
+            sure.append(like[1] / sum(like))
+        new = [[[10 * START[c][v] for v in range(3)] for _ in range(LABELLERS)] for c in range(2)]
+        for row, n, bad in zip(cast, counts, sure, strict=True):
+            for j, v in enumerate(row):
+                new[0][j][v] += n * (1 - bad)
+                new[1][j][v] += n * bad
+        chance = [[[x / sum(cell) for x in cell] for cell in new[c]] for c in range(2)]
+        share = min(max((sum(n * b for n, b in zip(counts, sure, strict=True)) + 1.5) / (sum(counts) + 10), 0.001), 0.5)
+    return chance, share
+
+
+def test_label_model_against_plain_loops():
+    rng = random.Random(14)
+    patterns = sorted({rng.randrange(3**LABELLERS) for _ in range(80)})
+    counts = [rng.randrange(1, 50) for _ in patterns]
+    model = fit_label_model(np.array(patterns), np.array(counts, float), turns=12)
+    chance, share = plain_label_model(patterns, counts, 12)
+    assert np.allclose(model.chance, chance, atol=1e-9) and abs(model.bad_share - share) < 1e-9
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(15)
+    bad = rng.random(20000) < 0.2
+    right = np.linspace(0.7, 0.97, LABELLERS)
+    votes = np.where(rng.random((20000, LABELLERS)) < 0.2, ABSTAIN, np.where(rng.random((20000, LABELLERS)) < right, np.where(bad[:, None], BAD, GOOD), np.where(bad[:, None], GOOD, BAD)))
+    patterns, counts = np.unique(votes @ 3 ** np.arange(LABELLERS), return_counts=True)
+    model = fit_label_model(patterns, counts.astype(float))
+    assert np.abs(model.accuracy() - right).max() < 0.02 and abs(model.bad_share - 0.2) < 0.02
+
+
+def test_scorer_against_held_out_labels(spark):
+    """The scorer's plain form: logistic of the mean weight of words and shapes; on sf0.01 it must agree with held-out posterior labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_quality(docs, bound=400)
+    rest = [r for r in quality_classifier(docs, model=model).collect() if abs(r["label"] - 0.5) > 0.4]
+    right = [(r["label"] < 0.5) == r["kept"] for r in rest]
+    bad = [r["kept"] for r in rest if r["label"] > 0.5]
+    assert sum(right) >= 0.95 * len(right) and sum(bad) <= 0.2 * len(bad) and bad
+
+
+def test_samples_of_repeated_ids_agree(spark):
+    rng = random.Random(16)
+    rows = [(i % 40, " ".join(rng.choice(["the", "of", "and", "word", "X!!", "**"]) for _ in range(40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (fit_quality(df.repartition(n), bound=30) for n in (1, 7))
+    assert np.array_equal(one.weight, two.weight) and one.bias == two.bias
+    one, two = (sorted(map(str, labelled_statistics(df.repartition(n), labels, "doc_id", "text", "quality", 30))) for n in (1, 7))
+    assert one == two
