@@ -48,9 +48,9 @@ def missing(pairs: DataFrame, files: DataFrame, column: str, name: str = "path")
     return pairs.join(files.select(F.col(name).alias(column)).distinct(), column, "left_anti")
 
 
-def first_existing(pairs: DataFrame, n: int = 5, start: int = 50, number: str = "utt_no") -> DataFrame:
-    """Per (source, target), the first ``n`` utterance numbers from ``start`` on (T5)."""
-    order = Window.partitionBy("source", "target").orderBy(number)
+def first_existing(pairs: DataFrame, n: int = 5, start: int = 50, number: str = "utt_no", by: tuple[str, ...] = ("source", "target"), ties: tuple[str, ...] = ()) -> DataFrame:
+    """Per (source, target), the first ``n`` utterance numbers from ``start`` on (T5); equal numbers come in order of ``ties``."""
+    order = Window.partitionBy(*by).orderBy(number, *ties)
     return pairs.filter(F.col(number) >= start).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 
@@ -75,17 +75,30 @@ def random_partner(utterances: DataFrame, seed: str = "13", by: str = "speaker",
 def evaluation_pairs(utterances: DataFrame, n: int = 5, start: int = 50, skip: int = 25, seed: str = "13") -> DataFrame:
     """(source, target, output_fn, reference_fn, label): conversions (0) and same-speaker truths (1).
 
-    ``utterances`` has (speaker, utt_no, utt). Each ordered pair takes the first ``n`` sentences
-    from ``start`` on that both speakers have; each gets a row with label 0 and a pair of
-    different utterances of the target with label 1, out of those after the first ``skip``.
-    Pairs with fewer sentences get as many as there are.
+    ``utterances`` has (speaker, utt_no, utt); a file is ``speaker/utt.wav``. Each ordered pair
+    of speakers takes the first ``n`` sentences from ``start`` on that both have: the conversion
+    ``source-target/utt.wav`` against the target's file, label 0. Beside these it takes the
+    source's first ``n`` own sentences from ``start`` on, each against another file of the source
+    that a hash of (seed, pair, utterance) draws from those after its first ``skip`` by name,
+    label 1. Speakers with fewer sentences give as many rows as there are; a sentence without
+    another file to draw gives none.
     """
-    chosen = first_existing(parallel_by_number(utterances.withColumn("utt", F.col("utt"))), n, start)
-    number = F.lpad(F.col("utt_no").cast("string"), 3, "0")
-    converted = chosen.select("source", "target", F.concat(F.concat_ws("-", "source", "target"), F.lit("/"), F.col("source"), F.lit("_"), number, F.lit(".wav")).alias("output_fn"), F.concat(F.col("target"), F.lit("_"), number, F.lit(".wav")).alias("reference_fn"), F.lit(0).alias("label"))
-    partners = random_partner(drop_first(utterances, skip), seed)
-    partners = partners.withColumn("k", F.row_number().over(Window.partitionBy("speaker").orderBy(shuffled(f"{seed}k", F.col("utt")), "utt")))
-    wanted = chosen.withColumn("k", F.row_number().over(Window.partitionBy("source", "target").orderBy("utt_no")))
-    truth = wanted.join(partners.select(F.col("speaker").alias("target"), "k", "utt", "partner"), ["target", "k"])
-    truth = truth.select(F.col("target").alias("source"), "target", F.concat("utt", F.lit(".wav")).alias("output_fn"), F.concat("partner", F.lit(".wav")).alias("reference_fn"), F.lit(1).alias("label"))
+    rows = utterances.select("speaker", "utt_no", "utt")
+    wav = lambda folder, name: F.concat(folder, F.lit("/"), name, F.lit(".wav"))
+    source, target = F.col("source"), F.col("target")
+    both = first_existing(parallel_by_number(rows), n, start, ties=("s_utt", "t_utt"))
+    converted = both.select("source", "target", wav(F.concat_ws("-", "source", "target"), F.col("s_utt")).alias("output_fn"), wav(target, F.col("t_utt")).alias("reference_fn"), F.lit(0).alias("label"))
+
+    by_name = Window.partitionBy("speaker").orderBy("utt", "utt_no")
+    choices = rows.withColumn("place", F.row_number().over(by_name) - 1 - skip).filter("place >= 0").select(F.col("speaker").alias("source"), "place", "utt", "utt_no")
+    count = choices.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    own = first_existing(rows, n, start, by=("speaker",), ties=("utt",)).select(F.col("speaker").alias("source"), "utt", "utt_no")
+    own = own.join(choices, ["source", "utt", "utt_no"], "left").join(count, "source").join(speaker_pairs(rows), "source")
+    # one choice less if the utterance is itself among them: places from its own on move up
+    left = F.col("n") - F.when(F.col("place").isNull(), 0).otherwise(1)
+    drawn = F.conv(F.substring(shuffled(seed, F.concat_ws(":", "source", "target", "utt")), 1, 8), 16, 10).cast("long") % F.when(left > 0, left)
+    own = own.withColumn("drawn", drawn).withColumn("drawn", F.col("drawn") + F.when(F.col("drawn") >= F.col("place"), 1).otherwise(0))
+    partner = choices.select("source", F.col("place").alias("drawn"), F.col("utt").alias("partner"))
+    truth = own.select("source", "utt", "drawn").join(partner, ["source", "drawn"])
+    truth = truth.select("source", source.alias("target"), wav(source, F.col("utt")).alias("output_fn"), wav(source, F.col("partner")).alias("reference_fn"), F.lit(1).alias("label"))
     return converted.unionByName(truth)

@@ -653,6 +653,67 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAR = f"select utt_no, a.speaker source, b.speaker target, a.utt s_utt, b.utt t_utt from ({_UTTS}) a join ({_UTTS}) b using (utt_no) where a.speaker <> b.speaker"
 
 
+@query(_PAR + " and utt_no in (50, 55, 60, 61, 62)")
+def parallel_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.parallel_by_number(utterances(spark, sf_dir), [50, 55, 60, 61, 62]).select("utt_no", "source", "target", "s_utt", "t_utt")
+
+
+@query(f"select source, target, utt_no, s_utt, t_utt from (select *, row_number() over (partition by source, target order by utt_no, s_utt, t_utt) k from ({_PAR}) where utt_no >= 50) where k <= 5")
+def first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs.parallel_by_number(utterances(spark, sf_dir)).withColumn("order", F.struct("utt_no", "s_utt", "t_utt"))
+    n = pairs.first_existing(rows.withColumnRenamed("utt_no", "no").withColumn("utt_no", F.col("no")).filter("no >= 50"), 1 << 30)
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("order"))
+    return n.withColumn("k", place).filter("k <= 5").select("source", "target", "utt_no", "s_utt", "t_utt")
+
+
+@query(f"select speaker, utt from (select *, row_number() over (partition by speaker order by utt) k from ({_UTTS})) where k > 2")
+def drop_first_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.drop_first(utterances(spark, sf_dir), 2).select("speaker", "utt")
+
+
+@query(f"""select speaker, utt, partner from (select speaker, utt, coalesce(lead(utt) over w, first(utt) over (partition by speaker order by md5('13:' || utt), utt rows between unbounded preceding and unbounded following)) partner
+ from ({_UTTS}) window w as (partition by speaker order by md5('13:' || utt), utt)) where partner <> utt""")
+def random_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.random_partner(utterances(spark, sf_dir)).select("speaker", "utt", "partner")
+
+
+@query(f"""with u as ({_UTTS}), s as (select distinct speaker from u),
+ p as (select *, row_number() over (partition by source, target order by utt_no, s_utt, t_utt) k from ({_PAR}) where utt_no >= 50),
+ c as (select *, row_number() over (partition by speaker order by utt, utt_no) - 2 place from u),
+ m as (select speaker, count(*) n from c where place >= 0 group by speaker),
+ f as (select * from (select *, row_number() over (partition by speaker order by utt_no, utt) k from c where utt_no >= 50) where k <= 5),
+ o as (select f.speaker, f.utt, f.place, n - (f.place >= 0)::int room, ('0x' || left(md5('13:' || f.speaker || ':' || s.speaker || ':' || f.utt), 8))::bigint h from f join m using (speaker) join s on s.speaker <> f.speaker),
+ d as (select speaker, utt, h % room + case when place >= 0 and h % room >= place then 1 else 0 end drawn from o where room > 0)
+ select source, target, source || '-' || target || '/' || s_utt || '.wav' output_fn, target || '/' || t_utt || '.wav' reference_fn, 0 as label from p where k <= 5
+ union all select speaker, speaker, speaker || '/' || d.utt || '.wav', speaker || '/' || c.utt || '.wav', 1 from d join c using (speaker) where c.place = d.drawn""")
+def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.evaluation_pairs(utterances(spark, sf_dir), n=5, start=50, skip=1)
+
+
+@query("select a.n_name source, b.n_name target from nation a, nation b where a.n_name <> b.n_name")
+def speaker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.speaker_pairs(table(spark, sf_dir, "nation"), "n_name")
+
+
+@query("select s_nationkey file_name, s_suppkey s_utt, c_custkey t_utt from supplier join customer on c_nationkey = s_nationkey")
+def parallel_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file_name"), F.col("s_suppkey").alias("s_utt"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_name"), F.col("c_custkey").alias("t_utt"))
+    return pairs.parallel_by_name(s, t).select("file_name", "s_utt", "t_utt")
+
+
+#: Utterances: a supplier of a nation is that speaker's reading of the sentence s_suppkey % 60 + 40.
+_UTTS = "select n_name speaker, (s_suppkey % 60 + 40)::int utt_no, n_name || '_' || s_suppkey utt from supplier join nation on n_nationkey = s_nationkey"
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.select(F.col("n_name").alias("speaker"), (F.col("s_suppkey") % 60 + 40).cast("int").alias("utt_no"), F.concat_ws("_", "n_name", "s_suppkey").alias("utt"))
+
+
+_PAR = f"select utt_no, a.speaker source, b.speaker target, a.utt s_utt, b.utt t_utt from ({_UTTS}) a join ({_UTTS}) b using (utt_no) where a.speaker <> b.speaker"
+
+
 @query(_PAR + " and utt_no in (50, 55, 60, 61, 62)")
 def parallel_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.parallel_by_number(utterances(spark, sf_dir), [50, 55, 60, 61, 62]).select("utt_no", "source", "target", "s_utt", "t_utt")

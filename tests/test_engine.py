@@ -272,11 +272,19 @@ def test_vectors_and_hash(spark):
 
 
 def test_evaluation_pairs(spark):
-    rows = [(s, n, f"{s}_{n:03d}") for s in ("p1", "p2", "p3") for n in range(1, 60)]
+    rows = [(s, n, f"{s}_{n:03d}") for s in ("p1", "p2", "p3") for n in range(1, 60) if (s, n) != ("p3", 51)] + [("p4", 7, "p4_007")]
     out = pairs.evaluation_pairs(spark.createDataFrame(rows, "speaker string, utt_no int, utt string")).collect()
-    assert sum(r["label"] == 0 for r in out) == 6 * 5 and sum(r["label"] == 1 for r in out) == 6 * 5
-    assert all(r["output_fn"] != r["reference_fn"] for r in out)
-    assert ("p1-p2/p1_050.wav", "p2_050.wav") in {(r["output_fn"], r["reference_fn"]) for r in out}
+    files = {f"{s}/{u}.wav" for s, _, u in rows}
+    converted, truth = [r for r in out if not r["label"]], [r for r in out if r["label"]]
+    assert len(converted) == 6 * 5 and len(truth) == 9 * 5
+    assert {(r["output_fn"], r["reference_fn"]) for r in converted if (r["source"], r["target"]) == ("p3", "p1")} == {(f"p3-p1/p3_{n:03d}.wav", f"p1/p1_{n:03d}.wav") for n in (50, 52, 53, 54, 55)}
+    assert all(r["reference_fn"] in files for r in out) and all(r["output_fn"] in files for r in truth)
+    for r in truth:
+        assert r["source"] == r["target"] and r["output_fn"] != r["reference_fn"]
+        assert int(r["reference_fn"][-7:-4]) > 25
+    own = [r["output_fn"] for r in truth if r["source"] == "p3"]
+    assert sorted(set(own)) == [f"p3/p3_{n:03d}.wav" for n in (50, 52, 53, 54, 55)] and all(own.count(x) == 3 for x in own)
+    assert len({(r["output_fn"], r["reference_fn"]) for r in truth}) > 30
 
 
 def test_a_missing_map_is_an_error(spark):
