@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -54,17 +53,12 @@ def corpus_rate(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*by).agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len")).withColumn("rate", F.try_divide(F.col("edits").cast("double"), F.col("ref_len")))
 
 
-def bootstrap_index(spark, n: int, resamples: int = 100, seed: int = 13) -> DataFrame:
-    """(rep, idx, times): seeded resamples of n rows with replacement.
-
-    Drawn on the driver with the standard library for n rows x resamples of an evaluation set.
-    """
-    from collections import Counter
-
-    rng = random.Random(seed)
-    places = range(n)
-    rows = [(rep, i, k) for rep in range(resamples) for i, k in Counter(rng.choices(places, k=n)).items()]
-    return spark.createDataFrame(rows, "rep int, idx long, times long")
+def bootstrap_index(spark: SparkSession, n: int, resamples: int = 100, seed: str = "13") -> DataFrame:
+    """(rep, idx, times): seeded resamples of n rows with replacement (R3), drawn by a hash where the rows are counted."""
+    drawn = spark.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").cast("int").alias("rep"), (F.col("id") % max(n, 1)).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "rep", "draw").cast("binary"))
+    place = F.conv(F.right(digest, F.lit(15)), 16, 10).cast("long") % max(n, 1)
+    return drawn.groupBy("rep", place.alias("idx")).agg(F.count(F.lit(1)).alias("times"))
 
 
 def bootstrap_rate(counts: DataFrame, index: DataFrame, idx: str = "idx") -> DataFrame:

@@ -3,7 +3,8 @@
 Small sides are matched by expressions. Otherwise the frames of each speaker are packed into
 blocks of bounded size, blocks of the two speakers of a pair meet in an equi join, a matrix
 product gives each block pair's best k, and these are merged a frame: no task holds a speaker,
-and what is shuffled a frame is k candidates a block.
+and what is shuffled a frame is k candidates a block. The joins are by speaker and salt, a
+salt holding every SALTS-th block, so a hot speaker is many tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from ..arrow import matrix
 from ..functions import vectors
 
+#: Groups that a source speaker's blocks are dealt to; a target's blocks, far fewer bytes than the pairs' ones, go to each.
+SALTS = 8
+
 MATCH = "source string, target string, s_id long, t_id long, distance double"
 
 
@@ -50,9 +54,11 @@ def packed(frames: DataFrame, block: int, id_col: str = "frame_id", feat: str =
 def topk_blocks(frames: DataFrame, pairs: DataFrame, k: int, block: int = 1024, id_col: str = "frame_id", feat: str = "feat") -> DataFrame:
     """(source, target, s_id, t_id, distance, rank) for the frames of every (source, target)."""
     blocks = packed(frames, block, id_col, feat)
-    left = blocks.select(F.col("speaker").alias("source"), F.col("ids").alias("s_ids"), F.col("matrix").alias("s_matrix"))
-    right = blocks.select(F.col("speaker").alias("target"), F.col("ids").alias("t_ids"), F.col("matrix").alias("t_matrix"))
-    met = pairs.select("source", "target").distinct().join(left, "source").join(right, "target")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    left = blocks.select(F.col("speaker").alias("source"), F.pmod("block", F.lit(SALTS)).alias("salt"), F.col("ids").alias("s_ids"), F.col("matrix").alias("s_matrix"))
+    right = blocks.select(F.col("speaker").alias("target"), every, F.col("ids").alias("t_ids"), F.col("matrix").alias("t_matrix"))
+    wanted = pairs.select("source", "target").distinct().select("source", "target", every)
+    met = wanted.join(left, ["source", "salt"]).join(right, ["target", "salt"])
     schema = pa.schema([("source", pa.string()), ("target", pa.string()), ("s_id", pa.int64()), ("t_id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

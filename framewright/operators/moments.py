@@ -57,3 +57,35 @@ def entries(moments: DataFrame, field: str, keys: Sequence[str] = ("source", "ta
     width = F.size("sy") if field in ("sxy", "syy") else F.size("sx")
     flat = moments.select(*keys, width.alias("width"), F.posexplode(field).alias("at", "value"))
     return flat.select(*keys, F.floor(F.col("at") / F.col("width")).cast("int").alias("i"), (F.col("at") % F.col("width")).cast("int").alias("j"), "value")
+
+
+FACTORS = "n double, width int, r array<double>"
+
+
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor R of rows, with R'R = rows'rows; at most as many rows as columns."""
+    return np.linalg.qr(rows, mode="r") if len(rows) else rows
+
+
+def pair_factors(pairs: DataFrame, keys: Sequence[str] = ("source", "target"), x: str = "x", y: str = "y", salts: int = 16) -> DataFrame:
+    """(keys, n, width of x, flattened r): the triangular factor of the rows [x, 1, y] of each key.
+
+    Factors merge like moments, by stacking, but keep the rows' condition instead of its square:
+    for least squares on few or nearly dependent frames.
+    """
+    keys = list(keys)
+    ddl = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", columns int, " + FACTORS
+
+    def part(table: pa.Table) -> pa.Table:
+        a, b = matrix(table.column("x")), matrix(table.column("y"))
+        r = triangle(np.hstack([a, np.ones((len(a), 1)), b]))
+        return pa.table({k: table.column(k)[:1] for k in keys} | {"columns": pa.array([r.shape[1]], pa.int32()), "n": [float(len(a))], "width": pa.array([a.shape[1]], pa.int32()), "r": [r.ravel()]})
+
+    def merge(table: pa.Table) -> pa.Table:
+        columns = table.column("columns")[0].as_py()
+        r = triangle(np.vstack([np.asarray(x, float).reshape(-1, columns) for x in table.column("r").to_pylist()]))
+        return pa.table({k: table.column(k)[:1] for k in keys} | {"columns": table.column("columns")[:1], "n": [table.column("n").to_numpy().sum()], "width": table.column("width")[:1], "r": [r.ravel()]})
+
+    rows = pairs.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
+    return salted.groupBy(*keys, "_salt").applyInArrow(part, ddl).groupBy(*keys).applyInArrow(merge, ddl)

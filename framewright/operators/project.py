@@ -36,17 +36,19 @@ def read_maps(table: pa.Table, on: Sequence[str]) -> dict[tuple, Map]:
 def project(frames: DataFrame, maps: DataFrame, on: Sequence[str], feat: str = "feat", name: str = "projected", salts: int = 16) -> DataFrame:
     """Frames with x W + b of their map; a null part is left out, a frame without map goes.
 
-    Maps of up to BROADCAST_BYTES in all are broadcast once and frames stay where they are.
+    Maps are worked out once and kept for the size check and their use. Maps of up to
+    BROADCAST_BYTES in all are broadcast once and frames stay where they are.
     Beyond that frames and maps are dealt by (key, salt): a map is sent to its ``salts`` groups, a
     frame once, and no matrix is ever copied next to every frame.
     """
     on = list(on)
-    maps = maps.select(*on, "w", "bias")
+    maps = maps.select(*on, "w", "bias").persist()
     size = maps.select(F.sum(F.coalesce(F.size("w") * F.size(F.get("w", F.lit(0))), F.lit(0)) * 8 + F.coalesce(F.size("bias"), F.lit(0)) * 8)).first()[0] or 0
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", `{name}` array<double>"
 
     if size <= BROADCAST_BYTES:
         sent = frames.sparkSession.sparkContext.broadcast(read_maps(maps.toArrow(), on))
+        maps.unpersist()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -44,7 +44,11 @@ Fit = tuple[np.ndarray | None, np.ndarray | None]
 
 
 def least_squares(m: Moments, rcond: float = 1e-10) -> Fit:
-    """M1: minimum-norm solution; eigenvalues of G under ``rcond`` of the largest count as zero."""
+    """M1: minimum-norm solution; eigenvalues of G under ``rcond`` of the largest count as zero.
+
+    Those are singular values of X under 1e-5 of the largest; ``fit_factors`` keeps all down to
+    the rounding of the rows themselves.
+    """
     return np.linalg.pinv(m.g, rcond=rcond, hermitian=True) @ m.c, None
 
 
@@ -131,6 +135,36 @@ def fit_maps(moments: DataFrame, method: str, keys: Sequence[str] = ("source", "
     return moments.select(*keys, *FIELDS).mapInPandas(run, f"{ddl}, {MAP}")
 
 
+def fit_factors(factors: DataFrame, bias: bool = False, keys: Sequence[str] = ("source", "target")) -> DataFrame:
+    """(keys, w, bias): M1, or M2 with ``bias``, from ``moments.pair_factors``: least squares on the factor's rows.
+
+    Singular values count down to machine precision times the larger side of the rows, as if they were solved directly.
+    """
+    keys = list(keys)
+
+    def solve(row: dict) -> Fit:
+        d, r = int(row["width"]), np.asarray(row["r"], float).reshape(-1, int(row["columns"]))
+        x, one, y = r[:, :d], r[:, d], r[:, d + 1 :]
+        n = one @ one
+        middle = one / np.sqrt(n)  # the factor's image of the unit vector of ones
+        if bias:
+            sx, sy = one @ x / n, one @ y / n
+            x, y = x - np.outer(middle, middle @ x), y - np.outer(middle, middle @ y)
+        w = np.linalg.lstsq(x, y, rcond=np.finfo(float).eps * max(row["n"], d))[0]
+        return w, sy - sx @ w if bias else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [solve(row) for row in batch.to_dict("records")]
+            out = batch[keys].copy()
+            out["w"] = [w.tolist() for w, _ in found]
+            out["bias"] = [None if b is None else b.tolist() for _, b in found]
+            yield out
+
+    ddl = ", ".join(f"`{k}` {factors.schema[k].dataType.simpleString()}" for k in keys)
+    return factors.select(*keys, "columns", "n", "width", "r").mapInPandas(run, f"{ddl}, {MAP}")
+
+
 def bias_only(frames: DataFrame, pairs: DataFrame, feat: str = "feat") -> DataFrame:
     """M10 in long form (source, target, pos, bias): difference of the speakers' means, unmatched and uncapped."""
     from .frames import mean_by_position

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,47 +279,45 @@ def reduced_rank_ridge_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_dimensional(spark, sf_dir, "reduced_rank_ridge", alpha=0.5, rank=1)
 
 
-_FITS = ("least_squares", "least_squares_bias", "orthogonal", "orthogonal_bias", "lasso", "ridge", "reduced_rank_ridge", "reduced_rank_ridge_bias")
+_PRODUCT = "sum(a.x * b.y)"
+_CENTRED = "sum(a.x * b.y) - sum(a.x) * sum(b.y) / count(*)"
 
 
-@query("with l as (select distinct label::varchar l from embeddings) " + " union all ".join(f"select a.l source, b.l target, '{m}' as method, 64 as n_rows, 64 as n_columns, true as holds from l a join l b on a.l <> b.l" for m in _FITS))
-def fitted_map_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-width maps of all pairs, and whether each meets the condition that defines its estimator."""
-    import numpy as np
-    import pandas as pd
+def normal_sql(value: str) -> str:
+    return f"with {_MATCHED} select source, target, a.pos i, b.pos j, round({value}, 4) + 0.0 as value from xy a join xy b using (source, target, s_id) group by all"
 
-    options = {"lasso": {"alpha": 0.005}, "ridge": {"alpha": 5.0}, "reduced_rank_ridge": {"alpha": 5.0, "rank": 8}, "reduced_rank_ridge_bias": {"alpha": 5.0, "rank": 8}}
 
-    def holds(m: solvers.Moments, w, method: str) -> bool:
-        m = m.centred() if method.endswith("bias") else m
-        slope = m.c - m.g @ w
-        if method.startswith("orthogonal"):
-            return bool(np.abs(w.T @ w - np.eye(len(w))).max() < 1e-6)
-        if method == "lasso":
-            slope, on, alpha = slope / m.n, w != 0, options["lasso"]["alpha"]
-            return bool(np.abs(slope).max() <= alpha + 1e-6 and np.abs(slope[on] - alpha * np.sign(w[on])).max(initial=0) < 1e-6)
-        if method.startswith("reduced"):
-            return int(np.linalg.matrix_rank(w, tol=1e-8)) == 8
-        return bool(np.abs(slope - options.get(method, {}).get("alpha", 0.0) * w).max() < 1e-6)
+def normal_entries(spark: SparkSession, sf_dir: str, method: str, added: float = 0.0, **options) -> DataFrame:
+    """Entries of (X'X + added) W for full-width maps, which must be those of X'Y (of centred rows if there is a bias)."""
+    import pyarrow as pa
+
+    found = moments.pair_moments(matched(spark, sf_dir)).persist()
+    both = found.join(solvers.fit_maps(found, method, **options), ["source", "target"])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_dict("records"):
-                w = np.vstack(row["w"])
-                yield pd.DataFrame({"source": [row["source"]], "target": [row["target"]], "method": [row["method"]], "n_rows": [w.shape[0]], "n_columns": [w.shape[1]], "holds": [holds(solvers.Moments.of(row), w, row["method"])]})
+            for row in batch.to_pylist():
+                m = solvers.Moments.of(row)
+                m = m.centred() if row["bias"] is not None else m
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "value": [(m.g @ row["w"] + added * np.array(row["w"])).ravel()]})
 
-    found = moments.pair_moments(matched(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism, "source", "target").cache()
-    fits = [solvers.fit_maps(found, m, **options.get(m, {})).withColumn("method", F.lit(m)) for m in _FITS]
-    every = fits[0]
-    for more in fits[1:]:
-        every = every.unionByName(more)
-    return found.join(every, ["source", "target"]).mapInPandas(run, "source string, target string, method string, n_rows int, n_columns int, holds boolean")
+    flat = both.mapInArrow(run, "source string, target string, value array<double>").select("source", "target", F.posexplode("value").alias("at", "value"))
+    return flat.select("source", "target", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), r("value", 4).alias("value"))
 
 
-@query()
-def lstsq_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = solvers.fit_maps(moments.pair_moments(matched(spark, sf_dir)), "least_squares")
-    return matrixstats.long_entries(maps).select("source", "target", "i", "j", r("w", 4).alias("w"))
+@query(normal_sql(_PRODUCT))
+def least_squares_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_entries(spark, sf_dir, "least_squares")
+
+
+@query(normal_sql(_CENTRED))
+def least_squares_bias_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_entries(spark, sf_dir, "least_squares_bias")
+
+
+@query(normal_sql(_PRODUCT))
+def ridge_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_entries(spark, sf_dir, "ridge", 5.0, alpha=5.0)
 
 
 # ---------------------------------------------------------------- factorisation, PCA
@@ -337,42 +336,59 @@ def factorisation_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorise.gram_entries(aligned(spark, sf_dir)).select("a", "b", "i", "j", r("value").alias("value"))
 
 
-@query()
+@query("select distinct label::varchar source, i::int i, j::int j, (i = j)::int::double as value from embeddings, range(4) a(i), range(4) b(j)")
 def factorised_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source, the products V V' of its own basis and of V W for every target, summed: bases of one factorisation add up to the identity."""
+    import pyarrow as pa
+
     bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
-    return matrixstats.long_entries(factorise.maps_from_bases(bases, pairs.speaker_pairs(bases))).select("source", "target", "i", "j", r("w", 4).alias("w"))
+    maps = factorise.maps_from_bases(bases, pairs.speaker_pairs(bases)).select("source", "w")
+    own = bases.select(F.col("speaker").alias("source"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (i == j).cast("double"))).alias("w"))
+    both = own.unionByName(maps).join(bases.withColumnRenamed("speaker", "source"), "source")
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                v = np.array(row["basis"]) @ np.array(row["w"])
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "value": [(v @ v.T).ravel()]})
 
-@query()
+    flat = both.mapInArrow(run, "source string, value array<double>").select("source", F.posexplode("value").alias("at", "value"))
+    cells = flat.groupBy("source", F.floor(F.col("at") / 4).cast("int").alias("i"), (F.col("at") % 4).cast("int").alias("j"))
+    return cells.agg(r(F.sum("value")).alias("value"))
+
+
+@query(f"select label::varchar speaker, vec_id frame_id, 4 as rank, round(sum(v * v), 5) as square from ({_LONG}) group by label, vec_id")
 def content_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
     codes = project.project(frames(spark, sf_dir), factorise.content_maps(bases), ["speaker"], name="code")
-    return code_conditions(codes.join(bases.select("speaker", "basis"), "speaker"))
+    return code_squares(codes.join(bases.select("speaker", "basis"), "speaker"))
 
 
-def code_conditions(codes: DataFrame) -> DataFrame:
-    """Size of each frame's code, and whether code times basis is the projection of the frame: what is left is orthogonal to the basis."""
+def code_squares(codes: DataFrame) -> DataFrame:
+    """Size of each frame's code, and the square of code times basis plus that of what is left: the frame's own if code times basis is its projection."""
     made = F.aggregate(F.zip_with("code", "basis", lambda c, v: vectors.scale(v, c)), F.transform("feat", lambda x: F.lit(0.0)), vectors.add)
-    left = codes.withColumn("left", F.zip_with("feat", made, lambda x, y: x - y))
-    return left.select("speaker", "frame_id", F.size("code").alias("rank"), F.forall("basis", lambda v: F.abs(vectors.dot("left", v)) <= 1e-6 * vectors.norm("feat") * vectors.norm(v)).alias("projects"))
+    both = codes.withColumn("made", made).withColumn("left", F.zip_with("feat", "made", lambda x, y: x - y))
+    return both.select("speaker", "frame_id", F.size("code").alias("rank"), r(vectors.dot("made", "made") + vectors.dot("left", "left"), 5).alias("square"))
 
 
-@query("select vec_id frame_id, true as same from embeddings")
+@query(f"select vec_id frame_id, pos, round(v, 4) + 0.0 as value from ({_LONG})")
 def pca_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whitening by all components and back is the identity."""
+    """Whitening by all components and back gives the frames."""
     f = frames(spark, sf_dir)
     fit = project.pca(f, 64)
     back = project.pca_restore(project.pca_whiten(f, *fit), *fit)
-    gap = F.array_max(F.transform(F.zip_with("restored", "feat", lambda a, b: a - b), F.abs))
-    return back.select("frame_id", (gap < 1e-5).alias("same"))
+    return back.select("frame_id", F.posexplode("restored").alias("pos", "v")).select("frame_id", "pos", r("v", 4).alias("value"))
 
 
-@query("select i::int i, true as unit, true as centred from range(2) t(i)")
+@query(f"""with t as (select sum(var_samp) total from (select var_samp(v) var_samp from ({_LONG}) group by pos))
+ select i::int i, j::int j, (i = j)::int::double as covariance, round(total, 6) as total_variance from range(2) a(i), range(2) b(j), t""")
 def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two leading whitened coordinates have mean 0 and variance 1."""
+    """Covariances of the two leading whitened coordinates, and the variance that all components explain."""
     f = frames(spark, sf_dir)
-    z = project.pca_whiten(f, *project.pca(f, 2)).select(F.posexplode("whitened").alias("i", "z"))
-    return z.groupBy("i").agg((F.abs(F.var_samp("z") - 1) < 1e-6).alias("unit"), (F.abs(F.avg("z")) < 1e-6).alias("centred"))
+    total = float(project.pca(f, 64)[2].sum())
+    z = project.pca_whiten(f, *project.pca(f, 2)).select(F.col("whitened")[0].alias("z0"), F.col("whitened")[1].alias("z1"))
+    found = z.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r(F.covar_samp(f"z{i}", f"z{j}")).alias("covariance")) for i in (0, 1) for j in (0, 1)]).alias("cells"))
+    return found.select(F.inline("cells")).withColumn("total_variance", F.round(F.lit(total), 6))
 
 
 # ---------------------------------------------------------------- statistics of maps
@@ -505,17 +521,14 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with c as ({_CER}), n as (select *, (row_number() over (order by conv_id, turn) - 1)::bigint idx from c), k as (select count(*) k from n),
- i as (select rep, (('0x' || right(md5(rep || ':' || draw), 8))::bigint % k.k) idx from range(100) a(rep), range(100000) b(draw), k where draw < k.k),
+ i as (select rep, (('0x' || right(md5('13:' || rep || ':' || draw), 15))::bigint % k.k) idx from range(100) a(rep), range(100000) b(draw), k where draw < k.k),
  q as (select rep, sum(edits)::double / sum(ref_len) rate from i join n using (idx) group by rep)
  select round(100 * avg(rate), 6) mean_percent, round(100 * stddev_pop(rate), 6) std_percent from q""")
 def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples drawn by hash, so that SQL draws the same ones."""
-    counts = evaluate.error_counts(turns(spark, sf_dir), words=False).withColumn("idx", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long") - 1)
-    n = counts.count()
-    drawn = spark.range(100).select(F.col("id").alias("rep")).crossJoin(F.broadcast(spark.range(n).select(F.col("id").alias("draw"))))
-    place = F.conv(F.right(F.md5(F.concat_ws(":", "rep", "draw").cast("binary")), F.lit(8)), 16, 10).cast("long") % max(n, 1)
-    index = drawn.select("rep", place.alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("times"))
-    return evaluate.bootstrap_rate(counts, index).select(r("mean_percent").alias("mean_percent"), r("std_percent").alias("std_percent"))
+    counts = fr.numbered(evaluate.error_counts(turns(spark, sf_dir), words=False).select("conv_id", "turn", "edits", "ref_len"), "conv_id", "turn")
+    found = evaluate.bootstrap_rate(counts, evaluate.bootstrap_index(spark, counts.count()))
+    return found.select(r("mean_percent").alias("mean_percent"), r("std_percent").alias("std_percent"))
 
 
 @query("""with t as (select conv_id, turn, text from conversations), p as (select conv_id::varchar || '-' || turn utt_key, conv_id, turn, text from t)
@@ -787,7 +800,8 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, (row_number() over (order by string_split(url, '/'), page_id))::int place from pages")
 def path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.row_number().over(Window.orderBy(paths.parts(F.col("url")), "page_id")).alias("place"))
+    placed = fr.numbered(p.select("page_id", paths.parts(F.col("url")).alias("parts")), "parts", "page_id", name="place")
+    return placed.select("page_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("select source, target, round(value, 4) as value from (select a.n_name source, b.n_name target, a.n_nationkey * 100.0 + b.n_nationkey as value from nation a, nation b where a.n_name <> b.n_name)")
@@ -850,8 +864,6 @@ def spectrogram_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def power_holds(n_fft: int, step: int) -> Column:
     """Whether each bin of power_db is that of the window's samples, by the sums that define it."""
-    import numpy as np
-
     taper = np.hanning(n_fft)
     window = F.slice("samples", (F.col("window") * step + 1).cast("int"), n_fft)
     weighed = lambda by: F.pow(vectors.dot(window, F.array(*map(F.lit, (taper * by).tolist()))), F.lit(2.0))

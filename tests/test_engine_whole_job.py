@@ -1,10 +1,12 @@
 """What engine functions must do besides what their own tests ask."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framewright import queries
 from framewright.functions import text
-from framewright.operators import project, signal
+from framewright.operators import factorise, frames, matching, moments, pairs, project, signal, solvers
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +27,82 @@ def test_wrong_power_does_not_pass(spark, monkeypatch):
 
 def test_wrong_codes_do_not_pass(spark, monkeypatch):
     right = project.project
-    assert queries.content_codes(spark, SF).filter("not projects").count() == 0
+    square = lambda: {r["frame_id"]: r["square"] for r in queries.content_codes(spark, SF).collect()}
+    good = square()
     monkeypatch.setattr(project, "project", lambda *a, **b: right(*a, **b).withColumn("code", F.reverse("code")))
-    assert queries.content_codes(spark, SF).filter("not projects").count() > 0
+    assert square() != good
+
+
+@pytest.mark.parametrize("shape", [(400, 40), (30, 64), (500, 64)])
+def test_full_width_fits(spark, shape):
+    """M1-M8 and the factor's least squares against numpy on the rows themselves."""
+    rng = np.random.default_rng(shape[0])
+    n, d = shape
+    x = rng.normal(size=(n, d)) * np.logspace(0, -2, d)
+    y = x @ rng.normal(size=(d, d)) + 0.1 * rng.normal(size=(n, d)) + 1
+    rows = spark.createDataFrame([("a", "b", p.tolist(), q.tolist()) for p, q in zip(x, y)], "source string, target string, x array<double>, y array<double>")
+    states = moments.pair_moments(rows).cache()
+    fit = lambda method, **o: solvers.fit_maps(states, method, **o).first()
+    close = lambda a, b: np.testing.assert_allclose(np.array(a), b, rtol=1e-5, atol=1e-6 * np.abs(b).max())
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    close(fit("least_squares")["w"], np.linalg.lstsq(x, y, rcond=None)[0])
+    close(fit("least_squares_bias")["w"], np.linalg.lstsq(xc, yc, rcond=None)[0])
+    close(fit("ridge", alpha=3.0)["w"], np.linalg.solve(x.T @ x + 3 * np.eye(d), x.T @ y))
+    if n > d:  # else the polar factor is not unique
+        for method, a, b in (("orthogonal", x, y), ("orthogonal_bias", xc, yc)):
+            u, _, vt = np.linalg.svd(a.T @ b)
+            close(fit(method)["w"], u @ vt)
+    beta = np.linalg.lstsq(np.vstack([x, np.sqrt(3) * np.eye(d)]), np.vstack([y, np.zeros((d, d))]), rcond=None)[0]
+    top = np.linalg.svd(np.vstack([x, np.sqrt(3) * np.eye(d)]) @ beta)[2][:5]
+    close(fit("reduced_rank_ridge", alpha=3.0, rank=5)["w"], beta @ top.T @ top)
+    for method, a, b in (("lasso", x, y), ("lasso_bias", xc, yc)):
+        w = np.array(fit(method, alpha=0.05)["w"])
+        slope = a.T @ (b - a @ w) / n
+        assert np.abs(slope).max() <= 0.05 + 1e-7 and (w == 0).any() and (w != 0).any()
+        np.testing.assert_allclose(slope[w != 0], 0.05 * np.sign(w[w != 0]), atol=1e-7)
+    factors = moments.pair_factors(rows).cache()
+    close(solvers.fit_factors(factors).first()["w"], np.linalg.lstsq(x, y, rcond=None)[0])
+    row = solvers.fit_factors(factors, bias=True).first()
+    w = np.linalg.lstsq(xc, yc, rcond=None)[0]
+    close(row["w"], w)
+    close(row["bias"], y.mean(0) - x.mean(0) @ w)
+
+
+def test_factors_keep_small_singular_values(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 12)) @ np.diag(np.logspace(0, -8, 12)) @ np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    w = rng.normal(size=(12, 3))
+    rows = spark.createDataFrame([("a", "b", p.tolist(), q.tolist()) for p, q in zip(x, x @ w)], "source string, target string, x array<double>, y array<double>")
+    np.testing.assert_allclose(np.array(solvers.fit_factors(moments.pair_factors(rows)).first()["w"]), w, atol=1e-5)
+
+
+def test_numbered_rows(spark):
+    rows = [(i * 7919 % 1000, f"k{i}") for i in range(1000)]
+    out = frames.numbered(spark.createDataFrame(rows, "a int, b string").repartition(7), "a").collect()
+    assert sorted((r["a"], r["idx"]) for r in out) == [(i, i) for i in range(1000)]
+    assert frames.numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_factorisation_against_svd(spark):
+    rng = np.random.default_rng(2)
+    stacks = {s: rng.normal(size=(40, 16)) for s in "abc"}
+    rows = [(i, s, m[i].tolist()) for s, m in stacks.items() for i in range(40)]
+    bases, singular = factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 6)
+    u, values, vt = np.linalg.svd(np.hstack([stacks[s] for s in "abc"]), full_matrices=False)
+    np.testing.assert_allclose(singular, values[:6])
+    found = {r["speaker"]: np.array(r["basis"]) for r in bases.collect()}
+    wide = np.hstack([found[s] for s in "abc"])
+    np.testing.assert_allclose(wide.T @ wide, vt[:6].T @ vt[:6], atol=1e-8)
+    maps = {(r["source"], r["target"]): np.array(r["w"]) for r in factorise.maps_from_bases(bases, pairs.speaker_pairs(bases)).collect()}
+    for (s, t), w in maps.items():
+        a, b = (vt[:6, 16 * "abc".index(k) : 16 * "abc".index(k) + 16] for k in (s, t))
+        np.testing.assert_allclose(w, np.linalg.pinv(a) @ b, atol=1e-7)
+
+
+def test_hot_speaker_is_many_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", "u", i, i, v) for i, v in enumerate(rng.normal(size=(300, 4)).tolist())] + [("b", "u", i, 1000 + i, v) for i, v in enumerate(rng.normal(size=(50, 4)).tolist())]
+    f = spark.createDataFrame(rows, "speaker string, utt string, frame_idx long, frame_id long, feat array<double>")
+    wanted = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
+    few, many = (sorted(map(tuple, matching.topk_blocks(f, wanted, 3, block=b).select("s_id", "t_id", "rank").collect())) for b in (16, 1024))
+    assert few == many and len(few) == 350 * 3
