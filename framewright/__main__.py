@@ -10,7 +10,6 @@ import importlib
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import evaluate, pairs, signal
@@ -35,15 +34,24 @@ def convert(spark, a) -> None:
     maps = model.get_projmat(source, target, parallel=a.parallel, lasso=a.lasso)
     # the input utterance is never trimmed; every speaker of the source folder has the same map
     given = model.get_features(signal.prepared(read(a.input_dir), trim=None))
-    model.project_and_vocode(given, maps).write.parquet(a.output_dir)
+    made = model.project_and_vocode(given, maps)
+    if a.tables:
+        made.write.parquet(a.output_dir)
+    else:
+        audio.write_audio(made.withColumn("path", F.concat_ws("/", "speaker", F.concat("utt", F.lit(".wav")))), files.to_folder(a.output_dir))
 
 
 def resample(spark, a) -> None:
     """Bring the listed speakers' audio to one rate without leading silence; prints the hours."""
     wanted = files.id_list(spark, a.speakers)
     ready = signal.prepared(fr.keep(audio.read_audio(spark, a.input_dir, a.extension), wanted), a.sample_rate)
-    signal.not_empty(ready).write.partitionBy("speaker").parquet(a.output_dir)
-    print(signal.hours(spark.read.parquet(a.output_dir)).first()["hours"])
+    if a.tables:
+        signal.not_empty(ready).write.partitionBy("speaker").parquet(a.output_dir)
+        done = spark.read.parquet(a.output_dir)
+    else:
+        audio.write_audio(signal.not_empty(ready).withColumn("path", F.concat_ws("/", "speaker", F.concat("utt", F.lit(".wav")))), files.to_folder(a.output_dir))
+        done = audio.read_audio(spark, a.output_dir)
+    print(signal.hours(done).first()["hours"])
 
 
 def extract(spark, a) -> None:
@@ -64,7 +72,10 @@ def extract(spark, a) -> None:
         width = len(mean)
         components = [parts["components"]["values"][i : i + width] for i in range(0, len(parts["components"]["values"]), width)]
         feats = pca_whiten(feats, mean, components, variance).select("speaker", "utt", "frame_idx", F.col("whitened").cast("array<float>").alias("feat"))
-    arrays.write_frames(feats, a.output_dir, a.save_mode)
+    if a.npy:
+        arrays.export_npy(feats, files.to_folder(a.output_dir), a.save_mode)
+    else:
+        arrays.write_frames(feats, a.output_dir, a.save_mode)
 
 
 def make_eval(spark, a) -> None:
@@ -77,20 +88,39 @@ def make_eval(spark, a) -> None:
 
 
 def eer(spark, a) -> None:
-    """Equal error rate a target speaker, and its mean and deviation, of a table tgt_speaker, score, label."""
-    scores = spark.read.csv(a.scores, header=True, schema="src_speaker string, tgt_speaker string, score double, label int")
-    rates = evaluate.eer(evaluate.zero_positive(scores) if a.zero_positive else scores)
+    """Equal error rate a target speaker, and its mean and deviation, of evaluation pairs and the converted and real audio.
+
+    Without the audio folders, the table holds ready scores: src_speaker, tgt_speaker, score, label.
+    """
+    if a.converted_dir:
+        from .plans.convert import pair_scores
+
+        scores = pair_scores(files.evaluation_table(spark, a.table), audio.read_audio(spark, a.converted_dir), audio.read_audio(spark, a.real_dir, a.extension), factory(a.embedder), zero_positive=a.zero_positive)
+    else:
+        scores = spark.read.csv(a.table, header=True, schema="src_speaker string, tgt_speaker string, score double, label int")
+        scores = evaluate.zero_positive(scores) if a.zero_positive else scores
+    rates = evaluate.eer(scores)
     rates.orderBy("tgt_speaker").show(1000, False)
     evaluate.eer_summary(rates).show()
 
 
 def wer(spark, a) -> None:
-    """Word and character error rates with bootstrap deviations of a table utt_key, reference, hypothesis."""
-    rows = spark.read.csv(a.pairs, header=True, schema="utt_key string, reference string, hypothesis string")
+    """Word and character error rates with bootstrap deviations of converted audio and the real speech's transcripts.
+
+    Without the folder of transcripts, the input is a table utt_key, reference, hypothesis.
+    """
+    if a.transcripts_dir:
+        from .plans.convert import recognised_pairs
+
+        librispeech = a.format == "librispeech"
+        texts = files.transcripts(spark, a.transcripts_dir) if librispeech else files.file_transcripts(spark, a.transcripts_dir)
+        rows = recognised_pairs(audio.read_audio(spark, a.input), texts, factory(a.recogniser), "speaker" if librispeech else "utt")
+    else:
+        rows = spark.read.csv(a.input, header=True, schema="utt_key string, reference string, hypothesis string")
+    rows = rows.persist()
     for words in (True, False):
         counts = evaluate.error_counts(rows, words=words)
-        place = F.row_number().over(Window.orderBy("utt_key")) - 1  # an evaluation set
-        numbered = counts.select(place.cast("long").alias("idx"), "edits", "ref_len")
+        numbered = fr.numbered(counts.select("utt_key", "edits", "ref_len"), "utt_key")
         index = evaluate.bootstrap_index(spark, numbered.count())
         print("words" if words else "characters")
         evaluate.bootstrap_rate(numbered, index).show()
@@ -114,8 +144,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--extension", default=".wav")
     p.add_argument("--featurizer", default="framewright.models:BandFeaturizer")
     p.add_argument("--vocoder", default="framewright.models:ToneVocoder")
+    p.add_argument("--tables", action="store_true", help="write a Parquet table of samples instead of WAV files")
     p = command(resample, "speakers", "input_dir", "output_dir")
     p.add_argument("--sample_rate", type=int, default=16_000)
+    p.add_argument("--tables", action="store_true", help="write a Parquet table of samples instead of WAV files")
     p.add_argument("--extension", default=".wav")
     p = command(extract, "input_dir", "output_dir")
     p.add_argument("--pca")
@@ -124,11 +156,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--save_mode", choices=("speakers", "utterances"), default="speakers")
     p.add_argument("--extension", default=".wav")
     p.add_argument("--featurizer", default="framewright.models:BandFeaturizer")
+    p.add_argument("--npy", action="store_true", help="write .npy files instead of a Parquet table")
     p = command(make_eval, "speakers", "input_dir", "output")
     p.add_argument("--extension", default=".wav")
-    p = command(eer, "scores")
+    p = command(eer, "table")
+    p.add_argument("converted_dir", nargs="?")
+    p.add_argument("real_dir", nargs="?")
     p.add_argument("--zero_positive", action="store_true")
-    command(wer, "pairs")
+    p.add_argument("--extension", default=".wav")
+    p.add_argument("--embedder", default="framewright.models:BandEmbedder")
+    p = command(wer, "input")
+    p.add_argument("transcripts_dir", nargs="?")
+    p.add_argument("--format", choices=("librispeech", "vctk"), default="vctk")
+    p.add_argument("--recogniser", default="framewright.models:LengthRecogniser")
     return top
 
 

@@ -13,6 +13,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Featurizer(Protocol):
@@ -35,6 +36,11 @@ class Embedder(Protocol):
         """Speaker vector of one utterance."""
 
 
+class PlaneFitter(Protocol):
+    def fit_transform(self, vectors: np.ndarray) -> np.ndarray:
+        """(points, 2) coordinates of (points, width) vectors."""
+
+
 @functools.cache
 def _loaded(factory: Callable):
     return factory()
@@ -90,6 +96,48 @@ def embed(audio: DataFrame, factory: Callable[[], Embedder]) -> DataFrame:
     return audio.mapInPandas(run, "speaker string, utt string, embedding array<float>")
 
 
+def parameter_count(model) -> int:
+    """Trainable parameters of a model with ``parameters()``."""
+    return sum(int(np.prod(p.shape)) for p in model.parameters() if getattr(p, "requires_grad", True))
+
+
+def plane(vectors: DataFrame, factory: Callable[[], PlaneFitter], bound: int = 20_000, key: str = "frame_id", feat: str = "feat") -> DataFrame:
+    """(key, x, y): coordinates in the plane of at most ``bound`` vectors, the first by a hash of their key.
+
+    Such methods place all points together, so they run on the driver, on a sample made for a plot.
+    """
+    rows = vectors.orderBy(F.xxhash64(key), key).limit(bound).select(key, feat).collect()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], f"{key} {vectors.schema[key].dataType.simpleString()}, x double, y double")
+    found = np.asarray(factory().fit_transform(np.array([r[feat] for r in rows], np.float64)), float)
+    return vectors.sparkSession.createDataFrame([(r[key], float(a), float(b)) for r, (a, b) in zip(rows, found, strict=True)], f"{key} {vectors.schema[key].dataType.simpleString()}, x double, y double")
+
+
+class PlanePca:
+    """Stand-in: the two leading principal coordinates."""
+
+    def fit_transform(self, vectors: np.ndarray) -> np.ndarray:
+        centred = vectors - vectors.mean(axis=0)
+        _, _, axes = np.linalg.svd(centred, full_matrices=False)
+        axes = np.vstack([axes, np.zeros((2, vectors.shape[1]))])[:2]
+        return centred @ axes.T
+
+
+class LengthRecogniser:
+    """Stand-in: says how long an utterance is."""
+
+    def __call__(self, samples: np.ndarray, rate: int) -> str:
+        return f"{len(samples)} at {rate}"
+
+
+class BandEmbedder:
+    """Stand-in: mean log band energies."""
+
+    def __call__(self, samples: np.ndarray, rate: int) -> np.ndarray:
+        feats = BandFeaturizer()(samples, rate)
+        return feats.mean(axis=0) if len(feats) else np.zeros(8)
+
+
 class BandFeaturizer:
     """Stand-in: log band energies of 20 ms windows."""
 

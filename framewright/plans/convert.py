@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import models
+from ..functions import vectors
 from ..operators import factorise as fz
 from ..operators import frames as fr
 from ..operators.matching import aligned_to_first, matched_pairs, topk_blocks
 from ..operators.moments import pair_moments
 from ..operators.pairs import speaker_pairs
 from ..operators.project import project
+from ..operators.signal import prepared
 from ..operators.solvers import fit_maps
 
 # Frames of a speaker that are matched, and the penalty of parallel fits.
@@ -49,7 +51,8 @@ class Converter:
             pairs = sides[0].select(F.col("speaker").alias("source"), "utt").distinct().join(sides[1].select(F.col("speaker").alias("target"), "utt").distinct(), "utt").select("source", "target")
         else:
             sides = [fr.cap(s, cap) for s in (source, target)]
-            pairs = sides[0].select(F.col("speaker").alias("source")).distinct().crossJoin(sides[1].select(F.col("speaker").alias("target")).distinct())
+            # every source speaker meets every target speaker: these pairs are the result that is asked for
+            pairs = sides[0].select(F.col("speaker").alias("source")).distinct().join(sides[1].select(F.col("speaker").alias("target")).distinct(), F.lit(True))
         both = with_ids(sides[0].unionByName(sides[1]))
         matched = matched_pairs(topk_blocks(both, pairs, k), both)
         plain = lambda c: F.split(F.substring(c, 3, 1 << 30), r"\|")[0].alias(c)
@@ -58,7 +61,7 @@ class Converter:
 
     def project_and_vocode(self, frames: DataFrame, maps: DataFrame) -> DataFrame:
         """Converted audio of frames (speaker, utt, frame_idx, feat) under (source, target, w, bias)."""
-        rows = frames.withColumnRenamed("speaker", "source").join(F.broadcast(maps.select("source", "target").distinct()), "source")
+        rows = frames.withColumnRenamed("speaker", "source").join(maps.select("source", "target").distinct(), "source")
         moved = project(rows, maps, ["source", "target"])
         named = moved.select(F.concat_ws("-", "source", "target").alias("speaker"), "utt", "frame_idx", "projected")
         return models.vocode(named, self.vocoder, "projected")
@@ -80,3 +83,35 @@ def knn_converted(frames: DataFrame, pairs: DataFrame, k: int = 4, cap: int | No
     """(source, target, s_id, y): each frame replaced by the mean of its k nearest target frames."""
     own = with_ids(fr.cap(frames, cap))
     return matched_pairs(topk_blocks(own, pairs, k), own).drop("x")
+
+
+def pair_scores(evaluation: DataFrame, converted: DataFrame, real: DataFrame, embedder: Callable[[], models.Embedder], rate: int = 16_000, zero_positive: bool = False) -> DataFrame:
+    """(src_speaker, tgt_speaker, score, label): cosine distance of the speaker vectors of evaluation pairs.
+
+    ``evaluation`` is as ``files.evaluation_table`` reads it; paths are taken without their suffix. Conversions (label 0) are looked up below the converted audio, all other files
+    below the real audio. Every file is embedded once. With ``zero_positive`` the labels change sides.
+    """
+
+    def embedded(audio: DataFrame) -> DataFrame:
+        named = prepared(audio, rate, trim=None).withColumn("speaker", F.concat_ws("/", "speaker", "utt"))
+        return models.embed(named, embedder).select(F.col("speaker").alias("file"), "embedding")
+
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    pairs = evaluation.withColumns({"x": bare("x_path"), "y": bare("y_path")})
+    truth = embedded(real)
+    x = embedded(converted).withColumn("of", F.lit(0)).unionByName(truth.withColumn("of", F.lit(1)))
+    rows = pairs.join(x.select(F.col("file").alias("x"), F.col("of").alias("label"), F.col("embedding").alias("a")), ["x", "label"])
+    rows = rows.join(truth.select(F.col("file").alias("y"), F.col("embedding").alias("b")), "y")
+    label = 1 - F.col("label") if zero_positive else F.col("label")
+    return rows.select("src_speaker", "tgt_speaker", vectors.cosine_distance("a", "b").alias("score"), label.alias("label"))
+
+
+def recognised_pairs(converted: DataFrame, transcripts: DataFrame, recogniser: Callable[[], models.Recogniser], by: str = "utt") -> DataFrame:
+    """(utt_key, reference, hypothesis) of converted audio and transcripts (utt_key, text); ``by`` names the column that is the key.
+
+    A file without transcript is an error when it is met.
+    """
+    said = models.recognise(converted, recogniser).withColumn("utt_key", F.col(by))
+    joined = said.join(transcripts.select("utt_key", F.col("text").alias("reference"), F.lit(True).alias("known")), "utt_key", "left")
+    known = F.when(F.col("known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no transcript of "), F.col("utt_key"))).cast("boolean"))
+    return joined.filter(known).select(F.concat_ws("/", "speaker", "utt").alias("utt_key"), "reference", "hypothesis")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .files import write_files
 
 FRAMES = "speaker string, utt string, frame_idx long, feat array<float>"
 
@@ -75,3 +76,38 @@ def write_table(table: DataFrame, path: str, *keys: str) -> None:
 def write_evaluation(pairs: DataFrame, path: str) -> None:
     """Evaluation pairs as CSV with a header."""
     pairs.write.csv(path, header=True)
+
+
+def as_npy(value: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, value, allow_pickle=False)
+    return out.getvalue()
+
+
+def export_npy(frames: DataFrame, write: Callable[[str, bytes], None], mode: str = "speakers", half: bool = False, feat: str = "feat") -> None:
+    """Matrices ``<speaker>.npy``, or ``<speaker>/<utt>.npy`` (K1, K2), in the order of utterance and frame.
+
+    An executor holds one file's matrix at a time; ``half`` stores half precision.
+    """
+    keys = {"speakers": ["speaker"], "utterances": ["speaker", "utt"]}[mode]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["utt", "frame_idx"])
+        matrix = np.stack([np.asarray(x, np.float16 if half else np.float32) for x in rows["feat"]])
+        return pd.DataFrame({"path": ["/".join(key) + ".npy"], "content": [as_npy(matrix)]})
+
+    picked = frames.select("speaker", "utt", "frame_idx", F.col(feat).alias("feat"))
+    write_files(picked.groupBy(*keys).applyInPandas(run, "path string, content binary"), write)
+
+
+def export_npz(maps: DataFrame, path: str, part: str = "w", keys: tuple[str, ...] = ("source", "target")) -> int:
+    """One compressed archive on the driver's file system of a column of all maps, by ``source-target`` (K6); how many.
+
+    Maps come to the driver one partition at a time and go straight into the archive. Null parts are left out.
+    """
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for r in maps.filter(F.col(part).isNotNull()).select(*keys, part).orderBy(*keys).toLocalIterator():
+            archive.writestr("-".join(r[k] for k in keys) + ".npy", as_npy(np.array(r[part], np.float32)))
+            n += 1
+    return n

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .files import write_files
 
 Decoder = Callable[[bytes], tuple[np.ndarray, int]]
 AUDIO = "speaker string, utt string, path string, sr int, samples array<float>"
@@ -63,10 +64,5 @@ def encoded(audio: DataFrame) -> DataFrame:
 
 
 def write_audio(audio: DataFrame, write: Callable[[str, bytes], None]) -> None:
-    """Hand each file's path and bytes to ``write`` on the executors, which opens the store it belongs to."""
-
-    def run(rows: Iterator) -> None:
-        for r in rows:
-            write(r["path"], bytes(r["content"]))
-
-    encoded(audio).foreachPartition(run)
+    """Hand each file's path and WAV bytes to ``write`` on the executors (``files.to_folder`` for a mounted folder)."""
+    write_files(encoded(audio), write)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +87,27 @@ def segments(spark: SparkSession, root: str, suffix: str = ".PHN") -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root)
     path = F.col("_metadata.file_path")
     return segment_lines(files.select("value", paths.parent_name(path).alias("speaker"), paths.stem(path).alias("utt")), "value", "speaker", "utt")
+
+
+def to_folder(root: str) -> Callable[[str, bytes], None]:
+    """A writer of files below a folder that all executors mount; a file appears whole, so a task may run twice."""
+
+    def write(path: str, content: bytes) -> None:
+        whole = os.path.join(root, path)
+        os.makedirs(os.path.dirname(whole), exist_ok=True)
+        part = f"{whole}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(content)
+        os.replace(part, whole)
+
+    return write
+
+
+def write_files(rows: DataFrame, write: Callable[[str, bytes], None]) -> None:
+    """Hand each row's path and content to ``write`` on the executors, which opens the store it belongs to."""
+
+    def run(part: Iterator) -> None:
+        for r in part:
+            write(r["path"], bytes(r["content"]))
+
+    rows.select("path", "content").foreachPartition(run)

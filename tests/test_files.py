@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framewright import __main__ as cli
 from framewright import models
 from framewright.operators import signal
-from framewright.plans.convert import Converter, content_codes, factorised_maps, knn_converted
+from framewright.plans.convert import Converter, content_codes, factorised_maps, knn_converted, pair_scores, recognised_pairs
 from framewright.sources import arrays, audio, files
 from framewright.streaming.incremental import read_moments, stream_moments, stream_projection
 
@@ -154,10 +154,74 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     cli.main(["extract", str(corpus), str(tmp_path / "frames")])
     assert spark.read.parquet(str(tmp_path / "frames")).count() == 4 * 30
     cli.main(["convert", str(corpus / "p1"), str(corpus / "p2"), str(corpus / "p1"), str(tmp_path / "converted")])
-    assert spark.read.parquet(str(tmp_path / "converted")).count() == 2
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in (tmp_path / "converted").rglob("*.*")) == ["converted/p1-p2/p1_001.wav", "converted/p1-p2/p1_002.wav"]
+    cli.main(["convert", "--tables", str(corpus / "p1"), str(corpus / "p2"), str(corpus / "p1"), str(tmp_path / "table")])
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
     cli.main(["make-eval", str(tmp_path / "ids.txt"), str(corpus), str(tmp_path / "pairs")])
     write(tmp_path / "scores.csv", "src_speaker,tgt_speaker,score,label\na,b,0.1,1\na,b,0.9,0\n")
     cli.main(["eer", str(tmp_path / "scores.csv")])
     write(tmp_path / "texts.csv", "utt_key,reference,hypothesis\nu,the cat sat,the cat sad\n")
     cli.main(["wer", str(tmp_path / "texts.csv")])
     assert "33.3" in capsys.readouterr().out
+
+
+def test_rates_from_audio(spark, corpus, tmp_path, capsys):
+    cli.main(["convert", str(corpus / "p1"), str(corpus / "p2"), str(corpus / "p1"), str(tmp_path / "converted")])
+    rows = [f"p1,p2,p1-p2/p1_{u:03d}.wav,p2/p2_{u:03d}.wav,0" for u in (1, 2)] + [f"p2,p2,p2/p2_{u:03d}.wav,p2/p2_{v:03d}.wav,1" for u, v in ((1, 2), (2, 1))]
+    write(tmp_path / "pairs.csv", "source,target,output_fn,reference_fn,label\n" + "\n".join(rows) + "\n")
+    read = lambda root: audio.read_audio(spark, str(root))
+    scores = pair_scores(files.evaluation_table(spark, str(tmp_path / "pairs.csv")), read(tmp_path / "converted"), read(corpus), models.BandEmbedder).collect()
+    vector = lambda root, name: models.BandEmbedder()(*audio.decode_wav((root / name).read_bytes()))
+    cosine = lambda a, b: 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    want = sorted(cosine(vector(tmp_path / "converted" if label == "0" else corpus, x), vector(corpus, y)) for _, _, x, y, label in (r.split(",") for r in rows))
+    np.testing.assert_allclose(sorted(r["score"] for r in scores), want, atol=1e-6)
+    cli.main(["eer", str(tmp_path / "pairs.csv"), str(tmp_path / "converted"), str(corpus)])
+    assert "p2" in capsys.readouterr().out
+    for u in (1, 2):
+        write(tmp_path / "texts" / f"p1_{u:03d}.txt", "9600 at 16000\n" if u == 1 else "seven words\n")
+    texts = files.file_transcripts(spark, str(tmp_path / "texts"))
+    said = {r["utt_key"]: (r["reference"], r["hypothesis"]) for r in recognised_pairs(read(tmp_path / "converted"), texts, models.LengthRecogniser).collect()}
+    assert said == {"p1-p2/p1_001": ("9600 at 16000", "9600 at 16000"), "p1-p2/p1_002": ("seven words", "9600 at 16000")}
+    cli.main(["wer", str(tmp_path / "converted"), str(tmp_path / "texts")])
+    assert "words" in capsys.readouterr().out
+    with pytest.raises(Exception, match="no transcript of"):
+        recognised_pairs(read(corpus), texts, models.LengthRecogniser).collect()
+
+
+def test_array_files(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(s, u, i, [float(x) for x in rng.normal(size=3).astype(np.float32)]) for s in ("a", "b") for u in ("u1", "u2") for i in range(5)]
+    frames = spark.createDataFrame(rows, arrays.FRAMES)
+    for mode in ("speakers", "utterances"):
+        arrays.export_npy(frames, files.to_folder(str(tmp_path / mode)), mode)
+    whole = np.load(tmp_path / "speakers" / "b.npy")
+    np.testing.assert_array_equal(whole, np.array([r[3] for r in rows if r[0] == "b"], np.float32))
+    back = arrays.import_npy(spark, str(tmp_path / "utterances"))
+    key = lambda r: (r["speaker"], r["utt"], r["frame_idx"], tuple(r["feat"]))
+    assert sorted(map(key, back.collect())) == sorted(map(key, frames.collect()))
+    maps = spark.createDataFrame([("a", "b", [[1.0, 2.0], [3.0, 4.0]], [5.0, 6.0]), ("b", "a", None, [7.0, 8.0])], "source string, target string, w array<array<double>>, bias array<double>")
+    assert arrays.export_npz(maps, str(tmp_path / "w.npz")) == 1 and arrays.export_npz(maps, str(tmp_path / "bias.npz"), "bias") == 2
+    with np.load(tmp_path / "w.npz") as found:
+        assert found.files == ["a-b"] and found["a-b"].tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert {r["key"]: list(r["values"]) for r in arrays.import_npz(spark, str(tmp_path)).collect() if r["path"].endswith("bias.npz")} == {"a-b": [5.0, 6.0], "b-a": [7.0, 8.0]}
+
+
+def test_planes_and_counts(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 2)) @ np.array([[3.0, 0.0, 1.0], [0.0, 1.0, 0.0]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "frame_id long, feat array<double>")
+    out = models.plane(rows, models.PlanePca)
+    at = np.array([[r["x"], r["y"]] for r in out.orderBy("frame_id").collect()])
+    apart = lambda m: np.linalg.norm(m[:, None] - m[None], axis=2)
+    np.testing.assert_allclose(apart(at), apart(x), atol=1e-9)
+    assert models.plane(rows, models.PlanePca, bound=7).count() == 7 and models.plane(rows.filter("false"), models.PlanePca).count() == 0
+
+    class Part:
+        def __init__(self, shape, requires_grad=True):
+            self.shape, self.requires_grad = shape, requires_grad
+
+    class Model:
+        def parameters(self):
+            return [Part((3, 4)), Part((5,)), Part((100,), False)]
+
+    assert models.parameter_count(Model()) == 17
