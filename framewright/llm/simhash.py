@@ -200,7 +200,7 @@ def shards(fp: np.ndarray, radius: int, limit: int, free: list[int] | None = Non
 
 
 def near_links(distinct: DataFrame, radius: int, shard_limit: int) -> DataFrame:
-    """Spanning links (a, b: signed fingerprints) of the distinct fingerprints ``fp`` within the radius."""
+    """Spanning links (a, b: signed fingerprints) of the distinct fingerprints ``fp`` (no nulls, no repeats) within the radius; none for an empty table."""
     parts = blocks(list(range(BITS)), radius + 1)
     spark = distinct.sparkSession
     n = 4 * shuffle_partitions(spark)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import brute
@@ -11,11 +12,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import queries
+from framewright.llm.common import mix, word_names
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
 from framewright.llm.names import distinct, pack_sorted, unpack_sorted
 from framewright.llm.pii import base_spans, contexts, personal_data
-from framewright.llm.quality_classifier import ABSTAIN, BAD, GOOD, LABELLERS, START, fit_label_model, fit_quality, quality_classifier
-from framewright.llm.quality_rules import labelled_statistics
+from framewright.llm.quality_classifier import ABSTAIN, BAD, GOOD, LABELLERS, START, STOPWORDS, QualityModel, fit_label_model, fit_quality, quality_classifier
+from framewright.llm.quality_rules import Condition, labelled_statistics, quality_rules
 from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.sharding import rendezvous_shards
 from framewright.llm.simhash import grow, one_of_each, tree_links
@@ -302,3 +304,97 @@ def test_samples_of_repeated_ids_agree(spark):
     assert np.array_equal(one.weight, two.weight) and one.bias == two.bias
     one, two = (sorted(map(str, labelled_statistics(df.repartition(n), labels, "doc_id", "text", "quality", 30))) for n in (1, 7))
     assert one == two
+
+
+SAMPLES = [
+    "the quick brown fox and the lazy dog of the house is in it for a while and that was on the hill by the sea",
+    "BUY NOW!! CHEAP!! CHEAP!! WATCHES *** $$$ | | | click# here#",
+    "same same same same same words words words words",
+    "a b c d e 1 2 3 x9 y8 . , ; : ?",
+    "é à ü " * 12 + "Überlängewörterdievierundzwanzigbytesüberschreiten.",
+    " ".join(f"word{i % 4}" for i in range(300)),
+    "*** !!! |||",
+    "",
+    None,
+]
+
+
+def plain_words(text):
+    """(word, its shape's flags) in a text, and whether a word repeats the one before."""
+    out, last = [], None
+    for w in brute.WORD.findall(text or ""):
+        b = w.encode()
+        upper, lower = sum(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in b), sum(c in b"abcdefghijklmnopqrstuvwxyz" for c in b)
+        symbols, digits = sum(c in b"#*$%&|<>" for c in b), sum(c in b"0123456789" for c in b)
+        out.append({"word": w, "upper": upper, "symbols": symbols, "flags": [upper >= 2 and lower == 0, b[-1] in b"#*$%&|<>", b[-1] in b"!", b[-1] in b".,;:?", symbols == len(b), w == last, digits > 0, len(b) > 24]})
+        last = w
+    return out
+
+
+def plain_votes(text):
+    found = plain_words(text)
+    n = len(found)
+    if not n:
+        return 0
+    rate = lambda f: sum(map(f, found)) / n
+    between = lambda x, good, bad: BAD if x >= bad else GOOD if x <= good else ABSTAIN
+    flag = lambda i: lambda w: w["flags"][i]
+    distinct_words, enough = len({w["word"] for w in found}), n >= 20
+    plain = rate(lambda w: w["upper"] <= 1 and w["symbols"] == 0 and not w["flags"][2] and not w["flags"][5])
+    stop = rate(lambda w: w["word"] in STOPWORDS)
+    votes = [
+        between(rate(flag(1)), 0.02, 0.15),
+        between(rate(lambda w: w["symbols"] > 0), 0.03, 0.2),
+        between(rate(flag(4)), 0.01, 0.1),
+        between(rate(flag(0)), 0.05, 0.2),
+        between(rate(flag(2)), 0.03, 0.2),
+        between(rate(flag(5)), 0.05, 0.2),
+        BAD if enough and distinct_words < 0.3 * min(n, 200) else GOOD if enough and distinct_words > 0.5 * min(n, 200) else ABSTAIN,
+        BAD if plain < 0.75 else GOOD if plain > 0.93 else ABSTAIN,
+        GOOD if enough and stop > 0.08 and plain > 0.85 else ABSTAIN,
+    ]
+    return sum(v * 3**j for j, v in enumerate(votes))
+
+
+def test_classifier_against_plain_votes_and_scores(spark):
+    size = 1 << 10
+    rng = np.random.default_rng(17)
+    labels = fit_label_model(np.array([0, 5, 700]), np.array([3.0, 9.0, 4.0]))
+    model = QualityModel(labels, rng.normal(size=size), 0.3)
+    df = spark.createDataFrame(list(enumerate(SAMPLES)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_classifier(df, model=model).collect()}
+
+    def cell(key):
+        return float(np.float32(model.weight[int(key) % size]))
+
+    for i, text in enumerate(SAMPLES):
+        found = plain_words(text)
+        assert got[i]["votes"] == plain_votes(text), text
+        total = 0.0
+        for w in found:
+            data = np.frombuffer(w["word"].encode(), np.uint8)
+            shape = sum(f << k for k, f in enumerate(w["flags"]))
+            total += cell(word_names(data, np.array([0]), np.array([len(data)]))[0]) + cell(mix(np.array([shape + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))[0])
+        want = 1 / (1 + math.exp(-(model.bias + total / len(found)))) if found else 0.0
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6) and got[i]["kept"] == (got[i]["score"] < 0.5)
+        odds = labels.prior() + sum(labels.weights()[j, got[i]["votes"] // 3**j % 3] for j in range(LABELLERS))
+        assert got[i]["label"] == pytest.approx(1 / (1 + math.exp(-odds)))
+
+
+def test_rules_against_plain_statistics(spark):
+    rng = random.Random(18)
+    texts = SAMPLES + [" ".join(rng.choice(["one", "two!", "Three", "#four", "five"]) for _ in range(rng.randrange(5, 60))) + "\nline\nline" for _ in range(60)]
+    rules = [(Condition("symbol_rate", True, 0.25), Condition("n_words", False, 40.0)), (Condition("capital_rate", True, 0.06),), (Condition("dup_line_rate", True, 0.3), Condition("mark_rate", True, 0.2))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_rules(df, labels, rules=rules).collect()}
+    for i, text in enumerate(texts):
+        n, chars, symbols, dup, repeat = brute.statistics(text)
+        lines = [x for x in (text or "").split("\n") if brute.WORD.search(x)]
+        capitals, marks = sum(unicodedata.category(c) == "Lu" for c in text or ""), (text or "").count("!")
+        rate = lambda a, b: a / b if b else 0.0
+        row = {"n_words": n, "mean_chars": rate(chars, n), "symbol_rate": rate(symbols, n), "dup_line_rate": rate(dup, len(lines)), "repeat_rate": rate(repeat, n), "capital_rate": rate(capitals, chars), "mark_rate": rate(marks, n)}
+        rule = next((k for k, r in enumerate(rules, 1) if all((row[c.feature] >= c.threshold) == c.above for c in r)), 0)
+        failed = n < 10 or 100 * repeat > 20 * n
+        assert (got[i]["rule"], got[i]["base_failed"], got[i]["kept"]) == (rule, failed, not failed and not rule)
+    assert {r["rule"] for r in got.values()} == {0, 1, 2, 3}
