@@ -104,6 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+#: Eight steps of the checksum's table, for the number i.
+_CRC_STEPS = "i::bigint"
+for _ in range(8):
+    _CRC_STEPS = f"list_transform([{_CRC_STEPS}], lambda v: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)[1]"
+
 #: SQL of the operators that SQL can express; the others are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": rf"""
@@ -143,4 +148,13 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
    from d join b on d.source is not distinct from b.source),
  x as (select *, least(base + case when upto <= budget or upto - n <= budget and (budget - (upto - n)) * 2 >= n then 1 else 0 end, 2)::int copies from c)
 select doc_id, size, total::bigint source_size, round(target, 6) target, size * copies taken, source, copies from x""",
+    "op7_rendezvous_shards": rf"""
+with t as (select list_transform(range(256), lambda i: {_CRC_STEPS}) crc_table),
+ d as (select doc_id, encode(coalesce(text, '')) b, coalesce(doc_id::varchar, 'null') key from documents),
+ c as (select d.*, octet_length(b)::bigint + 8 size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::bigint)),
+   lambda c, x: xor(c >> 8, crc_table[xor(c & 255, x) + 1]))) text_crc32 from d, t),
+ s as (select key, s shard, ('0x' || left(md5(key || ':' || s), 13))::bigint u from (select distinct key from d), range(25) r(s)),
+ w as (select key, max((u, shard)) filter (shard < 24) w, max((u, shard)) g from s group by key),
+ p as (select c.*, w[2]::int shard, g[2]::int grown_shard, ('0x' || left(md5('slot:' || key || ':' || text_crc32), 8))::bigint % 1024 chunk from c join w using (key))
+select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by chunk, doc_id nulls last, text_crc32, size) - 1)::bigint slot, grown_shard from p""",
 }

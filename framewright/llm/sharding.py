@@ -18,25 +18,27 @@ from .common import packed
 CHUNKS = 1024
 
 
-def winner(key: Column, weights: Sequence[float]) -> Column:
-    """Number of the shard that wins the key; the higher number on equal scores."""
+def score(key: Column, shard: int, weight: float) -> Column:
+    """A shard's score for a key, from 52 bits of an MD5, which SQL elsewhere repeats."""
+    digest = F.md5(F.concat(key, F.lit(f":{shard}")).cast("binary"))
+    drawn = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return -F.lit(float(weight)) / F.ln((drawn + 0.5) / F.lit(float(1 << 52)))
 
-    def score(shard: int, weight: float) -> Column:
-        high = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double")
-        return -F.lit(float(weight)) / F.ln((high + 0.5) / F.lit(float(1 << 53)))
 
+def winner(key: Column, weights: Sequence[float]) -> Column:
+    """(score, shard) of the shard that wins the key; the higher number on equal scores."""
     live = [(s, w) for s, w in enumerate(weights) if w > 0]
     if not live:
         raise ValueError("no shard has a weight")
-    scored = [F.struct(score(s, w).alias("score"), F.lit(s).alias("shard")) for s, w in live]
-    return (F.greatest(*scored) if len(scored) > 1 else scored[0])["shard"]
+    scored = [F.struct(score(key, s, w).alias("score"), F.lit(s).alias("shard")) for s, w in live]
+    return F.greatest(*scored) if len(scored) > 1 else scored[0]
 
 
 def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = (1.0,) * 24, new_weight: float = 1.0, chunks: int = CHUNKS, whole: bool = False) -> DataFrame:
     """Every row's shard, its place there, and its shard if one more were added.
 
     One row per input row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard,
-    slot (0, 1, 2 ... within the shard), grown_shard (with a further shard of ``new_weight``).
+    slot (0, 1, 2 ... within the shard), grown_shard (with a further shard of ``new_weight``, over 0).
     The shard depends on the id and the weights alone. Null ids are one key, so they share a
     shard; a null text has no bytes; repeated rows share a shard and take slots of their own; an
     empty table gives no rows; other columns are not read, but if ``whole`` the input row comes
@@ -48,19 +50,22 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     data = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary")
     key = F.col(f"row.`{id_col}`").cast("long")
-    chunk = F.pmod(F.xxhash64(key, F.crc32(data), F.lit("slot")), F.lit(chunks)).cast("int")
+    name = F.coalesce(key.cast("string"), F.lit("null"))
+    chunk = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("slot"), name, F.crc32(data)).cast("binary")), 1, 8), 16, 10).cast("long") % chunks
     carry = ["row"] if whole else []
     rows = packed(docs).select(
         *carry,
         key.alias("doc_id"),
         (F.octet_length(data) + F.lit(8)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        winner(key, weights).alias("shard"),
-        winner(key, [*weights, new_weight]).alias("grown_shard"),
-        chunk.alias("chunk"),
+        winner(name, weights).alias("won"),
+        score(name, len(weights), new_weight).alias("new"),
+        chunk.cast("int").alias("chunk"),
     )
+    grown = F.when(F.col("new") >= F.col("won.score"), F.lit(len(weights))).otherwise(F.col("won.shard"))
+    rows = rows.select(*carry, "doc_id", "size", "text_crc32", F.col("won.shard").alias("shard"), grown.alias("grown_shard"), "chunk")
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = packed(docs).select(winner(key, weights).alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "chunk").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(within) - 1)

@@ -1,5 +1,6 @@
 """What the operators must find besides what their own tests ask."""
 
+import hashlib
 import math
 import random
 import unicodedata
@@ -8,7 +9,6 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import queries
@@ -146,9 +146,8 @@ def test_winner_is_the_highest_score(spark):
     got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rendezvous_shards(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), weights=weights, new_weight=3.0).collect()}
 
     def score(key, shard, weight):
-        first = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
-        digest = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), first)
-        return -weight / math.log(((digest >> 11) + 0.5) / 2.0**53)
+        drawn = int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16)
+        return -weight / math.log((drawn + 0.5) / 2.0**52)
 
     best = lambda key, ws: max((score(key, s, w), s) for s, w in enumerate(ws) if w)[1]
     assert got == {i: (best(i, weights), best(i, (*weights, 3.0))) for i in ids}
