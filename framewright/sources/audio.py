@@ -1,4 +1,4 @@
-"""Audio scan and sink (S11, K9). PCM WAV is decoded here; other formats by an injected decoder."""
+"""Audio scan and sink (S11, K9). PCM WAV and FLAC are decoded here; other formats by an injected decoder."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from .files import write_files
+from .flac import decode_flac
 
 Decoder = Callable[[bytes], tuple[np.ndarray, int]]
 AUDIO = "speaker string, utt string, path string, sr int, samples array<float>"
@@ -43,7 +44,12 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_audio(spark: SparkSession, root: str, suffix: str = ".wav", decoder: Decoder = decode_wav) -> DataFrame:
+def decoded(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples and rate of WAV or FLAC bytes, whichever they are."""
+    return decode_flac(data) if data[:4] == b"fLaC" else decode_wav(data)
+
+
+def read_audio(spark: SparkSession, root: str, suffix: str = ".wav", decoder: Decoder = decoded) -> DataFrame:
     """(speaker, utt, path, sr, samples) of all files below ``root`` with the suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
     rows = files.select(paths.parent_name(F.col("path")).alias("speaker"), paths.stem(F.col("path")).alias("utt"), "path", "content")
