@@ -815,11 +815,12 @@ def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select x.vec_id x_id, y.vec_id y_id, round(1 - list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) score
- from (select event_id % 500 a, (event_id * 7) % 500 b from events) p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b""")
+ from (select event_id % n a, (event_id * 7) % n b from events, (select count(*) n from embeddings)) p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b""")
 def path_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each evaluation path's embedding, and the cosine distance of the two."""
-    p = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("x_id"), (F.col("event_id") * 7 % 500).alias("y_id"))
     e = table(spark, sf_dir, "embeddings")
+    number = e.agg(F.count(F.lit(1)).alias("n"))  # one row
+    p = table(spark, sf_dir, "events").join(F.broadcast(number), F.lit(True)).select((F.col("event_id") % F.col("n")).alias("x_id"), (F.col("event_id") * 7 % F.col("n")).alias("y_id"))
     both = p.join(e.select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x")), "x_id").join(e.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y")), "y_id")
     return both.select("x_id", "y_id", r(vectors.cosine_distance("x", "y")).alias("score"))
 
