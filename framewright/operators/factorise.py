@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import matrix
+from .frames import numbered
 
 BASIS = "speaker string, basis array<array<double>>"
 
@@ -46,12 +47,52 @@ def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
     return met.groupBy("a", "b", "_salt").applyInArrow(part, ddl).groupBy("a", "b").applyInArrow(merge, ddl)
 
 
+#: Reference frames of a block of the Gramian over them.
+BLOCK = 1024
+
+
+def reference_blocks(placed: DataFrame, n: int, salts: int = 16) -> DataFrame:
+    """(a, b, rows, gram): blocks a <= b of the Gramian over ``n`` reference frames, from (speaker, place, feat).
+
+    A speaker's blocks meet each other; products are summed in ``salts`` groups of speakers and then once more.
+    """
+
+    def pack(table):
+        import pyarrow as pa
+
+        block = table.column("block")[0].as_py()
+        x = np.zeros((min(BLOCK, n - block * BLOCK), len(table.column("feat")[0].values)))
+        x[table.column("place").to_numpy() - block * BLOCK] = matrix(table.column("feat"))
+        return pa.table({"speaker": table.column("speaker")[:1], "block": table.column("block")[:1], "rows": pa.array([len(x)], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    def multiply(table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x).reshape(r, -1) @ np.frombuffer(y).reshape(q, -1).T for x, r, y, q in zip(*(table.column(c).to_pylist() for c in ("x", "rows", "y", "others")), strict=True))
+        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "rows": table.column("rows")[:1], "gram": pa.array([total.tobytes()], pa.binary())})
+
+    def merge(table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x) for x in table.column("gram").to_pylist())
+        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "rows": table.column("rows")[:1], "gram": pa.array([total.tobytes()], pa.binary())})
+
+    block = F.floor(F.col("place") / BLOCK).cast("int").alias("block")
+    blocks = placed.select("speaker", "place", "feat", block).groupBy("speaker", "block").applyInArrow(pack, "speaker string, block int, rows int, x binary")
+    left = blocks.select("speaker", F.col("block").alias("a"), "rows", "x")
+    right = blocks.select("speaker", F.col("block").alias("b"), F.col("rows").alias("others"), F.col("x").alias("y"))
+    met = left.join(right, "speaker").filter("a <= b").withColumn("salt", F.pmod(F.xxhash64("speaker"), F.lit(salts)))
+    ddl = "a int, b int, rows int, gram binary"
+    return met.groupBy("a", "b", "salt").applyInArrow(multiply, ddl).groupBy("a", "b").applyInArrow(merge, ddl)
+
+
 def factorise(aligned: DataFrame, rank: int, most_columns: int = 1 << 14) -> tuple[DataFrame, np.ndarray]:
     """(speaker, basis: rank x width) and the singular values of the wide aligned matrix.
 
     The wide matrix is never formed: its right singular vectors are the Gramian's eigenvectors.
     Where speakers x width exceeds ``most_columns``, the Gramian over reference frames (which the
-    frame cap bounds) is decomposed instead and bases are projected back a speaker at a time.
+    frame cap bounds) is summed in blocks, decomposed instead, and bases are projected back a
+    speaker at a time.
     """
     spark = aligned.sparkSession
     shape = aligned.agg(F.countDistinct("speaker").alias("s"), F.max(F.size("feat")).alias("d")).first()
@@ -65,32 +106,25 @@ def factorise(aligned: DataFrame, rank: int, most_columns: int = 1 << 14) -> tup
         bases = {name: top[:, sizes[i] : sizes[i + 1]] for i, name in enumerate(names)}
         singular = np.sqrt(np.maximum(values[::-1][:rank], 0))
     else:
-        refs = [r["ref_idx"] for r in aligned.select("ref_idx").distinct().orderBy("ref_idx").collect()]
-        place = {r: i for i, r in enumerate(refs)}
-
-        def outer(table):
-            import pyarrow as pa
-
-            x = np.zeros((len(place), len(table.column("feat")[0].as_py())))
-            for ref, feat in zip(table.column("ref_idx").to_pylist(), table.column("feat").to_pylist(), strict=True):
-                x[place[ref]] = feat
-            return pa.table({"speaker": table.column("speaker")[:1], "part": [(x @ x.T).ravel()]})
-
-        parts = aligned.groupBy("speaker").applyInArrow(outer, "speaker string, part array<double>").select(F.posexplode("part").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        gram = np.zeros(len(refs) ** 2)
-        gram[parts["at"]] = parts["v"]
-        values, vectors = np.linalg.eigh(gram.reshape(len(refs), -1))
+        placed = aligned.join(numbered(aligned.select("ref_idx").distinct(), "ref_idx", name="place"), "ref_idx").select("speaker", F.col("place").cast("int").alias("place"), "feat").persist()
+        n = placed.agg(F.max("place")).first()[0] + 1
+        gram = np.zeros((n, n))
+        for r in reference_blocks(placed, n).toLocalIterator():
+            part = np.frombuffer(r["gram"]).reshape(r["rows"], -1)
+            i, j = r["a"] * BLOCK, r["b"] * BLOCK
+            gram[i : i + part.shape[0], j : j + part.shape[1]] = part
+            gram[j : j + part.shape[1], i : i + part.shape[0]] = part.T
+        values, vectors = np.linalg.eigh(gram)
         u, singular = vectors[:, ::-1][:, :rank], np.sqrt(np.maximum(values[::-1][:rank], 1e-300))
 
         def back(table):
             import pyarrow as pa
 
-            x = np.zeros((len(place), len(table.column("feat")[0].as_py())))
-            for ref, feat in zip(table.column("ref_idx").to_pylist(), table.column("feat").to_pylist(), strict=True):
-                x[place[ref]] = feat
+            x = np.zeros((n, len(table.column("feat")[0].values)))
+            x[table.column("place").to_numpy()] = matrix(table.column("feat"))
             return pa.table({"speaker": table.column("speaker")[:1], "basis": [((u / singular).T @ x).tolist()]})
 
-        return aligned.groupBy("speaker").applyInArrow(back, BASIS), singular
+        return placed.groupBy("speaker").applyInArrow(back, BASIS), singular
     return spark.createDataFrame([(n, b.tolist()) for n, b in bases.items()], BASIS), singular
 
 

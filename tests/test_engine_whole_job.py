@@ -83,11 +83,13 @@ def test_numbered_rows(spark):
     assert frames.numbered(spark.createDataFrame([], "a int"), "a").count() == 0
 
 
-def test_factorisation_against_svd(spark):
+@pytest.mark.parametrize("most, block", [(1 << 14, 1024), (1, 1024), (1, 7)])
+def test_factorisation_against_svd(spark, monkeypatch, most, block):
+    monkeypatch.setattr(factorise, "BLOCK", block)
     rng = np.random.default_rng(2)
     stacks = {s: rng.normal(size=(40, 16)) for s in "abc"}
-    rows = [(i, s, m[i].tolist()) for s, m in stacks.items() for i in range(40)]
-    bases, singular = factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 6)
+    rows = [(10 * i, s, m[i].tolist()) for s, m in stacks.items() for i in range(40)]
+    bases, singular = factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 6, most)
     u, values, vt = np.linalg.svd(np.hstack([stacks[s] for s in "abc"]), full_matrices=False)
     np.testing.assert_allclose(singular, values[:6])
     found = {r["speaker"]: np.array(r["basis"]) for r in bases.collect()}
