@@ -320,6 +320,24 @@ def ridge_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_entries(spark, sf_dir, "ridge", 5.0, alpha=5.0)
 
 
+@query("with l as (select distinct label::varchar l from embeddings) select a.l source, b.l target, i::int i, j::int j, (i = j)::int::double as product, 0.0::double as skew from l a join l b on a.l <> b.l, range(64) r(i), range(64) c(j)")
+def orthogonal_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of W W', and of W'X'Y less its transpose: together they make W the polar factor of X'Y."""
+    import pyarrow as pa
+
+    found = moments.pair_moments(matched(spark, sf_dir)).persist()
+    both = found.join(solvers.fit_maps(found, "orthogonal"), ["source", "target"])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                w, c = np.array(row["w"]), solvers.Moments.of(row).c
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "product": [(w @ w.T).ravel()], "skew": [(w.T @ c - c.T @ w).ravel()]})
+
+    flat = both.mapInArrow(run, "source string, target string, product array<double>, skew array<double>").select("source", "target", F.posexplode(F.arrays_zip("product", "skew")).alias("at", "cell"))
+    return flat.select("source", "target", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), r(F.col("cell.product")).alias("product"), r(F.col("cell.skew")).alias("skew"))
+
+
 # ---------------------------------------------------------------- factorisation, PCA
 
 
