@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,3 +168,23 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return edge[::2], edge[1::2]
+
+
+#: Text bytes that one vectorised step works on.
+CHUNK = 1 << 19
+
+
+def in_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Joined bytes and bounds of runs of texts, out of Arrow's own buffers; a null text is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        yield data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j

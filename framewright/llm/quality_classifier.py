@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, split_words, word_names
+from .common import in_chunks, mix, split_words, word_names
 
 #: Frequent short words of the four languages.
 STOPWORDS = """
@@ -29,7 +29,6 @@ el los las y del se por con una para es al lo como más
 """.split()
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
-CHUNK = 1 << 19
 
 _CLASS = np.zeros((6, 256), bool)
 UPPER, LOWER, SYMBOL, MARK, DIGIT, STOP = range(6)
@@ -95,22 +94,6 @@ def votes(w: Words, stopwords: np.ndarray) -> np.ndarray:
 LABELLERS = 9
 
 
-def in_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Joined bytes and bounds of runs of texts, out of Arrow's own buffers; a null text is empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_binary())
-    if not len(texts):
-        return
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
-        yield data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-        i = j
-
-
 def pattern(text: Column) -> Column:
     """A document's votes as one number in base 3."""
     stop = np.array([_name(x) for x in STOPWORDS], np.uint64)

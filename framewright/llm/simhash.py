@@ -20,38 +20,95 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, packed, shared_checkpoint, shuffle_partitions, text_bytes
+from .common import IS_SPACE, in_chunks, packed, shared_checkpoint, shuffle_partitions, split_words, text_bytes
 from .components import connected_components
 
 BITS = 64
 #: Members of trees that grow together, and pairs of query and node in one vectorised step.
 STEP = 1 << 17
 
-_ONE_SPACE = bytes(0x20 if c in SPACES else c for c in range(256))
-
-
-def fingerprint(text: bytes, width: int) -> int:
-    """64-bit SimHash of a text's word shingles; 0 for a text without words."""
-    found = [w for w in text.lower().translate(_ONE_SPACE).split(b" ") if w]
-    if not found:
-        return 0
-    joined = memoryview(b" ".join(found))
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(found) > width:
-        starts, ends = starts[: len(found) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    votes = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        votes += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each ``data[start:end]``; ranges of one length go through its steps together."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight, four = (np.ndarray((len(data) + 1,), kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    order = np.argsort(size.astype(np.uint16) if len(size) and size.max() < 1 << 16 else size, kind="stable")
+    seed = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            at, n = starts[own], int(size[own[0]])
+            left = n
+            if n >= 32:
+                lanes = [np.full(len(own), x, np.uint64) for x in (seed + P1 + P2, seed + P2, seed, seed - P1)]
+                while left >= 32:
+                    for k in range(4):
+                        lanes[k] = rotated(lanes[k] + eight[at + 8 * k] * P2, 31) * P1
+                    at, left = at + 32, left - 32
+                h = sum(rotated(v, r) for v, r in zip(lanes, (1, 7, 12, 18), strict=True))
+                for v in lanes:
+                    h = (h ^ rotated(v * P2, 31) * P1) * P1 + P4
+            else:
+                h = np.full(len(own), seed + P5, np.uint64)
+            h += np.uint64(n)
+            while left >= 8:
+                h = rotated(h ^ rotated(eight[at] * P2, 31) * P1, 27) * P1 + P4
+                at, left = at + 8, left - 8
+            if left >= 4:
+                h = rotated(h ^ four[at].astype(np.uint64) * P1, 23) * P2 + P3
+                at, left = at + 4, left - 4
+            while left:
+                h = rotated(h ^ padded[at].astype(np.uint64) * P5, 11) * P1
+                at, left = at + 1, left - 1
+            h = (h ^ (h >> np.uint64(33))) * P2
+            h = (h ^ (h >> np.uint64(29))) * P3
+            out[own] = h ^ (h >> np.uint64(32))
+    return out
+
+
+#: Shingles whose bits are counted at a time.
+VOTES = 1 << 14
+
+
+def simhashes(data: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
+    """64-bit SimHash of the word shingles of each joined text ``data[bound:next bound]``; 0 for one without words."""
+    starts, ends, doc = split_words(data, bounds)
+    # the words with one space after each: what lies between two of a text is then what joins them
+    keep = np.zeros(len(data) + 1, bool)
+    keep[:-1] = ~IS_SPACE[data]
+    place = np.cumsum(keep) - keep
+    place = place[starts] + np.arange(len(starts))
+    size = ends - starts
+    text = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    solid = np.ones(len(text), bool)
+    solid[place + size] = False
+    text[solid] = _LOWER[data[keep[:-1]]]
+    n = np.bincount(doc, minlength=len(bounds) - 1)
+    shingles = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    owner, first = spread(np.cumsum(n) - n, shingles)
+    last = np.minimum(first + width, np.cumsum(n)[owner]) - 1
+    votes = np.zeros((len(n), BITS), np.int64)
+    hashes = xxh64(text, place[first], place[last] + size[last], 42)
+    for i in range(0, len(first), VOTES):
+        own = owner[i : i + VOTES]
+        bits = np.unpackbits(hashes[i : i + VOTES].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        votes[own[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, hashed: bool = False) -> DataFrame:
@@ -61,7 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width) for t in batch.column("data")], np.uint64)
+            found = np.concatenate([np.empty(0, np.uint64), *(simhashes(*part, width) for part in in_chunks(batch.column("data")))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(f.name) for f in carried)], schema=schema)
 
     hashes = [text_hash(text_col)] if hashed else []

@@ -8,11 +8,13 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framewright.llm import queries
-from framewright.llm.common import mix, word_names
+from framewright.llm.common import in_chunks, mix, word_names
 from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
 from framewright.llm.names import distinct, pack_sorted, unpack_sorted
 from framewright.llm.pii import base_spans, contexts, personal_data
@@ -20,7 +22,7 @@ from framewright.llm.quality_classifier import ABSTAIN, BAD, GOOD, LABELLERS, ST
 from framewright.llm.quality_rules import Condition, labelled_statistics, quality_rules
 from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.sharding import rendezvous_shards
-from framewright.llm.simhash import grow, one_of_each, tree_links
+from framewright.llm.simhash import grow, one_of_each, simhashes, tree_links, xxh64
 from framewright.llm.substring_dedup import substring_dedup
 from framewright.llm.suffix_dedup import suffix_array_dedup
 
@@ -397,3 +399,16 @@ def test_rules_against_plain_statistics(spark):
         failed = n < 10 or 100 * repeat > 20 * n
         assert (got[i]["rule"], got[i]["base_failed"], got[i]["kept"]) == (rule, failed, not failed and not rule)
     assert {r["rule"] for r in got.values()} == {0, 1, 2, 3}
+
+
+def test_hashes_and_fingerprints_against_plain_ones():
+    rng = np.random.default_rng(19)
+    data = rng.integers(0, 256, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3800, 1500)
+    ends = starts + rng.integers(0, 200, 1500)
+    assert xxh64(data, starts, ends, 42).tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(starts, ends, strict=True)]
+    assert len(xxh64(data, starts[:0], ends[:0], 1)) == 0
+    texts = [*SAMPLES, " \t\n", "One", "one TWO", "A b c d", "a b c d e", "É é\x1f Z\nz  q\x0b r", "x" * 100 + " y", "\n".join(SAMPLES[:6]) * 40, "end"]
+    for width in (1, 4, 5):
+        got = np.concatenate([simhashes(*part, width) for part in in_chunks(pa.array(texts))])
+        assert got.tolist() == [brute.fingerprint(t, width) for t in texts]
