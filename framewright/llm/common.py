@@ -174,7 +174,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CHUNK = 1 << 19
 
 
-def in_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Joined bytes and bounds of runs of texts, out of Arrow's own buffers; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -185,6 +185,6 @@ def in_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, "right")) - 1)
         yield data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j

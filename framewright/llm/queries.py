@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import chat_format, read_loss, read_turns, records_of
 from .decontaminate import decontaminate
+from .itemsets import frequent_itemsets
 from .mixing import mix_sources
 from .pii import KINDS as PII_KINDS
 from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .resampling import importance_resample
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_scan
 from .sharding import rendezvous_shards
@@ -21,6 +24,10 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import TOP, V, difference_set, suffix_array_dedup
 
 
+#: Both texts of the conversation that operator 12 adds.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -91,6 +98,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir), width=4, radius=4)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), longest=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "role", "text")
+    tricky = F.lit(TRICKY)
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), tricky.alias("content")) for role in ("user", "assistant")])
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    out = chat_format(rows.unionByName(more))
+    read = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").filter(~F.col("flag").eqNullSafe("returned"))
+    out = frequent_itemsets(lines, "sale_id", "item_id", least=8, per=2000, percent=10)
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"].alias("a"), r["item"].alias("item"))))
+    text = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["item"], r["a"], r["s"])), ";")
+    return out.select(F.array_join("items", ",").alias("items"), F.size("items").cast("long").alias("n_items"), "support", F.size("rules").cast("long").alias("n_rules"), best["item"].alias("best_item"), F.sha2(text.cast("binary"), 256).alias("rules_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -102,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_chat_format": op12_chat_format,
+    "op13_frequent_itemsets": op13_frequent_itemsets,
 }
 
 #: Eight steps of the checksum's table, for the number i.
@@ -157,4 +191,38 @@ with t as (select list_transform(range(256), lambda i: {_CRC_STEPS}) crc_table),
  w as (select key, max((u, shard)) filter (shard < 24) w, max((u, shard)) g from s group by key),
  p as (select c.*, w[2]::int shard, g[2]::int grown_shard, ('0x' || left(md5('slot:' || key || ':' || text_crc32), 8))::bigint % 1024 chunk from c join w using (key))
 select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by chunk, doc_id nulls last, text_crc32, size) - 1)::bigint slot, grown_shard from p""",
+    "op11_importance_resample": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+ b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) word from benchmark),
+ f as (select doc_id, unnest(w) word from d),
+ v as (select word, count(*) filter (mine) s, count(*) filter (not mine) t from (select word, true mine from f union all select word, false from b) group by word),
+ t as (select list_transform(range(256), lambda i: {steps}) crc_table),
+ h as (select word, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::bigint)),
+   lambda c, x: xor(c >> 8, crc_table[xor(c & 255, x) + 1]))) % 10000 bucket from v, t),
+ g as (select bucket, floor(1000 * ln((sum(t) + 1)::double * (sum(sum(s)) over () + 10000) / ((sum(s) + 1)::double * (sum(sum(t)) over () + 10000))))::bigint gain from h group by bucket),
+ k as (select word, gain from h join g using (bucket)),
+ w as (select d.doc_id, len(d.w)::bigint n, coalesce((select sum(gain) from unnest(d.w) u(word) join k using (word)), 0)::bigint gained from d),
+ s as (select doc_id, n, case when n = 0 then 0 else (gained - ((gained % n) + n) % n) // n end weight from w),
+ x as (select *, weight + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 8))::bigint + 0.5::double) / 4294967296)))::bigint score from s),
+ r as (select *, case when n >= 20 then row_number() over (partition by n >= 20 order by score desc, doc_id nulls last) end place, count(*) filter (n >= 20) over () all_ from x)
+select doc_id, n n_features, weight::bigint weight, score::bigint score, case when place <= 10 * all_ // 100 then place end::bigint as rank from r""".replace("{steps}", _CRC_STEPS),
+    "op12_chat_format": r"""
+with c as (select conv_id, turn, 0 place, coalesce(role, '') role, coalesce(text, '') body from conversations
+   union all select -7, 0, p, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(p, r)),
+ e as (select *, regexp_replace(role, '<(\\*)(turn>|text>|/turn>)', '<\\\1\2', 'g') er, regexp_replace(body, '<(\\*)(turn>|text>|/turn>)', '<\\\1\2', 'g') eb from c)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn nulls first, place, er, eb)) turns_sha256,
+ coalesce(sum(length(body)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(body, '' order by turn nulls first, place, er, eb) filter (role = 'assistant'), '')) loss_sha256,
+ sum(length('<turn><text></turn>') + 1 + length(er) + length(eb))::bigint formatted_chars
+from e group by conv_id""",
+    "op13_frequent_itemsets": r"""
+with recursive l as (select distinct sale_id, item_id from sale_lines where flag is distinct from 'returned' and sale_id is not null and item_id is not null),
+ n as (select count(distinct sale_id)::bigint b from l),
+ i as (select item_id, count(*)::bigint s, list(sale_id order by sale_id) t from l group by item_id having count(*) >= 8 and count(*) * 2000 >= (select b from n)),
+ f as (select [item_id] items, item_id last, s, t from i
+   union all select items || [item_id], item_id, len(t)::bigint, t from (select f.items, i.item_id, list_intersect(f.t, i.t) t from f join i on i.item_id > f.last), n where len(t) >= 8 and len(t) * 2000 >= b),
+ u as (select items, s, c, list_filter(items, lambda x: x <> c) rest from (select items, s, unnest(items) c from f) where len(items) > 1),
+ z as (select items, s from f where (items, s) not in (select rest, s from u)),
+ r as (select u.items, u.c, a.s a, i.s sc from u join z on z.items = u.items join f a on a.items = u.rest join i on i.item_id = u.c, n where 100 * u.s >= 10 * a.s and u.s * n.b > a.s * i.s)
+select array_to_string(z.items, ',') items, len(z.items)::bigint n_items, any_value(z.s)::bigint support, count(c)::bigint n_rules, arg_min(c, (a, c)) best_item, sha256(coalesce(string_agg(c || ':' || a || ':' || sc, ';' order by c), '')) rules_sha256
+from z left join r on r.items = z.items group by z.items""",
 }
