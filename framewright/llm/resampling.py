@@ -1,14 +1,14 @@
 """Importance resampling towards a target distribution, over an integer word dictionary.
 
-Distinct words get integer ids; an n-gram is a tuple of ids. Each distinct tuple's bytes are put
-together again from the dictionary and hashed once; how often documents and target hold the
-tuple is joined to that hash. Ratios of the hash buckets weigh the documents, and seeded Gumbel
-noise turns the largest weights into a draw without replacement.
+A block of texts gets a dictionary of its distinct words; an n-gram is a tuple of their integer
+ids. Each distinct tuple's bytes are put together again from the dictionary and hashed once, and
+its counts are joined back to that hash, by documents and over all. Ratios of the hash buckets
+between the target and all documents weigh the documents, and seeded Gumbel noise turns the
+largest weights into a draw without replacement.
 
-Texts are read once. A task writes, for each block of texts and each word of it, which documents
-hold the word how often; every later step moves these packed lists, not tokens. Words and tuples
-that make up 1/1024 of all features or more (so at most 1,024) have their lists dealt to salts,
-beside copies of their one row of the dictionary.
+Dictionaries are those of blocks, not of the corpus: the tail of rare words grows with the corpus,
+and looking words up in one dictionary would move every word of every block over the network and
+back, where only counts of ``buckets`` numbers a task are needed.
 
 A null text is empty; a document without words has weight 0 and stays. Rows that repeat an id
 are separate documents; a null id draws as the text ``null`` and comes last among ties. Rows
@@ -18,11 +18,11 @@ every bucket its smoothed ratio. Only the id and text columns are read, so no co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +31,11 @@ from .common import CHUNK, in_chunks, shared_table, text_bytes
 #: Text bytes of a block, unless one text is longer.
 BLOCK = 8 * CHUNK
 
-#: Features that are at least one of so many are dealt to SALTS partitions.
-RARE = 1024
-SALTS = 64
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _SOLID = np.zeros(256, bool)
 _SOLID[0x30:0x3A] = _SOLID[0x61:0x7B] = _SOLID[0x80:] = True
 
-PARTS = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("times", pa.binary()), ("total", pa.int64())])
-PARTS_DDL = "block long, word binary, ids array<long>, sizes array<int>, at binary, times binary, total long"
-
-
-def packed_lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary column of runs of 32-bit values, by their ends."""
-    bounds = np.concatenate(([0], ends)).astype(np.int32) * np.int32(4)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
-
-
-def unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32)
-
 
 def word_array(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased words of joined texts, and the text of each."""
@@ -69,98 +52,57 @@ def word_array(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarr
     return words, np.searchsorted(bounds, starts, "right") - 1
 
 
-def block_words(longest: int):
-    """Arrow batches (id, text) to rows (block, word, lists), and one row a block with ids and numbers of words.
+def block_features(data: np.ndarray, bounds: np.ndarray, longest: int, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each text, and for each n the bucket of every n-gram and the text that it is in."""
+    words, doc = word_array(data, bounds)
+    coded = words.dictionary_encode()
+    code, dictionary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    out = []
+    at, ids = np.arange(len(code)), np.arange(len(dictionary))  # places of n-grams, and for each of their names a tuple of word ids
+    name, tuples = code.astype(np.int64), ids[:, None]
+    for n in range(1, longest + 1):
+        if n > 1:
+            more = at[at + n - 1 < len(code)]
+            more = more[doc[more] == doc[more + n - 1]]
+            longer = name[: len(at)][np.searchsorted(at, more)] * len(dictionary) + code[more + n - 1]
+            found, name = np.unique(longer, return_inverse=True)
+            tuples = np.hstack([tuples[found // max(len(dictionary), 1)], (found % max(len(dictionary), 1))[:, None]])
+            at = more
+        spelled = dictionary if n == 1 else (b" ".join([dictionary[i] for i in ids]) for ids in tuples.tolist())
+        hashes = np.fromiter(map(zlib.crc32, spelled), np.int64, len(tuples)) % buckets
+        out.append((hashes[name], doc[at]))
+    return np.bincount(doc, minlength=len(bounds) - 1), out
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    return df.select(text_bytes(F.col("text").cast("string")).alias("text"))
 
-    For single words the lists are documents and counts; for longer n-grams they are places in the block.
-    """
+
+def bucket_counts(df: DataFrame, name: str, longest: int, buckets: int) -> DataFrame:
+    """(bucket, name): features of all texts; a task sends one number a bucket that it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            ids, at = batch.column(0), 0
-            for data, bounds in in_chunks(batch.column(1), BLOCK):
-                docs = len(bounds) - 1
-                block, n = (task << 32) + n, n + 1
-                words, doc = word_array(data, bounds)
-                sizes = np.bincount(doc, minlength=docs)
-                head = [pa.array([block]), pa.nulls(1, pa.binary()), pa.array([ids.slice(at, docs)], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([0])]
-                yield pa.RecordBatch.from_arrays(head, schema=PARTS)
-                at += docs
-                if not len(words):
-                    continue
-                coded = words.dictionary_encode()
-                code, found = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
-                if longest == 1:
-                    pairs, times = np.unique(code.astype(np.int64) * docs + doc, return_counts=True)
-                    of, where = pairs // docs, pairs % docs
-                else:
-                    where = np.argsort(code, kind="stable")
-                    of, times = code[where], np.ones(len(where), np.int32)
-                ends = np.searchsorted(of, np.arange(len(found)), "right")
-                total = np.bincount(code, minlength=len(found))
-                none = pa.nulls(len(found), pa.list_(pa.int64())), pa.nulls(len(found), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), found, *none, packed_lists(where, ends), packed_lists(times, ends), pa.array(total)], schema=PARTS)
-
-    return run
-
-
-def block_tuples(longest: int):
-    """All of a block's words with their ids to rows (block, tuple, lists, total) of its n-grams."""
-
-    def run(table: pa.Table) -> pa.Table:
-        head = table.column("id").is_null().to_numpy()
-        sizes = table.filter(pa.array(head)).column("sizes")[0].values.to_numpy()
-        rows = table.filter(pa.array(~head))
-        lengths = np.array([len(x) // 4 for x in rows.column("at").to_pylist()], np.int64)
-        ids = np.zeros(int(sizes.sum()), np.int64)
-        ids[unpacked(rows.column("at"))] = np.repeat(rows.column("id").to_numpy(), lengths)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        tuples, at, times, ends, total = [], [], [], [], []
-        for n in range(1, longest + 1):
-            starts = np.arange(len(ids) - n + 1)
-            starts = starts[doc[starts] == doc[starts + n - 1]] if len(starts) else starts
-            if not len(starts):
-                continue
-            grams = np.stack([ids[starts + k] for k in range(n)] + [doc[starts]], axis=1)
-            found, counts = np.unique(grams, axis=0, return_counts=True)
-            new = np.ones(len(found), bool)
-            new[1:] = (found[1:, :n] != found[:-1, :n]).any(axis=1)
-            first = np.flatnonzero(new)
-            done = sum(map(len, at))
-            tuples += found[first, :n].tolist()
-            ends += (np.append(first[1:], len(found)) + done).tolist()
-            at.append(found[:, n])
-            times.append(counts)
-            total += np.add.reduceat(counts, first).tolist()
-        block = table.column("block")[0].as_py()
-        empty = np.zeros(0, np.int32)
-        lists = [packed_lists(np.concatenate([empty, *x]), np.array(ends, np.int64)) for x in (at, times)]
-        return pa.table({"block": pa.array([block] * len(tuples), pa.int64()), "tuple": pa.array(tuples, pa.list_(pa.int64())), "at": lists[0], "times": lists[1], "total": pa.array(total, pa.int64())})
-
-    return run
-
-
-def weighed_documents(table: pa.Table) -> pa.Table:
-    """A block's lists with the gains of their features to (doc_id, n_words, gained) of its documents."""
-    head = table.column("gain").is_null().to_numpy()
-    top = table.filter(pa.array(head))
-    sizes = top.column("sizes")[0].values.to_numpy()
-    rows = table.filter(pa.array(~head))
-    lengths = np.array([len(x) // 4 for x in rows.column("at").to_pylist()], np.int64)
-    gains = np.repeat(rows.column("gain").to_numpy(), lengths)
-    gained = np.zeros(len(sizes), np.int64)
-    np.add.at(gained, unpacked(rows.column("at")), gains * unpacked(rows.column("times")))
-    return pa.table({"doc_id": top.column("ids")[0].values, "n_words": pa.array(sizes, pa.int64()), "gained": pa.array(gained)})
-
-
-def looked_up(rows: DataFrame, table: DataFrame, key: str, by: str = "block") -> DataFrame:
-    """``rows`` with the columns of their key's one row in ``table`` (key, total, ...); those of frequent keys are dealt to salts by another column."""
-    frequent = table.withColumn("of", F.lit(None)).select(key, "total").join(F.broadcast(table.agg(F.sum("total").alias("of"))))
-    frequent = frequent.filter(F.col("total") * RARE >= F.col("of")).select(key, F.lit(SALTS).alias("salts"))
-    spread = table.join(F.broadcast(frequent), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("total", "salts")
-    salted = rows.join(F.broadcast(frequent), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
-    return salted.join(spread, [key, "salt"]).drop("salt")
+            for data, bounds in in_chunks(batch.column(0), BLOCK):
+                for hashes, _ in block_features(data, bounds, longest, buckets)[1]:
+                    total += np.bincount(hashes, minlength=buckets)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(met, pa.int32()), "n": pa.array(total[met])})
+
+    return texts_of(df).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias(name))
+
+
+def bucket_gains(docs: DataFrame, target: DataFrame, longest: int, buckets: int) -> np.ndarray:
+    """Thousandths of the logarithm of each bucket's smoothed ratio of target to documents, floored."""
+    both = bucket_counts(docs, "s", longest, buckets).join(bucket_counts(target, "t", longest, buckets), "bucket", "full")
+    filled = both.select("bucket", F.coalesce("s", F.lit(0)).cast("double").alias("s"), F.coalesce("t", F.lit(0)).cast("double").alias("t"))
+    all_ = Window.partitionBy()  # at most ``buckets`` rows
+    ratio = (F.col("t") + 1) * (F.sum("s").over(all_) + buckets) / ((F.col("s") + 1) * (F.sum("t").over(all_) + buckets))
+    out = np.zeros(buckets, np.int64)
+    for r in filled.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).collect():
+        out[r["bucket"]] = r["gain"]
+    return out
 
 
 def features_of(words: Column, longest: int) -> Column:
@@ -175,55 +117,24 @@ def noise(seed: str, doc_id: Column) -> Column:
 
 
 def document_weights(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = 10_000) -> DataFrame:
-    """(doc_id, n_words, n_features, weight) of every document."""
-
-    def parts(df: DataFrame) -> DataFrame:
-        pair = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text").cast("string")).alias("text"))
-        return shared_table(pair.mapInArrow(block_words(longest), PARTS_DDL))
-
-    ours = parts(docs)
-    theirs = parts(target.select(F.lit(None).cast("long").alias("doc_id"), "text"))
-    both = ours.select("word", "total", F.lit(0).cast("long").alias("hit")).unionByName(theirs.select("word", F.lit(0).cast("long").alias("total"), F.col("total").alias("hit")))
-    counts = both.filter("word is not null").groupBy("word").agg(F.sum("total").alias("s"), F.sum("hit").alias("t"))
-    dictionary = shared_table(counts.select("word", F.monotonically_increasing_id().alias("id"), "s", "t"))
-    if longest == 1:
-        tuples = dictionary.select(F.array("id").alias("tuple"), F.col("word").alias("bytes"), "s", "t")
-    else:
-
-        def encoded(of: DataFrame) -> DataFrame:
-            words = looked_up(of.filter("word is not null").select("block", "word", "at"), dictionary.select("word", "id", (F.col("s") + F.col("t")).alias("total")), "word")
-            heads = of.filter("word is null").select("block", F.lit(None).cast("long").alias("id"), "sizes", F.lit(None).cast("binary").alias("at"))
-            rows = heads.unionByName(words.select("block", "id", F.lit(None).cast("array<int>").alias("sizes"), "at"))
-            return shared_table(rows.groupBy("block").applyInArrow(block_tuples(longest), "block long, tuple array<long>, at binary, times binary, total long"))
-
-        lists = encoded(ours)
-        zero = F.lit(0).cast("long")
-        grams = lists.select("tuple", F.col("total").alias("s"), zero.alias("t")).unionByName(encoded(theirs).select("tuple", zero.alias("s"), F.col("total").alias("t")))
-        distinct = shared_table(grams.groupBy("tuple").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
-        spelled = distinct.select("tuple", F.posexplode("tuple").alias("place", "id"))
-        letters = looked_up(spelled, dictionary.select("id", "word", (F.col("s") + F.col("t")).alias("total")), "id", by="tuple")
-        inner = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
-        joined = F.aggregate(F.slice(inner, 2, longest), F.element_at(inner, 1), lambda all_, x: F.concat(all_, F.lit(b" "), x))
-        tuples = distinct.join(letters.groupBy("tuple").agg(joined.alias("bytes")), "tuple")
-    hashed = tuples.select("tuple", (F.crc32("bytes") % buckets).cast("int").alias("bucket"), "s", "t")
-    of_bucket = hashed.groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))
-    all_ = Window.partitionBy()  # at most ``buckets`` rows
-    ratio = (F.col("t") + 1) * (F.sum("s").over(all_) + buckets) / ((F.col("s") + 1) * (F.sum("t").over(all_) + buckets))
-    gains = of_bucket.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
-    gained = hashed.filter("s > 0").join(F.broadcast(gains), "bucket").select("tuple", F.col("s").alias("total"), "gain")
-    if longest == 1:
-        gained = gained.withColumn("id", F.col("tuple")[0]).join(dictionary.select("id", "word"), "id").select("word", "total", "gain")
-        lists, key = ours.filter("word is not null"), "word"
-    else:
-        key = "tuple"
-    known = looked_up(lists.select("block", key, "at", "times"), gained, key)
-    none = F.lit(None)
-    heads = ours.filter("word is null").select("block", "ids", "sizes", none.cast("binary").alias("at"), none.cast("binary").alias("times"), none.cast("long").alias("gain"))
-    rows = heads.unionByName(known.select("block", none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"), "at", "times", "gain"))
-    docs_ = rows.groupBy("block").applyInArrow(weighed_documents, "doc_id long, n_words long, gained long")
+    """(doc_id, n_words, n_features, weight) of every document; texts are read twice and not moved."""
+    gains = docs.sparkSession.sparkContext.broadcast(bucket_gains(docs, target, longest, buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0), 0
+            for data, bounds in in_chunks(batch.column(1), BLOCK):
+                sizes, features = block_features(data, bounds, longest, buckets)
+                gained = np.zeros(len(sizes), np.int64)
+                for hashes, doc in features:
+                    np.add.at(gained, doc, gains.value[hashes])
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(at, len(sizes)), "n_words": pa.array(sizes, pa.int64()), "gained": pa.array(gained)})
+                at += len(sizes)
+
+    pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text").cast("string")).alias("text"))
     n = features_of(F.col("n_words"), longest)
     weight = F.when(n > 0, F.expr("(gained - pmod(gained, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))
-    return docs_.withColumn("n_features", n).select("doc_id", "n_words", "n_features", weight.alias("weight"))
+    return pair.mapInArrow(run, "doc_id long, n_words long, gained long").withColumn("n_features", n).select("doc_id", "n_words", "n_features", weight.alias("weight"))
 
 
 def importance_resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: str = "2024") -> DataFrame:
