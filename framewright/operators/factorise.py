@@ -1,131 +1,292 @@
-"""Joint factorisation of aligned speakers into shared content and per-speaker bases."""
+"""Joint factorisation of aligned speakers into shared content and per-speaker bases.
+
+The wide matrix A (reference frames x speakers times width) is never formed. It lies in blocks of
+reference frames and speakers; products A Z and A'Q are equi joins of blocks with the blocks of a
+narrow matrix, and what the driver sees are triangles as wide as those narrow matrices.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import matrix
-from .frames import numbered
+from ..arrow import matrix, vectors
+from ..stored import dropped, stored
 
 BASIS = "speaker string, basis array<array<double>>"
+BLOCKS = "block int, speaker string, refs binary, x binary"
+ROWS = "block int, refs binary, x binary"
+PARTS = "speaker string, x binary"
+
+#: Reference frames of a block.
+BLOCK = 1024
+
+
+def blocks_of(aligned: DataFrame) -> DataFrame:
+    """(block, speaker, refs, x): frames of (ref_idx, speaker, feat) in matrices whose rows are in order of ref_idx."""
+    n = aligned.agg(F.approx_count_distinct("ref_idx")).first()[0]
+    block = F.pmod(F.xxhash64(F.col("ref_idx").cast("long")), F.lit(max(1, -(-n // BLOCK)))).cast("int")
+
+    def pack(table: pa.Table) -> pa.Table:
+        refs, order = np.unique(table.column("ref_idx").to_numpy(), return_index=True)
+        return pa.table({"block": table.column("block")[:1], "speaker": table.column("speaker")[:1], "refs": pa.array([refs.tobytes()], pa.binary()), "x": pa.array([matrix(table.column("feat"))[order].tobytes()], pa.binary())})
+
+    rows = aligned.select(block.alias("block"), "speaker", F.col("ref_idx").cast("long").alias("ref_idx"), "feat")
+    return stored(rows.groupBy("block", "speaker").applyInArrow(pack, BLOCKS))
+
+
+def dense(x: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(x).reshape(rows, -1)
+
+
+def references(refs: bytes) -> np.ndarray:
+    return np.frombuffer(refs, np.int64)
+
+
+def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
+    """(a, b, width, gram): A_a' A_b for all speakers, from (ref_idx, speaker, feat).
+
+    Blocks of speakers a <= b meet by their reference frames and are reduced by matrix products;
+    the other half is the transpose.
+    """
+    blocks = blocks_of(aligned)
+    left = blocks.select("block", F.col("speaker").alias("a"), "refs", "x")
+    right = blocks.select("block", F.col("speaker").alias("b"), F.col("refs").alias("others"), F.col("x").alias("y"))
+    met = left.join(right, "block").filter("a <= b").withColumn("salt", F.pmod("block", F.lit(salts)))
+
+    def multiply(table: pa.Table) -> pa.Table:
+        total, width = 0.0, 1
+        for refs, x, others, y in zip(*(table.column(c).to_pylist() for c in ("refs", "x", "others", "y")), strict=True):
+            r, q = references(refs), references(others)
+            _, i, j = np.intersect1d(r, q, assume_unique=True, return_indices=True)
+            b = dense(y, len(q))
+            total, width = total + dense(x, len(r))[i].T @ b[j], b.shape[1]
+        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "width": pa.array([width], pa.int32()), "gram": [total.ravel()]})
+
+    def merge(table: pa.Table) -> pa.Table:
+        a, b, width = (table.column(c)[0].as_py() for c in ("a", "b", "width"))
+        total = matrix(table.column("gram")).sum(axis=0).reshape(-1, width)
+        both = [(a, b, width, total)] + [(b, a, len(total), total.T)] * (a != b)
+        a, b, width, gram = zip(*both, strict=True)
+        return pa.table({"a": a, "b": b, "width": pa.array(width, pa.int32()), "gram": [g.ravel() for g in gram]})
+
+    ddl = "a string, b string, width int, gram array<double>"
+    return met.groupBy("a", "b", "salt").applyInArrow(multiply, ddl).groupBy("a", "b").applyInArrow(merge, ddl)
 
 
 def gram_entries(aligned: DataFrame) -> DataFrame:
     """(a, b, i, j, value): entries of every block A_a' A_b of the Gramian over reference frames."""
-    blocks = gram_blocks(aligned)
-    flat = blocks.select("a", "b", "width", F.posexplode("gram").alias("at", "value"))
+    flat = gram_blocks(aligned).select("a", "b", "width", F.posexplode("gram").alias("at", "value"))
     return flat.select("a", "b", F.floor(F.col("at") / F.col("width")).cast("int").alias("i"), (F.col("at") % F.col("width")).cast("int").alias("j"), "value")
 
 
-def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
-    """(a, b, width, gram) from (ref_idx, speaker, feat): the speakers of a reference frame meet by ref_idx.
+# ---------------------------------------------------------------- narrow matrices
 
-    Reference frames are dealt to ``salts`` groups per speaker pair and reduced by matrix products.
-    """
-    left = aligned.select("ref_idx", F.col("speaker").alias("a"), F.col("feat").alias("x"))
-    right = aligned.select("ref_idx", F.col("speaker").alias("b"), F.col("feat").alias("y"))
-    met = left.join(right, "ref_idx").withColumn("_salt", F.pmod(F.xxhash64("ref_idx"), F.lit(salts)))
 
-    def part(table):
-        import pyarrow as pa
+def times(blocks: DataFrame, z: DataFrame) -> DataFrame:
+    """A Z in rows (block, refs, x), from Z in parts (speaker, x) of width rows each."""
+    met = blocks.join(z.select("speaker", F.col("x").alias("z")), "speaker").select("block", "refs", "x", "z")
 
-        x, y = matrix(table.column("x")), matrix(table.column("y"))
-        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "width": pa.array([y.shape[1]], pa.int32()), "gram": [(x.T @ y).ravel()]})
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = dense(row["x"], len(references(row["refs"])))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int32()), "refs": [row["refs"]], "x": [(x @ dense(row["z"], x.shape[1])).tobytes()]})
 
-    def merge(table):
-        import pyarrow as pa
+    def add(table: pa.Table) -> pa.Table:
+        parts = [(references(r), x) for r, x in zip(table.column("refs").to_pylist(), table.column("x").to_pylist(), strict=True)]
+        refs = np.unique(np.concatenate([r for r, _ in parts]))
+        total = np.zeros((len(refs), len(np.frombuffer(parts[0][1])) // len(parts[0][0])))
+        for r, x in parts:
+            total[np.searchsorted(refs, r)] += dense(x, len(r))
+        return pa.table({"block": table.column("block")[:1], "refs": pa.array([refs.tobytes()], pa.binary()), "x": pa.array([total.tobytes()], pa.binary())})
 
-        total = matrix(table.column("gram")).sum(axis=0)
-        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "width": table.column("width")[:1], "gram": [total]})
+    return met.mapInArrow(multiply, ROWS).groupBy("block").applyInArrow(add, ROWS)
 
-    ddl = "a string, b string, width int, gram array<double>"
-    return met.groupBy("a", "b", "_salt").applyInArrow(part, ddl).groupBy("a", "b").applyInArrow(merge, ddl)
 
+def adjoint(blocks: DataFrame, q: DataFrame, salts: int = 16) -> DataFrame:
+    """A'Q in parts (speaker, x), from Q in rows (block, refs, x)."""
+    met = blocks.join(q.select("block", F.col("refs").alias("others"), F.col("x").alias("q")), "block")
 
-#: Reference frames of a block of the Gramian over them.
-BLOCK = 1024
+    def multiply(table: pa.Table) -> pa.Table:
+        total = 0.0
+        for refs, x, others, q in zip(*(table.column(c).to_pylist() for c in ("refs", "x", "others", "q")), strict=True):
+            r, o = references(refs), references(others)
+            total = total + dense(x, len(r)).T @ dense(q, len(o))[np.searchsorted(o, r)]
+        return pa.table({"speaker": table.column("speaker")[:1], "x": pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in table.column("x").to_pylist())
+        return pa.table({"speaker": table.column("speaker")[:1], "x": pa.array([total.tobytes()], pa.binary())})
 
-def reference_blocks(placed: DataFrame, n: int, salts: int = 16) -> DataFrame:
-    """(a, b, rows, gram): blocks a <= b of the Gramian over ``n`` reference frames, from (speaker, place, feat).
+    dealt = met.withColumn("salt", F.pmod("block", F.lit(salts))).select("speaker", "salt", "refs", "x", "others", "q")
+    return dealt.groupBy("speaker", "salt").applyInArrow(multiply, PARTS).groupBy("speaker").applyInArrow(add, PARTS)
 
-    A speaker's blocks meet each other; products are summed in ``salts`` groups of speakers and then once more.
-    """
 
-    def pack(table):
-        import pyarrow as pa
+def triangle(rows: DataFrame, width: int, salts: int = 16) -> np.ndarray:
+    """R with R'R = M'M of a narrow matrix M: triangles of its pieces, of ``salts`` groups of them, and of those."""
 
-        block = table.column("block")[0].as_py()
-        x = np.zeros((min(BLOCK, n - block * BLOCK), len(table.column("feat")[0].values)))
-        x[table.column("place").to_numpy() - block * BLOCK] = matrix(table.column("feat"))
-        return pa.table({"speaker": table.column("speaker")[:1], "block": table.column("block")[:1], "rows": pa.array([len(x)], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+    def small(x: np.ndarray) -> bytes:
+        return np.ascontiguousarray(np.linalg.qr(x, mode="r")).tobytes()
 
-    def multiply(table):
-        import pyarrow as pa
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("x").to_pylist():
+                yield pa.RecordBatch.from_pydict({"x": pa.array([small(np.frombuffer(x).reshape(-1, width))], pa.binary())})
 
-        total = sum(np.frombuffer(x).reshape(r, -1) @ np.frombuffer(y).reshape(q, -1).T for x, r, y, q in zip(*(table.column(c).to_pylist() for c in ("x", "rows", "y", "others")), strict=True))
-        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "rows": table.column("rows")[:1], "gram": pa.array([total.tobytes()], pa.binary())})
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.table({"x": pa.array([small(np.vstack([np.frombuffer(x).reshape(-1, width) for x in table.column("x").to_pylist()]))], pa.binary())})
 
-    def merge(table):
-        import pyarrow as pa
+    parts = rows.select("x").mapInArrow(part, "x binary").groupBy(F.pmod(F.xxhash64("x"), F.lit(salts))).applyInArrow(merge, "x binary")
+    found = [np.frombuffer(r["x"]).reshape(-1, width) for r in parts.collect()]
+    return np.linalg.qr(np.vstack(found), mode="r") if found else np.zeros((0, width))
 
-        total = sum(np.frombuffer(x) for x in table.column("gram").to_pylist())
-        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "rows": table.column("rows")[:1], "gram": pa.array([total.tobytes()], pa.binary())})
 
-    block = F.floor(F.col("place") / BLOCK).cast("int").alias("block")
-    blocks = placed.select("speaker", "place", "feat", block).groupBy("speaker", "block").applyInArrow(pack, "speaker string, block int, rows int, x binary")
-    left = blocks.select("speaker", F.col("block").alias("a"), "rows", "x")
-    right = blocks.select("speaker", F.col("block").alias("b"), F.col("rows").alias("others"), F.col("x").alias("y"))
-    met = left.join(right, "speaker").filter("a <= b").withColumn("salt", F.pmod(F.xxhash64("speaker"), F.lit(salts)))
-    ddl = "a int, b int, rows int, gram binary"
-    return met.groupBy("a", "b", "salt").applyInArrow(multiply, ddl).groupBy("a", "b").applyInArrow(merge, ddl)
+def turned(rows: DataFrame, by: np.ndarray) -> DataFrame:
+    """A narrow matrix times a small one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [(np.frombuffer(x).reshape(-1, len(by)) @ by).tobytes() for x in batch.column("x").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("x"), "x", pa.array(x, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def orthonormal(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(M's singular values, right vectors W, and W / values) of a matrix with triangle ``r``; M (W / values) has orthonormal columns. Values that are rounding are left out."""
+    _, values, wt = np.linalg.svd(r)
+    keep = values > (values[0] if len(values) else 0) * max(r.shape) * np.finfo(float).eps
+    w = wt[: len(values)][keep].T
+    return values[keep], w, w / values[keep]
+
+
+def beside(parts: list[DataFrame], widths: list[int]) -> DataFrame:
+    """Matrices in rows of the same blocks, side by side."""
+    named = [p.select("block", *(["refs"] if i == 0 else []), F.col("x").alias(f"x{i}")) for i, p in enumerate(parts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = np.hstack([np.frombuffer(row[f"x{i}"]).reshape(-1, w) for i, w in enumerate(widths)])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int32()), "refs": [row["refs"]], "x": [x.tobytes()]})
+
+    return reduce(lambda a, b: a.join(b, "block"), named).mapInArrow(run, ROWS)
+
+
+def random_parts(blocks: DataFrame, columns: int, seed: str) -> DataFrame:
+    """Gaussian columns, those of a speaker drawn from the seed and its name wherever they are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, width in zip(batch.column("speaker").to_pylist(), batch.column("width").to_pylist(), strict=True):
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big"))
+                yield pa.RecordBatch.from_pydict({"speaker": [name], "x": pa.array([rng.standard_normal((width, columns)).tobytes()], pa.binary())})
+
+    width = F.max(F.octet_length("x") / F.octet_length("refs")).cast("int")
+    return blocks.groupBy("speaker").agg(width.alias("width")).mapInArrow(run, PARTS)
 
 
-def factorise(aligned: DataFrame, rank: int, most_columns: int = 1 << 14) -> tuple[DataFrame, np.ndarray]:
-    """(speaker, basis: rank x width) and the singular values of the wide aligned matrix.
+# ---------------------------------------------------------------- the decomposition
 
-    The wide matrix is never formed: its right singular vectors are the Gramian's eigenvectors.
-    Where speakers x width exceeds ``most_columns``, the Gramian over reference frames (which the
-    frame cap bounds) is summed in blocks, decomposed instead, and bases are projected back a
-    speaker at a time.
+
+@dataclass
+class Factorisation:
+    """A ~ U S V': the aligned frames (XS), U a row a reference frame, S, and V' as each speaker's columns."""
+
+    aligned: DataFrame
+    left: DataFrame
+    singular: np.ndarray
+    bases: DataFrame
+
+    def write(self, folder: str) -> None:
+        """Parquet tables XS (ref_idx, speaker, feat), U (ref_idx, u), S (place, value) and VT (speaker, basis) (K3)."""
+        values = self.aligned.sparkSession.createDataFrame(list(enumerate(map(float, self.singular))), "place int, value double")
+        for name, table in (("XS", self.aligned), ("U", self.left), ("S", values), ("VT", self.bases)):
+            table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, tolerance: float = 1e-7, rounds: int = 30, seed: str = "13") -> Factorisation:
+    """The ``rank`` leading singular triples of the aligned frames (ref_idx, speaker, feat).
+
+    Block Krylov method: ``steps`` products with A A' of rank + ``extra`` columns span a space in
+    which the triples are exact to rounding once A v = s u holds within ``tolerance`` of the
+    largest value; until then the space is built anew from the triples found. Raises
+    ArithmeticError if ``rounds`` spaces don't suffice. Fewer triples come back where A has fewer
+    nonzero singular values. A column's sign is that of the sum of U's column, so that reruns agree.
     """
-    spark = aligned.sparkSession
-    shape = aligned.agg(F.countDistinct("speaker").alias("s"), F.max(F.size("feat")).alias("d")).first()
-    if shape["s"] * (shape["d"] or 0) <= most_columns:
-        found = {(r["a"], r["b"]): np.array(r["gram"]).reshape(-1, r["width"]) for r in gram_blocks(aligned).collect()}
-        names = sorted({a for a, _ in found})
-        gram = np.block([[found[a, b] for b in names] for a in names])
-        values, vectors = np.linalg.eigh(gram)
-        top = vectors[:, ::-1][:, :rank].T
-        sizes = np.cumsum([0, *(found[a, a].shape[0] for a in names)])
-        bases = {name: top[:, sizes[i] : sizes[i + 1]] for i, name in enumerate(names)}
-        singular = np.sqrt(np.maximum(values[::-1][:rank], 0))
+    xs = stored(aligned.select("ref_idx", "speaker", F.col("feat").cast("array<double>").alias("feat")))
+    blocks = blocks_of(xs)
+    if blocks.isEmpty():
+        spark = aligned.sparkSession
+        return Factorisation(xs, spark.createDataFrame([], "ref_idx long, u array<double>"), np.zeros(0), spark.createDataFrame([], BASIS))
+    start, columns = random_parts(blocks, rank + extra, seed), rank + extra
+    for _ in range(rounds):
+        stack, widths = [], []
+        for step in range(steps):
+            z = start if step == 0 else adjoint(blocks, stack[-1])
+            y = stored(times(blocks, z))
+            _, _, by = orthonormal(triangle(y, columns if step == 0 else widths[-1]))
+            if not by.shape[1]:
+                break
+            stack.append(turned(y, by))
+            widths.append(by.shape[1])
+        if not stack:
+            empty = aligned.sparkSession.createDataFrame([], BASIS)
+            return Factorisation(xs, aligned.sparkSession.createDataFrame([], "ref_idx long, u array<double>"), np.zeros(0), empty)
+        space = stored(beside(stack, widths))
+        _, _, by = orthonormal(triangle(space, sum(widths)))
+        q = stored(turned(space, by))
+        z = stored(adjoint(blocks, q))
+        values, w, by = orthonormal(triangle(z, by.shape[1]))
+        values, w, by = values[: rank + extra], w[:, : rank + extra], by[:, : rank + extra]
+        top = min(rank, len(values))
+        left, right = turned(q, w[:, :top]), turned(z, by[:, :top])
+        off = triangle(beside([times(blocks, right), left], [top, top]).transform(lambda d: turned(d, np.vstack([np.eye(top), -np.diag(values[:top])]))), top)
+        if not len(values) or np.sqrt(np.square(off).sum(axis=0).max()) <= tolerance * values[0]:
+            break
+        start, columns = stored(turned(z, by)), by.shape[1]
     else:
-        placed = aligned.join(numbered(aligned.select("ref_idx").distinct(), "ref_idx", name="place"), "ref_idx").select("speaker", F.col("place").cast("int").alias("place"), "feat").persist()
-        n = placed.agg(F.max("place")).first()[0] + 1
-        gram = np.zeros((n, n))
-        for r in reference_blocks(placed, n).toLocalIterator():
-            part = np.frombuffer(r["gram"]).reshape(r["rows"], -1)
-            i, j = r["a"] * BLOCK, r["b"] * BLOCK
-            gram[i : i + part.shape[0], j : j + part.shape[1]] = part
-            gram[j : j + part.shape[1], i : i + part.shape[0]] = part.T
-        values, vectors = np.linalg.eigh(gram)
-        u, singular = vectors[:, ::-1][:, :rank], np.sqrt(np.maximum(values[::-1][:rank], 1e-300))
-
-        def back(table):
-            import pyarrow as pa
-
-            x = np.zeros((n, len(table.column("feat")[0].values)))
-            x[table.column("place").to_numpy()] = matrix(table.column("feat"))
-            return pa.table({"speaker": table.column("speaker")[:1], "basis": [((u / singular).T @ x).tolist()]})
-
-        return placed.groupBy("speaker").applyInArrow(back, BASIS), singular
-    return spark.createDataFrame([(n, b.tolist()) for n, b in bases.items()], BASIS), singular
+        raise ArithmeticError(f"the singular triples have not settled within {tolerance} after {rounds} rounds")
+    sign = np.array([1.0 if v >= 0 else -1.0 for v in column_sums(left, top)])
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                refs = references(row["refs"])
+                yield pa.RecordBatch.from_pydict({"ref_idx": refs, "u": vectors(dense(row["x"], len(refs)) * sign)})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pydict({"speaker": [row["speaker"]], "basis": pa.array([(np.frombuffer(row["x"]).reshape(-1, top) * sign).T.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    found = Factorisation(xs, stored(left.mapInArrow(frames, "ref_idx long, u array<double>")), values[:top], stored(right.mapInArrow(rows, BASIS)))
+    for table in (space, q, z, blocks):
+        dropped(table)
+    return found
+
+
+def column_sums(rows: DataFrame, width: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for x in batch.column("x").to_pylist():
+                total += np.frombuffer(x).reshape(-1, width).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(width), pa.int32()), "value": pa.array(total)})
+
+    out = np.zeros(width)
+    for r in rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    return out
 
 
 def maps_from_bases(bases: DataFrame, pairs: DataFrame) -> DataFrame:

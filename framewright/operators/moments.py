@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,46 @@ def pair_factors(pairs: DataFrame, keys: Sequence[str] = ("source", "target"), x
     rows = pairs.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
     return salted.groupBy(*keys, "_salt").applyInArrow(part, ddl).groupBy(*keys).applyInArrow(merge, ddl)
+
+
+# ---------------------------------------------------------------- what estimators take and give
+
+MAP = "w array<array<double>>, bias array<double>"
+
+
+@dataclass
+class Moments:
+    """G = X'X, C = X'Y, H = Y'Y, the sums and the count."""
+
+    n: float
+    sx: np.ndarray
+    sy: np.ndarray
+    g: np.ndarray
+    c: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, row) -> Moments:
+        sx, sy = np.asarray(row["sx"], float), np.asarray(row["sy"], float)
+        d, e = len(sx), len(sy)
+        return cls(float(row["n"]), sx, sy, np.asarray(row["sxx"], float).reshape(d, d), np.asarray(row["sxy"], float).reshape(d, e), np.asarray(row["syy"], float).reshape(e, e))
+
+    def centred(self) -> Moments:
+        n = self.n
+        return Moments(n, np.zeros_like(self.sx), np.zeros_like(self.sy), self.g - np.outer(self.sx, self.sx) / n, self.c - np.outer(self.sx, self.sy) / n, self.h - np.outer(self.sy, self.sy) / n)
+
+    def offset(self, w: np.ndarray) -> np.ndarray:
+        return self.sy / self.n - self.sx / self.n @ w
+
+
+Fit = tuple[np.ndarray | None, np.ndarray | None]
+
+
+def with_bias(fit: Callable[..., Fit]) -> Callable[..., Fit]:
+    """The same estimator on centred moments, with the offset of the means."""
+
+    def run(m: Moments, **options) -> Fit:
+        w, _ = fit(m.centred(), **options)
+        return w, m.offset(w)
+
+    return run

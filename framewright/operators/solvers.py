@@ -3,44 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .moments import FIELDS
-
-MAP = "w array<array<double>>, bias array<double>"
-
-
-@dataclass
-class Moments:
-    """G = X'X, C = X'Y, H = Y'Y, the sums and the count."""
-
-    n: float
-    sx: np.ndarray
-    sy: np.ndarray
-    g: np.ndarray
-    c: np.ndarray
-    h: np.ndarray
-
-    @classmethod
-    def of(cls, row) -> Moments:
-        sx, sy = np.asarray(row["sx"], float), np.asarray(row["sy"], float)
-        d, e = len(sx), len(sy)
-        return cls(float(row["n"]), sx, sy, np.asarray(row["sxx"], float).reshape(d, d), np.asarray(row["sxy"], float).reshape(d, e), np.asarray(row["syy"], float).reshape(e, e))
-
-    def centred(self) -> Moments:
-        n = self.n
-        return Moments(n, np.zeros_like(self.sx), np.zeros_like(self.sy), self.g - np.outer(self.sx, self.sx) / n, self.c - np.outer(self.sx, self.sy) / n, self.h - np.outer(self.sy, self.sy) / n)
-
-    def offset(self, w: np.ndarray) -> np.ndarray:
-        return self.sy / self.n - self.sx / self.n @ w
-
-
-Fit = tuple[np.ndarray | None, np.ndarray | None]
+from .lasso import lasso
+from .moments import FIELDS, MAP, Fit, Moments, with_bias
+from .reduced_rank import reduced_rank_ridge
 
 
 def least_squares(m: Moments, rcond: float = 1e-10) -> Fit:
@@ -52,54 +23,17 @@ def least_squares(m: Moments, rcond: float = 1e-10) -> Fit:
     return np.linalg.pinv(m.g, rcond=rcond, hermitian=True) @ m.c, None
 
 
-def with_bias(fit: Callable[..., Fit]) -> Callable[..., Fit]:
-    """The same estimator on centred moments, with the offset of the means."""
-
-    def run(m: Moments, **options) -> Fit:
-        w, _ = fit(m.centred(), **options)
-        return w, m.offset(w)
-
-    return run
-
-
 def orthogonal(m: Moments) -> Fit:
     """M3: the orthogonal matrix nearest in the sense of Procrustes."""
     u, _, vt = np.linalg.svd(m.c)
     return u @ vt, None
 
 
-def lasso(m: Moments, alpha: float = 0.3, tolerance: float = 1e-10, sweeps: int = 10_000) -> Fit:
-    """M5: coordinate descent, all outputs at once, on ||Y - XW||^2 / 2n + alpha |W|."""
-    g, c = m.g / m.n, m.c / m.n
-    w, slope = np.zeros_like(c), c.copy()  # slope = c - g w
-    for _ in range(sweeps):
-        most = 0.0
-        for j in np.flatnonzero(np.diag(g) > 0):
-            rho = slope[j] + g[j, j] * w[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0) / g[j, j]
-            change = new - w[j]
-            if np.any(change):
-                slope -= np.outer(g[:, j], change)
-                most = max(most, float(np.abs(change).max()))
-                w[j] = new
-        if most < tolerance:
-            break
-    return w, None
-
-
 def ridge(m: Moments, alpha: float = 1e4) -> Fit:
     """M7: ||Y - XW||^2 + alpha ||W||^2."""
     return np.linalg.solve(m.g + alpha * np.eye(len(m.g)), m.c), None
 
 
-def reduced_rank_ridge(m: Moments, alpha: float = 1e4, rank: int = 1) -> Fit:
-    """M8: ridge, projected on the leading right singular vectors of its fit of the augmented rows."""
-    beta, _ = ridge(m, alpha)
-    _, vectors = np.linalg.eigh(beta.T @ (m.g + alpha * np.eye(len(m.g))) @ beta)
-    top = vectors[:, ::-1][:, :rank]
-    return beta @ top @ top.T, None
-
-
 def additive(m: Moments) -> Fit:
     """M9: the difference of the matched means."""
     return None, (m.sy - m.sx) / m.n

@@ -70,7 +70,7 @@ class Converter:
 def factorised_maps(frames: DataFrame, rank: int, cap: int | None = CAP) -> tuple[DataFrame, DataFrame]:
     """(bases, maps) of all speakers from one joint factorisation, first speaker aligned to every one."""
     capped = with_ids(fr.cap(frames, cap))
-    bases, _ = fz.factorise(aligned_to_first(capped), rank)
+    bases = fz.factorise(aligned_to_first(capped), rank).bases
     return bases, fz.maps_from_bases(bases, speaker_pairs(bases))
 
 
@@ -106,12 +106,17 @@ def pair_scores(evaluation: DataFrame, converted: DataFrame, real: DataFrame, em
     return rows.select("src_speaker", "tgt_speaker", vectors.cosine_distance("a", "b").alias("score"), label.alias("label"))
 
 
+def with_references(said: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``said`` (utt_key, ...) with the reference that transcripts (utt_key, text) have of its key; a key without one is an error when it is met."""
+    joined = said.join(transcripts.select("utt_key", F.col("text").alias("reference"), F.lit(True).alias("known")), "utt_key", "left")
+    known = F.when(F.col("known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no transcript of "), F.col("utt_key"))).cast("boolean"))
+    return joined.filter(known).drop("known")
+
+
 def recognised_pairs(converted: DataFrame, transcripts: DataFrame, recogniser: Callable[[], models.Recogniser], by: str = "utt") -> DataFrame:
     """(utt_key, reference, hypothesis) of converted audio and transcripts (utt_key, text); ``by`` names the column that is the key.
 
     A file without transcript is an error when it is met.
     """
     said = models.recognise(converted, recogniser).withColumn("utt_key", F.col(by))
-    joined = said.join(transcripts.select("utt_key", F.col("text").alias("reference"), F.lit(True).alias("known")), "utt_key", "left")
-    known = F.when(F.col("known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no transcript of "), F.col("utt_key"))).cast("boolean"))
-    return joined.filter(known).select(F.concat_ws("/", "speaker", "utt").alias("utt_key"), "reference", "hypothesis")
+    return with_references(said, transcripts).select(F.concat_ws("/", "speaker", "utt").alias("utt_key"), "reference", "hypothesis")

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, paths, text, vectors
-from .operators import evaluate, factorise, matching, matrixstats, moments, pairs, project, segments, signal, solvers
+from .operators import evaluate, factorise, lasso, matching, matrixstats, moments, pairs, project, reduced_rank, segments, signal, solvers
 from .operators import frames as fr
+from .plans import convert
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,7 +298,7 @@ def normal_entries(spark: SparkSession, sf_dir: str, method: str, added: float =
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                m = solvers.Moments.of(row)
+                m = moments.Moments.of(row)
                 m = m.centred() if row["bias"] is not None else m
                 yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "value": [(m.g @ row["w"] + added * np.array(row["w"])).ravel()]})
 
@@ -320,22 +321,117 @@ def ridge_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_entries(spark, sf_dir, "ridge", 5.0, alpha=5.0)
 
 
+def polar_conditions(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """Entries of W W', and of W'X'Y less its transpose: together they make W the polar factor of X'Y (of centred rows if there is a bias); and of the mean of x under the map."""
+    import pyarrow as pa
+
+    found = moments.pair_moments(matched(spark, sf_dir))
+    both = found.join(solvers.fit_maps(found, method), ["source", "target"])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                m, w = moments.Moments.of(row), np.array(row["w"])
+                c = m.c if row["bias"] is None else m.centred().c
+                mean = m.sx / m.n @ w + (0 if row["bias"] is None else np.array(row["bias"]))
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "product": [(w @ w.T).ravel()], "skew": [(w.T @ c - c.T @ w).ravel()], "mean": [np.tile(mean, len(w))]})
+
+    flat = both.mapInArrow(run, "source string, target string, product array<double>, skew array<double>, mean array<double>").select("source", "target", F.posexplode(F.arrays_zip("product", "skew", "mean")).alias("at", "cell"))
+    return flat.select("source", "target", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), r(F.col("cell.product")).alias("product"), r(F.col("cell.skew")).alias("skew"), r(F.col("cell.mean")).alias("mean"))
+
+
 @query("with l as (select distinct label::varchar l from embeddings) select a.l source, b.l target, i::int i, j::int j, (i = j)::int::double as product, 0.0::double as skew from l a join l b on a.l <> b.l, range(64) r(i), range(64) c(j)")
 def orthogonal_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of W W', and of W'X'Y less its transpose: together they make W the polar factor of X'Y."""
+    return polar_conditions(spark, sf_dir, "orthogonal").drop("mean")
+
+
+@query(f"""with {_MATCHED}, q as (select source, target, pos, round(avg(y), 6) + 0.0 mean from xy group by all)
+ select source, target, i::int i, pos::int j, (i = pos)::int::double as product, 0.0::double as skew, mean from q, range(64) r(i)""")
+def orthogonal_bias_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 at full width; its bias takes the mean of x to that of y."""
+    return polar_conditions(spark, sf_dir, "orthogonal_bias")
+
+
+#: Penalties of the lasso queries.
+ALPHAS = (0.008, 0.004, 0.002)
+
+
+def lasso_checks(spark: SparkSession, sf_dir: str, bias: bool) -> DataFrame:
+    """For each pair, alpha and output: by how much the slopes break the optimum's conditions, whether the gap is met, and the mean square of y put together from the rows.
+
+    At the optimum and only there the mean square of y (the variance, with a bias) is that of what
+    is left, plus that of the fit, plus 2 alpha |w|; both squares are taken from the rows themselves.
+    """
     import pyarrow as pa
 
-    found = moments.pair_moments(matched(spark, sf_dir)).persist()
-    both = found.join(solvers.fit_maps(found, "orthogonal"), ["source", "target"])
+    rows = matched(spark, sf_dir).select("source", "target", "x", "y")
+    found = moments.pair_moments(rows)
+    maps = lasso.lasso_path(found, ALPHAS, bias, tolerance=1e-12)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                m, w, alpha = moments.Moments.of(row), np.array(row["w"]), row["alpha"]
+                m = m.centred() if bias else m
+                slope = (m.c - m.g @ w) / m.n
+                broken = np.where(w == 0, np.maximum(np.abs(slope) - alpha, 0), np.abs(slope - alpha * np.sign(w))).max(axis=0)
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "alpha": [alpha], "settled": [row["settled"]], "broken": [broken], "penalty": [2 * alpha * np.abs(w).sum(axis=0)]})
+
+    terms = found.join(maps, ["source", "target"]).mapInArrow(run, "source string, target string, alpha double, settled boolean, broken array<double>, penalty array<double>")
+    terms = terms.select("source", "target", "alpha", "settled", F.posexplode(F.arrays_zip("broken", "penalty")).alias("pos", "term"))
+    moved = project.project(rows.join(maps.select("source", "target", "alpha"), ["source", "target"]), maps, ["source", "target", "alpha"], "x")
+    cells = moved.select("source", "target", "alpha", F.posexplode(F.arrays_zip("projected", "y")).alias("pos", "v")).select("source", "target", "alpha", "pos", F.col("v.projected").alias("p"), F.col("v.y").cast("double").alias("y"))
+    fit = F.var_pop("p") if bias else F.avg(F.col("p") * F.col("p"))
+    squares = cells.groupBy("source", "target", "alpha", "pos").agg((F.avg((F.col("y") - F.col("p")) ** 2) + fit).alias("square"))
+    both = terms.join(squares, ["source", "target", "alpha", "pos"])
+    return both.select("source", "target", "alpha", "pos", "settled", r(F.col("term.broken"), 5).alias("broken"), r(F.col("square") + F.col("term.penalty"), 5).alias("square"))
+
+
+def lasso_sql(square: str) -> str:
+    return f"with {_MATCHED}, q as (select source, target, pos, round({square}, 5) + 0.0 square from xy group by all) select source, target, alpha::double alpha, pos, true settled, 0.0::double broken, square from q, (values {', '.join(f'({a})' for a in ALPHAS)}) a(alpha)"
+
+
+@query(lasso_sql("avg(y * y)"))
+def lasso_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lasso_checks(spark, sf_dir, False)
+
+
+@query(lasso_sql("var_pop(y)"))
+def lasso_bias_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lasso_checks(spark, sf_dir, True)
+
+
+@query(f"""with {_MATCHED}, q as (select source, target, b.pos j, round(sum(a.x * b.y), 4) + 0.0 as value from xy a join xy b using (source, target, s_id) group by all)
+ select source, target, rank::int as rank, j, value, rank::double trace, 0.0::double skew, true as top, rank::int rank_ from q, range(1, 9) z(rank)""")
+def reduced_rank_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks 1 to 8 at full width, read from one decomposition a pair.
+
+    With P the projector of a rank, column sums of (X'X + alpha) W + X'Y (1 - P) are those of X'Y;
+    P has the rank's trace, commutes with B'(X'X + alpha) B of the ridge map B, and takes its
+    greatest values.
+    """
+    import pyarrow as pa
+
+    alpha = 5.0
+    found = moments.pair_moments(matched(spark, sf_dir))
+    maps = reduced_rank.at_ranks(reduced_rank.ridge_spectra(found, [alpha], bias=False), range(1, 9))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                w, c = np.array(row["w"]), solvers.Moments.of(row).c
-                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "product": [(w @ w.T).ravel()], "skew": [(w.T @ c - c.T @ w).ravel()]})
+                m, w, v = moments.Moments.of(row), np.array(row["w"]), np.array(row["vr"])
+                g, p = m.g + alpha * np.eye(len(m.g)), v @ v.T
+                beta = np.linalg.solve(g, m.c)
+                fit = beta.T @ g @ beta
+                rest = np.linalg.eigvalsh((np.eye(len(p)) - p) @ fit @ (np.eye(len(p)) - p))[-1]
+                least = np.linalg.eigvalsh(v.T @ fit @ v)[0]
+                value = (g @ w + m.c @ (np.eye(len(p)) - p)).sum(axis=0)
+                close = np.abs(np.array(row["vrt_times_beta"]) - v.T @ beta.T).max()
+                yield pa.RecordBatch.from_pydict({"source": [row["source"]], "target": [row["target"]], "rank": pa.array([row["rank"]], pa.int32()), "value": [value], "trace": [float(np.trace(p))], "skew": [float(np.abs(p @ fit - fit @ p).max() + close)], "top": [bool(least >= rest - 1e-9)], "rank_": pa.array([row["rank_"]], pa.int32())})
 
-    flat = both.mapInArrow(run, "source string, target string, product array<double>, skew array<double>").select("source", "target", F.posexplode(F.arrays_zip("product", "skew")).alias("at", "cell"))
-    return flat.select("source", "target", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), r(F.col("cell.product")).alias("product"), r(F.col("cell.skew")).alias("skew"))
+    checked = found.join(maps, ["source", "target"]).mapInArrow(run, "source string, target string, rank int, value array<double>, trace double, skew double, top boolean, rank_ int")
+    flat = checked.select("source", "target", "rank", F.posexplode("value").alias("j", "value"), "trace", "skew", "top", "rank_")
+    return flat.select("source", "target", "rank", "j", r("value", 4).alias("value"), r("trace").alias("trace"), r("skew").alias("skew"), "top", "rank_")
 
 
 # ---------------------------------------------------------------- factorisation, PCA
@@ -359,7 +455,7 @@ def factorised_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source, the products V V' of its own basis and of V W for every target, summed: bases of one factorisation add up to the identity."""
     import pyarrow as pa
 
-    bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
+    bases = factorise.factorise(aligned(spark, sf_dir), 4).bases
     maps = factorise.maps_from_bases(bases, pairs.speaker_pairs(bases)).select("source", "w")
     own = bases.select(F.col("speaker").alias("source"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (i == j).cast("double"))).alias("w"))
     both = own.unionByName(maps).join(bases.withColumnRenamed("speaker", "source"), "source")
@@ -375,9 +471,34 @@ def factorised_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.agg(r(F.sum("value")).alias("value"))
 
 
+_ALIGNED = """with s as (select vec_id s_id, embedding::double[] e from embeddings where label = 0),
+ t as (select vec_id t_id, label, embedding::double[] e from embeddings),
+ n as (select s_id, label, t.e, row_number() over (partition by s_id, label order by round(1 - list_cosine_similarity(s.e, t.e), 12), t_id) k from s, t)"""
+
+
+@query(f"{_ALIGNED} select s_id ref_idx, 6 as rank, round(sum(list_inner_product(e, e)), 5) as square from n where k = 1 group by s_id")
+def factorised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each reference frame, the square of U S and of what U S V' leaves of its aligned frames: they add up to the frames' own."""
+    found = factorise.factorise(aligned(spark, sf_dir), 6)
+    codes = found.left.select("ref_idx", F.zip_with("u", F.lit(found.singular.tolist()), lambda u, s: u * s).alias("code"))
+    rows = found.aligned.join(codes, "ref_idx").join(found.bases, "speaker")
+    made = F.aggregate(F.zip_with("code", "basis", lambda c, v: vectors.scale(v, c)), F.transform("feat", lambda x: F.lit(0.0)), vectors.add)
+    left = rows.select("ref_idx", "code", F.zip_with("feat", made, lambda x, y: x - y).alias("left"))
+    total = left.groupBy("ref_idx").agg(F.sum(vectors.dot("left", "left")).alias("left"), F.first("code").alias("code"))
+    return total.select("ref_idx", F.size("code").alias("rank"), r(F.col("left") + vectors.dot("code", "code"), 5).alias("square"))
+
+
+@query("select i::int i, j::int j, (i = j)::int::double as value from range(6) a(i), range(6) b(j)")
+def factorisation_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of U'U."""
+    u = factorise.factorise(aligned(spark, sf_dir), 6).left
+    rows = u.select(F.lit("u").alias("all"), F.col("u").alias("x"), F.col("u").alias("y"))
+    return moments.entries(moments.pair_moments(rows, ["all"]), "sxy", ["all"]).select("i", "j", r("value").alias("value"))
+
+
 @query(f"select label::varchar speaker, vec_id frame_id, 4 as rank, round(sum(v * v), 5) as square from ({_LONG}) group by label, vec_id")
 def content_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases, _ = factorise.factorise(aligned(spark, sf_dir), 4)
+    bases = factorise.factorise(aligned(spark, sf_dir), 4).bases
     codes = project.project(frames(spark, sf_dir), factorise.content_maps(bases), ["speaker"], name="code")
     return code_squares(codes.join(bases.select("speaker", "basis"), "speaker"))
 
@@ -445,6 +566,17 @@ def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrixstats.rank_and_determinant(maps, 1e-8, ["source"]).select("source", "rank", "low_rank_parameters")
 
 
+@query("""with x as (select label, embedding::double[] e from embeddings), c as (select label, sum(e[1] * e[1]) a, sum(e[1] * e[2]) b, sum(e[1] * e[3]) c, sum(e[2] * e[2]) d, sum(e[2] * e[3]) e, sum(e[3] * e[3]) f, count(*) n from x group by label)
+ select label::varchar source, least(n, 3)::bigint as rank, round((a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) / pow(n, 3), 12) + 0.0 as determinant from c""")
+def determinants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determinants of the speakers' mean second moments in three dimensions."""
+    own = frames(spark, sf_dir).select(F.col("speaker").alias("source"), F.slice("feat", 1, 3).alias("x"), F.slice("feat", 1, 3).alias("y"))
+    found = moments.pair_moments(own, ["source"])
+    cells = moments.entries(found, "sxx", ["source"]).join(found.select("source", "n"), "source").withColumn("value", F.col("value") / F.col("n"))
+    maps = fr.wide(fr.wide(cells, ["source", "i"], "j", "value", "row"), ["source"], "i", "row", "w")
+    return matrixstats.rank_and_determinant(maps, 1e-12, ["source"]).select("source", "rank", r("determinant", 12).alias("determinant"))
+
+
 # ---------------------------------------------------------------- scores
 
 _SCORES = "select lang, n_chars score, quality label from documents join labels using (doc_id)"
@@ -554,9 +686,9 @@ def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions meet their reference by key."""
     c = table(spark, sf_dir, "conversations")
-    references = c.select(F.concat_ws("-", "conv_id", "turn").alias("utt_key"), F.col("text").alias("reference"))
+    references = c.select(F.concat_ws("-", "conv_id", "turn").alias("utt_key"), "text")
     predictions = c.filter("turn > 0").select(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("utt_key"), F.col("text").alias("hypothesis"))
-    return predictions.join(references, "utt_key").select("utt_key", F.length("reference").alias("ref_len"), F.length("hypothesis").alias("hyp_len"))
+    return convert.with_references(predictions, references).select("utt_key", F.length("reference").alias("ref_len"), F.length("hypothesis").alias("hyp_len"))
 
 
 
@@ -566,11 +698,7 @@ def transcript_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
  select doc_id, w[1] utt_key, array_to_string(w[2:], ' ') as text from w where len(w) > 0""")
 def keyed_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
-    words = F.filter(F.split("value", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = lines.select("doc_id", F.array_join(words, " ").alias("value"))
-    keyed = rows.filter("value <> ''")
-    w = F.split("value", " ")
-    return keyed.select("doc_id", F.get(w, F.lit(0)).alias("utt_key"), F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), " ").alias("text"))
+    return files.keyed_lines(lines, "value", "doc_id")
 
 
 @query(r"select doc_id::varchar utt_key, trim(string_split(text, E'\n')[-1]) as text from documents where trim(string_split(text, E'\n')[-1]) <> ''")
@@ -691,10 +819,8 @@ def parallel_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select source, target, utt_no, s_utt, t_utt from (select *, row_number() over (partition by source, target order by utt_no, s_utt, t_utt) k from ({_PAR}) where utt_no >= 50) where k <= 5")
 def first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs.parallel_by_number(utterances(spark, sf_dir)).withColumn("order", F.struct("utt_no", "s_utt", "t_utt"))
-    n = pairs.first_existing(rows.withColumnRenamed("utt_no", "no").withColumn("utt_no", F.col("no")).filter("no >= 50"), 1 << 30)
-    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("order"))
-    return n.withColumn("k", place).filter("k <= 5").select("source", "target", "utt_no", "s_utt", "t_utt")
+    rows = pairs.parallel_by_number(utterances(spark, sf_dir))
+    return pairs.first_existing(rows, 5, 50, ties=("s_utt", "t_utt")).select("source", "target", "utt_no", "s_utt", "t_utt")
 
 
 @query(f"select speaker, utt from (select *, row_number() over (partition by speaker order by utt) k from ({_UTTS})) where k > 2")
@@ -721,59 +847,6 @@ def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.evaluation_pairs(utterances(spark, sf_dir), n=5, start=50, skip=1)
 
 
-@query("select a.n_name source, b.n_name target from nation a, nation b where a.n_name <> b.n_name")
-def speaker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.speaker_pairs(table(spark, sf_dir, "nation"), "n_name")
-
-
-@query("select s_nationkey file_name, s_suppkey s_utt, c_custkey t_utt from supplier join customer on c_nationkey = s_nationkey")
-def parallel_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file_name"), F.col("s_suppkey").alias("s_utt"))
-    t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file_name"), F.col("c_custkey").alias("t_utt"))
-    return pairs.parallel_by_name(s, t).select("file_name", "s_utt", "t_utt")
-
-
-#: Utterances: a supplier of a nation is that speaker's reading of the sentence s_suppkey % 60 + 40.
-_UTTS = "select n_name speaker, (s_suppkey % 60 + 40)::int utt_no, n_name || '_' || s_suppkey utt from supplier join nation on n_nationkey = s_nationkey"
-
-
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    return rows.select(F.col("n_name").alias("speaker"), (F.col("s_suppkey") % 60 + 40).cast("int").alias("utt_no"), F.concat_ws("_", "n_name", "s_suppkey").alias("utt"))
-
-
-_PAR = f"select utt_no, a.speaker source, b.speaker target, a.utt s_utt, b.utt t_utt from ({_UTTS}) a join ({_UTTS}) b using (utt_no) where a.speaker <> b.speaker"
-
-
-@query(_PAR + " and utt_no in (50, 55, 60, 61, 62)")
-def parallel_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.parallel_by_number(utterances(spark, sf_dir), [50, 55, 60, 61, 62]).select("utt_no", "source", "target", "s_utt", "t_utt")
-
-
-@query(f"select source, target, utt_no, s_utt, t_utt from (select *, row_number() over (partition by source, target order by utt_no, s_utt, t_utt) k from ({_PAR}) where utt_no >= 50) where k <= 5")
-def first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs.parallel_by_number(utterances(spark, sf_dir)).withColumn("order", F.struct("utt_no", "s_utt", "t_utt"))
-    n = pairs.first_existing(rows.withColumnRenamed("utt_no", "no").withColumn("utt_no", F.col("no")).filter("no >= 50"), 1 << 30)
-    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("order"))
-    return n.withColumn("k", place).filter("k <= 5").select("source", "target", "utt_no", "s_utt", "t_utt")
-
-
-@query(f"select speaker, utt from (select *, row_number() over (partition by speaker order by utt) k from ({_UTTS})) where k > 2")
-def drop_first_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.drop_first(utterances(spark, sf_dir), 2).select("speaker", "utt")
-
-
-@query(f"""select speaker, utt, partner from (select speaker, utt, coalesce(lead(utt) over w, first(utt) over (partition by speaker order by md5('13:' || utt), utt rows between unbounded preceding and unbounded following)) partner
- from ({_UTTS}) window w as (partition by speaker order by md5('13:' || utt), utt)) where partner <> utt""")
-def random_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.random_partner(utterances(spark, sf_dir)).select("speaker", "utt", "partner")
-
-
-@query()
-def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.evaluation_pairs(utterances(spark, sf_dir), n=5, start=50, skip=1)
-
-
 @query("select a.n_name source, b.n_name target from nation a, nation b where a.n_name <> b.n_name and a.n_nationkey in (select s_nationkey from supplier) and b.n_nationkey in (select s_nationkey from supplier where s_acctbal < 0)")
 def existing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -800,7 +873,7 @@ def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct trim(source) speaker from documents")
 def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.trim("source").alias("speaker")).filter("speaker <> ''").distinct()
+    return files.ids_of(table(spark, sf_dir, "documents"), "source").distinct()
 
 
 @query("select conv_id, turn, role from conversations where role = 'user' and turn = 0")

@@ -27,9 +27,14 @@ def speaker_listing(spark: SparkSession, root: str, suffix: str, depth: int = 2)
     return files.select(F.element_at(paths.parts(F.col("path")), -depth).alias("speaker"), paths.stem(F.col("path")).alias("utt"), "path", "length")
 
 
+def ids_of(lines: DataFrame, column: str = "value", name: str = "speaker") -> DataFrame:
+    """One id a line, trimmed; null and blank lines are no ids."""
+    return lines.select(F.trim(column).alias(name)).filter(F.col(name) != "")
+
+
 def id_list(spark: SparkSession, path: str, name: str = "speaker") -> DataFrame:
-    """One id a line, trimmed; blank lines are no ids (S3)."""
-    return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "")
+    """The ids of a text file (S3)."""
+    return ids_of(spark.read.text(path), name=name)
 
 
 def exclusion_set(spark: SparkSession, path: str, name: str = "utt") -> DataFrame:
@@ -50,11 +55,11 @@ def converted_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(EVALUATION.fieldNames()[:4])], F.get("f", F.lit(4)).cast("int").alias("label"))
 
 
-def keyed_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(utt_key, text): first word and the rest joined by single spaces."""
+def keyed_lines(lines: DataFrame, column: str = "value", *keys: str) -> DataFrame:
+    """(keys, utt_key, text): first word and the rest joined by single spaces."""
     words = F.filter(F.split(F.trim(F.col(column)), r"\s+"), lambda w: w != "")
-    rows = lines.select(words.alias("w")).filter(F.size("w") > 0)
-    return rows.select(F.get("w", F.lit(0)).alias("utt_key"), F.array_join(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), " ").alias("text"))
+    rows = lines.select(*keys, words.alias("w")).filter(F.size("w") > 0)
+    return rows.select(*keys, F.get("w", F.lit(0)).alias("utt_key"), F.array_join(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), " ").alias("text"))
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright import queries
 from framewright.functions import text
-from framewright.operators import factorise, frames, matching, moments, pairs, project, signal, solvers
+from framewright.operators import factorise, frames, lasso, matching, moments, pairs, project, reduced_rank, signal, solvers
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,6 +68,74 @@ def test_full_width_fits(spark, shape):
     close(row["bias"], y.mean(0) - x.mean(0) @ w)
 
 
+def near_low_rank(seed=1, n=400, d=256, rank=6, outputs=8):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, d)) + 1e-3 * rng.normal(size=(n, d))
+    y = x @ (rng.normal(size=(d, outputs)) * (rng.random((d, outputs)) < 0.05)) + 0.1 * rng.normal(size=(n, outputs))
+    return x, y
+
+
+def test_lasso_of_nearly_dependent_columns_reaches_its_gap():
+    x, y = near_low_rank()
+    g, c, h = x.T @ x / len(x), x.T @ y / len(x), np.square(y).mean(axis=0)
+    w, gap = lasso.solve(g, c, h, 1e-3)
+    assert gap.max() <= lasso.TOLERANCE
+    slope = c - g @ w
+    assert np.abs(slope).max() <= 1e-3 * 1.01
+    # no other map does better
+    cost = lambda w: np.square(y - x @ w).mean(axis=0) / 2 + 1e-3 * np.abs(w).sum(axis=0)
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        assert (cost(w) <= cost(w + 1e-3 * rng.normal(size=w.shape)) + 1e-12).all()
+
+
+def test_lasso_path_and_its_flag(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 10))
+    y = x @ rng.normal(size=(10, 4)) + 2
+    rows = spark.createDataFrame([("a", "b", p.tolist(), q.tolist()) for p, q in zip(x, y)], "source string, target string, x array<double>, y array<double>")
+    states = moments.pair_moments(rows).cache()
+    alphas = [0.01, 1.0, 0.1]
+    out = {r["alpha"]: r for r in lasso.lasso_path(states, alphas, bias=True).collect()}
+    assert set(out) == set(alphas) and all(r["settled"] for r in out.values())
+    for alpha, r in out.items():
+        one = solvers.fit_maps(states, "lasso_bias", alpha=alpha).first()
+        np.testing.assert_allclose(np.array(r["w"]), np.array(one["w"]), atol=1e-4)
+        np.testing.assert_allclose(np.array(r["bias"]), y.mean(0) - x.mean(0) @ np.array(r["w"]), atol=1e-8)
+    assert not any(r["settled"] for r in lasso.lasso_path(states, [0.01], tolerance=-1.0).collect())
+    with pytest.raises(Exception, match="gap"):
+        solvers.fit_maps(states, "lasso", alpha=0.01, tolerance=-1.0).collect()
+
+
+def test_lasso_without_signal():
+    zero = np.zeros((3, 3))
+    w, gap = lasso.solve(zero, zero, np.zeros(3), 0.1)
+    assert not w.any() and not gap.any()
+    w, gap = lasso.solve(np.eye(3), np.eye(3), np.ones(3), 2.0)
+    assert not w.any() and (gap <= 1e-12).all()
+
+
+def test_ranks_from_one_decomposition(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(60, 7)), rng.normal(size=(60, 5)) + 3
+    rows = spark.createDataFrame([("a", "b", p.tolist(), q.tolist()) for p, q in zip(x, y)], "source string, target string, x array<double>, y array<double>")
+    states = moments.pair_moments(rows).cache()
+    spectra = reduced_rank.ridge_spectra(states, [2.0, 9.0]).cache()
+    assert spectra.count() == 2
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    for r in reduced_rank.at_ranks(spectra, [1, 3, 5]).collect():
+        one = solvers.fit_maps(states, "reduced_rank_ridge_bias", alpha=r["alpha"], rank=r["rank"]).first()
+        w, vr = np.array(r["w"]), np.array(r["vr"])
+        np.testing.assert_allclose(w, np.array(one["w"]), atol=1e-9)
+        np.testing.assert_allclose(r["bias"], one["bias"], atol=1e-9)
+        beta = np.linalg.solve(xc.T @ xc + r["alpha"] * np.eye(7), xc.T @ yc)
+        np.testing.assert_allclose(np.array(r["vrt_times_beta"]), vr.T @ beta.T, atol=1e-9)
+        assert r["rank_"] == r["rank"] and vr.shape == (5, r["rank"])
+    plain = reduced_rank.at_ranks(reduced_rank.ridge_spectra(states, [2.0], bias=False), [2]).first()
+    assert plain["bias"] == [0.0] * 5
+    np.testing.assert_allclose(np.array(plain["w"]), np.array(solvers.fit_maps(states, "reduced_rank_ridge", alpha=2.0, rank=2).first()["w"]), atol=1e-9)
+
+
 def test_factors_keep_small_singular_values(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 12)) @ np.diag(np.logspace(0, -8, 12)) @ np.linalg.qr(rng.normal(size=(12, 12)))[0]
@@ -83,22 +151,50 @@ def test_numbered_rows(spark):
     assert frames.numbered(spark.createDataFrame([], "a int"), "a").count() == 0
 
 
-@pytest.mark.parametrize("most, block", [(1 << 14, 1024), (1, 1024), (1, 7)])
-def test_factorisation_against_svd(spark, monkeypatch, most, block):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_factorisation_against_svd(spark, monkeypatch, tmp_path, block):
     monkeypatch.setattr(factorise, "BLOCK", block)
     rng = np.random.default_rng(2)
     stacks = {s: rng.normal(size=(40, 16)) for s in "abc"}
-    rows = [(10 * i, s, m[i].tolist()) for s, m in stacks.items() for i in range(40)]
-    bases, singular = factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 6, most)
+    stacks["c"][5:9] = 0  # frames that c lacks
+    rows = [(10 * i, s, m[i].tolist()) for s, m in stacks.items() for i in range(40) if s != "c" or not 5 <= i < 9]
+    found = factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 6)
     u, values, vt = np.linalg.svd(np.hstack([stacks[s] for s in "abc"]), full_matrices=False)
-    np.testing.assert_allclose(singular, values[:6])
-    found = {r["speaker"]: np.array(r["basis"]) for r in bases.collect()}
-    wide = np.hstack([found[s] for s in "abc"])
-    np.testing.assert_allclose(wide.T @ wide, vt[:6].T @ vt[:6], atol=1e-8)
-    maps = {(r["source"], r["target"]): np.array(r["w"]) for r in factorise.maps_from_bases(bases, pairs.speaker_pairs(bases)).collect()}
+    np.testing.assert_allclose(found.singular, values[:6])
+    left = np.array([r["u"] for r in found.left.orderBy("ref_idx").collect()])
+    np.testing.assert_allclose(left @ left.T, u[:, :6] @ u[:, :6].T, atol=1e-6)
+    bases = {r["speaker"]: np.array(r["basis"]) for r in found.bases.collect()}
+    wide = np.hstack([bases[s] for s in "abc"])
+    np.testing.assert_allclose(wide.T @ wide, vt[:6].T @ vt[:6], atol=1e-6)
+    np.testing.assert_allclose(left * found.singular @ wide, u[:, :6] * values[:6] @ vt[:6], atol=1e-6)
+    maps = {(r["source"], r["target"]): np.array(r["w"]) for r in factorise.maps_from_bases(found.bases, pairs.speaker_pairs(found.bases)).collect()}
     for (s, t), w in maps.items():
         a, b = (vt[:6, 16 * "abc".index(k) : 16 * "abc".index(k) + 16] for k in (s, t))
-        np.testing.assert_allclose(w, np.linalg.pinv(a) @ b, atol=1e-7)
+        np.testing.assert_allclose(w, np.linalg.pinv(a) @ b, atol=1e-5)
+    found.write(str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/XS").count() == len(rows)
+    assert spark.read.parquet(f"{tmp_path}/U").count() == 40
+    np.testing.assert_allclose([r["value"] for r in spark.read.parquet(f"{tmp_path}/S").orderBy("place").collect()], values[:6])
+    assert spark.read.parquet(f"{tmp_path}/VT").count() == 3
+
+
+def test_factorisation_of_little(spark):
+    ddl = "ref_idx long, speaker string, feat array<double>"
+    none = factorise.factorise(spark.createDataFrame([], ddl), 3)
+    assert none.left.count() == none.bases.count() == len(none.singular) == 0
+    zero = factorise.factorise(spark.createDataFrame([(1, "a", [0.0, 0.0])], ddl), 3)
+    assert zero.bases.count() == len(zero.singular) == 0
+    # a rank over that of the matrix gives the triples that there are
+    one = factorise.factorise(spark.createDataFrame([(i, "a", [3.0 * i, 4.0 * i]) for i in range(3)], ddl), 3)
+    np.testing.assert_allclose(one.singular, [5 * np.sqrt(5)])
+    np.testing.assert_allclose(np.abs(one.bases.first()["basis"]), [[0.6, 0.8]])
+
+
+def test_factorisation_that_does_not_settle_is_an_error(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "a", v) for i, v in enumerate(rng.normal(size=(60, 50)).tolist())]
+    with pytest.raises(ArithmeticError):
+        factorise.factorise(spark.createDataFrame(rows, "ref_idx long, speaker string, feat array<double>"), 2, extra=1, steps=1, rounds=2)
 
 
 def test_hot_speaker_is_many_groups(spark):
