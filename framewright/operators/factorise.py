@@ -161,10 +161,14 @@ def turned(rows: DataFrame, by: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Singular values under this share of the largest count as zero: vectors are only known to rounding over it.
+LEAST = 1e-9
+
+
 def orthonormal(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(M's singular values, right vectors W, and W / values) of a matrix with triangle ``r``; M (W / values) has orthonormal columns. Values that are rounding are left out."""
+    """(M's singular values, right vectors W, and W / values) of a matrix with triangle ``r``; M (W / values) has orthonormal columns, to rounding over the least value's share."""
     _, values, wt = np.linalg.svd(r)
-    keep = values > (values[0] if len(values) else 0) * max(r.shape) * np.finfo(float).eps
+    keep = values > (values[0] if len(values) else 0) * LEAST
     w = wt[: len(values)][keep].T
     return values[keep], w, w / values[keep]
 
@@ -221,7 +225,7 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, to
     which the triples are exact to rounding once A v = s u holds within ``tolerance`` of the
     largest value; until then the space is built anew from the triples found. Raises
     ArithmeticError if ``rounds`` spaces don't suffice. Fewer triples come back where A has fewer
-    nonzero singular values. A column's sign is that of the sum of U's column, so that reruns agree.
+    singular values over LEAST of the largest. A column's sign is that of the sum of U's column, so that reruns agree.
     """
     xs = stored(aligned.select("ref_idx", "speaker", F.col("feat").cast("array<double>").alias("feat")))
     blocks = blocks_of(xs)
@@ -230,10 +234,11 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, to
         return Factorisation(xs, spark.createDataFrame([], "ref_idx long, u array<double>"), np.zeros(0), spark.createDataFrame([], BASIS))
     start, columns = random_parts(blocks, rank + extra, seed), rank + extra
     for _ in range(rounds):
-        stack, widths = [], []
+        stack, widths, used = [], [], []
         for step in range(steps):
             z = start if step == 0 else adjoint(blocks, stack[-1])
             y = stored(times(blocks, z))
+            used.append(y)
             _, _, by = orthonormal(triangle(y, columns if step == 0 else widths[-1]))
             if not by.shape[1]:
                 break
@@ -244,7 +249,9 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, to
             return Factorisation(xs, aligned.sparkSession.createDataFrame([], "ref_idx long, u array<double>"), np.zeros(0), empty)
         space = stored(beside(stack, widths))
         _, _, by = orthonormal(triangle(space, sum(widths)))
-        q = stored(turned(space, by))
+        rough = stored(turned(space, by))
+        _, _, by = orthonormal(triangle(rough, by.shape[1]))
+        q = stored(turned(rough, by))
         z = stored(adjoint(blocks, q))
         values, w, by = orthonormal(triangle(z, by.shape[1]))
         values, w, by = values[: rank + extra], w[:, : rank + extra], by[:, : rank + extra]
@@ -254,6 +261,8 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, to
         if not len(values) or np.sqrt(np.square(off).sum(axis=0).max()) <= tolerance * values[0]:
             break
         start, columns = stored(turned(z, by)), by.shape[1]
+        for table in (*used, space, rough, q, z):
+            dropped(table)
     else:
         raise ArithmeticError(f"the singular triples have not settled within {tolerance} after {rounds} rounds")
     sign = np.array([1.0 if v >= 0 else -1.0 for v in column_sums(left, top)])
@@ -270,7 +279,7 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, to
                 yield pa.RecordBatch.from_pydict({"speaker": [row["speaker"]], "basis": pa.array([(np.frombuffer(row["x"]).reshape(-1, top) * sign).T.tolist()], pa.list_(pa.list_(pa.float64())))})
 
     found = Factorisation(xs, stored(left.mapInArrow(frames, "ref_idx long, u array<double>")), values[:top], stored(right.mapInArrow(rows, BASIS)))
-    for table in (space, q, z, blocks):
+    for table in (*used, space, rough, q, z, blocks):
         dropped(table)
     return found
 

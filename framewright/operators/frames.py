@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import stored
+
 ORDER = ("utt", "frame_idx")
 
 
@@ -69,12 +71,13 @@ def wide(long: DataFrame, by: Sequence[str], pos: str = "pos", value: Column | s
 def numbered(rows: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
     """Rows with their place from 0 in a total order (T1), without one task that sorts all.
 
-    Rows are sorted by range; a row's place is that in its partition plus the sizes of the
-    partitions before, of which there are as many numbers as partitions. Ties must not be.
+    Rows are sorted by range and stored; a row's place is that in its partition plus the sizes of
+    the partitions before, of which there are as many numbers as partitions. Ties must not be.
+    The sort works every column out, so number keys and join what is costly.
     """
     inner = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    placed = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_inner": inner}).persist()
-    offsets, total = {}, 0
+    placed = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_inner": inner})
+    placed, offsets, total = stored(placed), {}, 0
     for part, n in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
         offsets[part], total = total, total + n
     table = rows.sparkSession.createDataFrame(list(offsets.items()), "_part int, _offset long")

@@ -676,8 +676,10 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
  select round(100 * avg(rate), 6) mean_percent, round(100 * stddev_pop(rate), 6) std_percent from q""")
 def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples drawn by hash, so that SQL draws the same ones."""
-    counts = fr.numbered(evaluate.error_counts(turns(spark, sf_dir), words=False).select("conv_id", "turn", "edits", "ref_len"), "conv_id", "turn")
-    found = evaluate.bootstrap_rate(counts, evaluate.bootstrap_index(spark, counts.count()))
+    rows = turns(spark, sf_dir)
+    places = fr.numbered(rows.select("conv_id", "turn"), "conv_id", "turn")
+    counts = evaluate.error_counts(rows, words=False).join(places, ["conv_id", "turn"]).select("idx", "edits", "ref_len")
+    found = evaluate.bootstrap_rate(counts, evaluate.bootstrap_index(spark, places.count()))
     return found.select(r("mean_percent").alias("mean_percent"), r("std_percent").alias("std_percent"))
 
 
