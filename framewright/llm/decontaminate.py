@@ -1,12 +1,15 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of an item is a seed, so what a copy has kept finds it, whatever other copies the
-corpus holds, and nothing is dropped for being common. A document passage that holds a seed gets
-a bound on its score from the words that it shares with the item; one that can score enough is
-aligned with the item word by word (local alignment, linear gaps). The score, relative to a
-perfect copy, also finds edited and paraphrased copies. A copy without ``n`` words of the item in
-a row has no seed and is not found; an item of fewer than ``n`` words is one seed, all its words
-in a row, and any copy of it scores 1.
+Seeds are the items' n-grams. One that at most ``RARE`` items share pairs a text with them where
+it occurs. How rare a seed is depends on the items alone, so other copies in the corpus change
+nothing. Commoner seeds are not left out, as an edited copy may have kept no other: they pair a
+text with an item if the words that the two have in common, each as often as both have it, could
+score enough. That bound is exact, and it is worked out once a text and item, not once an
+occurrence. Around the seeds of a pair lie its passages, in windows that hold any alignment; one
+whose bounds allow it is aligned with the item word by word (local alignment, linear gaps). The
+score, relative to a perfect copy, also finds edited and paraphrased copies. A copy without ``n``
+words of the item in a row has no seed and is not found; an item of fewer than ``n`` words is one
+seed, all its words in a row, and any copy of it scores 1.
 
 Items are the query set: they are collected and sent to the executors in blocks of a fixed size in
 bytes, one pass over the documents a block, so nothing that is broadcast grows with the data.
@@ -30,6 +33,11 @@ BLOCK_BYTES = 16 << 20
 #: Alignment: what a word in common, a changed word, and a word left out or put in are worth.
 MATCH, MISMATCH, GAP_COST = 2, -1, 1
 
+#: Items that a rare seed is of at most.
+RARE = 8
+#: Rows that are made at a time of pairs, of their words and of their seeds.
+PAIR_ROWS = 1 << 19
+
 #: Words of passages whose bounds are computed at a time, and passages that wait for alignment.
 CELLS, WAITING = 1 << 18, 2048
 
@@ -149,59 +157,121 @@ class Items:
         self.settle(waiting, best)
         yield from ((t, k, *found) for (t, k), found in sorted(best.items()))
 
+    def prepare(self) -> None:
+        """Lookup tables, made where they are first needed."""
+        self.wanted, first, of = np.unique(self.seeds, return_index=True, return_inverse=True)
+        self.first = np.append(first, len(self.seeds))
+        self.length = np.array([len(w) for w in self.words])
+        self.widths = np.unique(np.minimum(self.length, self.n)).tolist()
+        self.lookup = Lookup(self.wanted)
+        order = np.argsort(self.seed_item, kind="stable")
+        self.item_seeds, self.item_first = of[order], np.searchsorted(self.seed_item[order], np.arange(len(self.words) + 1))
+        bags = [np.unique(w, return_counts=True) for w in self.words]
+        self.bag_words, self.bag_counts = (np.concatenate(x) for x in zip(*bags, strict=True))
+        self.bag_first = np.cumsum([0, *(len(w) for w, _ in bags)])
+        self.salt = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64))
+        keys = self.bag_words + np.repeat(self.salt, np.diff(self.bag_first))
+        order = np.argsort(keys, kind="stable")
+        self.members, self.member_counts = Lookup(keys[order]), self.bag_counts[order]
+
     def passages(self, texts: Sequence[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, item, names, starts, ends) of the passages around seeds that can score enough; seeds near each other share one."""
         names, starts, ends, doc = fold(texts)
         if not hasattr(self, "lookup"):
-            self.wanted, first = np.unique(self.seeds, return_index=True)
-            self.first = np.append(first, len(self.seeds))
-            self.length = np.array([len(w) for w in self.words])
-            self.widths = np.unique(np.minimum(self.length, self.n)).tolist()
-            self.lookup = Lookup(self.wanted)
-            self.salt = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64))
-            self.members = Lookup(np.unique(np.concatenate([w + salt for w, salt in zip(self.words, self.salt, strict=True)])))
+            self.prepare()
         hits = [(at[hit], seed) for grams, at in (ngrams(names, doc, width) for width in self.widths) for hit, seed in [self.lookup(grams)]]
         hit, seed = (np.concatenate(x) for x in zip(*hits, strict=True))
         if not len(hit):
             return
-        # a seed may belong to several items
-        count = self.first[seed + 1] - self.first[seed]
-        which = np.repeat(self.first[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place, item = np.repeat(hit, count), self.seed_item[which]
-        order = np.lexsort((place, item))
-        place, item = place[order], item[order]
-        text, length = doc[place], self.length[item]
-        new = np.ones(len(place), bool)
-        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] - place[:-1] > length[1:])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(place)) - 1
-        reach = length[first] + length[first] // 2 + self.n
+        # hits in order of text and seed
+        key = doc[hit] * len(self.wanted) + seed
+        order = np.argsort(key, kind="stable")
+        key, hit = key[order], hit[order]
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        begin = np.maximum(place[first] - reach, bounds[text[first]])
-        stop = np.minimum(place[last] + reach, bounds[text[first] + 1])
-        enough = self.least_score * MATCH * length[first]
-        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(stop - begin) // CELLS)) + 1):
-            good = some[self.bound(names, item[first[some]], begin[some], stop[some]) >= enough[some]]
-            for t, k, b, e in zip(text[first[good]].tolist(), item[first[good]].tolist(), begin[good].tolist(), stop[good].tolist(), strict=True):
-                yield t, k, names[b:e].copy(), starts[b:e].copy(), ends[b:e].copy()
+        pairs = self.pairs(np.unique(key), names, doc, len(texts))
+        for some in slices(self.item_first[pairs % len(self.words) + 1] - self.item_first[pairs % len(self.words)]):
+            text, item, place = self.places(pairs[some], key, hit)
+            length = self.length[item]
+            new = np.ones(len(place), bool)
+            new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] - place[:-1] > length[1:])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(place)) - 1
+            text, item, length = text[first], item[first], length[first]
+            reach = length + length // 2 + self.n
+            begin = np.maximum(place[first] - reach, bounds[text])
+            stop = np.minimum(place[last] + reach, bounds[text + 1])
+            # an alignment that scores enough spans at most three times its item: long passages come in windows of twice that
+            count = np.maximum(1, -(-(stop - begin) // (3 * length)) - 1)
+            row = np.repeat(np.arange(len(count)), count)
+            begin = begin[row] + 3 * length[row] * runs_of(count)
+            stop = np.minimum(stop[row], begin + 6 * length[row])
+            text, item, length = text[row], item[row], length[row]
+            enough = self.least_score * MATCH * length
+            for rows in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(np.cumsum(stop - begin) // CELLS)) + 1):
+                good = rows[self.bound(names, item[rows], begin[rows], stop[rows]) >= enough[rows]]
+                for t, k, b, e in zip(text[good].tolist(), item[good].tolist(), begin[good].tolist(), stop[good].tolist(), strict=True):
+                    yield t, k, names[b:e].copy(), starts[b:e].copy(), ends[b:e].copy()
+
+    def pairs(self, met: np.ndarray, names: np.ndarray, doc: np.ndarray, n_texts: int) -> np.ndarray:
+        """Pairs (text times the number of items plus item) that share a seed, from the different (text, seed); those of common seeds only if their common words can score enough."""
+        text, seed = met // len(self.wanted), met % len(self.wanted)
+        count = self.first[seed + 1] - self.first[seed]
+        rare, out = count <= RARE, []
+        salt = mix(np.arange(1, n_texts + 1, dtype=np.uint64))
+        bag, bag_count = np.unique(names + salt[doc], return_counts=True)
+        for group in (np.flatnonzero(rare), np.flatnonzero(~rare)):
+            for some in slices(count[group]):
+                rows = group[some]
+                item = self.seed_item[np.repeat(self.first[seed[rows]], count[rows]) + runs_of(count[rows])]
+                found = np.unique(np.repeat(text[rows], count[rows]) * len(self.words) + item)
+                out.append(found if rare[rows[0]] else found[self.shared(found, salt, bag, bag_count)])
+        return np.unique(np.concatenate(out))
+
+    def shared(self, pairs: np.ndarray, salt: np.ndarray, bag: np.ndarray, bag_count: np.ndarray) -> np.ndarray:
+        """Whether each pair's common words, as often as both have them, could score enough."""
+        good = np.zeros(len(pairs), bool)
+        text, item = pairs // len(self.words), pairs % len(self.words)
+        size = self.bag_first[item + 1] - self.bag_first[item]
+        for some in slices(size):
+            at = np.repeat(self.bag_first[item[some]], size[some]) + runs_of(size[some])
+            key = self.bag_words[at] + np.repeat(salt[text[some]], size[some])
+            place = np.minimum(np.searchsorted(bag, key), len(bag) - 1)
+            both = np.where(bag[place] == key, np.minimum(bag_count[place], self.bag_counts[at]), 0)
+            good[some] = np.add.reduceat(both, np.cumsum(size[some]) - size[some]) >= self.least_score * self.length[item[some]]
+        return good
+
+    def places(self, pairs: np.ndarray, key: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place) of the seeds of some pairs, in order of item, text and place."""
+        text, item = pairs // len(self.words), pairs % len(self.words)
+        size = self.item_first[item + 1] - self.item_first[item]
+        row = np.repeat(np.arange(len(pairs)), size)
+        wanted = text[row] * len(self.wanted) + self.item_seeds[np.repeat(self.item_first[item], size) + runs_of(size)]
+        low, high = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+        row, place = np.repeat(row, high - low), hit[np.repeat(low, high - low) + runs_of(high - low)]
+        order = np.lexsort((place, text[row], item[row]))
+        return text[row][order], item[row][order], place[order]
 
     def bound(self, names: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """What the alignment of each item with its passage names[begin:stop] scores at most.
 
         A passage word in an alignment is worth a match, or, if the item lacks it, a changed word
-        or one put in; the best stretch of the passage by these values scores no less.
+        or one put in; the best stretch of the passage by these values scores no less. Nor do the
+        matches outnumber the words in common, each counted as often as both have it.
         """
         size = stop - begin
         first = np.cumsum(size) - size
         row = np.repeat(np.arange(len(size)), size)
         place = np.repeat(begin - first, size) + np.arange(len(row))
         gain = np.full(len(row), max(MISMATCH, -GAP_COST), np.int64)
-        gain[self.members(names[place] + self.salt[item][row])[0]] = MATCH
+        at, member = self.members(names[place] + self.salt[item][row])
+        gain[at] = MATCH
+        both, times = np.unique(row[at] * len(self.member_counts) + member, return_counts=True)
+        common = np.bincount(both // len(self.member_counts), np.minimum(times, self.member_counts[both % len(self.member_counts)]), len(size))
         total = np.cumsum(gain)
         # each row lies below all earlier ones, so the running minimum starts anew
         drop = row * (2 * int(np.abs(gain).sum()) + 1)
         low = np.minimum.accumulate(total - gain - drop) + drop
-        return np.maximum(np.maximum.reduceat(total - low, first), 0)
+        return np.minimum(np.maximum(np.maximum.reduceat(total - low, first), 0), MATCH * common)
 
     def settle(self, waiting: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], best: dict) -> None:
         """Align passages with their items, those of like size together, and keep each pair's best."""
@@ -221,6 +291,17 @@ class Items:
                     best[t, k] = found
 
 
+def runs_of(count: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def slices(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of rows in groups whose sizes add up to some PAIR_ROWS, one larger row by itself."""
+    if len(size):
+        yield from np.split(np.arange(len(size)), np.flatnonzero(np.diff((np.cumsum(size) - size) // PAIR_ROWS)) + 1)
+
+
 def by_size(width: Sequence[int], length: Sequence[int], cells: int = 1 << 18) -> Iterator[list[int]]:
     """Numbers of passages in groups of like widths and lengths whose padded cells are bounded."""
     order = sorted(range(len(width)), key=lambda i: (length[i].bit_length(), width[i]))

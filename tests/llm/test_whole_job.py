@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import queries
 from framewright.llm.common import in_chunks, mix, word_names
-from framewright.llm.decontaminate import Items, align, decontaminate, ngrams, without_contaminated
+from framewright.llm.decontaminate import Items, align, decontaminate, item_blocks, ngrams, without_contaminated
 from framewright.llm.names import distinct, pack_sorted, unpack_sorted
 from framewright.llm.pii import base_spans, contexts, personal_data
 from framewright.llm.quality_classifier import ABSTAIN, BAD, GOOD, LABELLERS, START, STOPWORDS, QualityModel, fit_label_model, fit_quality, quality_classifier
@@ -412,3 +413,34 @@ def test_hashes_and_fingerprints_against_plain_ones():
     for width in (1, 4, 5):
         got = np.concatenate([simhashes(*part, width) for part in in_chunks(pa.array(texts))])
         assert got.tolist() == [brute.fingerprint(t, width) for t in texts]
+
+
+def test_common_seeds_are_bounded_and_lose_nothing(spark):
+    """A seed that thousands of items share: a text of nothing else is cheap, and a copy that kept no other seed is found."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(k, " ".join([*rng.choices(vocabulary, k=20), "of the following", *rng.choices(vocabulary, k=20)])) for k in range(2000)]
+    words = items[7][1].split()
+    broken = [w if i in (20, 21, 22) or i % 3 else "zz" for i, w in enumerate(words)]  # every third word changed, but for the shared seed
+    docs = [(1, "of the following " * 5000), (2, "start " + " ".join(broken) + " end"), (3, " ".join(rng.choices(vocabulary, k=500)) + " of the following"), (4, items[9][1])]
+    started = time.time()
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(2, 7), (4, 9)}
+    assert time.time() - started < 60
+
+
+@pytest.mark.parametrize("rare", [0, 8, 10**9])
+def test_how_rare_a_seed_is_changes_no_pair(spark, monkeypatch, rare):
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=30))) for k in range(40)]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=40) + [w if rng.random() > 0.25 else "zz" for w in items[k % 40][1].split()])) for k in range(80)]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    (block,) = item_blocks(frames[1], "item_id", "text", 3, 0.45, 1 << 24)
+    monkeypatch.setattr("framewright.llm.decontaminate.RARE", rare)
+    monkeypatch.setattr("framewright.llm.decontaminate.PAIR_ROWS", 500)
+    found = {(t, k): round(score, 9) for t, k, score, *_ in block.matches([d.encode() for _, d in docs])}
+    monkeypatch.undo()
+    (block,) = item_blocks(frames[1], "item_id", "text", 3, 0.45, 1 << 24)
+    assert found == {(t, k): round(score, 9) for t, k, score, *_ in block.matches([d.encode() for _, d in docs])}
+    assert sum(t % 40 == k for t, k in found) >= 70
