@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,23 +12,40 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def eer(scores: DataFrame, by: Sequence[str] = ("tgt_speaker",), score: str = "score", label: str = "label") -> DataFrame:
+#: Slices that a group of many scores is cut into at most, and distinct scores of a slice that make another worth while.
+SLICES, SLICE = 1024, 100_000
+
+
+def eer(scores: DataFrame, by: Sequence[str] = ("tgt_speaker",), score: str = "score", label: str = "label", slice_size: int = SLICE) -> DataFrame:
     """(by, eer): where the false positive and false negative rates meet; label 1 scores low.
 
     Ties count together. Closed form on the ROC polyline: the first point with fpr + tpr >= 1 and
-    the one before it. Scores are counted before they are sorted, so a window sorts distinct
-    scores. A group without both labels has a null rate.
+    the one before it. Running counts are made in slices: approximate percentiles cut a group of
+    more than ``slice_size`` distinct scores into ranges, each of which is summed by itself and
+    raised by the totals of those before, so that no group is sorted in one task. A group without
+    both labels has a null rate.
     """
-    counts = scores.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    up = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    rates = counts.select(*by, F.col(score).alias("s"), F.try_divide(F.sum("q").over(up).cast("double"), F.sum("q").over(whole)).alias("fpr"), F.try_divide(F.sum("p").over(up).cast("double"), F.sum("p").over(whole)).alias("tpr"))
-    order = Window.partitionBy(*by).orderBy("s")
-    both = rates.withColumns({"f0": F.coalesce(F.lag("fpr").over(order), F.lit(0.0)), "t0": F.coalesce(F.lag("tpr").over(order), F.lit(0.0))})
-    crossing = both.filter("fpr + tpr >= 1 and f0 + t0 < 1")
+    by = list(by)
+    counts = scores.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    cuts = F.percentile_approx("s", [i / SLICES for i in range(1, SLICES)])
+    step = F.greatest(F.lit(1), F.ceil(F.lit(SLICES) * F.lit(slice_size) / F.count(F.lit(1))).cast("int"))
+    groups = counts.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.array_distinct(cuts).alias("cuts"), step.alias("step"))
+    groups = groups.withColumn("cuts", F.filter("cuts", lambda c, i: (i + 1) % F.col("step") == 0)).drop("step")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]
+    placed = counts.alias("c").join(groups.alias("g"), reduce(and_, same), "inner") if by else counts.alias("c").join(groups.alias("g"))
+    placed = placed.select("c.*", "np", "nq", F.size(F.filter("cuts", lambda c: c < F.col("s"))).alias("slice"))
+    totals = placed.groupBy(*by, "slice").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
+    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("slice").alias("_slice"), F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("tq").over(before), F.lit(0)).alias("oq"))
+    up = Window.partitionBy(*by, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumns({"cp": F.sum("p").over(up), "cq": F.sum("q").over(up)})
+    summed = summed.join(offsets, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "slice"]]))
+    share = lambda n, of: F.try_divide(n.cast("double"), F.col(of))
+    cp, cq = F.col("cp") + F.col("op"), F.col("cq") + F.col("oq")
+    rates = summed.select(*by, share(cq, "nq").alias("fpr"), share(cp, "np").alias("tpr"), share(cq - F.col("q"), "nq").alias("f0"), share(cp - F.col("p"), "np").alias("t0"))
+    crossing = rates.filter("fpr + tpr >= 1 and f0 + t0 < 1")
     rate = F.col("f0") + (1 - F.col("f0") - F.col("t0")) / (F.col("fpr") + F.col("tpr") - F.col("f0") - F.col("t0")) * (F.col("fpr") - F.col("f0"))
-    found = crossing.select(*by, rate.alias("eer"))
-    return scores.select(*by).distinct().join(found, list(by), "left")
+    return groups.select(*by).join(crossing.select(*by, rate.alias("eer")), by, "left") if by else crossing.select(rate.alias("eer"))
 
 
 def eer_summary(rates: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,26 @@ def ranked(frames: DataFrame, by: Sequence[str] = ("speaker",), order: Sequence[
 
 
 def cap(frames: DataFrame, n: int | None, by: Sequence[str] = ("speaker",), order: Sequence[str] = ORDER) -> DataFrame:
-    """The first ``n`` frames of each speaker's stack (P8); the rank is limited before the shuffle."""
+    """The first ``n`` frames of each speaker's stack (P8), without ranking frames.
+
+    ``order`` is (utterance, frame). Frames are counted by utterance first, which reads no vectors;
+    running sums over a speaker's utterances find those that lie within the cap and the one that
+    crosses it. Only the frames of the latter are ranked, and all others are dropped by a semi join
+    before anything moves.
+    """
     if n is None:
         return frames
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return frames.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    utt, frame = order
+    sizes = frames.groupBy(*by, utt).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy(utt).rowsBetween(Window.unboundedPreceding, -1)
+    kept = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0).cast("long"))).filter(F.col("_before") < n)
+    same = reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in [*by, utt]])
+    whole, crossed = kept.filter(F.col("_before") + F.col("_n") <= n), kept.filter(F.col("_before") + F.col("_n") > n)
+    inside = frames.alias("f").join(whole.alias("k"), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*by, utt).orderBy(frame))
+    columns = [F.col(f"f.`{c}`") for c in frames.columns]
+    edge = frames.alias("f").join(crossed.alias("k"), same).select(*columns, "_before").withColumn("_place", place)
+    return inside.unionByName(edge.filter(F.col("_before") + F.col("_place") <= n).drop("_before", "_place"))
 
 
 def stacked(frames: DataFrame, by: Sequence[str] = ("speaker",), order: Sequence[str] = ORDER, feat: str = "feat") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright import queries
 from framewright.functions import text
-from framewright.operators import factorise, frames, lasso, matching, moments, pairs, project, reduced_rank, signal, solvers
+from framewright.operators import evaluate, factorise, frames, lasso, matching, moments, pairs, project, reduced_rank, signal, solvers
 
 SF = "/root/testdata/sf0.001"
 
@@ -204,3 +204,39 @@ def test_hot_speaker_is_many_groups(spark):
     wanted = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
     few, many = (sorted(map(tuple, matching.topk_blocks(f, wanted, 3, block=b).select("s_id", "t_id", "rank").collect())) for b in (16, 1024))
     assert few == many and len(few) == 350 * 3
+
+
+@pytest.mark.parametrize("slice_size", [1, 7, 100_000])
+def test_eer_in_slices(spark, slice_size):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g, n in (("hot", 3000), ("b", 40), ("c", 3), (None, 50)):
+        y = rng.integers(0, 2, n)
+        s = np.round(rng.normal(size=n) - y, 3)
+        rows += [(g, float(a), int(b)) for a, b in zip(s, y)]
+        cut = np.unique(s)
+        fpr, tpr = (np.r_[0, [((s <= c) & (y == k)).sum() / max((y == k).sum(), 1) for c in cut]] for k in (0, 1))
+        want[g] = np.interp(0.5, (fpr + tpr) / 2, fpr) if 0 < y.sum() < n else None
+    df = spark.createDataFrame(rows, "tgt_speaker string, score double, label int")
+    got = {r["tgt_speaker"]: r["eer"] for r in evaluate.eer(df, slice_size=slice_size).collect()}
+    assert set(got) == set(want)
+    for g in ("hot", "b", "c"):
+        assert (got[g] is None) if want[g] is None else got[g] == pytest.approx(want[g])
+    plan = evaluate.eer(df, slice_size=slice_size)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "AS cp" in line]
+    assert windows and all("slice" in line for line in windows)  # no window sorts a group's scores at once
+
+
+def test_cap_counts_before_it_reads(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = [(s, f"u{u}", i, [float(i)]) for s in ("a", "b", None) for u in range(6) for i in range(int(rng.integers(1, 9)))]
+    ddl = "speaker string, utt string, frame_idx long, feat array<double>"
+    spark.createDataFrame(rows, ddl).repartition(3).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    for n in (1, 4, 11, 1000):
+        want = sorted(str(r[:3]) for s in ("a", "b", None) for r in sorted((r for r in rows if r[0] == s), key=lambda r: r[1:3])[:n])
+        assert sorted(str((r["speaker"], r["utt"], r["frame_idx"])) for r in frames.cap(df, n).collect()) == want
+    plan = frames.cap(df, 4)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("feat" in line for line in scans) < len(scans)  # utterances are counted without their vectors
+    assert "row_number() windowspecdefinition(speaker" in plan and "utt" in plan.split("row_number() windowspecdefinition(")[1].split(")")[0]
