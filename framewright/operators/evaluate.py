@@ -6,10 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..stored import stored
 
 
 #: Slices that a group of many scores is cut into at most, and distinct scores of a slice that make another worth while.
@@ -88,3 +91,45 @@ def bootstrap_rate(counts: DataFrame, index: DataFrame, idx: str = "idx") -> Dat
     drawn = index.join(counts.select(F.col(idx).alias("idx"), "edits", "ref_len"), "idx")
     rates = drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col("edits") * F.col("times")).cast("double"), F.sum(F.col("ref_len") * F.col("times"))).alias("rate"))
     return rates.agg((100 * F.avg("rate")).alias("mean_percent"), (100 * F.stddev_pop("rate")).alias("std_percent"))
+
+
+#: Rows that draw together.
+DRAW_BLOCK = 1 << 16
+
+
+def resampled_sums(counts: DataFrame, resamples: int = 100, seed: int = 13, block: int = DRAW_BLOCK) -> DataFrame:
+    """(rep, draws, edits, ref_len): sums over seeded resamples with replacement, drawn where the rows lie.
+
+    A resample's draws are first split between stored partitions, then between a partition's blocks
+    of rows, then between a block's rows, by multinomial draws all along: the distribution is that of
+    drawing from all rows, but only one row each and ``resamples`` sums a task are shuffled, not
+    ``resamples`` draws a row. The driver sees the partitions' sizes.
+    """
+    inner = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = counts.select(F.col("edits").cast("long").alias("edits"), F.col("ref_len").cast("long").alias("ref_len"))
+    placed = stored(rows.withColumns({"part": F.spark_partition_id(), "block": F.floor(inner / block)}))
+    sizes = dict(sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect()))
+    total = sum(sizes.values())
+    shares = np.array(list(sizes.values()), float) / max(total, 1)
+    drawn = np.random.default_rng(seed).multinomial(total, shares, size=resamples) if sizes else np.zeros((resamples, 0), int)
+    of = placed.sparkSession.sparkContext.broadcast({part: (n, drawn[:, i]) for i, (part, n) in enumerate(sizes.items())})
+
+    def run(table: pa.Table) -> pa.Table:
+        part, nth, n = table.column("part")[0].as_py(), table.column("block")[0].as_py(), table.num_rows
+        size, draws = of.value[part]
+        blocks = np.diff(np.append(np.arange(0, size, block), size)) / size
+        own = np.random.default_rng([seed, part]).multinomial(draws, blocks)[:, nth]
+        order = np.lexsort((table.column("ref_len").to_numpy(), table.column("edits").to_numpy()))
+        values = [table.column(c).to_numpy()[order] for c in ("edits", "ref_len")]
+        rng = np.random.default_rng([seed, part, nth + 1])
+        sums = [[int(k), *(int(v @ times) for v in values)] for k in own for times in [np.bincount(rng.integers(0, n, k), minlength=n)]]
+        return pa.table({"rep": pa.array(range(len(sums)), pa.int32()), **{c: pa.array([x[i] for x in sums], pa.int64()) for i, c in enumerate(("draws", "edits", "ref_len"))}})
+
+    parts = placed.groupBy("part", "block").applyInArrow(run, "rep int, draws long, edits long, ref_len long")
+    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("draws", "edits", "ref_len")])
+
+
+def resampled_rate(sums: DataFrame) -> DataFrame:
+    """Mean and population deviation, in percent, of the rate over resamples."""
+    rates = sums.select(F.try_divide(F.col("edits").cast("double"), F.col("ref_len")).alias("rate"))
+    return rates.agg((100 * F.avg("rate")).alias("mean_percent"), (100 * F.stddev_pop("rate")).alias("std_percent"))

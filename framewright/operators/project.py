@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import matrix, vectors
+from ..stored import stored
 from .moments import pair_moments
 
 #: Bytes of maps that are broadcast; larger sets meet their frames by shuffle.
@@ -70,6 +71,9 @@ def project(frames: DataFrame, maps: DataFrame, on: Sequence[str], feat: str = "
         (only,) = read_maps(found, on).values()
         return own.append_column(name, vectors(applied(matrix(own.column(feat)), only)))
 
+    kept = stored(maps)
+    maps.unpersist()
+    maps = kept
     dealt = frames.withColumn("_salt", F.pmod(F.xxhash64(feat), F.lit(salts)))
     spread = maps.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.groupBy(*on, "_salt").cogroup(spread.groupBy(*on, "_salt")).applyInArrow(group, ddl)

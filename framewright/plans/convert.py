@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import models
@@ -12,11 +12,11 @@ from ..functions import vectors
 from ..operators import factorise as fz
 from ..operators import frames as fr
 from ..operators.matching import aligned_to_first, matched_pairs, topk_blocks
-from ..operators.moments import pair_moments
+from ..operators.moments import pair_factors, pair_moments
 from ..operators.pairs import speaker_pairs
 from ..operators.project import project
 from ..operators.signal import prepared
-from ..operators.solvers import fit_maps
+from ..operators.solvers import fit_factors, fit_maps
 
 # Frames of a speaker that are matched, and the penalty of parallel fits.
 CAP = 8192
@@ -28,6 +28,11 @@ def with_ids(frames: DataFrame) -> DataFrame:
     return frames.withColumn("frame_id", F.xxhash64("speaker", "utt", "frame_idx"))
 
 
+def coded(name: Column) -> Column:
+    """A name in letters, digits, ``+``, ``/`` and ``=``, so that marks can be put beside it."""
+    return F.base64(name.cast("binary"))
+
+
 class Converter:
     """Learns and applies linear maps between speakers; the models are injected as factories."""
 
@@ -42,12 +47,14 @@ class Converter:
 
         Non-parallel: all (capped) frames of a side against all of the other. Parallel: frames of
         utterances of one name on both sides, uncapped, and lasso with alpha 0.3 unless given.
+        Least squares works on triangular factors, which keep all singular values of the rows.
         """
-        source, target = (s.withColumn("speaker", F.concat(F.lit(side), "speaker")) for s, side in ((source, "s:"), (target, "t:")))
+        # the two sides' speakers apart, under names that any speaker's name can be read back from
+        source, target = (s.withColumn("speaker", F.concat(F.lit(side), coded(F.col("speaker")))) for s, side in ((source, "s:"), (target, "t:")))
         if parallel:
             lasso = PARALLEL_ALPHA if lasso is None else lasso
             # an utterance on both sides is a speaker of its own while frames are matched
-            sides = [s.withColumn("speaker", F.concat_ws("|", "speaker", "utt")) for s in (source, target)]
+            sides = [s.withColumn("speaker", F.concat_ws("|", "speaker", coded(F.col("utt")))) for s in (source, target)]
             pairs = sides[0].select(F.col("speaker").alias("source"), "utt").distinct().join(sides[1].select(F.col("speaker").alias("target"), "utt").distinct(), "utt").select("source", "target")
         else:
             sides = [fr.cap(s, cap) for s in (source, target)]
@@ -55,9 +62,9 @@ class Converter:
             pairs = sides[0].select(F.col("speaker").alias("source")).distinct().join(sides[1].select(F.col("speaker").alias("target")).distinct(), F.lit(True))
         both = with_ids(sides[0].unionByName(sides[1]))
         matched = matched_pairs(topk_blocks(both, pairs, k), both)
-        plain = lambda c: F.split(F.substring(c, 3, 1 << 30), r"\|")[0].alias(c)
-        moments = pair_moments(matched.select(plain("source"), plain("target"), "x", "y"))
-        return fit_maps(moments, "lasso", alpha=lasso) if lasso is not None else fit_maps(moments, "least_squares")
+        plain = lambda c: F.unbase64(F.split(F.substring(c, 3, 1 << 30), r"\|")[0]).cast("string").alias(c)
+        rows = matched.select(plain("source"), plain("target"), "x", "y")
+        return fit_maps(pair_moments(rows), "lasso", alpha=lasso) if lasso is not None else fit_factors(pair_factors(rows))
 
     def project_and_vocode(self, frames: DataFrame, maps: DataFrame) -> DataFrame:
         """Converted audio of frames (speaker, utt, frame_idx, feat) under (source, target, w, bias)."""

@@ -18,6 +18,7 @@ from .operators import evaluate, factorise, lasso, matching, matrixstats, moment
 from .operators import frames as fr
 from .plans import convert
 from .sources import files
+from .stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,7 +293,7 @@ def normal_entries(spark: SparkSession, sf_dir: str, method: str, added: float =
     """Entries of (X'X + added) W for full-width maps, which must be those of X'Y (of centred rows if there is a bias)."""
     import pyarrow as pa
 
-    found = moments.pair_moments(matched(spark, sf_dir)).persist()
+    found = stored(moments.pair_moments(matched(spark, sf_dir)))
     both = found.join(solvers.fit_maps(found, method, **options), ["source", "target"])
 
     def run(batches):
@@ -325,7 +326,7 @@ def polar_conditions(spark: SparkSession, sf_dir: str, method: str) -> DataFrame
     """Entries of W W', and of W'X'Y less its transpose: together they make W the polar factor of X'Y (of centred rows if there is a bias); and of the mean of x under the map."""
     import pyarrow as pa
 
-    found = moments.pair_moments(matched(spark, sf_dir))
+    found = stored(moments.pair_moments(matched(spark, sf_dir)))
     both = found.join(solvers.fit_maps(found, method), ["source", "target"])
 
     def run(batches):
@@ -365,7 +366,7 @@ def lasso_checks(spark: SparkSession, sf_dir: str, bias: bool) -> DataFrame:
     import pyarrow as pa
 
     rows = matched(spark, sf_dir).select("source", "target", "x", "y")
-    found = moments.pair_moments(rows)
+    found = stored(moments.pair_moments(rows))
     maps = lasso.lasso_path(found, ALPHAS, bias, tolerance=1e-12)
 
     def run(batches):
@@ -413,7 +414,7 @@ def reduced_rank_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     alpha = 5.0
-    found = moments.pair_moments(matched(spark, sf_dir))
+    found = stored(moments.pair_moments(matched(spark, sf_dir)))
     maps = reduced_rank.at_ranks(reduced_rank.ridge_spectra(found, [alpha], bias=False), range(1, 9))
 
     def run(batches):
@@ -683,6 +684,22 @@ def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(r("mean_percent").alias("mean_percent"), r("std_percent").alias("std_percent"))
 
 
+@query(f"""with c as ({_CER}), t as (select count(*)::bigint n, sum(edits)::double e, sum(ref_len)::double l from c),
+ d as (select sqrt(sum(pow(edits - e / l * ref_len, 2))) / any_value(l) sd from c, t)
+ select 100::bigint reps, n least_draws, n most_draws, true as mean_near, true as spread_near from t, d where sd > 0""")
+def resampled_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples drawn where the rows lie: each draws as often as there are rows, and the rates' mean and deviation are near those of theory."""
+    counts = evaluate.error_counts(turns(spark, sf_dir), words=False).select("edits", "ref_len")
+    sums = evaluate.resampled_sums(counts)
+    drawn = sums.agg(F.count(F.lit(1)).alias("reps"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws")).join(evaluate.resampled_rate(sums))
+    whole = counts.agg(F.sum("edits").cast("double").alias("e"), F.sum("ref_len").cast("double").alias("l"))
+    spread = counts.join(F.broadcast(whole)).agg((F.sqrt(F.sum((F.col("edits") - F.col("e") / F.col("l") * F.col("ref_len")) ** 2)) / F.first("l")).alias("sd"), (F.first("e") / F.first("l")).alias("rate"))
+    both = drawn.join(spread)
+    near = F.abs(F.col("mean_percent") / 100 - F.col("rate")) < 0.5 * F.col("sd")
+    alike = (F.col("std_percent") / 100 > 0.7 * F.col("sd")) & (F.col("std_percent") / 100 < 1.4 * F.col("sd"))
+    return both.select("reps", "least_draws", "most_draws", near.alias("mean_near"), alike.alias("spread_near"))
+
+
 @query("""with t as (select conv_id, turn, text from conversations), p as (select conv_id::varchar || '-' || turn utt_key, conv_id, turn, text from t)
  select a.utt_key, length(a.text) ref_len, length(b.text) hyp_len from p a join p b on b.conv_id = a.conv_id and b.turn = a.turn + 1""")
 def transcript_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -925,25 +942,78 @@ def sha256_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- audio
 
-_AUDIO = "select vec_id, label, embedding, case when label = 9 then 0 else vec_id % 64 end n, 8000 + 8000 * (vec_id % 2) sr from embeddings"
+_AUDIO = "select vec_id, list_filter(range(1, 65), lambda i: abs(e[i]) >= 0.3)[1] p from (select vec_id, embedding::double[] e from embeddings)"
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors taken for short waves, those of speaker 9 for wholly trimmed ones."""
-    n = F.when(F.col("label") == 9, 0).otherwise(F.col("vec_id") % 64).cast("int")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("speaker"), F.col("vec_id").cast("string").alias("utt"), (8000 + 8000 * (F.col("vec_id") % 2)).cast("int").alias("sr"), F.slice("embedding", 1, n).alias("samples"))
+    """Vectors taken for short waves, trimmed to their first loud sample; those that have none are trimmed wholly."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("speaker"), F.col("vec_id").cast("string").alias("utt"), F.lit(16_000).alias("sr"), F.col("embedding").alias("samples"))
+    return signal.prepared(rows, 16_000, trim=lambda x, rate: signal.energy_trim(x, rate, level=0.3, window=1 / rate))
 
 
-@query(f"select vec_id::varchar utt from ({_AUDIO}) where n > 0")
+@query(f"select vec_id::varchar utt, (65 - p)::int as samples from ({_AUDIO}) where p is not null")
 def trimmed_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.not_empty(audio(spark, sf_dir)).select("utt")
+    return signal.not_empty(audio(spark, sf_dir)).select("utt", F.size("samples").alias("samples"))
 
 
-@query(f"select round(sum(n / sr) / 3600, 12) as hours from ({_AUDIO})")
+@query(f"select round(sum(coalesce(65 - p, 0) / 16000.0) / 3600, 12) as hours from ({_AUDIO})")
 def total_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.hours(audio(spark, sf_dir)).select(F.round("hours", 12).alias("hours"))
 
 
+#: Recordings of a number a hop: noise, then from two fifths on something 30 times as strong.
+VOICE = signal.Voice(hop=0.01, bands=1, smooth=0.03, boot=0.1, rise=0.5, fall=0.05, trigger=0.05, level=6.0, search=0.3, gap=0.05, pre=0.02)
+RATE = 6400
+
+
+def recording_chunks(spark: SparkSession, sf_dir: str, vectors_a_chunk: int = 8) -> DataFrame:
+    """Each speaker's vectors, one a hop, as one recording in chunks that overlap by a vector."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.row_number().over(order) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n"))
+    gain = (1 + F.col("vec_id") % 7 / 7) * F.when(5 * F.col("i") >= 2 * F.col("n"), 1.0).otherwise(1 / 30)
+    own = e.select("label", "i", "n", F.transform("embedding", lambda x: (x * gain).cast("float")).alias("part"))
+    chunk = F.floor(F.col("i") / vectors_a_chunk)
+    spread = own.withColumn("chunk", F.explode(F.array_distinct(F.array(*[F.floor((F.col("i") + d) / vectors_a_chunk) for d in (-1, 0, 1)])))).filter((F.col("chunk") >= 0) & (F.col("chunk") * vectors_a_chunk < F.col("n")))
+    rows = spread.withColumn("own", (chunk == F.col("chunk")).cast("int")).groupBy("label", "n", "chunk").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"), F.sum("own").alias("n_own"))
+    start = F.col("chunk") * (64 * vectors_a_chunk)
+    return rows.select(F.col("label").cast("string").alias("speaker"), F.lit("u").alias("utt"), F.concat(F.lit("r/"), "label").alias("path"), F.lit(RATE).alias("sr"), (F.col("n") * 64).alias("total"), "chunk", start.alias("start"), (start - F.col("parts")[0]["i"] * 64).cast("int").alias("lead"), (F.col("n_own") * 64).cast("int").alias("own"), F.flatten(F.transform("parts", lambda p: p["part"])).alias("samples"))
+
+
+def _voice_sql() -> str:
+    """The tracker as a recursion over hops, and the search back as islands of loud ones."""
+    v = VOICE
+    a, up, down, b = (f"exp(-{v.hop} / {s})" for s in (v.smooth, v.rise, v.fall, v.trigger))
+    boot, search, gap, pre = (round(x / v.hop) for x in (v.boot, v.search, v.gap, v.pre))
+    return f"""with recursive o as (select label, vec_id, embedding::double[] e, row_number() over (partition by label order by vec_id) - 1 i, count(*) over (partition by label) n from embeddings),
+ h as (select label, i, n, list_inner_product(e, e) / 64 * pow((1 + vec_id % 7 / 7.0) * case when 5 * i >= 2 * n then 1.0 else 1 / 30.0 end, 2) + {v.quiet} w from o),
+ t as (select label, i, n, w power, w floor, 0.0::double level, [0.0::double] seen from h where i = 0
+   union all select label, i, n, power, floor, {b} * level + (1 - {b}) * greatest(10 * log10(power / floor), 0), list_append(seen, greatest(10 * log10(power / floor), 0))
+   from (select h.label, h.i, h.n, level, seen, {a} * power + (1 - {a}) * w power, case when h.i < {boot} then floor + (w - floor) / (h.i + 1)
+     when {a} * power + (1 - {a}) * w > floor then {up} * floor + (1 - {up}) * ({a} * power + (1 - {a}) * w) else {down} * floor + (1 - {down}) * ({a} * power + (1 - {a}) * w) end floor
+     from t join h on h.label = t.label and h.i = t.i + 1 where t.level < {v.level})),
+ f as (select label, n, i trigger, seen from t where level >= {v.level}),
+ q as (select label, n, trigger, k from (select label, n, trigger, unnest(seen) m, unnest(range(len(seen))) k from f) where m >= {v.level / 2} and k > trigger - {search}),
+ g as (select *, lead(k) over (partition by label order by k) - k > {gap + 1} gap from q),
+ s as (select label, n, min(k) filter (k > coalesce(broken, -1)) start from (select *, max(k) filter (gap) over (partition by label) broken from g) group by label, n)
+ select label::varchar speaker, greatest(start - {pre}, 0)::bigint * 64 as begin_sample, ((n - greatest(start - {pre}, 0)) * 64)::bigint as kept from s"""
+
+
+@query(_voice_sql())
+def trimmed_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where speech begins in each recording, found from its chunks, and the samples kept."""
+    prepared = signal.resampled_chunks(recording_chunks(spark, sf_dir), RATE, VOICE)
+    kept = signal.trimmed_chunks(prepared, VOICE).groupBy("speaker").agg(F.sum(F.size("samples")).cast("long").alias("kept"))
+    whole = prepared.groupBy("speaker").agg(F.sum(F.size("samples")).alias("all"))
+    return kept.join(whole, "speaker").select("speaker", (F.col("all") - F.col("kept")).alias("begin_sample"), "kept")
+
+
+@query("select label::varchar speaker, count(*) * 64 samples, round(sum(list_inner_product(embedding::double[], embedding::double[]) * pow((1 + vec_id % 7 / 7.0) * case when 5 * i >= 2 * n then 1.0 else 1 / 30.0 end, 2)), 3) energy from (select *, row_number() over (partition by label order by vec_id) - 1 i, count(*) over (partition by label) n from embeddings) group by label")
+def chunked_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and energy of the recordings put together from chunks."""
+    prepared = signal.resampled_chunks(recording_chunks(spark, sf_dir), RATE, VOICE)
+    return prepared.groupBy("speaker").agg(F.sum(F.size("samples")).cast("long").alias("samples"), F.round(F.sum(vectors.dot("samples", "samples")), 3).alias("energy"))
+
+
 @query("select round(avg(strlen(html)) / 1048576, 9) mean_mb from pages")
 def mean_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select((F.avg(F.octet_length("html")) / 1048576).alias("m")).select(F.round("m", 9).alias("mean_mb"))

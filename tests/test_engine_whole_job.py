@@ -240,3 +240,20 @@ def test_cap_counts_before_it_reads(spark, tmp_path):
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("feat" in line for line in scans) < len(scans)  # utterances are counted without their vectors
     assert "row_number() windowspecdefinition(speaker" in plan and "utt" in plan.split("row_number() windowspecdefinition(")[1].split(")")[0]
+
+
+def test_resampled_sums(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(int(e), int(n)) for e, n in zip(rng.integers(0, 9, 500), rng.integers(5, 30, 500))]
+    df = spark.createDataFrame(rows, "edits int, ref_len int").repartition(3)
+    out = evaluate.resampled_sums(df, 200, block=64).collect()
+    assert len(out) == 200 and all(r["draws"] == 500 for r in out)
+    # every row is drawn about as often as any other: sums are those of resamples
+    for field, column in (("edits", 0), ("ref_len", 1)):
+        x = np.array([r[column] for r in rows], float)
+        sums = np.array([r[field] for r in out], float)
+        assert abs(sums.mean() - x.sum()) < 4 * x.std() * np.sqrt(500) / np.sqrt(200)
+        assert 0.8 < sums.std() / (x.std() * np.sqrt(500)) < 1.25
+    assert evaluate.resampled_sums(df.filter("false"), 5).count() == 0
+    one = evaluate.resampled_sums(spark.createDataFrame([(3, 7)], "edits int, ref_len int"), 4).collect()
+    assert {(r["draws"], r["edits"], r["ref_len"]) for r in one} == {(1, 3, 7)}

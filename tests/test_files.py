@@ -124,6 +124,9 @@ def test_conversion(spark, corpus):
     same = model.get_projmat(source, source).first()
     x = np.array([r["feat"] for r in source.collect()])
     np.testing.assert_allclose(x @ np.array(same["w"]), x, atol=1e-3)
+    odd = [s.withColumn("speaker", F.lit(name)) for s, name in ((source, "a|b"), (source, "a|c"), (target, "t:é"))]
+    named = model.get_projmat(odd[0].unionByName(odd[1]), odd[2])
+    assert sorted((r["source"], r["target"]) for r in named.collect()) == [("a|b", "t:é"), ("a|c", "t:é")]
     bases, both = factorised_maps(feats, 3)
     assert both.count() == 2 and content_codes(feats, bases).filter(F.size("code") == 3).count() == feats.count()
     assert knn_converted(feats, both.select("source", "target"), 4).count() == feats.filter("array_max(feat) > 0").count()  # silence has no direction
