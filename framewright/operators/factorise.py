@@ -218,7 +218,7 @@ class Factorisation:
             table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 4, tolerance: float = 1e-7, rounds: int = 30, seed: str = "13") -> Factorisation:
+def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 8, tolerance: float = 1e-7, rounds: int = 30, seed: str = "13") -> Factorisation:
     """The ``rank`` leading singular triples of the aligned frames (ref_idx, speaker, feat).
 
     Block Krylov method: ``steps`` products with A A' of rank + ``extra`` columns span a space in

@@ -689,7 +689,7 @@ def bootstrap_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
  select 100::bigint reps, n least_draws, n most_draws, true as mean_near, true as spread_near from t, d where sd > 0""")
 def resampled_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples drawn where the rows lie: each draws as often as there are rows, and the rates' mean and deviation are near those of theory."""
-    counts = evaluate.error_counts(turns(spark, sf_dir), words=False).select("edits", "ref_len")
+    counts = stored(evaluate.error_counts(turns(spark, sf_dir), words=False).select("edits", "ref_len"))
     sums = evaluate.resampled_sums(counts)
     drawn = sums.agg(F.count(F.lit(1)).alias("reps"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws")).join(evaluate.resampled_rate(sums))
     whole = counts.agg(F.sum("edits").cast("double").alias("e"), F.sum("ref_len").cast("double").alias("l"))
