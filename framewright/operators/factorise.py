@@ -244,6 +244,10 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 8, to
                 break
             stack.append(turned(y, by))
             widths.append(by.shape[1])
+            if step == 0:
+                rows_in_all = y.agg(F.sum(F.octet_length("refs") / 8)).first()[0]
+            if sum(widths) >= rows_in_all:  # nothing is left to span
+                break
         if not stack:
             empty = aligned.sparkSession.createDataFrame([], BASIS)
             return Factorisation(xs, aligned.sparkSession.createDataFrame([], "ref_idx long, u array<double>"), np.zeros(0), empty)
