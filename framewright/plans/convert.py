@@ -15,6 +15,7 @@ from ..operators.matching import aligned_to_first, matched_pairs, topk_blocks
 from ..operators.moments import pair_factors, pair_moments
 from ..operators.pairs import speaker_pairs
 from ..operators.project import project
+from ..operators.pruned import topk_pruned
 from ..operators.signal import prepared
 from ..operators.solvers import fit_factors, fit_maps
 
@@ -86,10 +87,13 @@ def content_codes(frames: DataFrame, bases: DataFrame) -> DataFrame:
     return project(frames, fz.content_maps(bases), ["speaker"], name="code").drop("feat")
 
 
-def knn_converted(frames: DataFrame, pairs: DataFrame, k: int = 4, cap: int | None = None) -> DataFrame:
-    """(source, target, s_id, y): each frame replaced by the mean of its k nearest target frames."""
+def knn_converted(frames: DataFrame, pairs: DataFrame, k: int = 4, cap: int | None = None, skip: bool = False) -> DataFrame:
+    """(source, target, s_id, y): each frame replaced by the mean of its k nearest target frames.
+
+    ``skip`` finds the same ones by bounds, for many frames that lie in clusters.
+    """
     own = with_ids(fr.cap(frames, cap))
-    return matched_pairs(topk_blocks(own, pairs, k), own).drop("x")
+    return matched_pairs((topk_pruned if skip else topk_blocks)(own, pairs, k), own).drop("x")
 
 
 def pair_scores(evaluation: DataFrame, converted: DataFrame, real: DataFrame, embedder: Callable[[], models.Embedder], rate: int = 16_000, zero_positive: bool = False) -> DataFrame:

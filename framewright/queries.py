@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, paths, text, vectors
-from .operators import evaluate, factorise, lasso, matching, matrixstats, moments, pairs, project, reduced_rank, segments, signal, solvers
+from .operators import evaluate, factorise, lasso, matching, matrixstats, moments, pairs, project, pruned, reduced_rank, segments, signal, solvers
 from .operators import frames as fr
 from .plans import convert
 from .sources import files
@@ -89,6 +89,13 @@ def cosine_topk4_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.topk_expression(s, t, 4, ["target"], ["source"]).select("source", "target", "s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
 
 
+@query(f"with {_NEAR} select source, target, s_id, t_id, rank::int rank, round(distance, 6) distance from near where rank <= 4")
+def cosine_topk4_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    found = pruned.topk_pruned(f, pairs.speaker_pairs(f), 4, block=32)
+    return found.select("source", "target", "s_id", "t_id", integers("rank").alias("rank"), r("distance").alias("distance"))
+
+
 @query(f"""with {_NEAR}, v as (select vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 pos from embeddings)
  select target, s_id, pos::int pos, round(avg(v), 6) + 0.0 as value from near join v on vec_id = t_id where rank <= 4 group by all""")
 def knn_mean_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,8 @@ def test_conversion(spark, corpus):
     bases, both = factorised_maps(feats, 3)
     assert both.count() == 2 and content_codes(feats, bases).filter(F.size("code") == 3).count() == feats.count()
     assert knn_converted(feats, both.select("source", "target"), 4).count() == feats.filter("array_max(feat) > 0").count()  # silence has no direction
+    near, skipped = (sorted((r["target"], r["s_id"], [round(v, 9) for v in r["y"]]) for r in knn_converted(feats, both.select("source", "target"), 4, skip=s).collect()) for s in (False, True))
+    assert near == skipped
     assert models.recognise(audio.read_audio(spark, str(corpus)), lambda: lambda x, rate: f"{len(x)} at {rate}").first()["hypothesis"] == "9600 at 16000"
     assert models.embed(audio.read_audio(spark, str(corpus)), lambda: lambda x, rate: x[:4]).filter(F.size("embedding") == 4).count() == 4
 
