@@ -64,12 +64,18 @@ def mean_by_position(frames: DataFrame, by: Sequence[str], feat: str = "feat", n
 
 
 def standardised(frames: DataFrame, by: Sequence[str], feat: str = "feat") -> DataFrame:
-    """Each dimension less its mean, over its population deviation; constant ones only centred."""
-    long = frames.select("*", F.posexplode(feat).alias("pos", "value"))
-    stats = long.groupBy(*by, "pos").agg(F.avg(F.col("value").cast("double")).alias("mu"), F.stddev_pop(F.col("value").cast("double")).alias("sd"))
-    joined = long.join(stats, [*by, "pos"])
-    scaled = (F.col("value") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
-    return joined.withColumn("scaled", scaled).drop("mu", "sd", feat)
+    """Each dimension less its mean, over its population deviation; constant ones only centred.
+
+    Sums are made by (key, pos) before the shuffle; what meets the frames is one row of statistics a
+    key, and vectors become one row a dimension only in the result.
+    """
+    value = F.col("value").cast("double")
+    sums = frames.select(*by, F.posexplode(feat).alias("pos", "value")).groupBy(*by, "pos").agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
+    scale = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
+    stats = wide(sums, by, value=F.struct("mu", scale.alias("sd")), name="_stats")
+    scaled = F.zip_with(feat, "_stats", lambda x, s: F.struct(x.alias("value"), ((x.cast("double") - s["mu"]) / s["sd"]).alias("scaled")))
+    rest = [c for c in frames.columns if c != feat]
+    return frames.join(stats, list(by)).select(*rest, F.posexplode(scaled).alias("pos", "_cell")).select(*rest, "pos", "_cell.value", "_cell.scaled")
 
 
 def frame_count(frames: DataFrame, by: Sequence[str], hop_seconds: float = 0.02) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..arrow import matrix, vectors
 from ..stored import stored
+from .frames import wide
 from .moments import pair_moments
 
 #: Bytes of maps that are broadcast; larger sets meet their frames by shuffle.
@@ -80,9 +81,15 @@ def project(frames: DataFrame, maps: DataFrame, on: Sequence[str], feat: str = "
 
 
 def shift(frames: DataFrame, bias: DataFrame, on: Sequence[str], feat: str = "feat") -> DataFrame:
-    """A map that is only an offset, in long form: (frames' columns, pos, value)."""
-    long = frames.select(*[c for c in frames.columns if c != feat], F.posexplode(feat).alias("pos", "x"))
-    return long.join(bias, [*on, "pos"]).withColumn("value", F.col("x").cast("double") + F.col("bias")).drop("x", "bias")
+    """A map that is only an offset, in long form: (frames' columns, pos, value).
+
+    Offsets meet the frames as one vector a key; vectors become rows only in the result.
+    """
+    rest = [c for c in frames.columns if c != feat]
+    keys = [c for c in bias.columns if c not in ("pos", "bias")]
+    moved = F.zip_with(feat, "_bias", lambda x, b: x.cast("double") + b)
+    met = frames.join(wide(bias, keys, value="bias", name="_bias"), list(on))
+    return met.select(*rest, *[c for c in keys if c not in on], F.posexplode(moved).alias("pos", "value"))
 
 
 def pca(frames: DataFrame, k: int, feat: str = "feat") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
