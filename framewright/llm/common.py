@@ -72,12 +72,6 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *(c.alias(name) for name, c in columns.items()))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimiser takes the rows' size to be; 0 where it doesn't know."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
-
-
 def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 

@@ -5,7 +5,8 @@ that is reused) and *buckets* (hash groups of names). In a round every home send
 name once to the name's bucket, as packed binaries, one row per home and bucket; the bucket
 sorts its names, compares neighbours, and answers with one bit per name. A name that occurs
 a billion times is therefore at most one record per home, and no group of copies meets in a
-task. There are two homes a shuffle partition, and more where that leaves a home too large.
+task. There are two homes a shuffle partition, and more where that leaves a home more text than
+HOME_BYTES. Windows, of which there can be one a byte, are sorted a range of buckets at a time.
 
 A window's name has two independent 64-bit halves. Its bucket comes from 48 bits of the second;
 all of the first and 16 further bits are sent and compared: 80 bits besides the bucket.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, input_bytes, shuffle_partitions, text_bytes
+from .common import NULL_ID, shuffle_partitions, text_bytes
 
 SENT = "bucket int, home int, names binary, extra binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("names", pa.binary()), ("extra", pa.binary())])
@@ -35,12 +36,17 @@ SENT_ARROW = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("names",
 CHUNK = 1 << 19
 
 
-#: Bytes of stored input that a home gets at most, by the optimiser's estimate.
-HOME_BYTES = 64 << 20
+#: Bytes of text that a home gets on average at most.
+HOME_BYTES = 32 << 20
+#: Ranges of buckets in a home, and of names in a bucket, that are sorted one after the other.
+PART_BITS = 4
+PARTS = 1 << PART_BITS
 
 
-def home_count(docs: DataFrame) -> int:
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-input_bytes(docs) // HOME_BYTES))
+def home_count(docs: DataFrame, text_col: str) -> int:
+    """Homes for all the text, by a pass that only adds up sizes."""
+    size = docs.agg(F.sum(F.length(text_bytes(F.col(text_col))))).first()[0] or 0
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-size // HOME_BYTES))
 
 
 def homes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -150,7 +156,7 @@ def resolve_texts(blobs: list[bytes]) -> list[bytes]:
 
 
 def resolver(size: int, kinds: tuple[str, ...] = (), texts: bool = False) -> Callable[[pa.Table], pa.Table]:
-    """Bucket step: sort the names, compare neighbours, answer by row.
+    """Bucket step: sort the names, a range at a time, compare neighbours, answer by row.
 
     Names are keys of ``size`` bytes and, if ``kinds`` says so, second halves and ranks. A bit
     says that another home has the name too or, if there are ranks, that another home has it at
@@ -163,8 +169,15 @@ def resolver(size: int, kinds: tuple[str, ...] = (), texts: bool = False) -> Cal
         counts = [len(x) // (size + sum(sizes)) for x in blobs]
         key = np.concatenate([unpack_sorted(x, c, size) for x, c in zip(blobs, counts, strict=True)])
         columns = [np.concatenate([np.frombuffer(x, kind, c, c * (size + sum(sizes[:k]))) for x, c in zip(blobs, counts, strict=True)]) for k, kind in enumerate(kinds)]
-        first, at, count = distinct(key, columns[0] if columns else np.zeros(len(key), bool))
-        bits = least_ranks(columns[1], at, len(first))[at] < columns[1] if len(columns) > 1 else count[at] > 1
+        part = (key >> np.uint64(8 * size - PART_BITS)).astype(np.uint8)
+        bits = np.zeros(len(key), bool)
+        for p in range(PARTS):
+            own = np.flatnonzero(part == p)
+            first, at, count = distinct(key[own], columns[0][own] if columns else np.zeros(len(own), bool))
+            if len(columns) > 1:
+                bits[own] = least_ranks(columns[1][own], at, len(first))[at] < columns[1][own]
+            else:
+                bits[own] = count[at] > 1
         if texts:
             table = table.set_column(3, "extra", pa.array(resolve_texts(table.column("extra").to_pylist()), pa.binary()))
         ends = np.cumsum(counts)
@@ -278,9 +291,61 @@ class Repeats:
         raise NotImplementedError
 
 
+def window_bucket(half: np.ndarray, n: int) -> np.ndarray:
+    return ((half >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
+
+
+def in_parts(half: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of the windows whose bucket lies in it), by the second halves of their names."""
+    part = np.empty(len(half), np.uint8)
+    for i in range(0, len(half), CHUNK):
+        part[i : i + CHUNK] = window_bucket(half[i : i + CHUNK], n) * PARTS // n
+    for p in range(PARTS):
+        own = np.flatnonzero(part == p)
+        if len(own):
+            yield p, own
+
+
+def send_windows(job: Repeats, home: Home, mask: np.ndarray, n: int, extra: bytes) -> pa.Table:
+    """The rows to the buckets with the distinct names of the marked windows; ``extra`` travels with one."""
+    a, b = job.names(home, mask)
+    ranks = job.ranks(home, mask) if job.ranked else None
+    sent = []
+    for _, own in in_parts(b, n):
+        x, y = a[own], b[own]
+        names, at, _ = distinct(x, y)
+        columns = [y[names].astype(np.uint16)]
+        if ranks is not None:
+            columns.append(least_ranks(ranks[own], at, len(names)))
+        sent.append(send(home, window_bucket(y[names], n), x[names], WINDOW, columns, n))
+    if not sent:
+        none = np.empty(0, np.int64)
+        return send(home, none, none.view(np.uint64), WINDOW, [], n, extra)
+    first = sent[0].set_column(3, "extra", pa.array([extra] + [b""] * (len(sent[0]) - 1), pa.binary()))
+    return pa.concat_tables([first, *sent[1:]])
+
+
+def repeated_windows(job: Repeats, home: Home, mask: np.ndarray, n: int, answered: pa.Table) -> np.ndarray:
+    """Of the marked windows, in their order, those to remove."""
+    a, b = job.names(home, mask)
+    ranks = job.ranks(home, mask) if job.ranked else None
+    answered = answered.select(["bucket", "names"])
+    part = answered.column("bucket").to_numpy().astype(np.int64) * PARTS // n
+    hit = np.zeros(len(a), bool)
+    for p, own in in_parts(b, n):
+        x, y = a[own], b[own]
+        names, at, count = distinct(x, y)
+        bit = answers(window_bucket(y[names], n), n, answered.filter(pa.array(part == p)))
+        if ranks is not None:
+            hit[own] = bit[at] | (ranks[own] > least_ranks(ranks[own], at, len(names))[at])
+        else:
+            hit[own] = (bit | (count > 1))[at]
+    return hit
+
+
 def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str) -> DataFrame:
     """A naming round for the seeds, one for the windows that they mark, and the final pass."""
-    n_homes = home_count(docs)
+    n_homes = home_count(docs, text_col)
     n = n_homes // 2
     dealt = homes(docs, id_col, text_col, n_homes)
 
@@ -291,9 +356,6 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
         first, at, count = distinct(key, rest)
         return (rest[first] % np.uint64(n)).astype(np.int64), key[first], at, count
 
-    def window_bucket(half: np.ndarray) -> np.ndarray:
-        return ((half >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
-
     def first(table: pa.Table) -> pa.Table:
         home = Home(table)
         bucket, key, _, _ = seeds_of(home)
@@ -311,13 +373,8 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
             whole, silent = Copies(home, job.least_size, n).settle(answered)
             mask &= ~np.repeat(silent, [len(t) for t in home.texts])
             copied = pack_mask(whole)
-        a, b = job.names(home, mask)
-        names, at, _ = distinct(a, b)
-        columns = [b[names].astype(np.uint16)]
-        if job.ranked:
-            columns.append(least_ranks(job.ranks(home, mask), at, len(names)))
         extra = [copied, pack_mask(mask), zlib.compress(flagged.astype(np.uint32).tobytes(), 1) if flagged.any() else b""]
-        return send(home, window_bucket(b[names]), a[names], WINDOW, columns, n, pack_parts(extra))
+        return send_windows(job, home, mask, n, pack_parts(extra))
 
     def last(table: pa.Table, answered: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -326,14 +383,7 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, job: Repeats, ddl: str)
         copied, mask, flagged = unpack_parts(next((x for x in answered.column("extra").to_pylist() if x), b""), 3)
         mask = unpack_mask(mask, job.starts(home))
         if mask.any():
-            a, b = job.names(home, mask)
-            names, at, count = distinct(a, b)
-            bit = answers(window_bucket(b[names]), n, answered)
-            if job.ranked:
-                ranks = job.ranks(home, mask)
-                hit = bit[at] | (ranks > least_ranks(ranks, at, len(names))[at])
-            else:
-                hit = (bit | (count > 1))[at]
+            hit = repeated_windows(job, home, mask, n, answered)
             mask[np.flatnonzero(mask)[~hit]] = False
         if copied:
             mask |= np.repeat(unpack_mask(copied, len(home.texts)), [len(t) for t in home.texts])

@@ -123,16 +123,19 @@ class ByteRepeats(Repeats):
         return np.concatenate(out), np.concatenate(flagged)
 
     def names(self, home: Home, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two, used = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
+        n = int(np.count_nonzero(mask))
+        one, two = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        used, done = 0, 0
         for _, _, data, _ in home.chunks():
             at = np.flatnonzero(mask[used : used + len(data)])
             used += len(data)
             if len(at):
                 top = top_names(data)
                 a, b = top[at], top[at + (self.length - TOP)]
-                one.append(mix(a + mix(b + _K[1])))
-                two.append(mix(b + mix(a + _K[2])))
-        return np.concatenate(one), np.concatenate(two)
+                one[done : done + len(at)] = mix(a + mix(b + _K[1]))
+                two[done : done + len(at)] = mix(b + mix(a + _K[2]))
+                done += len(at)
+        return one, two
 
     def finish(self, home: Home, mask: np.ndarray, flagged: np.ndarray) -> pa.Table:
         sizes, kept, spans, used = [], [], [], 0

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framewright.llm import queries
+from framewright.llm import names, queries
 from framewright.llm.common import in_chunks, mix, word_names
 from framewright.llm.decontaminate import Items, align, decontaminate, item_blocks, ngrams, without_contaminated
 from framewright.llm.names import distinct, pack_sorted, unpack_sorted
@@ -25,7 +26,7 @@ from framewright.llm.secrets import candidates, secret_scan
 from framewright.llm.sharding import rendezvous_shards
 from framewright.llm.simhash import grow, one_of_each, simhashes, tree_links, xxh64
 from framewright.llm.substring_dedup import substring_dedup
-from framewright.llm.suffix_dedup import suffix_array_dedup
+from framewright.llm.suffix_dedup import ByteRepeats, suffix_array_dedup
 
 
 @pytest.mark.parametrize("every", [5, 7, 8])
@@ -444,3 +445,26 @@ def test_how_rare_a_seed_is_changes_no_pair(spark, monkeypatch, rare):
     (block,) = item_blocks(frames[1], "item_id", "text", 3, 0.45, 1 << 24)
     assert found == {(t, k): round(score, 9) for t, k, score, *_ in block.matches([d.encode() for _, d in docs])}
     assert sum(t % 40 == k for t, k in found) >= 70
+
+
+def test_windows_are_sorted_in_parts_within_bounded_memory():
+    """A home whose windows all repeat: what numpy holds at once stays below 20 times its text."""
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 123, 20_000).astype(np.uint8)) for _ in range(50)]
+    texts += [t + b" x" for t in texts]
+    home = names.Home(pa.table({"home": pa.array([0] * 100, pa.int32()), "doc_id": list(range(100)), "data": pa.array(texts, pa.binary())}))
+    job = ByteRepeats(400)
+    mask = np.concatenate([np.arange(len(t)) <= len(t) - 400 for t in home.texts])
+    tracemalloc.start()
+    sent = names.send_windows(job, home, mask, 40, b"told")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # one chunk of bytes is worked on at a time whatever the home's size
+    assert peak < 20 * len(mask) + 64 * names.CHUNK
+    assert sorted(sent.column("bucket").to_pylist()) == list(range(40)) and [x for x in sent.column("extra").to_pylist() if x] == [b"told"]
+    settled = names.resolver(names.WINDOW, ("u2",))(pa.concat_tables([sent, sent.set_column(1, "home", pa.array([1] * len(sent), pa.int32()))]))
+    own = settled.filter(pa.array([h == 0 for h in settled.column("home").to_pylist()]))
+    assert names.repeated_windows(job, home, mask, 40, own).all()
+    alone = names.resolver(names.WINDOW, ("u2",))(sent)
+    seen = names.repeated_windows(job, home, mask, 40, alone)
+    assert seen.sum() == 2 * 50 * (20_000 - 399) and not seen.all()
