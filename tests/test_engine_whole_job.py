@@ -257,3 +257,12 @@ def test_resampled_sums(spark, monkeypatch):
     assert evaluate.resampled_sums(df.filter("false"), 5).count() == 0
     one = evaluate.resampled_sums(spark.createDataFrame([(3, 7)], "edits int, ref_len int"), 4).collect()
     assert {(r["draws"], r["edits"], r["ref_len"]) for r in one} == {(1, 3, 7)}
+
+
+def test_lasso_of_one_column_is_exact_where_a_coefficient_barely_enters():
+    """Soft thresholding to the last digits: a met gap alone leaves a coefficient of 2e-6 at zero, and others off by 1e-5."""
+    g, alpha = np.array([[0.0149]]), 0.002
+    c = np.array([[0.002 + 3e-8, -0.002 - 3e-8, 0.002, 0.0019, 0.0031, -0.0155]])
+    w, gap = lasso.solve(g, c, np.full(6, 0.0161), alpha)
+    np.testing.assert_allclose(w[0], np.sign(c[0]) * np.maximum(np.abs(c[0]) - alpha, 0) / g[0, 0], rtol=1e-7, atol=1e-13)
+    assert (gap <= lasso.TOLERANCE).all()
