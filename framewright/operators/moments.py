@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +53,52 @@ def merge_moments(states: DataFrame, keys: Sequence[str] = ("source", "target"))
     return states.groupBy(*keys).applyInArrow(merge, _ddl(states, keys))
 
 
+#: Keys whose sums a task holds at once.
+HELD_KEYS = 4096
+
+
+def diagonal_moments(pairs: DataFrame, keys: Sequence[str] = ("source", "target"), x: str = "x", y: str = "y") -> DataFrame:
+    """(keys, pos, n, sums and products): moments of each dimension by itself, in one-wide states.
+
+    Sums are made where the rows lie, a vector of them a key: neither rows nor their dimensions are shuffled.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kinds: list[pa.DataType] = []
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(v, t) for v, t in zip(zip(*held), kinds)]
+            columns += [pa.array([s[0] for s in held.values()], pa.float64())]
+            columns += [pa.array([s[i] for s in held.values()], pa.list_(pa.float64())) for i in range(1, 6)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, *FIELDS])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(k).type for k in keys]
+            numbers: dict[tuple, int] = {}
+            at = np.array([numbers.setdefault(key, len(numbers)) for key in zip(*(batch.column(k).to_pylist() for k in keys), strict=True)])
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(len(numbers)))
+            a, b = matrix(batch.column("x"))[order], matrix(batch.column("y"))[order]
+            sums = [np.bincount(at).astype(float)] + [np.add.reduceat(v, starts, axis=0) for v in (a, b, a * a, a * b, b * b)]
+            for key, i in numbers.items():
+                own = [s[i] for s in sums]
+                held[key] = [v + w for v, w in zip(held[key], own, strict=True)] if key in held else own
+            if len(held) > HELD_KEYS:
+                yield told()
+        if held:
+            yield told()
+
+    rows = pairs.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    whole = merge_moments(rows.mapInArrow(run, _ddl(pairs, keys)), keys)
+    cells = whole.select(*keys, "n", F.posexplode(F.arrays_zip(*FIELDS[1:])).alias("pos", "cell"))
+    return cells.select(*keys, "pos", "n", *[F.array(F.col(f"cell.{f}")).alias(f) for f in FIELDS[1:]])
+
+
 def entries(moments: DataFrame, field: str, keys: Sequence[str] = ("source", "target")) -> DataFrame:
     """(keys, i, j, value) of sxx, sxy or syy."""
     width = F.size("sy") if field in ("sxy", "syy") else F.size("sx")
