@@ -5,11 +5,13 @@ holds between chords. The frames of a speaker are gathered in *balls*: those nea
 few drawn pivots, cut into parts of bounded size, with the centre and the radius of each. Two balls whose
 centres lie g apart have all their chords between g - r - r' and g + r + r'.
 
-1. For each ball of a source, the targets' balls that surely hold k frames, nearest first, are
-   its *seeds*; a ball that starts beyond where they end can't matter and goes at once.
+Balls lie in *pages* of some thousand frames, each a ball itself, and pages are what is joined:
+
+1. For each page of a source, the targets' pages that surely hold k frames, nearest first, are
+   its *seeds*; a page that starts beyond where they end can't matter and goes at once.
 2. Products with the seeds give each frame k candidates and so the distance that others must beat.
-3. Of the other balls those that start nearer than the farthest such distance of the source ball meet it,
-   and of its frames only those that the ball's centre and radius leave a chance.
+3. Of the other pages those that start nearer than the farthest such distance of the source page meet it.
+4. Within two pages the same is done with their balls, as the distances to beat fall.
 
 What pivots are drawn and how full balls are changes the cost, never the result. Frames spread
 evenly in many dimensions have wide balls, and then all pairs meet as in ``matching``.
@@ -21,29 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..arrow import matrix
 from ..arrow import vectors as arrow_vectors
 from ..stored import stored
-from .matching import packed
+from .matching import DIGITS, OPEN_BYTES, SALTS, Nearest, best_k, dealt_to, directed, numbers, packed, unit
 
 #: Added to limits: more than the rounding of a distance.
 SLACK = 1e-9
-#: Distances closer than this many digits tie.
-DIGITS = 12
 #: A cluster's number comes before a part's in the number of a ball.
 _PARTS = 1 << 32
 
 _PIECE = pa.schema([("speaker", pa.string()), ("cluster", pa.int64()), ("piece", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("matrix", pa.binary())])
 _BALL = pa.schema([("speaker", pa.string()), ("ball", pa.int64()), ("n", pa.int64()), ("radius", pa.float64()), ("centre", pa.list_(pa.float64())), ("ids", pa.binary()), ("matrix", pa.binary())])
 _BOUND = pa.schema([("source", pa.string()), ("target", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
-_FOUND = pa.schema([("source", pa.string()), ("target", pa.string()), ("a", pa.int64()), ("s_id", pa.int64()), ("t_id", pa.int64()), ("distance", pa.float64())])
-
-
-def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.linalg.norm(rows, axis=1)[:, None]
+_PAGE = pa.schema([*_BALL, ("sizes", pa.list_(pa.int64())), ("radii", pa.list_(pa.float64())), ("centres", pa.binary())])
+#: Frames of a page.
+PAGE = 4096
 
 
 def chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -52,12 +50,6 @@ def chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def directed(rows: np.ndarray) -> np.ndarray:
-    """Mask of the rows that have a direction."""
-    norm = np.linalg.norm(rows, axis=1)
-    return np.isfinite(norm) & (norm > 0)
-
-
 def balls(frames: DataFrame, block: int = 256, pivots: int = 256, id_col: str = "frame_id", feat: str = "feat") -> DataFrame:
     """(speaker, ball, n, radius, centre, ids, matrix): all frames that have a direction, in balls of about ``block``.
 
@@ -128,55 +120,107 @@ def bounded_pairs(held: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return marked.select("source", "target", "a", "b", "n", "low", "high", near.alias("near"), (F.col("so_far") - F.col("n") < k).alias("seed"))
 
 
+def pages(held: DataFrame, page: int = PAGE) -> DataFrame:
+    """Balls of a speaker gathered in pages of about ``page`` frames, each a ball itself that keeps its balls' sizes, radii and centres."""
+    place = F.sum("n").over(Window.partitionBy("speaker").orderBy("ball").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    at = held.select("speaker", "ball", "n").withColumn("page", F.floor(place / F.lit(page))).drop("n")
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        rows = np.frombuffer(b"".join(table.column("matrix").to_pylist())).reshape(len(ids), -1)
+        direction = unit(rows)
+        centre = direction.mean(0)
+        radius = float(np.linalg.norm(direction - centre, axis=1).max())
+        return pa.table([table.column("speaker")[:1], table.column("page")[:1], [len(ids)], [radius], arrow_vectors(centre[None]), [ids.tobytes()], [rows.tobytes()], [table.column("n").to_numpy()], [table.column("radius").to_numpy()], [matrix(table.column("centre")).tobytes()]], schema=_PAGE)
+
+    ddl = "speaker string, ball long, n long, radius double, centre array<double>, ids binary, matrix binary, sizes array<long>, radii array<double>, centres binary"
+    return stored(held.join(at, ["speaker", "ball"]).groupBy("speaker", "page").applyInArrow(gather, ddl))
+
+
+def wanted_pages(chosen: DataFrame, *more: Column) -> DataFrame:
+    return chosen.groupBy("source", "target", "a").agg(F.collect_list("b").alias("bs"), *more)
+
+
 def products(wanted: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(source, target, a, s_id, t_id, distance): each frame's best k of each pair of balls in ``wanted``.
+    """(source, target, a, s_id, t_id, distance): each frame's best k of the pages in ``wanted`` (source, target, a, bs) that a task meets.
 
-    A column ``limits`` of (s_id, limit) leaves out what is farther than a frame's limit.
+    A column ``limits`` of (s_id, limit) leaves out what is farther than a frame's limit. Pages meet
+    by target and salt; within two pages, balls whose bounds rule them out are not multiplied.
     """
-    left = held.select(F.col("speaker").alias("source"), F.col("ball").alias("a"), F.col("ids").alias("s_ids"), F.col("matrix").alias("s_matrix"))
-    right = held.select(F.col("speaker").alias("target"), F.col("ball").alias("b"), "radius", "centre", F.col("ids").alias("t_ids"), F.col("matrix").alias("t_matrix"))
-    met = wanted.join(left, ["source", "a"]).join(right, ["target", "b"])
+    parts = ["ids", "matrix", "sizes", "radii", "centres"]
+    left = held.select(F.col("speaker").alias("source"), F.col("ball").alias("a"), *[F.col(c).alias(f"s_{c}") for c in parts])
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    right = held.select(F.col("speaker").alias("target"), every, F.col("ball").alias("b"), *[F.col(c).alias(f"t_{c}") for c in parts])
+    dealt = wanted.join(left, ["source", "a"]).withColumn("salt", F.pmod("a", F.lit(SALTS)).cast("int"))
+    met = dealt_to(dealt, "target", "salt").join(dealt_to(right, "target", "salt"), ["target", "salt"]).filter(F.array_contains("bs", F.col("b"))).drop("bs", "salt", "b")
+
+    def bounds(batch: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a page's balls end, their radii and centres."""
+        sizes, radii = (batch.column(f"{side}_{c}")[row].values.to_numpy() for c in ("sizes", "radii"))
+        return np.append(0, np.cumsum(sizes)), radii, numbers(batch, f"{side}_centres", row).reshape(len(sizes), -1)
+
+    def meet(near: Nearest, batch: pa.RecordBatch, row: int) -> None:
+        (s_ends, s_radii, s_centres), (t_ends, t_radii, t_centres) = bounds(batch, row, "s"), bounds(batch, row, "t")
+        ids = numbers(batch, "t_ids", row, np.int64)
+        rows = unit(numbers(batch, "t_matrix", row).reshape(len(ids), -1))
+        single = rows.astype(np.float32)
+        gap, width = chords(s_centres, t_centres), s_radii[:, None] + t_radii[None]
+        low, high, sizes = np.maximum(gap - width, 0) ** 2 / 2, np.minimum(gap + width, 2) ** 2 / 2, np.diff(t_ends)
+        for i, (start, stop) in enumerate(zip(s_ends[:-1].tolist(), s_ends[1:].tolist())):
+            order = np.argsort(high[i], kind="stable")
+            first = np.zeros(len(order), bool)
+            first[order[np.cumsum(sizes[order]) - sizes[order] < near.k]] = True
+            for only in (first, ~first):
+                on = only & (low[i] <= near.farthest(start, stop).max() + SLACK)
+                if on.all():
+                    near.meet(ids, rows, single, start, stop)
+                elif on.any():
+                    frames = np.repeat(on, sizes)
+                    near.meet(ids[frames], rows[frames], single[frames], start, stop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s, t = np.frombuffer(row["s_ids"], np.int64), np.frombuffer(row["t_ids"], np.int64)
-                x, y = np.frombuffer(row["s_matrix"]).reshape(len(s), -1), np.frombuffer(row["t_matrix"]).reshape(len(t), -1)
-                limit = np.full(len(s), np.inf)
-                if row.get("limits") is not None:
-                    told = {m["s_id"]: m["limit"] for m in row["limits"]}
-                    limit = np.array([told.get(i, np.inf) for i in s.tolist()]) + SLACK
-                    apart = chords(unit(x), np.array(row["centre"])[None])[:, 0]
-                    some = np.maximum(apart - row["radius"], 0) ** 2 / 2 <= limit
-                    s, x, limit = s[some], x[some], limit[some]
-                distance = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
-                # ids ascend, so a stable sort breaks ties by the least id
-                best = np.argsort(np.round(distance, DIGITS), axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(distance, best, 1)
-                good = d <= limit[:, None]
-                each = (np.repeat(s, best.shape[1]).reshape(best.shape)[good], t[best][good], d[good])
-                n = int(good.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([row["source"]] * n, pa.string()), pa.array([row["target"]] * n, pa.string()), pa.array([row["a"]] * n, pa.int64()), *map(pa.array, each)], schema=_FOUND)
+        held: dict[tuple, Nearest] = {}
 
-    return met.mapInArrow(run, "source string, target string, a long, s_id long, t_id long, distance double")
+        def told(key: tuple) -> pa.RecordBatch:
+            columns = held.pop(key).columns()
+            each = [pa.array([v] * len(columns[0]), t) for v, t in zip(key, (pa.string(), pa.string(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays([*each, *map(pa.array, columns)], names=["source", "target", "a", "s_id", "t_id", "distance"])
 
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = tuple(batch.column(c)[row].as_py() for c in ("source", "target", "a"))
+                if key not in held:
+                    while held and sum(x.nbytes for x in held.values()) > OPEN_BYTES:
+                        yield told(next(iter(held)))
+                    ids = numbers(batch, "s_ids", row, np.int64)
+                    held[key] = Nearest(ids, numbers(batch, "s_matrix", row).reshape(len(ids), -1), k)
+                    if "limits" in batch.schema.names:
+                        limits = batch.column("limits")[row].values
+                        order = np.argsort(ids)
+                        at = order[np.searchsorted(ids[order], limits.field("s_id").to_numpy())]
+                        held[key].limit[at] = limits.field("limit").to_numpy() + SLACK
+                meet(held[key], batch, row)
+        for key in list(held):
+            yield told(key)
 
-def best_k(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("source", "target", "s_id").orderBy(F.round("distance", DIGITS), "t_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.mapInArrow(run, "source string, target string, a long, s_id long, t_id long, distance double")
 
 
 def topk_pruned(frames: DataFrame, pairs: DataFrame, k: int, block: int = 256, pivots: int = 256, id_col: str = "frame_id", feat: str = "feat") -> DataFrame:
     """(source, target, s_id, t_id, distance, rank) for the frames of every (source, target): what ``matching.topk_blocks`` finds.
 
-    Frames without a direction (zero or not finite) match nothing; the least t_id wins a tie of
-    ``DIGITS`` digits; a target of fewer than k frames gives all it has; no frames or no pairs give no rows.
+    Balls of ``block`` frames lie in pages, and pairs of pages are rows, not pairs of balls: how
+    small balls are does not change how many rows meet. Frames without a direction (zero or not
+    finite) match nothing; the least t_id wins a tie of ``DIGITS`` digits; a target of fewer than k
+    frames gives all it has; no frames or no pairs give no rows.
     """
-    held = balls(frames, block, pivots, id_col, feat)
+    held = pages(balls(frames, block, pivots, id_col, feat))
     chosen = stored(bounded_pairs(held, pairs, k).filter("near or seed").select("source", "target", "a", "b", "low", "seed"))
-    first = stored(best_k(products(chosen.filter("seed").select("source", "target", "a", "b"), held, k), k).drop("rank"))
+    first = stored(products(wanted_pages(chosen.filter("seed")), held, k))
+    best = best_k(first, k)
     limit = F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf")))
-    limits = first.groupBy("source", "target", "a", "s_id").agg(limit.alias("limit")).groupBy("source", "target", "a").agg(F.max("limit").alias("farthest"), F.collect_list(F.struct("s_id", "limit")).alias("limits"))
-    rest = chosen.filter("not seed").join(limits, ["source", "target", "a"]).filter(F.col("low") <= F.col("farthest") + F.lit(SLACK))
-    second = products(rest.select("source", "target", "a", "b", "limits"), held, k)
+    limits = best.groupBy("source", "target", "a", "s_id").agg(limit.alias("limit")).groupBy("source", "target", "a").agg(F.max("limit").alias("farthest"), F.collect_list(F.struct("s_id", "limit")).alias("limits"))
+    limits = stored(limits)
+    rest = chosen.filter("not seed").join(limits.drop("limits"), ["source", "target", "a"]).filter(F.col("low") <= F.col("farthest") + F.lit(SLACK))
+    second = products(wanted_pages(rest).join(limits.drop("farthest"), ["source", "target", "a"]), held, k)
     return best_k(first.unionByName(second).drop("a"), k)

@@ -90,3 +90,16 @@ def test_empty(spark):
     one = spark.createDataFrame([("a", "b")], "source string, target string")
     assert pruned.topk_pruned(spark.createDataFrame([], SCHEMA), one, 2).count() == 0
     assert pruned.topk_pruned(table(spark, {"a": np.zeros((3, 2)), "b": np.ones((2, 2))}), one, 2).count() == 0
+
+
+def test_rows_that_meet_do_not_grow_with_the_number_of_balls(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(900, 8)), rng.normal(size=(1100, 8))
+    frames = table(spark, {"a": a, "b": b})
+    one = spark.createDataFrame([("a", "b")], "source string, target string")
+    met, right = [], pruned.bounded_pairs
+    monkeypatch.setattr(pruned, "bounded_pairs", lambda *x: met.append(right(*x)) or met[-1])
+    assert found(pruned.topk_pruned(frames, one, 3, block=4)) == plain(a, b, 900, 3)
+    assert met[0].count() == 1
+    monkeypatch.setattr(pruned, "pages", lambda held, pages=pruned.pages: pages(held, 100))
+    assert found(pruned.topk_pruned(frames, one, 3, block=4)) == plain(a, b, 900, 3)
