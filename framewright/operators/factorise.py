@@ -51,6 +51,11 @@ def references(refs: bytes) -> np.ndarray:
     return np.frombuffer(refs, np.int64)
 
 
+def cells(batch: pa.RecordBatch | pa.Table, *columns: str) -> Iterator[tuple[pa.Buffer, ...]]:
+    """Binary columns row by row, without copies."""
+    return zip(*((v.as_buffer() for v in batch.column(c)) for c in columns), strict=True)
+
+
 def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
     """(a, b, width, gram): A_a' A_b for all speakers, from (ref_idx, speaker, feat).
 
@@ -64,7 +69,7 @@ def gram_blocks(aligned: DataFrame, salts: int = 16) -> DataFrame:
 
     def multiply(table: pa.Table) -> pa.Table:
         total, width = 0.0, 1
-        for refs, x, others, y in zip(*(table.column(c).to_pylist() for c in ("refs", "x", "others", "y")), strict=True):
+        for refs, x, others, y in cells(table, "refs", "x", "others", "y"):
             r, q = references(refs), references(others)
             _, i, j = np.intersect1d(r, q, assume_unique=True, return_indices=True)
             b = dense(y, len(q))
@@ -97,12 +102,12 @@ def times(blocks: DataFrame, z: DataFrame) -> DataFrame:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = dense(row["x"], len(references(row["refs"])))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int32()), "refs": [row["refs"]], "x": [(x @ dense(row["z"], x.shape[1])).tobytes()]})
+            for block, (refs, x, z) in zip(batch.column("block").to_pylist(), cells(batch, "refs", "x", "z"), strict=True):
+                x = dense(x, len(references(refs)))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "refs": pa.array([refs.to_pybytes()], pa.binary()), "x": [(x @ dense(z, x.shape[1])).tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [(references(r), x) for r, x in zip(table.column("refs").to_pylist(), table.column("x").to_pylist(), strict=True)]
+        parts = [(references(r), x) for r, x in cells(table, "refs", "x")]
         refs = np.unique(np.concatenate([r for r, _ in parts]))
         total = np.zeros((len(refs), len(np.frombuffer(parts[0][1])) // len(parts[0][0])))
         for r, x in parts:
@@ -112,23 +117,37 @@ def times(blocks: DataFrame, z: DataFrame) -> DataFrame:
     return met.mapInArrow(multiply, ROWS).groupBy("block").applyInArrow(add, ROWS)
 
 
-def adjoint(blocks: DataFrame, q: DataFrame, salts: int = 16) -> DataFrame:
-    """A'Q in parts (speaker, x), from Q in rows (block, refs, x)."""
-    met = blocks.join(q.select("block", F.col("refs").alias("others"), F.col("x").alias("q")), "block")
+#: Speakers whose sums a task holds at once.
+HELD_SPEAKERS = 64
 
-    def multiply(table: pa.Table) -> pa.Table:
-        total = 0.0
-        for refs, x, others, q in zip(*(table.column(c).to_pylist() for c in ("refs", "x", "others", "q")), strict=True):
-            r, o = references(refs), references(others)
-            total = total + dense(x, len(r)).T @ dense(q, len(o))[np.searchsorted(o, r)]
-        return pa.table({"speaker": table.column("speaker")[:1], "x": pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())})
+
+def adjoint(blocks: DataFrame, q: DataFrame) -> DataFrame:
+    """A'Q in parts (speaker, x), from Q in rows (block, refs, x): summed where the blocks meet, so that no block is shuffled or held again."""
+    met = blocks.join(q.select("block", F.col("refs").alias("others"), F.col("x").alias("q")), "block").select("speaker", "refs", "x", "others", "q")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"speaker": pa.array(list(held), pa.string()), "x": pa.array([np.ascontiguousarray(v).tobytes() for v in held.values()], pa.binary())})
+            held.clear()
+            return out
+
+        for batch in batches:
+            for speaker, (refs, x, others, q) in zip(batch.column("speaker").to_pylist(), cells(batch, "refs", "x", "others", "q"), strict=True):
+                r, o = references(refs), references(others)
+                made = dense(x, len(r)).T @ dense(q, len(o))[np.searchsorted(o, r)]
+                held[speaker] = held[speaker] + made if speaker in held else made
+                if len(held) > HELD_SPEAKERS:
+                    yield told()
+        if held:
+            yield told()
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table.column("x").to_pylist())
+        total = sum(np.frombuffer(x) for (x,) in cells(table, "x"))
         return pa.table({"speaker": table.column("speaker")[:1], "x": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = met.withColumn("salt", F.pmod("block", F.lit(salts))).select("speaker", "salt", "refs", "x", "others", "q")
-    return dealt.groupBy("speaker", "salt").applyInArrow(multiply, PARTS).groupBy("speaker").applyInArrow(add, PARTS)
+    return met.mapInArrow(multiply, PARTS).groupBy("speaker").applyInArrow(add, PARTS)
 
 
 def triangle(rows: DataFrame, width: int, salts: int = 16) -> np.ndarray:
@@ -139,11 +158,11 @@ def triangle(rows: DataFrame, width: int, salts: int = 16) -> np.ndarray:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column("x").to_pylist():
+            for (x,) in cells(batch, "x"):
                 yield pa.RecordBatch.from_pydict({"x": pa.array([small(np.frombuffer(x).reshape(-1, width))], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({"x": pa.array([small(np.vstack([np.frombuffer(x).reshape(-1, width) for x in table.column("x").to_pylist()]))], pa.binary())})
+        return pa.table({"x": pa.array([small(np.vstack([np.frombuffer(x).reshape(-1, width) for (x,) in cells(table, "x")]))], pa.binary())})
 
     parts = rows.select("x").mapInArrow(part, "x binary").groupBy(F.pmod(F.xxhash64("x"), F.lit(salts))).applyInArrow(merge, "x binary")
     found = [np.frombuffer(r["x"]).reshape(-1, width) for r in parts.collect()]
@@ -155,7 +174,7 @@ def turned(rows: DataFrame, by: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [(np.frombuffer(x).reshape(-1, len(by)) @ by).tobytes() for x in batch.column("x").to_pylist()]
+            x = [(np.frombuffer(x).reshape(-1, len(by)) @ by).tobytes() for (x,) in cells(batch, "x")]
             yield batch.set_column(batch.schema.get_field_index("x"), "x", pa.array(x, pa.binary()))
 
     return rows.mapInArrow(run, rows.schema)
@@ -179,9 +198,9 @@ def beside(parts: list[DataFrame], widths: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.hstack([np.frombuffer(row[f"x{i}"]).reshape(-1, w) for i, w in enumerate(widths)])
-                yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int32()), "refs": [row["refs"]], "x": [x.tobytes()]})
+            for block, (refs, *parts) in zip(batch.column("block").to_pylist(), cells(batch, "refs", *(f"x{i}" for i in range(len(widths)))), strict=True):
+                x = np.hstack([np.frombuffer(v).reshape(-1, w) for v, w in zip(parts, widths, strict=True)])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "refs": pa.array([refs.to_pybytes()], pa.binary()), "x": [x.tobytes()]})
 
     return reduce(lambda a, b: a.join(b, "block"), named).mapInArrow(run, ROWS)
 
@@ -273,9 +292,9 @@ def factorise(aligned: DataFrame, rank: int, extra: int = 10, steps: int = 8, to
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                refs = references(row["refs"])
-                yield pa.RecordBatch.from_pydict({"ref_idx": refs, "u": vectors(dense(row["x"], len(refs)) * sign)})
+            for refs, x in cells(batch, "refs", "x"):
+                refs = references(refs)
+                yield pa.RecordBatch.from_pydict({"ref_idx": refs, "u": vectors(dense(x, len(refs)) * sign)})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +311,7 @@ def column_sums(rows: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            for x in batch.column("x").to_pylist():
+            for (x,) in cells(batch, "x"):
                 total += np.frombuffer(x).reshape(-1, width).sum(axis=0)
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(width), pa.int32()), "value": pa.array(total)})
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import matching, moments, solvers
+from framewright.operators import factorise, matching, moments, solvers
 
 
 def table(spark, sides):
@@ -52,3 +52,18 @@ def test_additive_map_from_moments_of_each_dimension(spark):
     maps = solvers.fit_maps(moments.diagonal_moments(rows), "additive", keys=["source", "target", "pos"])
     got = [r["b"] for r in maps.orderBy("pos").select(F.col("bias")[0].alias("b")).collect()]
     np.testing.assert_allclose(got, (y - x).mean(0), atol=1e-12)
+
+
+def test_adjoint_is_summed_where_the_blocks_meet(spark):
+    """No group of blocks that grows with the frames: one sum a speaker and task is what is shuffled."""
+    rng = np.random.default_rng(23)
+    n, x = 120, rng.normal(size=(120, 6))
+    rows = spark.createDataFrame([(i, s, x[i, 3 * j : 3 * j + 3].tolist()) for i in range(n) for j, s in enumerate("ab")], "ref_idx long, speaker string, feat array<double>")
+    blocks, q = factorise.blocks_of(rows), rng.normal(size=(n, 2))
+    narrow = factorise.times(blocks, spark.createDataFrame([(s, bytearray(v.tobytes())) for s, v in zip("ab", np.linalg.lstsq(x, q, rcond=None)[0].reshape(2, 3, 2))], factorise.PARTS))
+    found = factorise.adjoint(blocks, narrow)
+    assert found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("FlatMapGroupsInArrow") == 1
+    fit = x @ np.linalg.lstsq(x, q, rcond=None)[0]
+    for r in found.collect():
+        j = "ab".index(r["speaker"])
+        np.testing.assert_allclose(np.frombuffer(r["x"]).reshape(3, 2), x[:, 3 * j : 3 * j + 3].T @ fit, atol=1e-9)
