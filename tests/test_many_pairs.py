@@ -33,6 +33,31 @@ def test_a_name_with_many_pairs_is_many_tasks(spark):
     assert max(made) < 290 * 480 / 2
 
 
+def test_copies_for_cells_are_spread_and_not_broadcast(spark):
+    """A file of one task, 600 rows in 40 cells: its copies are made by many tasks and dealt, not sent whole to each."""
+    s = spark.range(0, 200, 1, 1).select(F.lit("a").alias("file_name"), F.col("id").alias("s_utt"))
+    t = spark.range(0, 400, 1, 1).select(F.lit("a").alias("file_name"), F.col("id").alias("t_utt")).unionByName(spark.range(3).select(F.lit(None).cast("string").alias("file_name"), F.col("id").alias("t_utt")))
+    out = pairs.parallel_by_name(s, t, cell=2_000, copies=100)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {("a", i, j) for i in range(200) for j in range(400)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    cells = [x for x in plan.splitlines() if "Join" in x and "_i#" in x]
+    assert len(cells) == 1 and "SortMergeJoin" in cells[0]
+    dealt = [int(x.split("RoundRobinPartitioning(")[1].split(")")[0]) for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "RoundRobinPartitioning(" in x]
+    assert len(dealt) >= 2 and min(dealt) >= 10
+
+
+def test_either_side_may_be_the_shorter(spark):
+    s = spark.range(400).select(F.col("id").alias("note"), F.lit("a").alias("file_name"), F.col("id").alias("s_utt"))
+    t = spark.range(50).select(F.lit("a").alias("file_name"), F.col("id").alias("note"))
+    want = {("a", i, i, j) for i in range(400) for j in range(50)}
+    out = pairs.parallel_by_name(s, t, cell=1_000)
+    assert out.columns == ["file_name", "note", "s_utt", "note"] and {tuple(r) for r in out.collect()} == want
+    out = pairs.parallel_by_name(t, s, cell=1_000)
+    assert out.columns == ["file_name", "note", "note", "s_utt"] and {(n, i, k, j) for n, j, i, k in map(tuple, out.collect())} == want
+    assert out.count() == 400 * 50
+
+
 def test_bootstrap_draws_what_its_sql_draws(spark, monkeypatch):
     index = evaluate.bootstrap_index(spark, 50, 20, draws=8)
     sums = {r["rep"]: r["n"] for r in index.groupBy("rep").agg(F.sum("times").alias("n")).collect()}
