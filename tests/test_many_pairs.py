@@ -33,10 +33,12 @@ def test_a_name_with_many_pairs_is_many_tasks(spark):
     assert max(made) < 290 * 480 / 2
 
 
-def test_copies_for_cells_are_spread_and_not_broadcast(spark):
+def test_copies_for_cells_are_spread_and_not_broadcast(spark, request):
     """A file of one task, 600 rows in 40 cells: its copies are made by many tasks and dealt, not sent whole to each."""
     s = spark.range(0, 200, 1, 1).select(F.lit("a").alias("file_name"), F.col("id").alias("s_utt"))
     t = spark.range(0, 400, 1, 1).select(F.lit("a").alias("file_name"), F.col("id").alias("t_utt")).unionByName(spark.range(3).select(F.lit(None).cast("string").alias("file_name"), F.col("id").alias("t_utt")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2**63 - 1))  # as if each side were estimated to be small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     out = pairs.parallel_by_name(s, t, cell=2_000, copies=100)
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == {("a", i, j) for i in range(200) for j in range(400)}
